@@ -4,15 +4,39 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from geolith.llm.op1_mpeg_audio import store_media
+from geolith.llm.op5_packing import pack
+from geolith.llm.op6_language_id import identify, learn_model
 from geolith.llm.op7_byte_bpe import encode_bpe
 from geolith.llm.op8_token_counts import count_tokens
+from geolith.llm.op9_url_filters import filter_urls
+from geolith.llm.op10_quality_rules import quality
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def fold(folds: int):
+    """crc32 of the decimal doc_id modulo ``folds``."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+
+
+def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return store_media(documents(spark, sf_dir))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), F.coalesce(fold(4) == 2, F.lit(False))
+    return identify(docs, learn_model(docs, ~held_out), extra=(held_out.alias("held_out"),))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_bpe(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -21,8 +45,21 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_mpeg_audio": op1_mpeg_audio,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_token_counts": op8_token_counts,
+    "op9_url_filters": op9_url_filters,
+    "op10_quality_rules": op10_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
