@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from geolith.llm.op1_mpeg_audio import store_media
 from geolith.llm.op3_toxicity import learn_index, score_toxicity
+from geolith.llm.op4_jaccard_join import near_duplicates
 from geolith.llm.op5_packing import pack
 from geolith.llm.op6_language_id import identify, learn_model
 from geolith.llm.op7_byte_bpe import encode_bpe
@@ -35,6 +36,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, learn_index(docs, labels, fold(5) != 0), extra=(held_out.alias("held_out"),))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
@@ -63,6 +68,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op3_toxicity": op3_toxicity,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op7_byte_bpe": op7_byte_bpe,
