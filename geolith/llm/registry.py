@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.llm.op1_mpeg_audio import store_media
+from geolith.llm.op2_run_length_dedup import dedup_bytes
 from geolith.llm.op3_toxicity import learn_index, score_toxicity
 from geolith.llm.op4_jaccard_join import near_duplicates
 from geolith.llm.op5_packing import pack
@@ -30,6 +31,10 @@ def op1_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store_media(documents(spark, sf_dir))
 
 
+def op2_run_length_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     held_out = F.coalesce(fold(5) == 0, F.lit(False))
@@ -67,6 +72,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
+    "op2_run_length_dedup": op2_run_length_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_jaccard_join": op4_jaccard_join,
     "op5_packing": op5_packing,
