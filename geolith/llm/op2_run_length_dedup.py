@@ -9,13 +9,12 @@ batch or a chunk of documents is not sent, so that a very common passage is sent
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -385,12 +384,6 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, id_type: T.DataType,
     return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["id", "text", "copy"]), b.select(["blob"])), T.StructType(fields))
 
 
-def release(spark: SparkSession) -> None:
-    """Let the files of exchanges go that no table needs any more."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``keep_text`` also ``kept_text``.
 
@@ -411,7 +404,7 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     with_hash = docs.withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
     unique = with_hash.where("id is not null").join(copies_small, ["id", "h"], "left_anti").drop("h")
     places = stored(repeated(first_pass(unique, length, chunks).repartition("bucket"), chunks))
-    release(spark)
+    stored.release()
     frequent: dict[int, int] = {}
     hot_rows = places.where(F.col("chunk") == HOT).select("blob")
     for row in hot_rows.toLocalIterator():
@@ -423,7 +416,7 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     chunked = unique.withColumn("chunk", chunk_of(F.col("id"), chunks))
     ranges = stored(matched(second_pass(chunked, places.where("chunk >= 0").select("chunk", "blob"), hot, length, chunks).repartition("bucket"), length, chunks))
     stored.drop(places)
-    release(spark)
+    stored.release()
     flagged = with_hash.join(copies_small.withColumn("copy", F.lit(True)), ["id", "h"], "left")
     flagged = flagged.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce(chunk_of(F.col("id"), chunks), chunk_of(F.xxhash64("text"), chunks)).alias("chunk"))
     out = result(flagged, ranges.select("chunk", "blob"), length, docs.schema["id"].dataType, keep_text)

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,8 +90,13 @@ def least_overlap(n: np.ndarray | int, percent: int):
     return (percent * n + 99) // 100
 
 
-def tiles(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
-    """Pairs to compare first (``key`` null) and members of tiles of three or more classes, once for each class and tile."""
+def shared_least(n: np.ndarray | int | Column):
+    """Prefix shingles that linked sets share at least, if prefixes are longer by one less: a 25th of the set."""
+    return 1 + (F.floor(n / 25) if isinstance(n, Column) else n // 25)
+
+
+def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
+    """``key``, ``cls`` and ``n`` for each prefix shingle that two classes or more have."""
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +110,7 @@ def tiles(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(h)
-                prefix = len(s) - least_overlap(len(s), percent) + 1
+                prefix = len(s) - least_overlap(len(s), percent) + shared_least(len(s))
                 own = s[:prefix]
                 if len(last):
                     frequent = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
@@ -113,12 +118,12 @@ def tiles(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
                         own = np.concatenate([s[~frequent], s[frequent]])[:prefix]
                 keys.append(own)
                 classes.append(h)
-                sizes.append((len(s), prefix))
+                sizes.append((len(s), len(own)))
             if not keys:
                 continue
             key, repeat = np.concatenate(keys), [p for _, p in sizes]
             cls, n = np.repeat(np.array(classes, np.int64), repeat), np.repeat(np.array([n for n, _ in sizes], np.int32), repeat)
-            bucket = (mix(key ^ FACTORS[2]) >> np.uint64(54)).astype(np.int32)
+            bucket = (mix(key ^ FACTORS[2]) >> np.uint64(55)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             key, cls, n, bucket = key[order], cls[order], n[order], bucket[order]
             edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
@@ -141,25 +146,39 @@ def tiles(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
         same = key[1:] == key[:-1]
         again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
         order, key = order[again], key[again]
-        cls, n = np.concatenate(classes)[order], np.concatenate(sizes)[order].astype(np.int64)
+        cls, n = np.concatenate(classes)[order], np.concatenate(sizes)[order]
         order = np.lexsort((cls, key))
         key, cls, n = key[order], cls[order], n[order]
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])]) if len(key) else np.zeros(0, bool)
+        if not len(key):
+            return
+        new = np.concatenate([[True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])])
         key, cls, n = key[new], cls[new], n[new]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.concatenate([start, [len(key)]]))
-        group = np.repeat(np.arange(len(start)), count)
-        first, members = start[group], count[group]
-        fits = np.minimum(n, n[first]) >= least_overlap(np.maximum(n, n[first]), percent)
-        use = np.flatnonzero(fits & (cls != cls[first]))
-        pairs = np.unique(np.stack([cls[first[use]], cls[use]], 1), axis=0) if len(use) else np.zeros((0, 2), np.int64)
-        held = members >= 3
-        m = int(held.sum())
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(pairs), pa.int64()), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["key", "a", "b"])
-        yield pa.RecordBatch.from_arrays([pa.array(key[held].view(np.int64)), pa.nulls(m, pa.int64()), pa.array(cls[held])], names=["key", "a", "b"])
+        use = np.repeat(count > 1, count)
+        yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(cls[use]), pa.array(n[use])], names=["key", "cls", "n"])
 
     dealt = map_batches(df, deal, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())]).repartition("bucket")
-    return map_batches(dealt, gather, [T.StructField(x, T.LongType()) for x in ("key", "a", "b")])
+    return map_batches(dealt, gather, [T.StructField("key", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType())])
+
+
+def tiles(members: DataFrame, percent: int, stored: Stored) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) to compare first, and the members (key, b) of tiles of three classes or more.
+
+    A class whose smallest possible partner would share more prefix shingles with it than it shares with
+    anyone has no link and leaves its tiles.
+    """
+    least = shared_least(F.ceil(F.col("n") * percent / 100))
+    counts = members.groupBy("cls", "n").agg(F.count("*").alias("shared"))
+    chosen = stored(counts.where(F.col("shared") >= least).select("cls"))
+    own = stored(members.join(small(chosen), "cls"))
+    firsts = stored(own.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("first"), F.count("*").alias("m")).where("m > 1"))
+    tiled = own.join(firsts, "key").where(F.col("cls") != F.col("first.cls"))
+    fits = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
+    pairs = stored(tiled.where(fits).select(F.col("first.cls").alias("a"), F.col("cls").alias("b")).distinct())
+    rest = stored(own.join(firsts.where("m > 2").select("key"), "key").select("key", F.col("cls").alias("b")))
+    stored.drop(own, firsts, chosen)
+    return pairs, rest
 
 
 def signature(shingles: np.ndarray) -> np.ndarray:
@@ -277,21 +296,26 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = stored(summaries(docs, size))
     hot = every.where("hot").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(FREQUENT).collect()
     last = np.sort(np.array([r["h1"] for r in hot], np.int64).view(np.uint64))
-    found = stored(tiles(docs.where(F.col("id").isNotNull()), size, percent, last))
+    members = stored(tile_members(docs.where(F.col("id").isNotNull()), size, percent, last))
+    stored.release()
+    pairs, rest = tiles(members, percent, stored)
+    stored.drop(members)
     every = every.where("not hot")
     classes = stored(every.where("n > 0 and id is not null").groupBy("h1", "h2").agg(F.min("id").alias("node"), F.count("*").alias("rows")))
-    pairs = stored(found.where("key is null").select("a", "b").distinct())
-    used = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(found.where("key is not null").select("b")).distinct()
+    used = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).union(rest.select("b")).distinct()
     nodes = stored(classes.join(used, "h1").select(F.col("node").alias("id")).distinct())
-    sets = stored(set_table(docs.join(small(nodes), "id"), size).dropDuplicates(["cls"]))
+    stored.release()
+    sets = stored(set_table(docs.join(small(nodes), "id"), size))
     edges = stored(verified(pairs, sets, percent))
+    stored.release()
     labels = stored(components(edges, stored))
-    rest = stored(across(found.where("key is not null"), sets, labels, percent).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    more = stored(verified(rest, sets, percent))
+    left = stored(across(rest, sets, labels, percent).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    more = stored(verified(left, sets, percent))
     if more.limit(1).count():
         links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         labels = stored(components(links, stored))
-    stored.drop(found, pairs, sets, edges, rest, nodes)
+    stored.drop(pairs, sets, edges, rest, left, nodes)
+    stored.release()
     copies = stored(classes.where("rows > 1").select("h1", "h2", "node"))
     out = every.join(small(copies), ["h1", "h2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "id")).otherwise(F.col("id")))
     out = out.join(small(labels.where("node <> component")), "node", "left")

@@ -33,8 +33,27 @@ def cache(path: str, pattern: str) -> tuple[PieceCache, list[str]]:
         tokenizer.no_truncation()
         tokenizer.no_padding()
 
-        def encode(pieces: list[str]) -> list[list[int]]:
-            return [x.ids for x in tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        lengths = np.zeros(tokenizer.get_vocab_size(), np.int64)
+        for token, i in tokenizer.get_vocab().items():
+            lengths[i] = len(token)  # a byte-level vocabulary spells each byte as one character
+
+        def encode(pieces: list[str]) -> list:
+            """Ids of each piece. Words are asked for in lines of many, which the tokenizer splits into the same words."""
+            out: list = [None] * len(pieces)
+            words = [i for i, x in enumerate(pieces) if x.lstrip(" ").isalpha() and x.count(" ") < 2]
+            lines = [words[i : i + 512] for i in range(0, len(words), 512)]
+            texts = ["\n".join(pieces[i] for i in line) for line in lines]
+            for line, found in zip(lines, tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, np.int32)
+                ends = np.cumsum(lengths[ids])
+                own = np.array([len(pieces[i].encode()) for i in line])
+                stops = np.searchsorted(ends, np.cumsum(own + 1) - 1)  # tokens that end with the word; a newline follows
+                for i, a, b in zip(line, [0, *(stops[:-1] + 2).tolist()], (stops + 1).tolist(), strict=True):
+                    out[i] = ids[a:b]
+            rest = [i for i, x in enumerate(out) if x is None]
+            for i, found in zip(rest, tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False), strict=True):
+                out[i] = found.ids
+            return out
 
         special = [x.content for x in tokenizer.get_added_tokens_decoder().values()]
         _caches[path, pattern] = PieceCache(pattern, encode), special
@@ -46,12 +65,11 @@ def token_ids(texts: list[str], path: str, pattern: str, end_id: int) -> list[np
     pieces, special = cache(path, pattern)
     end = np.array([end_id], np.int32)
     whole = [not any(s in x for s in special) for x in texts]
-    found = pieces.pieces([x for x, y in zip(texts, whole, strict=True) if y])
-    plain, out = iter(found), []
+    plain, out = iter(pieces.numbers([x for x, y in zip(texts, whole, strict=True) if y])), []
     for text, y in zip(texts, whole, strict=True):
         parts = []
         if y:
-            parts.append(pieces.of(pieces.numbers(next(plain))))
+            parts.append(pieces.of(next(plain)))
         else:
             parts += [np.array(x, np.int32) for x in pieces.encode([text])]
         out.append(np.concatenate([*parts, end]))

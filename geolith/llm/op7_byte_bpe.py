@@ -192,7 +192,7 @@ def encode_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
         strings: list[str] = []
         for batch in batches:
             ids, shas, decoded, kept = [], [], [], []
-            found = pieces.pieces(batch.column(1).fill_null("").to_pylist())
+            found = pieces.numbers(batch.column(1).fill_null("").to_pylist())
             if len(strings) > len(pieces.index):
                 strings.clear()
             if len(strings) < len(pieces.index):
@@ -200,8 +200,7 @@ def encode_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
                 flat = list(map(str, pieces.ids[at[len(strings)] : pieces.n_ids].tolist()))
                 base = at[len(strings)]
                 strings += [" ".join(flat[a - base : b - base]) for a, b in zip(at[len(strings) : -1], at[len(strings) + 1 :], strict=True)]
-            for text in found:
-                numbers = pieces.numbers(text)
+            for numbers in found:
                 own = pieces.of(numbers)
                 ids.append(len(own))
                 shas.append(hashlib.sha256(" ".join(map(strings.__getitem__, numbers.tolist())).encode()).hexdigest())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,6 +38,11 @@ class Stored:
         self.paths[id(out)] = path
         return out
 
+    def release(self) -> None:
+        """Let the files of exchanges go that only tables written before needed."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for df in tables:
