@@ -7,17 +7,22 @@ import numpy as np
 from geolith.llm.tokens import mix
 
 #: Bytes of an anchor's own string.
-GRAM = 24
+GRAM = 20
 STEP = 1 << 15
 
 
+def gram_hash(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Hash of grams whose first, next and last eight bytes are a, b and c."""
+    return mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + np.uint64(1)) + c * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
 def gram_hashes(data: np.ndarray) -> np.ndarray:
-    """64-bit hash of the 24 bytes that begin at each position but the last 23."""
+    """64-bit hash of the 20 bytes that begin at each position but the last 19."""
     x = data.astype(np.uint64)
     x = x[:-1] | x[1:] << np.uint64(8)
     x = x[:-2] | x[2:] << np.uint64(16)
     x = x[:-4] | x[4:] << np.uint64(32)
-    return mix(x[:-16] * np.uint64(0x9E3779B97F4A7C15) + mix(x[8:-8] + np.uint64(1)) + x[16:] * np.uint64(0xC2B2AE3D27D4EB4F))
+    return gram_hash(x[:-12], x[8:-4], x[12:])
 
 
 def sliding(x: np.ndarray, width: int, best) -> np.ndarray:

@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.anchors import GRAM, anchors, gram_hashes
+from geolith.llm.anchors import GRAM, anchors, gram_hash
 from geolith.llm.batches import field, map_batches, raw
 from geolith.llm.run_index import RunIndex
 from geolith.llm.shared import Stored, small
@@ -32,22 +32,47 @@ BUCKET_BITS = 9
 WEIGHTS = np.cumprod(np.full(512, 0x9E3779B97F4A7C15 | 1, np.uint64))
 
 
-def chunk_of(ids, chunks: int):
-    """The chunk of an id, the same for arrays and columns."""
-    if isinstance(ids, Column):
-        return F.pmod(ids.bitwiseXOR(F.shiftright(ids, 15)), F.lit(chunks)).cast("int")
+def chunk_of(ids: np.ndarray, chunks: int) -> np.ndarray:
+    """The chunks of documents."""
     return np.mod(ids ^ (ids >> 15), chunks).astype(np.int32)
 
 
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """The lowest bytes of all values, then the next, which compresses better."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes() if values.itemsize > 1 else values.tobytes()
+
+
 def packed(*arrays: np.ndarray) -> bytes:
-    """Arrays with a header of their lengths."""
-    return np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes() + b"".join(a.tobytes() for a in arrays)
+    """Arrays as one compressed message; see :func:`unpacked`."""
+    body = b"".join(planes(np.ascontiguousarray(a)) for a in arrays)
+    return np.array([len(body), *(len(a) for a in arrays)], np.int64).tobytes() + ZSTD.compress(body, asbytes=True)
 
 
 def unpacked(blob: bytes, *kinds) -> list[np.ndarray]:
-    sizes = np.frombuffer(blob, np.int64, len(kinds) + 1)[1:]
-    at = np.cumsum(sizes) - sizes + 8 * (len(kinds) + 1)
-    return [np.frombuffer(blob, k, int(n) // np.dtype(k).itemsize, int(a)) for k, n, a in zip(kinds, sizes, at, strict=True)]
+    sizes = np.frombuffer(blob, np.int64, len(kinds) + 1).tolist()
+    body = ZSTD.decompress(memoryview(blob)[8 * len(sizes) :], sizes[0], asbytes=True)
+    out, at = [], 0
+    for kind, n in zip(kinds, sizes[1:], strict=True):
+        width = np.dtype(kind).itemsize
+        out.append(np.ascontiguousarray(np.frombuffer(body, np.uint8, n * width, at).reshape(width, n).T).reshape(-1).view(kind))
+        at += n * width
+    return out
+
+
+KEY_SHIFT = np.uint64(16)
+
+
+def halves(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
+
+
+def joined(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """A message of the first exchange: keys, steps of ids, places, keys known to be shared, their documents."""
+    key, known = (low.astype(np.uint64) | high.astype(np.uint64) << np.uint64(32) for low, high in (parts[:2], parts[4:6]))
+    return [key, parts[2], parts[3], known, parts[6]]
 
 
 def slices(groups: np.ndarray) -> Iterator[tuple[int, int, int]]:
@@ -75,7 +100,10 @@ def by_chunk(ids: np.ndarray, chunks: int, *arrays: np.ndarray) -> Iterator[tupl
 
 
 def first_pass(df: DataFrame, length: int, chunks: int) -> DataFrame:
-    """Anchors dealt by their strings' hashes; anchors that two documents of a batch have go straight to the documents' chunks."""
+    """Anchors dealt by 48 bits of their strings' hashes; anchors that two documents of a batch have go straight to the documents' chunks.
+
+    Strings that agree in these bits only are candidates in vain, no more.
+    """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,7 +117,7 @@ def first_pass(df: DataFrame, length: int, chunks: int) -> DataFrame:
                 owners.append(np.full(len(p), k))
             if not hashes or not sum(map(len, hashes)):
                 continue
-            key, place, doc = np.concatenate(hashes), np.concatenate(places), ids[np.concatenate(owners)]
+            key, place, doc = np.concatenate(hashes) >> KEY_SHIFT, np.concatenate(places), ids[np.concatenate(owners)]
             order = np.argsort(key)
             key, place, doc = key[order], place[order], doc[order]
             start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -111,7 +139,7 @@ def first_pass(df: DataFrame, length: int, chunks: int) -> DataFrame:
             for k in range(1 << BUCKET_BITS):
                 a, b, c, d = int(ends[k]), int(ends[k + 1]), int(edge[k]), int(edge[k + 1])
                 if b > a or d > c:
-                    out.append((k, ENTRY, packed(key[a:b], np.diff(doc[a:b], prepend=0), place[a:b], known[c:d], docs[c:d])))
+                    out.append((k, ENTRY, packed(*halves(key[a:b]), np.diff(doc[a:b], prepend=0), place[a:b], *halves(known[c:d]), docs[c:d])))
             yield rows_of(out)
 
     return map_batches(df, work, ROWS)
@@ -125,7 +153,7 @@ def repeated(dealt: DataFrame, chunks: int) -> DataFrame:
         for batch in batches:
             ready = [(b, c, x) for b, c, x in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)]
             yield rows_of([r for r in ready if r[1] != ENTRY])
-            parts += [unpacked(x, np.uint64, np.int64, np.uint32, np.uint64, np.uint32) for _, c, x in ready if c == ENTRY]
+            parts += [joined(unpacked(x, np.uint32, np.uint16, np.int64, np.uint32, np.uint32, np.uint16, np.uint32)) for _, c, x in ready if c == ENTRY]
         if not parts:
             return
         key = np.concatenate([p[0] for p in parts] + [p[3] for p in parts])
@@ -162,15 +190,32 @@ def distinct_rows(names: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return sub
 
 
-def settle(key: np.ndarray, context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by key, context and document; and whether a smaller document has the same context."""
-    order = np.lexsort((doc, context, key))
-    k, c, d = key[order], context[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])]))
-    least = np.repeat(d[start], np.diff(np.concatenate([start, [len(k)]])))
+def settle(context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by context; and whether a smaller document has the same context."""
+    order = np.argsort(context)
+    c, d = context[order], doc[order]
+    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
+    least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.concatenate([start, [len(c)]]))) if len(c) else d
     return order, d > least
 
 
+def column_hash(matrix: np.ndarray, first: int, last: int) -> np.ndarray:
+    """Hashes of the rows' bytes in some columns."""
+    out = np.zeros(len(matrix), np.uint64)
+    for c in range(first, last):
+        out += matrix[:, c] * WEIGHTS[c - first]
+    return mix(out)
+
+
+def shared_by_two(values: np.ndarray) -> np.ndarray:
+    """Whether another row has the same value."""
+    order = np.argsort(values)
+    same = values[order][1:] == values[order][:-1]
+    out = np.zeros(len(values), bool)
+    out[order] = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    return out
+
+
 def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray], hot: np.ndarray, length: int, chunks: int) -> list[tuple[int, int, bytes]]:
     """The rows that a chunk of documents sends: contexts by their anchors, windows of hot anchors, and what is settled here."""
     before, width = length - GRAM, 2 * length - GRAM
@@ -203,19 +248,15 @@ def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray],
         column = np.arange(width)[None, :]
         matrix = flat[(base[s] + p + width - before)[:, None] + column]
         matrix[(column < (before - left)[:, None]) | (column >= (before + right)[:, None])] = 0
-        gram = np.ascontiguousarray(matrix[:, before : before + GRAM])
-        key = gram_hashes(gram.ravel())[:: GRAM] if len(gram) else np.zeros(0, np.uint64)
-        whole = np.zeros(len(p), np.uint64)
-        for c in range(width):
-            whole += matrix[:, c] * WEIGHTS[c]
-        whole = mix(whole ^ mix((left * 256 + right).astype(np.uint64)))
+        key = gram_hash(*(np.ascontiguousarray(matrix[:, before + k : before + k + 8]).view("<u8").ravel() for k in (0, 8, GRAM - 8)))
+        whole = mix(column_hash(matrix, 0, width) ^ mix((left * 256 + right).astype(np.uint64)))
         parts.append((key, whole, left.astype(np.uint8), right.astype(np.uint8), matrix))
     key, context, left, right, matrix = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, later = settle(key, context, doc)
+    order, later = settle(context, doc)
     gone = order[later]
     done.append((doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone]))
     order = order[~later]
-    is_hot = np.isin(key[order], hot) if len(hot) else np.zeros(len(order), bool)
+    is_hot = np.isin(key[order] >> KEY_SHIFT, hot) if len(hot) else np.zeros(len(order), bool)
     send, windows = order[~is_hot], order[is_hot]
     bucket = (mix(key[send] ^ np.uint64(0x5DEECE66D)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
     by = np.argsort(bucket, kind="stable")
@@ -227,14 +268,11 @@ def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray],
         hashes, rows, starts = [], [], []
         for o in range(before + 1):
             fits = windows[(o >= before - left[windows]) & (o + length <= before + right[windows].astype(np.int64))]
-            h = np.zeros(len(fits), np.uint64)
-            for c in range(length):
-                h += matrix[fits, o + c] * WEIGHTS[c]
-            hashes.append(mix(h))
+            hashes.append(column_hash(matrix[fits, o : o + length], 0, length))
             rows.append(fits)
             starts.append(place[fits] - before + o)
         h, r, p = np.concatenate(hashes), np.concatenate(rows), np.concatenate(starts)
-        order, later = settle(h, np.zeros(len(h), np.uint64), doc[r])
+        order, later = settle(h, doc[r])
         gone = order[later]
         done.append((doc[r[gone]], own[r[gone]], p[gone], p[gone] + length))
         order = order[~later]
@@ -249,6 +287,38 @@ def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray],
     return out
 
 
+def dealt_texts(docs: DataFrame, chunks: int) -> DataFrame:
+    """Texts by chunk, many in a message; ``docs`` has an id, a text and whether it is a later copy."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, at = raw(batch.column(1))
+            ids, known = batch.column(0).fill_null(0).to_numpy(), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            copy = batch.column(2).to_numpy(zero_copy_only=False)
+            chunk = np.where(known, chunk_of(ids, chunks), np.arange(len(ids)) % chunks)
+            order = np.argsort(chunk, kind="stable")
+            rows = []
+            for c, a, b in slices(chunk[order]):
+                own = order[a:b]
+                rows.append((c, c, packed(ids[own], known[own], copy[own], np.diff(at)[own], np.concatenate([data[at[i] : at[i + 1]] for i in own.tolist()]))))
+            yield rows_of(rows)
+
+    return map_batches(docs, work, ROWS).select("chunk", "blob")
+
+
+def texts_of(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ids, whether they are known, whether the row is a copy, and texts."""
+    parts = [unpacked(x, np.int64, np.bool_, np.bool_, np.int64, np.uint8) for x in blobs.to_pylist()]
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), []
+    texts = []
+    for *_, sizes, data in parts:
+        flat, ends = data.tobytes(), np.cumsum(sizes)
+        texts += [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
+    ids, known, copy = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    return ids, known, copy, texts
+
+
 def second_pass(docs: DataFrame, places: DataFrame, hot: np.ndarray, length: int, chunks: int) -> DataFrame:
     """Contexts of the repeated anchors of each chunk's documents."""
     shared = docs.sparkSession.sparkContext.broadcast(hot)
@@ -260,13 +330,10 @@ def second_pass(docs: DataFrame, places: DataFrame, hot: np.ndarray, length: int
             order = np.argsort(ids, kind="stable")
             for i, a, b in slices(ids[order]):
                 wanted.setdefault(i, []).append(p[order[a:b]])
-        data, at = raw(left.column(1))
-        flat = data.tobytes()
-        ids = left.column(0).to_numpy()
-        texts = [flat[a:b] if int(i) in wanted else b"" for i, a, b in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        ids, _, _, texts = texts_of(left.column(1))
         return pa.Table.from_batches([rows_of(contexts(ids, texts, {k: np.concatenate(v) for k, v in wanted.items()}, shared.value, length, chunks))])
 
-    return docs.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["id", "text"]), b.select(["chunk", "blob"])), T.StructType(ROWS))
+    return docs.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["chunk", "blob"]), b.select(["chunk", "blob"])), T.StructType(ROWS))
 
 
 def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
@@ -308,22 +375,24 @@ def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
             key, context, doc, own, place, left, right, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             place, text = place.astype(np.int64), text.reshape(-1, width)
-            order, later = settle(key, context, doc)
+            order, later = settle(context, doc)
             gone = order[later]
             ranges = [(doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone])]
             order = order[~later]
-            k, c = key[order], context[order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (c[1:] != c[:-1])])
-            first = np.flatnonzero(new)
-            fresh = np.flatnonzero(np.concatenate([[True], k[first][1:] != k[first][:-1]]))
-            several = np.repeat(np.diff(np.concatenate([fresh, [len(first)]])) > 1, np.diff(np.concatenate([fresh, [len(first)]])))
-            chosen = order[first[several]]
+            c = context[order]
+            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+            last = np.concatenate([first[1:], [len(order)]])
+            # equal strings around an anchor agree in half of the rest before it or after it
+            half, some = (length - GRAM) // 2, np.flatnonzero(shared_by_two(key[order[first]]))
+            rows = text[order[first[some]]]
+            some = some[shared_by_two(column_hash(rows, before - half, before + GRAM)) | shared_by_two(column_hash(rows, before, before + GRAM + half))]
+            some = some[np.argsort(key[order[first[some]]], kind="stable")]
+            chosen = order[first[some]]
             if len(chosen):
                 rows, offsets = indexed(key[chosen], text[chosen], left[chosen], right[chosen], doc[chosen])
                 # the rows of one document that share a context share its windows
-                last = np.concatenate([first[1:], [len(order)]])[several]
-                counts = (last - first[several])[rows]
-                where = np.repeat(first[several][rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
+                counts = (last - first)[some][rows]
+                where = np.repeat(first[some][rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                 hit = order[where]
                 at = place[hit] + np.repeat(offsets, counts)
                 ranges.append((doc[hit], own[hit], at, at + length))
@@ -331,7 +400,7 @@ def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
             yield rows_of(list(by_chunk(d, chunks, o, a.astype(np.uint32), b.astype(np.uint32))))
         if windows:
             h, doc, own, place = (np.concatenate(x) for x in zip(*windows, strict=True))
-            order, later = settle(h, np.zeros(len(h), np.uint64), doc)
+            order, later = settle(h, doc)
             gone = order[later]
             yield rows_of(list(by_chunk(doc[gone], chunks, own[gone], place[gone], place[gone] + np.uint32(length))))
 
@@ -347,7 +416,7 @@ def removed_runs(ranges: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarr
     return a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])]
 
 
-def result(docs: DataFrame, ranges: DataFrame, length: int, id_type: T.DataType, keep_text: bool) -> DataFrame:
+def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool) -> DataFrame:
     """The kept bytes of each document."""
     names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + keep_text]
 
@@ -358,13 +427,10 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, id_type: T.DataType,
             order = np.argsort(ids, kind="stable")
             for i, x, y in slices(ids[order]):
                 cut.setdefault(i, []).append((own[order[x:y]], a[order[x:y]], b[order[x:y]]))
-        data, at = raw(left.column(1))
-        flat = data.tobytes()
-        texts = [flat[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-        ids = left.column(0).fill_null(0).to_numpy()
-        unknown = left.column(0).is_null().to_pylist()
+        ids, known, copies, texts = texts_of(left.column(0))
+        unknown = (~known).tolist()
         rows, sub = [], distinct_rows(ids, texts)
-        for k, (i, text, copy) in enumerate(zip(ids.tolist(), texts, left.column(2).to_pylist(), strict=True)):
+        for k, (i, text, copy) in enumerate(zip(ids.tolist(), texts, copies.tolist(), strict=True)):
             n = len(text)
             if copy:
                 starts, ends = (np.array([0]), np.array([n])) if n >= length else (np.zeros(0, np.int64),) * 2
@@ -381,7 +447,7 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, id_type: T.DataType,
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
     fields = [T.StructField("id", T.LongType()), *(T.StructField(x, T.LongType()) for x in names[1:4]), *(T.StructField(x, T.StringType()) for x in names[4:])]
-    return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["id", "text", "copy"]), b.select(["blob"])), T.StructType(fields))
+    return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["blob"]), b.select(["blob"])), T.StructType(fields))
 
 
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
@@ -396,7 +462,7 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spark = df.sparkSession
     stored = Stored(spark)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chunks = 8 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    chunks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
     same = docs.where("id is not null").select("id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     firsts = stored(same.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least"))
     copies = stored(same.join(small(firsts), "h").where("id > least").select("id", "h").distinct())
@@ -413,11 +479,11 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         if len(frequent) > 4 * HOT_KEYS:
             frequent = dict(sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:HOT_KEYS])
     hot = np.sort(np.array([k for k, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:HOT_KEYS]], np.uint64))
-    chunked = unique.withColumn("chunk", chunk_of(F.col("id"), chunks))
-    ranges = stored(matched(second_pass(chunked, places.where("chunk >= 0").select("chunk", "blob"), hot, length, chunks).repartition("bucket"), length, chunks))
+    texts = dealt_texts(unique.select("id", "text", F.lit(False).alias("copy")), chunks)
+    ranges = stored(matched(second_pass(texts, places.where("chunk >= 0").select("chunk", "blob"), hot, length, chunks).repartition("bucket"), length, chunks))
     stored.drop(places)
     stored.release()
     flagged = with_hash.join(copies_small.withColumn("copy", F.lit(True)), ["id", "h"], "left")
-    flagged = flagged.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.coalesce(chunk_of(F.col("id"), chunks), chunk_of(F.xxhash64("text"), chunks)).alias("chunk"))
-    out = result(flagged, ranges.select("chunk", "blob"), length, docs.schema["id"].dataType, keep_text)
+    flagged = flagged.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
+    out = result(dealt_texts(flagged, chunks), ranges.select("chunk", "blob"), length, keep_text)
     return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)
