@@ -5,6 +5,9 @@ All functions take texts as UTF-8; a null text counts as the empty text.
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +26,34 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return memory that the allocators hold to the system, so that idle workers stay small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def returned(function, *values):
+    """``function(*values)``, after which unused memory goes back."""
+    try:
+        return function(*values)
+    finally:
+        give_back()
+
+
 def map_batches(df: DataFrame, function, fields: list[T.StructField]) -> DataFrame:
     """``mapInArrow`` over bounded batches."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            give_back()
+
+    work.__name__ = work.__qualname__ = function.__name__
     bound_batches(df.sparkSession)
-    return df.mapInArrow(function, T.StructType(fields))
+    return df.mapInArrow(work, T.StructType(fields))
 
 
 def field(df: DataFrame, column: str, name: str | None = None) -> T.StructField:

@@ -14,12 +14,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolith.llm.anchors import GRAM, anchors, gram_hash
-from geolith.llm.batches import field, map_batches, raw
+from geolith.llm.batches import map_batches, raw, returned
 from geolith.llm.run_index import RunIndex
 from geolith.llm.shared import Stored, small
 from geolith.llm.tokens import mix
@@ -333,7 +334,7 @@ def second_pass(docs: DataFrame, places: DataFrame, hot: np.ndarray, length: int
         ids, _, _, texts = texts_of(left.column(1))
         return pa.Table.from_batches([rows_of(contexts(ids, texts, {k: np.concatenate(v) for k, v in wanted.items()}, shared.value, length, chunks))])
 
-    return docs.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["chunk", "blob"]), b.select(["chunk", "blob"])), T.StructType(ROWS))
+    return docs.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: returned(work, a.select(["chunk", "blob"]), b.select(["chunk", "blob"])), T.StructType(ROWS))
 
 
 def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
@@ -371,13 +372,14 @@ def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
             yield rows_of([r for r in ready if r[1] >= 0])
             parts += [unpacked(x, np.uint64, np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8, np.uint8) for _, c, x in ready if c == ENTRY]
             windows += [unpacked(x, np.uint64, np.int64, np.int32, np.uint32) for _, c, x in ready if c == HOT]
+        ranges = []
         if parts:
             key, context, doc, own, place, left, right, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             place, text = place.astype(np.int64), text.reshape(-1, width)
             order, later = settle(context, doc)
             gone = order[later]
-            ranges = [(doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone])]
+            ranges.append((doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone]))
             order = order[~later]
             c = context[order]
             first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
@@ -396,13 +398,14 @@ def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
                 hit = order[where]
                 at = place[hit] + np.repeat(offsets, counts)
                 ranges.append((doc[hit], own[hit], at, at + length))
-            d, o, a, b = (np.concatenate(x) for x in zip(*ranges, strict=True))
-            yield rows_of(list(by_chunk(d, chunks, o, a.astype(np.uint32), b.astype(np.uint32))))
         if windows:
             h, doc, own, place = (np.concatenate(x) for x in zip(*windows, strict=True))
             order, later = settle(h, doc)
             gone = order[later]
-            yield rows_of(list(by_chunk(doc[gone], chunks, own[gone], place[gone], place[gone] + np.uint32(length))))
+            ranges.append((doc[gone], own[gone], place[gone], place[gone] + np.uint32(length)))
+        if ranges:
+            d, o, a, b = (np.concatenate(x) for x in zip(*ranges, strict=True))
+            yield rows_of(list(by_chunk(d, chunks, o, a.astype(np.uint32), b.astype(np.uint32))))
 
     return map_batches(dealt, work, ROWS)
 
@@ -416,9 +419,15 @@ def removed_runs(ranges: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarr
     return a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])]
 
 
+def text_key(text: bytes) -> int:
+    """The xxhash64 of a text, as the SQL function gives it."""
+    h = xxhash.xxh64_intdigest(text, seed=42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool) -> DataFrame:
     """The kept bytes of each document."""
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + keep_text]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_key"][: 5 + 2 * keep_text]
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         cut: dict[int, list] = {}
@@ -441,17 +450,17 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool) ->
             else:
                 starts, ends = (np.zeros(0, np.int64),) * 2
             kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), n], strict=True))
-            rows.append((None if unknown[k] else i, n, n - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))[: 5 + keep_text])
+            rows.append((None if unknown[k] else i, n, n - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), text_key(text))[: 5 + 2 * keep_text])
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
 
-    fields = [T.StructField("id", T.LongType()), *(T.StructField(x, T.LongType()) for x in names[1:4]), *(T.StructField(x, T.StringType()) for x in names[4:])]
-    return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: work(a.select(["blob"]), b.select(["blob"])), T.StructType(fields))
+    fields = [T.StructField("id", T.LongType()), *(T.StructField(x, T.LongType()) for x in names[1:4]), *(T.StructField(x, T.StringType()) for x in names[4:6]), *(T.StructField(x, T.LongType()) for x in names[6:])]
+    return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: returned(work, a.select(["blob"]), b.select(["blob"])), T.StructType(fields))
 
 
 def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
-    """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``keep_text`` also ``kept_text``.
+    """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``keep_text`` also ``kept_text`` and ``text_key``, the xxhash64 of the text.
 
     Removed is each byte covered by a string of ``length`` bytes that also begins in a document with a
     smaller id; strings are judged on the input. A null or empty text has no bytes. Rows with one id are
@@ -462,7 +471,7 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     spark = df.sparkSession
     stored = Stored(spark)
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chunks = 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) + 1
+    chunks = int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
     same = docs.where("id is not null").select("id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     firsts = stored(same.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least"))
     copies = stored(same.join(small(firsts), "h").where("id > least").select("id", "h").distinct())
