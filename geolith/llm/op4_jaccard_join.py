@@ -3,9 +3,9 @@
 Documents with equal shingle sets form a class, and classes are joined. Under one order of all shingles
 two sets of Jaccard similarity t or more share one of their first n - ceil(t n) + 1 shingles; a tile is
 the classes that share such a shingle and have sizes within the band that t allows. In a first round each
-tile's classes are compared with the tile's first; what is linked then needs no more comparisons, so a
+tile's classes are compared with the tile's leader; what is linked then needs no more comparisons, so a
 large group of near copies costs its size, not its square. In a second round, tiles that still hold
-several components compare all pairs across components. Pairs are first bounded by bit counts of hashed
+several components compare pairs across components. Pairs are first bounded by bit counts of hashed
 bitmaps, whose width grows with the size band, and then intersected exactly.
 """
 
@@ -110,7 +110,7 @@ def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> Dat
                     continue
                 if len(seen) < 1_000_000:
                     seen.add(h)
-                prefix = len(s) - least_overlap(len(s), percent) + shared_least(len(s))
+                prefix = prefix_length(len(s), percent)
                 own = s[:prefix]
                 if len(last):
                     frequent = last[np.minimum(np.searchsorted(last, s), len(last) - 1)] == s
@@ -162,22 +162,31 @@ def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> Dat
     return map_batches(dealt, gather, [T.StructField("key", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType())])
 
 
+def prefix_length(n, percent: int):
+    """Shingles of a set of n that come into tiles."""
+    if isinstance(n, Column):
+        return n - F.ceil(n * percent / 100) + shared_least(n)
+    return n - least_overlap(n, percent) + shared_least(n)
+
+
 def tiles(members: DataFrame, percent: int, stored: Stored) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) to compare first, and the members (key, b) of tiles of three classes or more.
+    """Pairs (a, b) of a leader and a member to compare first, and the members (tile, b) of each leader's tile.
 
     A class whose smallest possible partner would share more prefix shingles with it than it shares with
-    anyone has no link and leaves its tiles.
+    anyone has no link and leaves its tiles. A shingle's leader is the class that shares most of its own
+    prefix with others, as an original does with its copies; all tiles of one leader are one tile.
     """
-    least = shared_least(F.ceil(F.col("n") * percent / 100))
     counts = members.groupBy("cls", "n").agg(F.count("*").alias("shared"))
-    chosen = stored(counts.where(F.col("shared") >= least).select("cls"))
+    least = shared_least(F.ceil(F.col("n") * percent / 100))
+    rank = F.floor(1e6 * F.col("shared") / prefix_length(F.col("n"), percent)).cast("int").alias("rank")
+    chosen = stored(counts.where(F.col("shared") >= least).select("cls", rank))
     own = stored(members.join(small(chosen), "cls"))
-    firsts = stored(own.groupBy("key").agg(F.min(F.struct("cls", "n")).alias("first"), F.count("*").alias("m")).where("m > 1"))
-    tiled = own.join(firsts, "key").where(F.col("cls") != F.col("first.cls"))
-    fits = F.least("n", "first.n") * 100 >= F.greatest("n", "first.n") * percent
-    pairs = stored(tiled.where(fits).select(F.col("first.cls").alias("a"), F.col("cls").alias("b")).distinct())
-    rest = stored(own.join(firsts.where("m > 2").select("key"), "key").select("key", F.col("cls").alias("b")))
-    stored.drop(own, firsts, chosen)
+    firsts = stored(own.groupBy("key").agg(F.max(F.struct("rank", "cls", "n")).alias("first"), F.count("*").alias("m")).where("m > 1").select("key", F.col("first.cls").alias("tile"), F.col("first.n").alias("size")))
+    rows = stored(own.join(firsts, "key").where(F.col("cls") != F.col("tile")).groupBy("tile", "size", "cls", "n").agg(F.lit(1).alias("one")))
+    fits = F.least("n", "size") * 100 >= F.greatest("n", "size") * percent
+    pairs = stored(rows.where(fits).select(F.col("tile").alias("a"), F.col("cls").alias("b")))
+    rest = stored(rows.select("tile", F.col("cls").alias("b")))
+    stored.drop(own, firsts, chosen, rows)
     return pairs, rest
 
 
@@ -220,62 +229,85 @@ def set_table(df: DataFrame, size: int) -> DataFrame:
     return map_batches(df, work, fields)
 
 
+def bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs of classes whose bitmaps allow a link."""
+    left = sets.select(F.col("cls").alias("a"), F.col("n").alias("x"), F.col("bitmap").alias("i"))
+    right = sets.select(F.col("cls").alias("b"), F.col("n").alias("y"), F.col("bitmap").alias("j"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", "i", "j")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in range(2, 6))
+            keep = [k for k, (n, m, i, j) in enumerate(zip(*columns, strict=True)) if linked(overlap_bound(np.frombuffer(i, np.uint8), np.frombuffer(j, np.uint8), n, m), n, m, percent)]
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
+
+    return map_batches(rows, work, [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Nodes ``a`` and ``b`` of the pairs of classes that link."""
-    left = sets.select(F.col("cls").alias("a"), F.col("node").alias("x"), F.col("bitmap").alias("i"), F.col("shingles").alias("s"))
-    right = sets.select(F.col("cls").alias("b"), F.col("node").alias("y"), F.col("bitmap").alias("j"), F.col("shingles").alias("t"))
-    rows = pairs.join(left, "a").join(right, "b").select("x", "y", "i", "j", "s", "t")
+    """Nodes ``a`` and ``b`` of the pairs of classes that link, by intersecting their sorted shingles."""
+    left = sets.select(F.col("cls").alias("a"), F.col("node").alias("x"), F.col("shingles").alias("s"))
+    right = sets.select(F.col("cls").alias("b"), F.col("node").alias("y"), F.col("shingles").alias("t"))
+    rows = pairs.join(left, "a").join(right, "b").select("x", "y", "s", "t")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for k, (i, j, s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 6)), strict=True)):
-                n, m = len(s) // 8, len(t) // 8
-                if linked(overlap_bound(np.frombuffer(i, np.uint8), np.frombuffer(j, np.uint8), n, m), n, m, percent):
-                    both = np.sort(np.concatenate([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)]))
-                    if linked(int((both[1:] == both[:-1]).sum()), n, m, percent):
-                        keep.append(k)
+            for k, (s, t) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(2, 4)), strict=True)):
+                both = np.sort(np.concatenate([np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)]))
+                if linked(int((both[1:] == both[:-1]).sum()), len(s) // 8, len(t) // 8, percent):
+                    keep.append(k)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
     return map_batches(rows, work, [field(rows, "x", "a"), field(rows, "y", "b")])
 
 
+def tile_pairs(maps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, blocks: np.ndarray, crossing: bool, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Member and partners of other components that its bitmap allows, of sizes at most its own; members ascend by size.
+
+    ``crossing``: only pairs of different blocks count.
+    """
+    widths = np.array([len(m) for m in maps])
+    by_width = {w: (np.flatnonzero(widths == w), np.stack([maps[i] for i in np.flatnonzero(widths == w)])) for w in np.unique(widths).tolist()}
+    for k in range(1, len(maps)):
+        n = int(sizes[k])
+        first = int(np.searchsorted(sizes, least_overlap(n, percent)))
+        for w in (int(widths[k]), int(widths[k]) // 2):
+            if w not in by_width:
+                continue
+            rows, matrix = by_width[w]
+            a, b = int(np.searchsorted(rows, first)), int(np.searchsorted(rows, k))
+            use = np.arange(a, b)[labels[rows[a:b]] != labels[k]]
+            if crossing:
+                use = use[blocks[rows[use]] != blocks[k]]
+            if not len(use):
+                continue
+            own, others, m = fold(maps[k], w), matrix[use], sizes[rows[use]]
+            bound = np.minimum(n - np.bitwise_count(own & ~others).sum(1, dtype=np.int64), m - np.bitwise_count(others & ~own).sum(1, dtype=np.int64))
+            if (fits := linked(bound, n, m, percent)).any():
+                yield k, rows[use[fits]]
+
+
 def across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes of one tile in different components whose bitmaps allow a link."""
-    info = sets.select(F.col("cls").alias("b"), "node", "n")
-    info = info.join(labels, "node", "left").select("b", "n", F.coalesce("component", "node").alias("label"))
-    info = info.select("b", "n", "label")
-    own = members.select("key", "b").join(info, "b")
-    mixed = own.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    rows = own.join(mixed, "key").join(sets.select(F.col("cls").alias("b"), "bitmap"), "b")
+    info = sets.select(F.col("cls").alias("b"), "node", "n").join(labels, "node", "left").select("b", "n", F.coalesce("component", "node").alias("label"))
+    own = members.join(info, "b")
+    mixed = own.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("tile", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
+    rows = own.join(mixed, "tile").join(sets.select(F.col("cls").alias("b"), "bitmap"), "b")
     block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     rows = rows.withColumn("block", block).withColumn("other", other)
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "b", "n", "label", "block", "bitmap")
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "n", "b")
+    rows = rows.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "b", "n", "label", "block", "bitmap")
+    rows = rows.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high", "n", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[tuple[int, int]] = set()
         for tile in grouped(batches, 3):
-            names, sizes, labels_, blocks = (tile.column(c).to_pylist() for c in (3, 4, 5, 6))
+            names, sizes, labels_, blocks = (np.array(tile.column(c).to_pylist()) for c in (3, 4, 5, 6))
             maps = [np.frombuffer(x, np.uint8) for x in tile.column(7).to_pylist()]
-            low, high = tile.column(1)[0].as_py(), tile.column(2)[0].as_py()
-            out, start = [], 0
-            for k, n in enumerate(sizes):
-                while sizes[start] < least_overlap(n, percent):
-                    start += 1
-                for i in range(start, k):  # the band of sizes that can link
-                    if labels_[i] == labels_[k] or low != high and blocks[i] == blocks[k]:
-                        continue
-                    pair = (min(names[i], names[k]), max(names[i], names[k]))
-                    if pair in done:
-                        continue
-                    if linked(overlap_bound(maps[i], maps[k], sizes[i], n), sizes[i], n, percent):
-                        out.append(pair)
-                    if len(done) < 1_000_000:
-                        done.add(pair)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], names=["a", "b"])
+            crossing = tile.column(1)[0] != tile.column(2)[0]
+            for k, partners in tile_pairs(maps, sizes, labels_, blocks, crossing, percent):
+                a, b = np.minimum(names[partners], names[k]), np.maximum(names[partners], names[k])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     return map_batches(rows, work, [T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
@@ -306,7 +338,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = stored(classes.join(used, "h1").select(F.col("node").alias("id")).distinct())
     stored.release()
     sets = stored(set_table(docs.join(small(nodes), "id"), size))
-    edges = stored(verified(pairs, sets, percent))
+    likely = stored(bounded(pairs, sets, percent))
+    edges = stored(verified(likely, sets, percent))
     stored.release()
     labels = stored(components(edges, stored))
     left = stored(across(rest, sets, labels, percent).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
@@ -314,7 +347,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     if more.limit(1).count():
         links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
         labels = stored(components(links, stored))
-    stored.drop(pairs, sets, edges, rest, left, nodes)
+    stored.drop(pairs, likely, sets, edges, rest, left, nodes)
     stored.release()
     copies = stored(classes.where("rows > 1").select("h1", "h2", "node"))
     out = every.join(small(copies), ["h1", "h2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "id")).otherwise(F.col("id")))
