@@ -58,7 +58,7 @@ def measured(df: DataFrame, id_col: str, text_col: str, host_col: str, limits: L
     df = df.withColumn("w", words(F.col("text"))).withColumn("lines", F.filter(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
     df = df.withColumn("hashes", window)
     df = df.select(
-        "id", "row", "host", "lines",
+        "id", "row", "host", "lines", F.xxhash64("text").alias("text_key"),
         F.size(w).cast("bigint").alias("n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate(F.col("text"), SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
@@ -89,7 +89,7 @@ def frequent_lines(df: DataFrame, id_col: str, text_col: str, host_col: str, lim
 
 
 def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits(), keep_text: bool = False) -> DataFrame:  # noqa: B008
-    """One row per input row: the id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``removed_words``, ``kept``; with ``keep_text`` also ``clean_text``.
+    """One row per input row: the id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``removed_words``, ``kept``; with ``keep_text`` also ``text_key``, the xxhash64 of the text, and ``clean_text``.
 
     A null or empty text has no words and fails. A null host is a host of its own, together with the
     empty one. Each row counts as a document, repeated rows too; a null id stays null and is never a
@@ -99,13 +99,14 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     hot, size = materialize(frequent_lines(df, id_col, text_col, host_col, limits))
     if size <= limits.broadcast_rows:
         hot = F.broadcast(hot)
+    keys = ["text_key"] if keep_text else []
     rules = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     lines = measured(df, id_col, text_col, host_col, limits)
-    lines = lines.select("row", "id", *rules, "host", F.posexplode_outer("lines").alias("at", "line"))
-    lines = lines.select("row", "id", *rules, "at", *(["line"] if keep_text else []), F.size(words(F.col("line"))).alias("own_words"), line_key(F.col("host"), F.col("line")).alias("key"))
+    lines = lines.select("row", "id", *keys, *rules, "host", F.posexplode_outer("lines").alias("at", "line"))
+    lines = lines.select("row", "id", *keys, *rules, "at", *(["line"] if keep_text else []), F.size(words(F.col("line"))).alias("own_words"), line_key(F.col("host"), F.col("line")).alias("key"))
     out = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     removed = F.coalesce(F.sum(F.when(out, F.col("own_words"))), F.lit(0)).cast("bigint").alias("removed_words")
     kept_lines = F.array_sort(F.collect_list(F.when(~out & F.col("line").isNotNull(), F.struct("at", "line")))) if keep_text else None
-    found = lines.join(hot, "key", "left").groupBy("row", "id", *rules).agg(removed, *([F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n").alias("clean_text")] if keep_text else []))
+    found = lines.join(hot, "key", "left").groupBy("row", "id", *keys, *rules).agg(removed, *([F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n").alias("clean_text")] if keep_text else []))
     kept = ~F.col("base_failed") & (F.col("removed_words") <= limits.depleted_share * F.col("n_words"))
-    return found.select(F.col("id").alias(id_col), *rules, "removed_words", kept.alias("kept"), *(["clean_text"] if keep_text else []))
+    return found.select(F.col("id").alias(id_col), *rules, "removed_words", kept.alias("kept"), *keys, *(["clean_text"] if keep_text else []))

@@ -55,14 +55,16 @@ def train_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-3, rounds: int =
     """Weights and bias that minimise the squared hinge loss, by accelerated gradient steps; both classes count the same."""
     x = np.hstack([x * SCALE, np.ones((len(x), 1), np.float32)]).astype(np.float32)
     y, weight = y.astype(np.float32), np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32)
+    # products without BLAS threads, which would contend with Spark's tasks for the machine's cores
+    ahead, back = (lambda u: np.einsum("ij,j->i", x, u)), (lambda u: np.einsum("i,ij->j", u, x))
     w, before, momentum = np.zeros(x.shape[1], np.float32), np.zeros(x.shape[1], np.float32), 1.0
     v = np.ones(x.shape[1], np.float32)
     for _ in range(12):  # the largest curvature, by power iteration
-        v = x.T @ (weight * (x @ (v / np.linalg.norm(v))))
+        v = back(weight * ahead(v / np.linalg.norm(v)))
     step = 1 / (2 * np.linalg.norm(v) * 1.1 + penalty)
     for _ in range(rounds):
-        short = np.maximum(0, 1 - y * (x @ w))
-        new = w - step * (penalty * w - 2 * x.T @ (weight * y * short))
+        short = np.maximum(0, 1 - y * ahead(w))
+        new = w - step * (penalty * w - 2 * back(weight * y * short))
         following = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         w, before, momentum = new + np.float32((momentum - 1) / following) * (new - before), new, following
     return (before[:-1] * SCALE).astype(np.float32), float(before[-1])
