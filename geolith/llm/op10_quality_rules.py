@@ -107,6 +107,7 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     out = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
     removed = F.coalesce(F.sum(F.when(out, F.col("own_words"))), F.lit(0)).cast("bigint").alias("removed_words")
     kept_lines = F.array_sort(F.collect_list(F.when(~out & F.col("line").isNotNull(), F.struct("at", "line")))) if keep_text else None
-    found = lines.join(hot, "key", "left").groupBy("row", "id", *keys, *rules).agg(removed, *([F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n").alias("clean_text")] if keep_text else []))
+    # the rules are aggregates here, so that no filter on them moves below, where it would compute them again for each line
+    found = lines.join(hot, "key", "left").groupBy("row", "id", *keys).agg(*(F.first(x).alias(x) for x in rules), removed, *([F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n").alias("clean_text")] if keep_text else []))
     kept = ~F.col("base_failed") & (F.col("removed_words") <= limits.depleted_share * F.col("n_words"))
     return found.select(F.col("id").alias(id_col), *rules, "removed_words", kept.alias("kept"), *keys, *(["clean_text"] if keep_text else []))
