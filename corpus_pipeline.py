@@ -53,9 +53,9 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that a document of smaller id has; those left without text go."""
-    found = dedup_bytes(docs, keep_text=True)
-    found = found.withColumn("changed", F.when(F.col("n_removed") > 0, F.col("kept_text"))).where(F.btrim(F.col("kept_text")) != "")
-    return revised(docs, found, "changed")
+    found = dedup_bytes(docs, keep_text=True, extra=("lang", "source", "n_chars")).where(F.btrim("kept_text") != "")
+    length = F.when(F.col("n_removed") > 0, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", length).withColumnRenamed("kept_text", "text").select(*COLUMNS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

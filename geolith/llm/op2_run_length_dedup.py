@@ -14,10 +14,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from geolith.llm.anchors import GRAM, anchors, gram_hash
 from geolith.llm.batches import map_batches, raw, returned
@@ -288,8 +288,19 @@ def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray],
     return out
 
 
+def carried(batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
+    """The columns from the fourth on of some rows, as bytes."""
+    if batch.num_columns < 4:
+        return np.zeros(0, np.uint8)
+    out = pa.BufferOutputStream()
+    columns = pa.RecordBatch.from_arrays([c.take(pa.array(rows)) for c in batch.columns[3:]], names=batch.schema.names[3:])
+    with pa.ipc.new_stream(out, columns.schema) as stream:
+        stream.write_batch(columns)
+    return np.frombuffer(out.getvalue(), np.uint8)
+
+
 def dealt_texts(docs: DataFrame, chunks: int) -> DataFrame:
-    """Texts by chunk, many in a message; ``docs`` has an id, a text and whether it is a later copy."""
+    """Texts by chunk, many in a message; ``docs`` has an id, a text, whether it is a later copy, and columns to carry along."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,23 +312,23 @@ def dealt_texts(docs: DataFrame, chunks: int) -> DataFrame:
             rows = []
             for c, a, b in slices(chunk[order]):
                 own = order[a:b]
-                rows.append((c, c, packed(ids[own], known[own], copy[own], np.diff(at)[own], np.concatenate([data[at[i] : at[i + 1]] for i in own.tolist()]))))
+                rows.append((c, c, packed(ids[own], known[own], copy[own], np.diff(at)[own], np.concatenate([data[at[i] : at[i + 1]] for i in own.tolist()]), carried(batch, own))))
             yield rows_of(rows)
 
     return map_batches(docs, work, ROWS).select("chunk", "blob")
 
 
-def texts_of(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
-    """Ids, whether they are known, whether the row is a copy, and texts."""
-    parts = [unpacked(x, np.int64, np.bool_, np.bool_, np.int64, np.uint8) for x in blobs.to_pylist()]
+def texts_of(blobs: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes], list[pa.Table]]:
+    """Ids, whether they are known, whether the row is a copy, texts, and the columns carried along."""
+    parts = [unpacked(x, np.int64, np.bool_, np.bool_, np.int64, np.uint8, np.uint8) for x in blobs.to_pylist()]
     if not parts:
-        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), []
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, bool), [], []
     texts = []
-    for *_, sizes, data in parts:
+    for *_, sizes, data, _ in parts:
         flat, ends = data.tobytes(), np.cumsum(sizes)
         texts += [flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True)]
     ids, known, copy = (np.concatenate([p[i] for p in parts]) for i in range(3))
-    return ids, known, copy, texts
+    return ids, known, copy, texts, [pa.ipc.open_stream(pa.py_buffer(p[5])).read_all() for p in parts if len(p[5])]
 
 
 def second_pass(docs: DataFrame, places: DataFrame, hot: np.ndarray, length: int, chunks: int) -> DataFrame:
@@ -331,7 +342,7 @@ def second_pass(docs: DataFrame, places: DataFrame, hot: np.ndarray, length: int
             order = np.argsort(ids, kind="stable")
             for i, a, b in slices(ids[order]):
                 wanted.setdefault(i, []).append(p[order[a:b]])
-        ids, _, _, texts = texts_of(left.column(1))
+        ids, _, _, texts, _ = texts_of(left.column(1))
         return pa.Table.from_batches([rows_of(contexts(ids, texts, {k: np.concatenate(v) for k, v in wanted.items()}, shared.value, length, chunks))])
 
     return docs.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: returned(work, a.select(["chunk", "blob"]), b.select(["chunk", "blob"])), T.StructType(ROWS))
@@ -419,15 +430,9 @@ def removed_runs(ranges: list[np.ndarray], n: int) -> tuple[np.ndarray, np.ndarr
     return a[new], b[np.concatenate([np.flatnonzero(new)[1:] - 1, [len(a) - 1]])]
 
 
-def text_key(text: bytes) -> int:
-    """The xxhash64 of a text, as the SQL function gives it."""
-    h = xxhash.xxh64_intdigest(text, seed=42)
-    return h - (1 << 64) if h >> 63 else h
-
-
-def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool) -> DataFrame:
+def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool, extra: list[T.StructField]) -> DataFrame:
     """The kept bytes of each document."""
-    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text", "text_key"][: 5 + 2 * keep_text]
+    names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"][: 5 + keep_text]
 
     def work(left: pa.Table, right: pa.Table) -> pa.Table:
         cut: dict[int, list] = {}
@@ -436,7 +441,7 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool) ->
             order = np.argsort(ids, kind="stable")
             for i, x, y in slices(ids[order]):
                 cut.setdefault(i, []).append((own[order[x:y]], a[order[x:y]], b[order[x:y]]))
-        ids, known, copies, texts = texts_of(left.column(0))
+        ids, known, copies, texts, extras = texts_of(left.column(0))
         unknown = (~known).tolist()
         rows, sub = [], distinct_rows(ids, texts)
         for k, (i, text, copy) in enumerate(zip(ids.tolist(), texts, copies.tolist(), strict=True)):
@@ -450,17 +455,22 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool) ->
             else:
                 starts, ends = (np.zeros(0, np.int64),) * 2
             kept = b"".join(text[a:b] for a, b in zip([0, *ends.tolist()], [*starts.tolist(), n], strict=True))
-            rows.append((None if unknown[k] else i, n, n - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), text_key(text))[: 5 + 2 * keep_text])
+            rows.append((None if unknown[k] else i, n, n - len(kept), len(starts), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"))[: 5 + keep_text])
         columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-        return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=False)], names=names)
-
-    fields = [T.StructField("id", T.LongType()), *(T.StructField(x, T.LongType()) for x in names[1:4]), *(T.StructField(x, T.StringType()) for x in names[4:6]), *(T.StructField(x, T.LongType()) for x in names[6:])]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+        own = [pa.array(c, k) for c, k in zip(columns, kinds, strict=False)]
+        if extra:
+            carried_ = pa.concat_tables(extras) if extras else extra_schema.empty_table()
+            own += [carried_.column(i) for i in range(len(extra))]
+        return pa.Table.from_arrays(own, names=[*names, *(f.name for f in extra)])
+
+    fields = [T.StructField("id", T.LongType()), *(T.StructField(x, T.LongType()) for x in names[1:4]), *(T.StructField(x, T.StringType()) for x in names[4:]), *extra]
+    extra_schema = to_arrow_schema(T.StructType([T.StructField(f"extra_{f.name}", f.dataType) for f in extra]))
     return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: returned(work, a.select(["blob"]), b.select(["blob"])), T.StructType(fields))
 
 
-def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False) -> DataFrame:
-    """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``keep_text`` also ``kept_text`` and ``text_key``, the xxhash64 of the text.
+def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``keep_text`` also ``kept_text``; and the columns ``extra``.
 
     Removed is each byte covered by a string of ``length`` bytes that also begins in a document with a
     smaller id; strings are judged on the input. A null or empty text has no bytes. Rows with one id are
@@ -470,7 +480,9 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     """
     spark = df.sparkSession
     stored = Stored(spark)
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = [F.col(c).alias(f"extra_{c}") for c in extra]
+    every = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *own)
+    docs = every.select("id", "text")
     chunks = int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
     same = docs.where("id is not null").select("id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
     firsts = stored(same.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least"))
@@ -492,7 +504,7 @@ def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     ranges = stored(matched(second_pass(texts, places.where("chunk >= 0").select("chunk", "blob"), hot, length, chunks).repartition("bucket"), length, chunks))
     stored.drop(places)
     stored.release()
-    flagged = with_hash.join(copies_small.withColumn("copy", F.lit(True)), ["id", "h"], "left")
-    flagged = flagged.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"))
-    out = result(dealt_texts(flagged, chunks), ranges.select("chunk", "blob"), length, keep_text)
+    flagged = every.withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).join(copies_small.withColumn("copy", F.lit(True)), ["id", "h"], "left")
+    flagged = flagged.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *(f"extra_{c}" for c in extra))
+    out = result(dealt_texts(flagged, chunks), ranges.select("chunk", "blob"), length, keep_text, [df.schema[c] for c in extra])
     return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)
