@@ -82,4 +82,32 @@ QUERIES = {
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+ORACLE_SQL: dict[str, str] = {
+    "op4_jaccard_join": f"""
+        with recursive w as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
+        s as (select distinct doc_id, shingle from (select doc_id, w[i : i + 4] as shingle from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5) union all select doc_id, w from w where len(w) between 1 and 4)),
+        n as (select doc_id, count(*) as n from s group by 1),
+        p as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b using (shingle) where a.doc_id < b.doc_id group by 1, 2),
+        l as (select x, y from p join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+        e as (select x, y from l union select y, x from l),
+        r as (select doc_id as node, doc_id as root from documents union select e.y, r.root from r join e on e.x = r.node)
+        select d.doc_id, coalesce(any_value(n.n), 0) as n_shingles, min(r.root) as component_id from documents d left join n using (doc_id) join r on r.node = d.doc_id group by 1""",
+    "op10_quality_rules": f"""
+        with d as (select doc_id, coalesce(text, '') as text, coalesce(source, '') as source from documents),
+        w as (select *, {WORDS.format("text")} as w from d),
+        t as (select doc_id, i, w[i] as a, w[i + 1] as b, w[i + 2] as c from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+        f as (select doc_id, i from t qualify count(*) over (partition by doc_id, a, b, c) > 1),
+        q as (select doc_id, count(distinct i + k) as n_repeat_words from f, (select unnest([0, 1, 2]) as k) group by 1),
+        l as (select doc_id, source, line, {WORDS.format("line")} as lw from (select doc_id, source, unnest(string_split(text, chr(10))) as line from d)),
+        m as (select doc_id, source, line, len(lw) as own, lower(array_to_string(lw, ' ')) as norm from l where len(lw) > 0),
+        u as (select doc_id, count(*) - count(distinct line) as n_dup_lines from m group by 1),
+        h as (select source, count(*) as docs from d group by 1),
+        x as (select source, norm, count(distinct doc_id) as n, min(doc_id) as first from m group by 1, 2),
+        y as (select x.* from x join h using (source) where n > 20 and n > 0.1 * docs),
+        z as (select m.doc_id, sum(own) as removed from m join y using (source, norm) where m.doc_id <> y.first group by 1),
+        b as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
+          coalesce(n_repeat_words, 0) as n_repeat_words, cast(coalesce(removed, 0) as bigint) as removed_words from w left join q using (doc_id) left join u using (doc_id) left join z using (doc_id))
+        select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words as kept from b""",
+}
