@@ -75,7 +75,11 @@ def review_flags(tags: Column) -> Column:
     kind = tag(tags, "building")
     keys = F.map_keys(tags)
     flags = [F.when(tag(tags, "building:use") == "mixed", "mixed_use"), F.when(tag(tags, "building:part") != "", "building_part"), F.when(kind.isin("construction", "ruins"), F.concat(F.lit("building_"), kind))]
-    flags += [F.when(F.exists(keys, lambda k, p=p: k.startswith(p)), "lifecycle_" + p[:-1]) for p in LIFECYCLE_PREFIXES]
+
+    def starting(prefix: str) -> Column:
+        return F.when(F.exists(keys, lambda k: k.startswith(prefix)), "lifecycle_" + prefix[:-1])
+
+    flags += [starting(p) for p in LIFECYCLE_PREFIXES]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
 
 

@@ -116,7 +116,7 @@ def active_rows(df: DataFrame, starts: Column, stops: Column, order: str, group:
     """Rows after a starting row and before the next stopping one."""
     w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     state = F.last(F.when(starts, True).when(stops, False), ignorenulls=True).over(w)
-    return df.withColumn("_on", state).where(F.col("_on") & ~starts).drop("_on")
+    return df.withColumn("_on", state).where(F.col("_on") & ~F.coalesce(starts, F.lit(False))).drop("_on")
 
 
 def stratified_sample(df: DataFrame, stratum: str, name: str, size: int = 20, salt: str = "") -> DataFrame:

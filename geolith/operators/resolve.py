@@ -82,14 +82,18 @@ def merged(df: DataFrame) -> DataFrame:
     found = components(stars)
     df = df.join(found.withColumnRenamed("node", "record"), "record", "left").withColumn("component", F.coalesce("component", "record"))
     channels = sum((F.size(c) for c in ("phones", "emails", "websites", "links")), F.lit(0))
-    rank = F.struct((-channels).alias("c"), (-F.length("name")).alias("l"), F.col("record").alias("r"))
-    parts = [F.array_sort(F.collect_list(F.struct(rank.alias("rank"), F.col(c).alias("v")))).alias(c) for c in (*LISTS, "links", "keys")]
-    groups = df.groupBy("component").agg(F.min(F.struct(rank.alias("rank"), "name", "kind")).alias("best"), F.min(F.when(F.col("contact_id") != "", F.struct(rank.alias("rank"), F.col("contact_id").alias("id")))).alias("supplied"), F.count("*").alias("records"), *parts)
-    flat = lambda c: F.flatten(F.transform(c, lambda x: x["v"]))
-    out = groups.select(
-        "component", "records", F.col("best.name").alias("name"), F.col("best.kind").alias("kind"), F.col("supplied.id").alias("supplied"),
-        *(unique_by(flat(c), lambda x: F.lower(x)).alias(c) for c in LISTS), unique_by(flat("links"), lambda x: x["url"]).alias("links"), F.array_sort(F.array_distinct(flat("keys"))).alias("keys"),
-    )
+    df = df.withColumn("rank", F.struct((-channels).alias("c"), (-F.length("name")).alias("l"), F.col("record").alias("r")))
+    best = df.groupBy("component").agg(F.min(F.struct("rank", "name", "kind")).alias("best"), F.min(F.when(F.col("contact_id") != "", F.struct("rank", F.col("contact_id").alias("id")))).alias("supplied"), F.count("*").alias("records"))
+    # values are made distinct before they are gathered, so a large group moves each value once for a task
+    columns = F.array(*(F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in (*LISTS, "keys")), F.struct(F.lit("links").alias("c"), F.transform("links", lambda x: x["url"]).alias("v")))
+    items = df.select("component", "rank", F.explode(columns).alias("f")).select("component", "rank", F.col("f.c").alias("c"), F.posexplode("f.v").alias("at", "v"))
+    key = F.when(F.col("c").isin("links", "keys"), F.col("v")).otherwise(F.lower("v"))
+    items = items.groupBy("component", "c", key.alias("k")).agg(F.min(F.struct("rank", "at", "v")).alias("i"))
+    lists = items.groupBy("component", "c").agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["v"]).alias("v"))
+    none = F.array().cast("array<string>")
+    lists = lists.groupBy("component").agg(*(F.coalesce(F.first(F.when(F.col("c") == c, F.col("v")), ignorenulls=True), none).alias(c) for c in (*LISTS, "keys", "links")))
+    links = F.transform("links", lambda u: F.struct(link_type(u).alias("type"), link_type(u).alias("label"), u.alias("url")))
+    out = best.join(lists, "component").select("component", "records", F.col("best.name").alias("name"), F.col("best.kind").alias("kind"), F.col("supplied.id").alias("supplied"), *LISTS, links.alias("links"), F.array_sort("keys").alias("keys"))
     identity = F.coalesce(F.get("keys", F.lit(0)), company_key(F.col("name")))
     return out.withColumn("contact_id", F.coalesce("supplied", F.concat(F.lit("contact_"), F.substring(F.sha2(identity, 256), 1, 16)))).drop("supplied")
 

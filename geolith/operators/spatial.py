@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolith.functions.scalars import finite
 from geolith.functions.geo import area, clip_box, clip_convex, contains, intersection_area, triangles, voronoi
 
 RING = T.ArrayType(T.ArrayType(T.DoubleType()))
@@ -42,33 +43,27 @@ def nearby_pairs(points: DataFrame, name: str, radius: float) -> DataFrame:
     return pairs_within(points, other, name, "other", radius).where(F.col(name) < F.col("other"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kx: float = 1.0, ky: float = 1.0, start: float = 1.0, rounds: int = 16) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kx: float = 1.0, ky: float = 1.0, start: float = 1.0) -> DataFrame:
     """The nearest right point of each left point, ties to the least id: (left id, right id, distance).
 
-    Points look in cells that double in width each round. A point is settled when its best is nearer than
-    the cells it has seen all around; only unsettled points go on, so dense regions take few rounds.
+    Points look for partners within a radius that grows fourfold each round. Who has found one is settled,
+    as all points within the radius were seen; only the others go on, so dense regions take few rounds.
+    Points without finite coordinates, and all points if the right side is empty, have no row.
     """
     from geolith.operators.resolve import table
 
-    pending = left.select(left_id, "x", "y")
-    right = right.select(F.col(right_id), "x", "y")
-    if not right.limit(1).count():
-        return pending.select(left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.lit(None).cast("double").alias("distance")).limit(0)
+    known = lambda df: df.where(finite(F.col("x")) & finite(F.col("y")))
+    pending, right = table(known(left.select(left_id, "x", "y"))), known(right.select(F.col(right_id), "x", "y"))
     out, size = None, start
-    for _ in range(rounds):
+    nothing = not right.limit(1).count()
+    while True:
         found = pairs_within(pending, right, left_id, right_id, size, kx, ky).groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"))
         found = table(found.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance")))
         out = found if out is None else out.union(found)
         pending = table(pending.join(found, left_id, "left_anti"))
-        if not pending.limit(1).count():
+        if nothing or not pending.limit(1).count():
             return out
         size *= 4
-    far = pending.crossJoin(F.broadcast(right.select(F.col(right_id), F.col("x").alias("rx"), F.col("y").alias("ry")))) if right.limit(10_001).count() <= 10_000 else None
-    if far is None:
-        raise ValueError("points are too far apart for the rounds given")
-    d = F.hypot((F.col("x") - F.col("rx")) * kx, (F.col("y") - F.col("ry")) * ky)
-    rest = far.groupBy(left_id).agg(F.min(F.struct(d.alias("distance"), right_id)).alias("b"))
-    return out.union(rest.select(left_id, f"b.{right_id}", "b.distance"))
 
 
 def assigned(buildings: DataFrame, places: DataFrame, building_id: str, place: str) -> DataFrame:

@@ -163,7 +163,7 @@ def priority_score(spark, sf_dir):
     labels = score.label_counts(s.where("store_id % 2 = 0").withColumn("place", F.col("s_nationkey").cast("string")), "place")
     p = score.store_distances(p, s, "c_custkey", rules)
     own = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string"))
-    p = p.join(F.broadcast(labels), own == F.col("label"), "left")  # a label for each place name: bounded by the gazetteer
+    p = p.join(labels, own == F.col("label"), "left")
     p = p.withColumn("conflicts", (F.col("c_custkey") % 4 == 0).cast("int")).withColumn("road_km", F.col("c_custkey") % 12)
     found = score.priority(p, rules)
     return found.select("c_custkey", "existing", "additional", "confidence", "score", "priority", F.round("nearest_km", 6).alias("nearest_km"))

@@ -189,7 +189,7 @@ def parsed_pages(df: DataFrame, page_id: str, html: str) -> DataFrame:
             for name, page in zip(frame[page_id], frame[html], strict=True):
                 found = _Visible()
                 found.feed(page or "")
-                rows.append((name, " ".join("".join(found.text).split()), [r for r in found.rows if r], [{"href": h, "label": t} for h, t in found.links]))
+                rows.append((name, " ".join(" ".join(found.text).split()), [r for r in found.rows if r], [{"href": h, "label": t} for h, t in found.links]))
             yield pd.DataFrame(rows, columns=[page_id, "text", "rows", "links"])
 
     schema = T.StructType([df.schema[page_id], T.StructField("text", T.StringType()), T.StructField("rows", T.ArrayType(T.ArrayType(T.StringType()))), T.StructField("links", T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())])))])
