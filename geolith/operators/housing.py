@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.functions.scalars import finite
+from geolith.functions.scalars import finite, positive
 
 # Fixed values of the domain: kinds of buildings, amenities, lifecycle prefixes.
 RESIDENTIAL = ("apartments", "residential", "house", "detached", "terrace", "dormitory", "semidetached_house", "bungalow", "static_caravan", "ger")
@@ -14,7 +14,8 @@ NON_RESIDENTIAL = (
     "service", "train_station", "public", "civic", "sports_centre", "construction",
 )
 NON_RESIDENTIAL_AMENITIES = ("school", "kindergarten", "hospital", "place_of_worship", "fuel")
-LIFECYCLE_PREFIXES = ("disused:", "abandoned:", "demolished:", "razed:", "construction:", "proposed:")
+LIFECYCLE_KEYS = ("abandoned:building", "disused:building", "demolished:building", "razed:building", "ruins:building", "construction:building")
+CONTOUR_ISSUES = ("identical_geometry_duplicate", "nested_or_nearly_duplicate_geometry", "partial_footprint_overlap", "duplicate_osm_address", "building_part_requires_parent_review")
 AMBIGUOUS_WEIGHT = 0.55
 
 
@@ -70,17 +71,48 @@ def confirmed_weight(area: Column, apartments: Column, occupied: Column, floors:
     return F.when(area > 0, make("residential_area", "m2", area)).when((apartments > 0) & occupied.isNotNull(), make("occupied_apartments", "apartments", apartments * occupied)).when(floors > 0, make("floors", "m2", floors * footprint))
 
 
+def reported_use(tags: Column) -> Column:
+    """mixed, residential, non_residential or null, as the tags report it."""
+    kind, amenity = tag(tags, "building"), tag(tags, "amenity")
+    explicit = kind.isin(*RESIDENTIAL)
+    facility = kind.isin(*NON_RESIDENTIAL) | amenity.isin(*NON_RESIDENTIAL_AMENITIES)
+    return F.when(explicit & ((tag(tags, "shop") != "") | (amenity != "")), "mixed").when(explicit, "residential").when(facility, "non_residential")
+
+
+def lifecycle(tags: Column) -> Column:
+    """Whether a tag says that a building may stand empty or unfinished."""
+    marked = F.exists(F.filter(F.map_entries(tags), lambda e: e["value"] != ""), lambda e: e["key"].isin(*LIFECYCLE_KEYS))
+    return F.coalesce(marked, F.lit(False)) | tag(tags, "building").isin("construction", "ruins") | (tag(tags, "abandoned") == "yes") | (tag(tags, "disused") == "yes")
+
+
 def review_flags(tags: Column) -> Column:
     """Sorted flags of mixed use, parts and lifecycle."""
-    kind = tag(tags, "building")
-    keys = F.map_keys(tags)
-    flags = [F.when(tag(tags, "building:use") == "mixed", "mixed_use"), F.when(tag(tags, "building:part") != "", "building_part"), F.when(kind.isin("construction", "ruins"), F.concat(F.lit("building_"), kind))]
+    mixed = tag(tags, "building").isin(*RESIDENTIAL) & ((tag(tags, "shop") != "") | (tag(tags, "office") != "") | (tag(tags, "amenity") != ""))
+    flags = (F.when(mixed, "mixed_use_requires_residential_area"), F.when(tag(tags, "building:part") != "", "building_part_or_outline_requires_geometry_review"), F.when(lifecycle(tags), "lifecycle_osm_signal_unverified"))
+    return F.array_sort(F.array_compact(F.array(*flags)))
 
-    def starting(prefix: str) -> Column:
-        return F.when(F.exists(keys, lambda k: k.startswith(prefix)), "lifecycle_" + prefix[:-1])
 
-    flags += [starting(p) for p in LIFECYCLE_PREFIXES]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*flags))))
+def building_issues(tags: Column, area: Column, valid: Column, candidates: Column, places: Column, settlement: Column) -> Column:
+    """Sorted flags of a contour: ``candidates`` register rows by address, ``places`` its named localities, the model's ``settlement``."""
+    kind = tag(tags, "building")
+    facility = kind.isin(*NON_RESIDENTIAL) | tag(tags, "amenity").isin(*NON_RESIDENTIAL_AMENITIES)
+    storeys, flats = positive(tag(tags, "building:levels"), True, 80), positive(tag(tags, "building:flats"), True, 10_000)
+    modelled = kind.isin(*RESIDENTIAL) | proxy_parameters(tags).isNotNull()
+    rules = {
+        "residential_facility_conflict": kind.isin(*RESIDENTIAL) & facility,
+        "invalid_or_fractional_osm_storeys": (tag(tags, "building:levels") != "") & storeys.isNull(),
+        "invalid_osm_apartments": (tag(tags, "building:flats") != "") & flats.isNull(),
+        "invalid_geometry": ~valid,
+        "footprint_area_outside_model_range": ~area.between(12, 80_000),
+        "building_part_requires_parent_review": tag(tags, "building:part") != "",
+        "occupancy_cannot_be_assumed": (tag(tags, "abandoned") == "yes") | (tag(tags, "disused") == "yes") | kind.isin("construction", "ruins"),
+        "storeys_assumed_by_model": storeys.isNull() & modelled,
+        "building_use_unknown": reported_use(tags).isNull(),
+        "address_incomplete": (tag(tags, "addr:housenumber") == "") | (tag(tags, "addr:street") == ""),
+        "osm_locality_differs_from_model_domain": settlement.isNotNull() & (F.size(places) > 0) & ~F.array_contains(places, settlement),
+        "multiple_official_address_rows": candidates > 1,
+    }
+    return F.array_sort(F.array_compact(F.array(*(F.when(v, k) for k, v in rules.items()))))
 
 
 def prefixed(tags: Column, prefix: str) -> Column:
@@ -117,14 +149,92 @@ def match_status(quarantined: Column, address: Column, context: Column, alias: C
     return F.when(ambiguous, "ambiguous").when(quarantined, "quarantined").when(address, "address_candidate").when(context, "context_candidate").when(alias, "alias_review").otherwise("unmatched")
 
 
-def link_status(text_conflict: Column, ambiguous: Column, locality_review: Column) -> Column:
-    return F.when(text_conflict, "quarantined_text_conflict").when(ambiguous, "ambiguous").when(locality_review, "locality_or_alias_review_required").otherwise("consistent")
+def link_flags(places: Column, street: Column, house: Column, official: Column, contours: Column, houses: Column, area: Column, gross: Column, storeys: Column, issues: Column) -> Column:
+    """Sorted flags of a contour linked with a register's house.
+
+    ``places`` are the contour's localities, ``street`` a struct of type and name, ``official`` a struct of
+    locality, street type, street name and house number; ``contours`` and ``houses`` count partners.
+    """
+    ratio = F.when(gross.isNotNull() & (area > 0), gross / area)
+    rules = {
+        "locality_inferred_from_model_domain": F.size(places) == 0,
+        "explicit_osm_locality_conflict": (F.size(places) > 0) & ~F.array_contains(places, official["locality"]),
+        "multiple_explicit_localities": F.size(places) > 1,
+        "street_type_conflict": street["street_type"] != official["street_type"],
+        "street_type_not_fully_specified": street["street_type"].isNull() | official["street_type"].isNull(),
+        "street_name_alias_requires_independent_confirmation": street["street_name"] != official["street_name"],
+        "house_number_conflict": house != official["house_number"],
+        "official_house_has_multiple_contours": contours != 1,
+        "contour_has_multiple_official_houses": houses != 1,
+        "gross_area_vs_footprint_requires_extent_check": (ratio < 0.6) | ((storeys > 0) & (ratio > storeys * 2.5)),
+    }
+    own = F.array_intersect(issues, F.array(*map(F.lit, CONTOUR_ISSUES)))
+    return F.array_sort(F.array_distinct(F.concat(F.array_compact(F.array(*(F.when(v, k) for k, v in rules.items()))), own)))
+
+
+def link_status(flags: Column) -> Column:
+    """The gravest status that a link's flags allow; none is ever confirmed."""
+    any_of = lambda *names: F.arrays_overlap(flags, F.array(*map(F.lit, names)))
+    return (
+        F.when(any_of("street_type_conflict", "house_number_conflict"), "quarantined_text_conflict")
+        .when(any_of("official_house_has_multiple_contours", "contour_has_multiple_official_houses", "multiple_explicit_localities"), "ambiguous")
+        .when(any_of("explicit_osm_locality_conflict", "street_name_alias_requires_independent_confirmation", "locality_inferred_from_model_domain"), "locality_or_alias_review_required")
+        .otherwise("text_consistent_geometry_unverified")
+    )
 
 
-def link_issues(gross: Column, footprint: Column, storeys: Column, low: float = 0.6, high: float = 2.5) -> Column:
-    """Flags of a gross area that the footprint and its storeys don't explain."""
-    ratio = gross / footprint
-    return F.array_compact(F.array(F.when(ratio < low, "area_below_footprint"), F.when(ratio > high * F.coalesce(storeys, F.lit(1)), "area_above_storeys")))
+def review_status(prior: Column, candidates: Column, slots: Column, own: Column) -> Column:
+    """An address's review: blocked, an alias, one explicit candidate with one slot of its own, other candidates, none."""
+    unique = (candidates == 1) & (slots == 1) & own
+    return F.when(prior == "quarantined", "conflict_blocked").when(prior == "alias_review", "alias_requires_independent_identity").when(unique, "unique_explicit_candidate_contour_unverified").when(candidates > 0, "candidate_requires_review").otherwise("no_candidate")
+
+
+def coverage_reason(modelled: Column, population: Column, threshold: int = 2500) -> Column:
+    """Why a settlement has a density model or has none."""
+    return F.when(modelled, "covered_by_own_model").when(population.isNull(), "population_unknown").when(population < threshold, "below_2500_threshold").otherwise("above_threshold_without_model")
+
+
+def cell_confidence(explicit: Column, proxy: Column, buildings: Column, grid: Column) -> Column:
+    """medium for a cell of enough buildings, by its size, whose proxy is mostly explicit; else low."""
+    enough = F.greatest(F.lit(3), F.bround(8 * (grid / 500) * (grid / 500), 0).cast("int"))
+    return F.when((buildings >= enough) & (explicit / proxy >= 0.7), "medium").otherwise("low")
+
+
+def verified_cell_confidence(verified: Column, explicit: Column, observed: Column, proxy: Column, buildings: Column) -> Column:
+    return F.when(verified & (explicit / proxy >= 0.7) & (observed / proxy >= 0.5) & (buildings >= 3), "medium").otherwise("low")
+
+
+def candidate_places(df: DataFrame, include: tuple[str, ...] = (), exclude: tuple[str, ...] = ()) -> DataFrame:
+    """Places with capacity, or included by name; never those excluded."""
+    return df.where(((F.col("capacity") > 0) | F.col("name").isin(*include)) & ~F.col("name").isin(*exclude))
+
+
+def store_flags(valid: Column, municipalities: Column, claimed: Column, locality: Column, key: Column, anchor_m: Column, anchor_fits: Column, partner_m: Column, partners: Column, on_building: Column) -> Column:
+    """Sorted flags of a catalogue card: its point, the region it claims, its address, the place it names, partners, buildings.
+
+    ``municipalities`` counts those around the point; ``anchor_m`` is null if the named place is unknown.
+    """
+    rules = {
+        "missing_or_invalid_coordinates": ~valid,
+        "coordinate_outside_region": valid & (municipalities == 0),
+        "ambiguous_municipality": valid & (municipalities > 1),
+        "other_region_card_in_region": (municipalities > 0) & ~claimed,
+        "locality_not_parsed": locality.isNull(),
+        "address_requires_manual_normalization": key.isNull(),
+        "catalog_locality_municipality_conflict": anchor_m.isNotNull() & (municipalities > 0) & ~anchor_fits,
+        "more_than_15km_from_named_place_point": anchor_m > 15_000,
+        "named_locality_not_in_local_point_catalog": locality.isNotNull() & anchor_m.isNull(),
+        "address_matching_store_more_than_200m_away": partner_m > 200,
+        "multiple_store_address_candidates": partners > 1,
+        "not_on_mapped_building_not_proven_coordinate_error": valid & ~on_building,
+    }
+    return F.array_sort(F.array_compact(F.array(*(F.when(v, k) for k, v in rules.items()))))
+
+
+def published_flags(card: Column, same: Column, properties_fit: Column, inside: Column) -> Column:
+    """Sorted flags of a published store against its snapshot: whether a card is there, has its point, agrees with its properties, lies inside."""
+    rules = {"not_in_saved_html": ~card, "coordinate_differs_from_saved_html": card & ~same, "property_geometry_coordinate_mismatch": ~properties_fit, "outside_municipal_union": ~inside}
+    return F.array_sort(F.array_compact(F.array(*(F.when(v, k) for k, v in rules.items()))))
 
 
 def confidence(quality: Column) -> Column:

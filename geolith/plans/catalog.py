@@ -339,6 +339,43 @@ def proxy_classification(spark, sf_dir):
     return found.where("q is not null").select("p_partkey", "q.proxy", "q.explicit", "q.observed")
 
 
+KIND = f"['{"','".join(KINDS)}'][p_partkey % {len(KINDS)} + 1]"
+
+
+@query(f"""with b as (select p_partkey, {KIND} as kind, p_partkey % 11 = 0 as school, p_partkey % 5 as m, p_size, p_partkey % 3 = 0 as nostreet from part), r as (select *, kind in ('apartments', 'house', 'residential') as res from b)
+    select p_partkey, case when res then 'mixed' when kind = 'retail' or school then 'non_residential' end as use, array_to_string(list_sort(list_filter([
+      case when res and (kind = 'retail' or school) then 'residential_facility_conflict' end, case when m <> 1 then 'invalid_or_fractional_osm_storeys' end,
+      case when p_size * 10 not between 12 and 80000 then 'footprint_area_outside_model_range' end, case when res or (kind = 'yes' and not school and not nostreet) then 'storeys_assumed_by_model' end,
+      case when not (res or kind = 'retail' or school) then 'building_use_unknown' end, 'address_incomplete', case when p_partkey % 4 > 1 then 'multiple_official_address_rows' end], lambda x: x is not null)), ';') as issues from r""")
+def building_issues(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    issues = housing.building_issues(_tags(), F.col("p_size") * 10, F.lit(True), F.col("p_partkey") % 4, none, F.lit(None).cast("string"))
+    return t(spark, sf_dir, "part").select("p_partkey", housing.reported_use(_tags()).alias("use"), F.array_join(issues, ";").alias("issues"))
+
+
+@query("select c_custkey, case when c_custkey % 10 = 0 then 'covered_by_own_model' when c_custkey % 7 = 0 then 'population_unknown' when (c_custkey * 7919) % 5000 < 2500 then 'below_2500_threshold' else 'above_threshold_without_model' end as reason from customer")
+def coverage_reason(spark, sf_dir):
+    k = F.col("c_custkey")
+    known = scalars.known_population(k * 7919 % 5000, F.when(k % 7 == 0, "not_available").otherwise("official_current"))
+    return t(spark, sf_dir, "customer").select("c_custkey", housing.coverage_reason(k % 10 == 0, known).alias("reason"))
+
+
+@query(f"with c as ({cells_sql()}) select settlement, ix, iy, case when buildings >= 3 and proxy % 50 / cast(proxy as double) >= 0.7 then 'medium' else 'low' end as confidence from c")
+def cell_confidence(spark, sf_dir):
+    return cells(spark, sf_dir).select("settlement", "ix", "iy", housing.cell_confidence(F.col("proxy") % 50, F.col("proxy"), F.col("buildings"), F.lit(100)).alias("confidence"))
+
+
+@query("""select s_suppkey, array_to_string(list_sort(list_filter([case when s_suppkey % 9 = 0 then 'missing_or_invalid_coordinates' end, case when s_suppkey % 9 <> 0 and s_suppkey % 3 = 0 then 'coordinate_outside_region' end,
+    case when s_suppkey % 9 <> 0 and s_suppkey % 3 = 2 then 'ambiguous_municipality' end, case when s_suppkey % 3 > 0 and s_suppkey % 4 = 0 then 'other_region_card_in_region' end, case when s_suppkey % 8 = 0 then 'locality_not_parsed' end,
+    case when s_suppkey % 5 = 0 then 'address_requires_manual_normalization' end, case when s_suppkey % 7 <> 0 and s_suppkey % 3 > 0 and s_suppkey % 2 = 1 then 'catalog_locality_municipality_conflict' end,
+    case when s_suppkey % 7 <> 0 and s_suppkey * 100 % 20000 > 15000 then 'more_than_15km_from_named_place_point' end, case when s_suppkey % 8 <> 0 and s_suppkey % 7 = 0 then 'named_locality_not_in_local_point_catalog' end,
+    case when s_suppkey % 400 > 200 then 'address_matching_store_more_than_200m_away' end, case when s_suppkey % 3 > 1 then 'multiple_store_address_candidates' end, case when s_suppkey % 9 <> 0 and s_suppkey % 6 = 0 then 'not_on_mapped_building_not_proven_coordinate_error' end], lambda x: x is not null)), ';') as flags from supplier""")
+def store_flags(spark, sf_dir):
+    k = F.col("s_suppkey")
+    flags = housing.store_flags(k % 9 != 0, k % 3, k % 4 != 0, F.when(k % 8 != 0, "town"), F.when(k % 5 != 0, "key"), F.when(k % 7 != 0, k * 100 % 20000), k % 2 == 0, k % 400, k % 3, k % 6 != 0)
+    return t(spark, sf_dir, "supplier").select("s_suppkey", F.array_join(flags, ";").alias("flags"))
+
+
 @query(f"""with c as ({cells_sql()}), w as (select *, 2500 + (settlement * 7919) % 97500 as pop, proxy % 7 as v from c), s as (select *, sum(proxy) over (partition by settlement) as tp, sum(v) over (partition by settlement) as tv from w),
     x as (select settlement, ix, iy, cast(pop * proxy as double) / cast(tp as double) as a, case when tv > 0 then cast(pop * v as double) / cast(tv as double) end as b from s) select settlement, ix, iy, a as proxy_share, b as v_share, least(a, b) as low, greatest(a, b) as high from x""")
 def scenario_redistribution(spark, sf_dir):

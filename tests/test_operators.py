@@ -46,11 +46,25 @@ def test_building_proxies(spark):
     found = [r["p"] and tuple(r["p"]) for r in df.select("i", housing.proxy_parameters(F.col("tags")).alias("p")).orderBy("i").collect()]
     assert found == [None, (9.0, True, True), (5.0, True, False), (0.55, False, False), None, (5.0, True, True), None]
     flags = df.select(housing.review_flags(F.create_map(F.lit("building"), F.lit("ruins"), F.lit("disused:shop"), F.lit("x"))).alias("f")).first()["f"]
-    assert flags == ["building_ruins", "lifecycle_disused"]
+    assert flags == ["lifecycle_osm_signal_unverified"]
     over = df.where("i = 3").select(housing.overridden(housing.proxy_parameters(F.col("tags")), F.lit(200.0), F.lit("mixed"), F.lit(600.0), F.lit(None).cast("double")).alias("o")).first()["o"]
     assert tuple(over) == (3.0, True, False, True, False)
 
 
+def test_links(spark):
+    official = F.struct(F.lit("ольга").alias("locality"), F.lit("street").alias("street_type"), F.lit("ленина").alias("street_name"), F.lit("6").alias("house_number"))
+
+    def status(places=("ольга",), kind="street", house="6", contours=1, gross=None, issues=()):
+        array = lambda v: F.array(*map(F.lit, v)).cast("array<string>")
+        street = F.struct(F.lit(kind).alias("street_type"), F.lit("ленина").alias("street_name"))
+        flags = housing.link_flags(array(places), street, F.lit(house), official, F.lit(contours), F.lit(1), F.lit(100.0), F.lit(gross).cast("double"), F.lit(2.0), array(issues))
+        return tuple(spark.range(1).select(housing.link_status(flags), flags).first())
+
+    assert status() == ("text_consistent_geometry_unverified", []) and status(house="7")[0] == "quarantined_text_conflict" and status(contours=2)[0] == "ambiguous"
+    assert status(places=())[0] == "locality_or_alias_review_required" and status(kind="lane")[0] == "quarantined_text_conflict"
+    assert status(gross=501.0)[1] == ["gross_area_vs_footprint_requires_extent_check"] and status(issues=["duplicate_osm_address", "x"])[1] == ["duplicate_osm_address"]
+
+
 def test_duplicates_and_conflicts(spark):
     df = spark.createDataFrame([("g", 2, "house"), ("g", 1, "house"), ("h", 3, "house"), ("h", 4, "apartments")], "sig STRING, id INT, kind STRING")
     found = {r["sig"]: (r["members"], r["conflicting"], r["kept"] and r["kept"]["id"]) for r in housing.deduplicated(df, "sig", ["kind"], ["id"]).collect()}
