@@ -16,12 +16,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from geolith.shipping import ship
+
 #: Rows and bytes that one Arrow batch holds at most; the second bounds long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small, whatever the lengths of the texts."""
+    """Keep Arrow batches small, whatever the lengths of the texts, and let executors import the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

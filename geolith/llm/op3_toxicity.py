@@ -24,6 +24,8 @@ from geolith.llm.tokens import ALPHANUMERIC, span_hashes, words
 #: Prefixes in bytes that are terms beside the words themselves.
 PREFIXES = (4, 5, 6)
 RUN = 1 << 19
+#: Weight of the share of toxic documents in a vote, in examples at cosine 1/2.
+PRIOR = 4.0
 
 
 def terms(texts: pa.Array, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -110,9 +112,15 @@ class Index:
         return which, best
 
     def vote(self, which: np.ndarray, cosines: np.ndarray) -> float:
-        """Share of toxic examples among the nearest, by weight 1 / distance and by how many documents an example stands for."""
-        weight = self.class_weight[which] / (1.0001 - np.minimum(1.0, cosines))
-        return float(weight[self.labels[which] == 1].sum() / weight.sum())
+        """Share of toxic examples among the nearest, by closeness and by how many documents an example stands for.
+
+        The weight, cosine / distance, is almost nothing for far examples; then the share of all documents prevails.
+        """
+        cosines = np.minimum(1.0, cosines)
+        weight = self.class_weight[which] * cosines / (1.0001 - cosines)
+        prior = PRIOR * self.class_weight.mean()
+        common = float((self.labels * self.class_weight).sum() / self.class_weight.sum())
+        return float((weight[self.labels[which] == 1].sum() + prior * common) / (weight.sum() + prior))
 
     def score(self, which: np.ndarray, cosines: np.ndarray) -> float:
         if not len(which):
@@ -159,6 +167,28 @@ def build(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray
     return index
 
 
+def unlike(examples: list[tuple[int, np.ndarray, np.ndarray]], shared: int = 3, kept: int = 8, rare: int = 50) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Examples that don't have ``shared`` of their ``kept`` rare terms of least hash in common with an earlier one.
+
+    Copies of one document would make each of its words look like evidence.
+    """
+    if not examples:
+        return []
+    value, count = np.unique(np.concatenate([e[1] for e in examples]), return_counts=True)
+    out, seen = [], {}
+    for row, hashes, counts in examples:
+        own = hashes[count[np.searchsorted(value, hashes)] <= rare][:kept].tolist()
+        met: dict[int, int] = {}
+        for h in own:
+            for other in seen.get(h, ()):
+                met[other] = met.get(other, 0) + 1
+        if max(met.values(), default=0) < min(shared, max(1, len(own))):
+            out.append((row, hashes, counts))
+            for h in own:
+                seen.setdefault(h, []).append(row)
+    return out
+
+
 def choose(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, most: int, evidence: float) -> np.ndarray:
     """Terms whose presence tells the labels apart: those with the largest likelihood ratio statistic, at least ``evidence``."""
     if not examples:
@@ -166,7 +196,8 @@ def choose(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarra
     h = np.concatenate([e[1] for e in examples])
     y = np.concatenate([np.full(len(e[1]), labels[e[0]]) for e in examples])
     unique, inverse = np.unique(h, return_inverse=True)
-    n1, n0 = float((labels == 1).sum()), float((labels == 0).sum())
+    used = labels[[e[0] for e in examples]]
+    n1, n0 = float((used == 1).sum()), float((used == 0).sum())
     in1 = np.bincount(inverse, y == 1, len(unique))
     in0 = np.bincount(inverse, y == 0, len(unique))
     total = n1 + n0
@@ -230,7 +261,7 @@ def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1
         return None
     names, y = [r["id"] for r in rows], np.array([r["label"] for r in rows])
     examples = [(i, np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], "<u4").astype(np.int64)) for i, r in enumerate(rows) if r["terms"]]
-    vocabulary = choose(examples, y, max_terms, evidence)
+    vocabulary = choose(unlike(examples), y, max_terms, evidence)
     if not len(vocabulary):
         return None
     frequency, total = document_frequencies(docs, vocabulary, text_col)
