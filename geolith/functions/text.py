@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Fixed values of the domain: administrative words, types of streets and places, letters that look alike.
+# Fixed values of the domain: administrative words, types of streets and places, letters that look alike, patterns.
 ADMINISTRATIVE = ("городской", "муниципальный", "округ", "район", "город", "зато", "г")
 STREET_TYPES = {
     "улица": "street", "ул": "street", "переулок": "lane", "пер": "lane", "проспект": "avenue", "пр-кт": "avenue", "пр-т": "avenue",
@@ -28,6 +28,9 @@ LINK_HOSTS = (
     ("youtube", "contains", ("youtube",)), ("youtube", "equals", ("youtu.be",)), ("cian", "ends", ("cian.ru",)), ("avito", "ends", ("avito.ru",)),
     ("yandex", "ends", ("yandex.ru",)), ("2gis", "ends", ("2gis.ru",)),
 )
+PLAIN_LOCALITY = r"^(?:г\.?|город|с\.?|село|пгт\.?|п\.?|пос\.?|поселок|д\.?|деревня)\s+"
+PLAIN_STREET = r"(?U)\b(?:улица|ул\.?|проспект|пр-кт|пр-т|переулок|пер\.?|квартал|кв-л|микрорайон|мкр\.?|бульвар|бул\.?|шоссе|ш\.)\s*"
+MUNICIPAL_WORDS = r"(?U)\b(?:городской округ|муниципальный округ|муниципальный район|зато|го|мо|мр|город|г|район|округ)\b\.?"
 PHONE = r"(?<!\d)(?:\+?7|8)[\s()\-]*(?:\d[\s()\-]*){10}(?!\d)"
 EMAIL = r"(?U)(?i)(?<![\w.+-])[\w.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
 NAME_CHARACTERS = "[^а-яa-z0-9]+"
@@ -79,12 +82,11 @@ def token(text: Column, normal_form: bool = True) -> Column:
 
 
 def plain_locality(text: Column, normal_form: bool = True) -> Column:
-    return F.regexp_replace(token(text, normal_form), r"^(?:г\.?|город|с\.?|село|пгт\.?|п\.?|пос\.?|поселок|д\.?|деревня)\s+", "")
+    return F.regexp_replace(token(text, normal_form), PLAIN_LOCALITY, "")
 
 
 def plain_street(text: Column, normal_form: bool = True) -> Column:
-    kinds = r"улица|ул\.?|проспект|пр-кт|пр-т|переулок|пер\.?|квартал|кв-л|микрорайон|мкр\.?|бульвар|бул\.?|шоссе|ш\."
-    return F.regexp_replace(F.regexp_replace(token(text, normal_form), rf"(?U)\b(?:{kinds})\s*", ""), r"(?U)[\s.,]+", "")
+    return F.regexp_replace(F.regexp_replace(token(text, normal_form), PLAIN_STREET, ""), r"(?U)[\s.,]+", "")
 
 
 def look_alikes(text: Column) -> Column:
@@ -165,7 +167,7 @@ def municipality_identity(text: Column, normal_form: bool = True) -> Column:
     """Struct of a municipality's bare name and its category."""
     value = token(text, normal_form)
     kind = F.when(value.rlike(r"(?U)\bзато\b"), "zato").when(value.rlike(r"(?U)\b(?:го|городской округ)\b"), "city").when(value.rlike(r"(?U)\b(?:мр|муниципальный район)\b"), "district").otherwise("municipal")
-    bare = F.regexp_replace(value, r"(?U)\b(?:городской округ|муниципальный округ|муниципальный район|зато|го|мо|мр|город|г|район|округ)\b\.?", "")
+    bare = F.regexp_replace(value, MUNICIPAL_WORDS, "")
     return F.struct(F.regexp_replace(bare, r"(?U)\s+", "").alias("name"), kind.alias("category"))
 
 

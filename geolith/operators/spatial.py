@@ -6,6 +6,7 @@ equi-join that Spark shuffles, broadcasts or splits as it sees fit; an exact tes
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,19 +44,21 @@ def nearby_pairs(points: DataFrame, name: str, radius: float) -> DataFrame:
     return pairs_within(points, other, name, "other", radius).where(F.col(name) < F.col("other"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kx: float = 1.0, ky: float = 1.0, start: float = 1.0) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kx: float = 1.0, ky: float = 1.0, start: float | None = None) -> DataFrame:
     """The nearest right point of each left point, ties to the least id: (left id, right id, distance).
 
     Points look for partners within a radius that grows fourfold each round. Who has found one is settled,
     as all points within the radius were seen; only the others go on, so dense regions take few rounds.
+    The first radius, unless given, is the spacing of as many points spread evenly.
     Points without finite coordinates, and all points if the right side is empty, have no row.
     """
     from geolith.operators.resolve import table
 
     known = lambda df: df.where(finite(F.col("x")) & finite(F.col("y")))
     pending, right = table(known(left.select(left_id, "x", "y"))), known(right.select(F.col(right_id), "x", "y"))
-    out, size = None, start
-    nothing = not right.limit(1).count()
+    w, h, n = right.agg((F.max("x") - F.min("x")) * kx, (F.max("y") - F.min("y")) * ky, F.count("*")).first()
+    nothing = not n
+    out, size = None, start or (max(w, h, 1e-9) / math.sqrt(n) if n else 1.0)
     while True:
         found = pairs_within(pending, right, left_id, right_id, size, kx, ky).groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"))
         found = table(found.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance")))

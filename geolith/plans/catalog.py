@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions import scalars, text
 from geolith.functions.geo import CENTRE_LAT, CENTRE_LON, E1, E2, SEMI_MAJOR, equal_area
-from geolith.operators import allocate, audit, grid, housing, layers, match, resolve, score, spatial
+from geolith.operators import allocate, audit, grid, housing, layers, match, resolve, review, score, spatial
 from geolith.sources import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,7 +125,7 @@ PAIRS = f"{PLACES}, {STORES}, d as (select p.c_custkey, s.store_id, sqrt((p.x -
 
 @query(f"with {PAIRS}, r as (select *, row_number() over (partition by c_custkey order by d, store_id) as k from d) select c_custkey, store_id, round(d, 6) as distance from r where k = 1")
 def nearest_facility(spark, sf_dir):
-    return spatial.nearest(places(spark, sf_dir), stores(spark, sf_dir), "c_custkey", "store_id", start=500.0).withColumn("distance", F.round("distance", 6))
+    return spatial.nearest(places(spark, sf_dir), stores(spark, sf_dir), "c_custkey", "store_id").withColumn("distance", F.round("distance", 6))
 
 
 @query(f"with {PAIRS} select c_custkey, count(*) as stores, round(min(d), 6) as nearest from d where d <= 700 group by 1")
@@ -546,6 +546,42 @@ def control_reconciliation(spark, sf_dir):
     return audit.reconciled(c, controls, "settlement", "proxy", "v")
 
 
+@query("select cast(p_partkey as varchar) as name, max(case when p_partkey % 2 = 0 then 'residential' end) as use, max(case when p_partkey % 2 = 1 then cast(p_size as varchar) end) as above_ground_storeys, cast(null as varchar) as residential_premises_area_m2, cast(null as varchar) as apartments from part where p_partkey % 3 = 0 and p_partkey % 5 <> 0 group by 1")
+def register_compile(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = t(spark, sf_dir, "part").select(
+        k.cast("string").alias("name"), F.when(k % 2 == 0, "use").otherwise("above_ground_storeys").alias("field"), F.when(k % 5 == 0, "reported").otherwise("confirmed").alias("status"),
+        F.when(k % 2 == 0, "residential").otherwise(F.col("p_size").cast("string")).alias("value"), F.lit("r").alias("reviewer"), F.lit("2026-01-01").alias("reviewed_at"), F.array(F.lit("s")).alias("sources"), F.when(k % 3 == 0, "confirmed").otherwise("candidate").alias("match_status"),
+    )
+    return review.compiled_register(rows)
+
+
+@query("select distinct c_custkey, s_suppkey from customer join supplier on (c_custkey % 6 = s_suppkey % 6 or (c_custkey + 1) % 6 = s_suppkey % 6) and c_custkey % 4 = s_suppkey % 4 and c_custkey % 5 = s_suppkey % 5 where c_custkey % 2 = 1 or c_nationkey = s_nationkey")
+def locality_candidates(spark, sf_dir):
+    k, m = F.col("c_custkey"), F.col("s_suppkey")
+    a = t(spark, sf_dir, "customer").select("c_custkey", F.array(k % 6, (k + 1) % 6).alias("localities"), (k % 4).alias("street"), (k % 5).alias("number"), F.when(k % 2 == 0, F.col("c_nationkey")).alias("municipality"))
+    r = t(spark, sf_dir, "supplier").select("s_suppkey", (m % 6).alias("locality"), (m % 4).alias("street"), (m % 5).alias("number"), F.col("s_nationkey").alias("municipality"))
+    return review.locality_candidates(a, r, "c_custkey", "s_suppkey")
+
+
+@query(f"with {BOXES} select k as s_suppkey from b where k % 4 <> 0 and not exists (select 1 from b p where p.k % 4 = 0 and greatest(b.x0, p.x0) < least(b.x1, p.x1) and greatest(b.y0, p.y0) < least(b.y1, p.y1))")
+def unprotected_cells(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    return review.unprotected(b.where("s_suppkey % 4 <> 0"), b.where("s_suppkey % 4 = 0"), "s_suppkey").select("s_suppkey")
+
+
+@query(f"with {BOXES}, o as (select l.k % 3 as u, r.k % 3 as v, (least(l.x1, r.x1) - greatest(l.x0, r.x0)) * (least(l.y1, r.y1) - greatest(l.y0, r.y0)) as area from b l, b r where l.k < r.k and greatest(l.x0, r.x0) < least(l.x1, r.x1) and greatest(l.y0, r.y0) < least(l.y1, r.y1)) select least(u, v) as first, greatest(u, v) as second, count(*) as pairs, sum(area) as area from o group by 1, 2")
+def overlaps_by_owner(spark, sf_dir):
+    b = _boxes(spark, sf_dir)
+    return review.overlaps_by_owner(spatial.overlapping_boxes(b, "s_suppkey", 1000.0), b.withColumn("owner", F.col("s_suppkey") % 3), "s_suppkey", "owner")
+
+
+@query()
+def nearest_on_ellipsoid(spark, sf_dir):
+    degrees = lambda df: df.withColumn("x", 130 + F.col("x") / 2000).withColumn("y", 42 + F.col("y") / 2500)
+    return review.nearest_on_ellipsoid(degrees(places(spark, sf_dir)), degrees(stores(spark, sf_dir)), "c_custkey", "store_id", 80.4)
+
+
 @query()
 def html_visible_rows(spark, sf_dir):
     found = read.parsed_pages(t(spark, sf_dir, "pages"), "page_id", "html")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from geolith.operators import allocate, audit, grid, housing, layers, match, resolve, score, spatial
+from geolith.functions.geo import geodesic
+from geolith.operators import allocate, audit, grid, housing, layers, match, resolve, review, score, spatial
 from geolith.plans.pipeline import Pipeline, Plugin, region_errors
 from geolith.sources import read, write
 from geolith.streaming import snapshots
@@ -118,6 +119,26 @@ def test_matching(spark):
     assert rows(match.by_address_key(cards, others, "id", "oid"), "id", "partners") == [(1, [9]), (2, None)]
 
 
+def test_reviews(spark):
+    schema = "name STRING, field STRING, status STRING, value STRING, reviewer STRING, reviewed_at STRING, sources ARRAY<STRING>, match_status STRING"
+    data = [("a", "use", "confirmed", "mixed", "r", "d", ["s"], "confirmed"), ("a", "apartments", "reported", "4", None, None, [], "confirmed"), ("b", "use", "confirmed", "mixed", "r", "d", ["s"], "candidate"), ("c", "colour", "confirmed", None, "", "d", [], "confirmed")]
+    register = spark.createDataFrame(data, schema)
+    assert rows(review.register_errors(register), "name", "error") == [("c", "confirmed_without_reviewer"), ("c", "confirmed_without_source"), ("c", "confirmed_without_value"), ("c", "unknown_field")]
+    assert ("a", "mixed", None) in rows(review.compiled_register(register), "name", "use", "apartments") and review.compiled_register(register).where("name = 'b'").count() == 0
+    a = spark.createDataFrame([(1, 131.9, 43.1), (2, 135.0, 48.4)], "i INT, x DOUBLE, y DOUBLE")
+    b = spark.createDataFrame([(7, 131.0, 43.0), (8, 135.1, 48.5), (9, 132.0, 43.9)], "j INT, x DOUBLE, y DOUBLE")
+    best = {r["i"]: (r["j"], r["metres"]) for r in review.nearest_on_ellipsoid(a, b, "i", "j", 80.4).collect()}
+    for i, x, y in ((1, 131.9, 43.1), (2, 135.0, 48.4)):
+        exact = min((float(geodesic(x, y, u, v)), j) for j, u, v in ((7, 131.0, 43.0), (8, 135.1, 48.5), (9, 132.0, 43.9)))
+        assert best[i] == (exact[1], pytest.approx(exact[0]))
+    cells = spark.createDataFrame([("c1", 1.0), ("c2", 2.0)], "cell STRING, area DOUBLE")
+    scenarios = spark.createDataFrame([("c1", 5.0, None), ("c2", 7.0, 3.0)], "cell STRING, u DOUBLE, v DOUBLE")
+    assert rows(review.scenario_overlay(scenarios, cells, "cell", ["u", "v"]), "cell", "low", "high") == [("c1", 5.0, 5.0), ("c2", 3.0, 7.0)]
+    with pytest.raises(Exception, match="no such cell"):
+        review.scenario_overlay(scenarios, cells.limit(1), "cell", ["u"]).collect()
+    assert review.missing_ids(cells, scenarios, "cell").count() == 0
+
+
 def test_contract(spark):
     df = spark.createDataFrame([("a", "1,5", 200.0), ("a", "x", 10.0), (None, "2", 10.0)], "n STRING, v STRING, lon DOUBLE").withColumn("lat", F.lit(1.0)).withColumn("g", F.lit("Point"))
     found = dict(rows(audit.violations(df, audit.Contract(("n",), ("v",), ("n",), ("Point",), "g", "lon", "lat")), "rule", "n"))
