@@ -85,6 +85,19 @@ QUERIES = {
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_run_length_dedup": """
+        with d as (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
+        w as (select doc_id, i, substr(h, 2 * i + 1, 100) as s from (select doc_id, h, unnest(range(0, n - 49)) as i from d where n >= 50)),
+        f as (select s, min(doc_id) as m from w group by 1),
+        r as (select w.doc_id, i from w join f using (s) where m < w.doc_id),
+        g as (select doc_id, i, case when i - lag(i) over (partition by doc_id order by i) <= 50 then 0 else 1 end as new from r),
+        k as (select doc_id, i, sum(new) over (partition by doc_id order by i) as run from g),
+        s as (select doc_id, run, min(i) as a, max(i) + 50 as b from k group by 1, 2),
+        q as (select doc_id, a, b, coalesce(lag(b) over (partition by doc_id order by a), 0) as before from s),
+        p as (select q.*, substr(h, 2 * before + 1, 2 * (a - before)) as piece from q join d using (doc_id)),
+        c as (select doc_id, string_agg(piece, '' order by a) as kept, cast(sum(b - a) as bigint) as removed, count(*) as spans, max(b) as last from p group by 1)
+        select d.doc_id, n as n_bytes, coalesce(removed, 0) as n_removed, coalesce(spans, 0) as n_spans,
+          sha256(unhex(case when c.doc_id is null then h else kept || substr(h, 2 * last + 1) end)) as kept_sha256 from d left join c using (doc_id)""",
     "op4_jaccard_join": f"""
         with recursive w as (select doc_id, {WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as w from documents),
         s as (select distinct doc_id, shingle from (select doc_id, w[i : i + 4] as shingle from (select doc_id, w, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5) union all select doc_id, w from w where len(w) between 1 and 4)),
