@@ -71,7 +71,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Language models and run-length indexes are beyond SQL; tests compare the stages with brute force.
+#: The language models and the tokenizer are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
