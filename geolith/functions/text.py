@@ -36,6 +36,11 @@ EMAIL = r"(?U)(?i)(?<![\w.+-])[\w.+-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+"
 NAME_CHARACTERS = "[^а-яa-z0-9]+"
 
 
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def words(values: Sequence[str]) -> str:
     """A pattern of any of the values, the longest first, with their dots and dashes literal."""
     return "|".join(v.replace(".", r"\.").replace("-", r"\-") for v in sorted(values, key=len, reverse=True))
@@ -115,13 +120,19 @@ def locality_name(text: Column, normal_form: bool = True) -> Column:
 
 def street_identity(text: Column, types: Mapping[str, str] = STREET_TYPES, normal_form: bool = True) -> Column:
     """Struct of a street's kind, from a type before or else after its name, and its name."""
-    value, any_of = token(F.coalesce(text, F.lit("")), normal_form), words(tuple(types))
-    before = F.regexp_extract(value, rf"^({any_of})(?:\.|\s+)\s*", 1)
-    after = F.when(before == "", F.regexp_extract(value, rf"\s+({any_of})\.?$", 1)).otherwise("")
+    any_of = words(tuple(types))
     kinds = F.create_map(*(F.lit(x) for pair in types.items() for x in pair))
-    kind = F.when(before != "", F.element_at(kinds, F.nullif(before, F.lit("")))).when(after != "", F.element_at(kinds, F.nullif(after, F.lit(""))))
-    rest = F.when(before != "", F.regexp_replace(value, rf"^(?:{any_of})(?:\.|\s+)\s*", "")).when(after != "", F.regexp_replace(value, rf"\s+(?:{any_of})\.?$", "")).otherwise(value)
-    return F.struct(kind.alias("street_type"), F.regexp_replace(rest, r"(?U)[\s.,]+", "").alias("street_name"))
+
+    def named(kind: Column, rest: Column) -> Column:
+        return F.struct(F.try_element_at(kinds, kind).alias("street_type"), F.regexp_replace(rest, r"(?U)[\s.,]+", "").alias("street_name"))
+
+    def split(value: Column) -> Column:
+        before = F.regexp_extract(value, rf"^({any_of})(?:\.|\s+)\s*", 1)
+        after = lambda k: F.when(k != "", named(k, F.regexp_replace(value, rf"\s+(?:{any_of})\.?$", ""))).otherwise(named(k, value))
+        other = let(F.regexp_extract(value, rf"\s+({any_of})\.?$", 1), after)
+        return let(before, lambda k: F.when(k != "", named(k, F.regexp_replace(value, rf"^(?:{any_of})(?:\.|\s+)\s*", ""))).otherwise(other))
+
+    return let(token(F.coalesce(text, F.lit("")), normal_form), split)
 
 
 def house_number(text: Column, normal_form: bool = True) -> Column:
@@ -135,15 +146,22 @@ def official_address(text: Column, normal_form: bool = True) -> Column:
     """Struct of locality, street type, street name and house of a register's address, or null. The innermost place counts."""
     marked = r"(?iu),\s*(?:д\.|дом)\s*(.+)$"
     special = r"(?iu)^\s*(.+),\s*ДОС\s+(\d+[\w/ -]*)\s*$"
-    head = F.split(F.regexp_replace(text, marked, ""), ",")
-    street = street_identity(F.element_at(head, -1), normal_form=normal_form)
-    town = locality_name(F.get(head, F.size(head) - 2), normal_form)
-    house = house_number(F.regexp_extract(text, marked, 1), normal_form)
     names = ("locality", "street_type", "street_name", "house_number")
-    usual = F.struct(*(c.alias(n) for n, c in zip(names, (town, street["street_type"], street["street_name"], house), strict=True)))
-    block = F.struct(*(c.alias(n) for n, c in zip(names, (locality_name(F.regexp_extract(text, special, 1), normal_form), F.lit("quarter"), F.lit("дос"), house_number(F.regexp_extract(text, special, 2), normal_form)), strict=True)))
-    whole = (F.size(head) >= 2) & (town != "") & (street["street_name"] != "") & (house != "")
-    return F.when(text.rlike(marked), F.when(whole, usual)).when(text.rlike(special), block)
+
+    def made(*parts: Column) -> Column:
+        return F.struct(*(c.alias(n) for n, c in zip(names, parts, strict=True)))
+
+    def usual(head: Column, house: Column) -> Column:
+        town = locality_name(F.get(head, F.size(head) - 2), False)
+        found = let(street_identity(F.element_at(head, -1), normal_form=False), lambda s: made(town, s["street_type"], s["street_name"], house))
+        return let(found, lambda r: F.when((F.size(head) >= 2) & (r["locality"] != "") & (r["street_name"] != "") & (r["house_number"] != ""), r))
+
+    def parsed(t: Column) -> Column:
+        block = made(locality_name(F.regexp_extract(t, special, 1), False), F.lit("quarter"), F.lit("дос"), house_number(F.regexp_extract(t, special, 2), False))
+        common = let(F.split(F.regexp_replace(t, marked, ""), ","), lambda head: usual(head, house_number(F.regexp_extract(t, marked, 1), False)))
+        return F.when(t.rlike(marked), common).when(t.rlike(special), block)
+
+    return let(compatible_form(text) if normal_form else text, parsed)  # the normal form first: functions of array items can't call Python
 
 
 def compatible_address(a: Column, b: Column) -> Column:
