@@ -20,6 +20,8 @@ from geolith.shipping import ship
 
 #: Rows and bytes that one Arrow batch holds at most; the second bounds long texts.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+#: What a worker process does after each task.
+AT_TASK_END: list = []
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -31,6 +33,8 @@ def bound_batches(spark: SparkSession) -> None:
 
 def give_back() -> None:
     """Return memory that the allocators hold to the system, so that idle workers stay small."""
+    for f in AT_TASK_END:
+        f()
     gc.collect()
     pa.default_memory_pool().release_unused()
     if sys.platform == "linux":

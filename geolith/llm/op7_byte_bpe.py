@@ -190,11 +190,13 @@ def encode_bpe(df: DataFrame, path: str, pattern: str, id_col: str = "doc_id", t
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, pieces = cache(path, pattern)
         strings: list[str] = []
+        generation = -1
         for batch in batches:
             ids, shas, decoded, kept = [], [], [], []
             found = pieces.numbers(batch.column(1).fill_null("").to_pylist())
-            if len(strings) > len(pieces.index):
+            if generation != pieces.generation:
                 strings.clear()
+                generation = pieces.generation
             if len(strings) < len(pieces.index):
                 at = pieces.at[: len(pieces.index) + 1].tolist()
                 flat = list(map(str, pieces.ids[at[len(strings)] : pieces.n_ids].tolist()))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import re
+import time
 import unicodedata
 from collections.abc import Callable
 
 import numpy as np
 import regex
 
+from geolith.llm.batches import AT_TASK_END
+
 #: Pieces that a process remembers; then it starts anew, which bounds memory whatever the input.
 CACHE_PIECES = 600_000
+#: Seconds after which a process that does other work forgets its pieces.
+IDLE_SECONDS = 20.0
 
 
 #: Texts of characters below this one are split by a pattern with explicit classes, in half the time.
@@ -55,12 +60,19 @@ class PieceCache:
 
     def __init__(self, pattern: str, encode: Callable[[list[str]], list], most: int = CACHE_PIECES):
         self.wide, self.narrow, self.encode, self.most = regex.compile(pattern).findall, narrow(pattern).findall, encode, most
+        self.used, self.generation = 0.0, 0
         self.clear()
+        AT_TASK_END.append(self.forget_if_idle)
+
+    def forget_if_idle(self) -> None:
+        if self.index and time.monotonic() - self.used > IDLE_SECONDS:
+            self.clear()
 
     def find(self, text: str) -> list[str]:
         return self.wide(text) if WIDE.search(text) else self.narrow(text)
 
     def clear(self) -> None:
+        self.generation += 1
         self.index = Numbers()
         self.ids, self.at, self.n_ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), 0
 
@@ -80,6 +92,7 @@ class PieceCache:
         """The numbers of each text's pieces, whose ids are all known after this call."""
         if len(self.index) > self.most:
             self.clear()
+        self.used = time.monotonic()
         number = self.index.__getitem__
         out = [np.fromiter(map(number, p), np.int64, len(p)) for p in map(self.find, texts)]
         if self.index.new:
