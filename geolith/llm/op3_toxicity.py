@@ -1,9 +1,10 @@
 """Toxicity from the nearest labelled examples, by exact TF-IDF cosine over a block-max inverted index.
 
-Terms are words and their prefixes. Those that tell the labels apart in a bounded sample of labelled
-documents span the vector space; their document frequencies are counted over all documents. Examples lie
-in blocks of an inverted index whose largest weights bound a block's cosines, so blocks that can't hold a
-nearer example are never scored. Votes weighted by closeness are calibrated on the examples themselves.
+Terms are words and their prefixes. All terms of a bounded sample of labelled documents span the vector
+space; their document frequencies are counted over all documents, and a term's weight grows smoothly with
+what it tells about the labels, never below its TF-IDF. Examples lie in blocks of an inverted index whose
+largest weights bound a block's cosines, so blocks that can't hold a nearer example are never scored.
+Votes weighted by closeness are calibrated on the examples themselves.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from geolith.llm.tokens import ALPHANUMERIC, span_hashes, words
 #: Prefixes in bytes that are terms beside the words themselves.
 PREFIXES = (4, 5, 6)
 RUN = 1 << 19
+#: Blocks that a search scores first; each further step takes twice as many.
+FIRST_BLOCKS = 4
 #: Weight of the share of toxic documents in a vote, in examples at cosine 1/2.
 PRIOR = 4.0
 
@@ -67,48 +70,71 @@ def terms(texts: pa.Array, only: np.ndarray | None = None) -> Iterator[tuple[int
             yield first + int(r[a]), h[a:b], counts[a:b]
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All numbers of some ranges one after the other, and the range of each."""
+    sizes = ends - starts
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    return np.arange(len(owner)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes), owner
+
+
 @dataclass
 class Index:
     """Labelled examples as an inverted index in blocks.
 
-    ``slot[term, block]`` is the row of ``postings`` with the term's weights in the block's examples;
-    row 0 is empty. ``most[term, block]`` is that row's largest weight.
+    Term ``t`` has the rows ``at[t]`` to ``at[t + 1]`` of ``blocks``, one for each block with the term, and of
+    ``most``, its largest weight there; row ``i`` has the postings ``posted[i]`` to ``posted[i + 1]``, the
+    block's ``examples`` with the term and their ``weights``.
     """
 
     vocabulary: np.ndarray
-    idf: np.ndarray
-    slot: np.ndarray
-    postings: np.ndarray
-    most: np.ndarray
+    term_weight: np.ndarray
     names: np.ndarray
     labels: np.ndarray
     class_weight: np.ndarray
     block: int
     k: int
+    at: np.ndarray | None = None
+    blocks: np.ndarray | None = None
+    most: np.ndarray | None = None
+    posted: np.ndarray | None = None
+    examples: np.ndarray | None = None
+    weights: np.ndarray | None = None
     slope: float = 1.0
     shift: float = 0.0
     base: float = 0.0
 
     def vector(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        w = (1 + np.log(counts)) * self.idf[numbers]
+        w = (1 + np.log(counts)) * self.term_weight[numbers]
         return (w / np.linalg.norm(w)).astype(np.float32)
 
     def nearest(self, numbers: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The ``k`` examples of largest cosine over 0, ties by number: exact, as a block is left out only if its bound is below all of them."""
         q = self.vector(numbers, counts)
-        bounds = q @ self.most[numbers]
+        rows, owner = spans(self.at[numbers], self.at[numbers + 1])
+        own, most = self.blocks[rows], q[owner]
+        bounds = np.bincount(own, most * self.most[rows], -(-len(self.labels) // self.block))
         order = np.argsort(-bounds, kind="stable")
-        best, which = np.zeros(0, np.float32), np.zeros(0, np.int64)
-        for b in order.tolist():
-            if bounds[b] <= 0 or len(best) >= self.k and bounds[b] + 1e-5 < best[self.k - 1]:
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        by = np.argsort(rank[own].astype(np.int16 if len(order) < 1 << 15 else np.int64), kind="stable")
+        rows, weight = rows[by], most[by]
+        ends = np.cumsum(np.bincount(own, minlength=len(order))[order])
+        best, which, done, step = np.zeros(0, np.float32), np.zeros(0, np.int64), 0, FIRST_BLOCKS
+        while done < len(order):
+            least = best[self.k - 1] - 1e-5 if len(best) >= self.k else 0.0
+            todo = order[done : done + step]
+            todo = todo[(bounds[todo] > 0) & (bounds[todo] >= least)]
+            if not len(todo):
                 break
-            cosines = q @ self.postings[self.slot[numbers, b]]
+            i, j = int(ends[done - 1]) if done else 0, int(ends[done + len(todo) - 1])
+            postings, row = spans(self.posted[rows[i:j]], self.posted[rows[i:j] + 1])
+            cosines = np.bincount(self.examples[postings], self.weights[postings] * weight[i:j][row], len(self.labels))
             here = np.flatnonzero(cosines > 0)
-            if without >= 0:
-                here = here[here + b * self.block != without]
-            best, which = np.concatenate([best, cosines[here]]), np.concatenate([which, here + b * self.block])
+            here = here[here != without]
+            best, which = np.concatenate([best, cosines[here].astype(np.float32)]), np.concatenate([which, here])
             top = np.lexsort((which, -best))[: self.k]
             best, which = best[top], which[top]
+            done, step = done + len(todo), step * 2
         return which, best
 
     def vote(self, which: np.ndarray, cosines: np.ndarray) -> float:
@@ -129,20 +155,18 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift))))
 
 
-def build(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, class_weight: np.ndarray, vocabulary: np.ndarray, idf: np.ndarray, block: int, k: int) -> Index:
+def build(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, class_weight: np.ndarray, vocabulary: np.ndarray, term_weight: np.ndarray, block: int, k: int) -> Index:
     """The index of examples, each a row with term numbers and counts, and its calibration by leaving each one out."""
-    blocks = max(1, -(-len(labels) // block))
-    slot, rows = np.zeros((len(vocabulary), blocks), np.int32), [np.zeros(block, np.float32)]
-    index = Index(vocabulary, idf, slot, np.zeros((1, block), np.float32), np.zeros(slot.shape, np.float32), names, labels, class_weight, block, k)
-    for row, numbers, counts in examples:
-        b, at = divmod(row, block)
-        for t, w in zip(numbers.astype(np.int64).tolist(), index.vector(numbers.astype(np.int64), counts).tolist(), strict=True):
-            if not slot[t, b]:
-                slot[t, b] = len(rows)
-                rows.append(np.zeros(block, np.float32))
-            rows[slot[t, b]][at] = w
-    index.postings = np.stack(rows)
-    index.most = index.postings.max(1)[slot]
+    index = Index(vocabulary, term_weight, names, labels, class_weight, block, k)
+    term = np.concatenate([numbers.astype(np.int64) for _, numbers, _ in examples])
+    row = np.concatenate([np.full(len(numbers), r, np.int32) for r, numbers, _ in examples])
+    weight = np.concatenate([index.vector(numbers.astype(np.int64), counts) for _, numbers, counts in examples])
+    order = np.lexsort((row, term))
+    term, index.examples, index.weights = term[order], row[order], weight[order]
+    own = index.examples // block
+    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (own[1:] != own[:-1])]))
+    index.at, index.blocks = np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), own[first]
+    index.most, index.posted = np.maximum.reduceat(index.weights, first), np.append(first, len(term))
     votes, truth, weight, empty = [], [], [], np.ones(len(labels), bool)
     for row, numbers, counts in examples:
         which, cosines = index.nearest(numbers.astype(np.int64), counts, row)
@@ -189,10 +213,8 @@ def unlike(examples: list[tuple[int, np.ndarray, np.ndarray]], shared: int = 3,
     return out
 
 
-def choose(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, most: int, evidence: float) -> np.ndarray:
-    """Terms whose presence tells the labels apart: those with the largest likelihood ratio statistic, at least ``evidence``."""
-    if not examples:
-        return np.zeros(0, np.uint64)
+def label_evidence(vocabulary: np.ndarray, examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray) -> np.ndarray:
+    """How much the presence of each vocabulary term tells about the labels: the likelihood ratio statistic, 0 or more."""
     h = np.concatenate([e[1] for e in examples])
     y = np.concatenate([np.full(len(e[1]), labels[e[0]]) for e in examples])
     unique, inverse = np.unique(h, return_inverse=True)
@@ -207,8 +229,9 @@ def choose(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarra
 
     present = in1 + in0
     g = 2 * (part(in1, present, n1) + part(in0, present, n0) + part(n1 - in1, total - present, n1) + part(n0 - in0, total - present, n0))
-    order = np.lexsort((unique, -g))[:most]
-    return np.sort(unique[order[g[order] >= evidence]])
+    out = np.zeros(len(vocabulary))
+    out[np.searchsorted(vocabulary, unique)] = np.maximum(0.0, g)
+    return out
 
 
 def document_frequencies(df: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
@@ -223,21 +246,19 @@ def document_frequencies(df: DataFrame, vocabulary: np.ndarray, text_col: str) -
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(n[used], total))], names=["term", "n"])
 
-    rows = map_batches(df.select(text_col), count, [T.StructField("term", T.LongType()), T.StructField("n", T.LongType())]).groupBy("term").agg(F.sum("n").alias("n")).collect()
-    out, total = np.zeros(len(vocabulary), np.int64), 0
-    for term, n in rows:
-        if term < 0:
-            total = n
-        else:
-            out[term] = n
-    return out, total
+    rows = map_batches(df.select(text_col), count, [T.StructField("term", T.LongType()), T.StructField("n", T.LongType())]).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = (rows.column(c).to_numpy() for c in ("term", "n"))
+    out = np.zeros(len(vocabulary), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
 
 
-def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, max_terms: int = 1024, evidence: float = 24.0, block: int = 64, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
+def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1500, evidence: float = 24.0, block: int = 64, k: int = 15, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index | None:
     """The index of about ``most`` examples of either label among labelled documents where ``learn`` holds.
 
-    The sample are the documents with the smallest hashes of their ids. A document that is labelled
-    several times has its largest label.
+    The sample are the documents with the smallest hashes of their ids; each of their terms is indexed. A
+    term's weight is its IDF times 1 + G / ``evidence``, where G is how much it tells about the labels. A
+    document that is labelled several times has its largest label.
     """
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label")).where("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -261,19 +282,14 @@ def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1
         return None
     names, y = [r["id"] for r in rows], np.array([r["label"] for r in rows])
     examples = [(i, np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], "<u4").astype(np.int64)) for i, r in enumerate(rows) if r["terms"]]
-    vocabulary = choose(unlike(examples), y, max_terms, evidence)
-    if not len(vocabulary):
+    if not examples:
         return None
+    vocabulary = np.unique(np.concatenate([h for _, h, _ in examples]))
     frequency, total = document_frequencies(docs, vocabulary, text_col)
-    idf = np.log((total + 1) / (frequency + 1)) + 1e-3
-    kept = []
-    for i, h, n in examples:
-        at = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        use = vocabulary[at] == h
-        if use.any():
-            kept.append((i, at[use], n[use]))
+    term_weight = (np.log((total + 1) / (frequency + 1)) + 1e-3) * (1 + label_evidence(vocabulary, unlike(examples), y) / evidence)
+    kept = [(i, np.searchsorted(vocabulary, h), n) for i, h, n in examples]
     weight = np.where(y == 1, 1 / rate[1], 1 / rate[0])
-    return build(kept, y, np.array(names, dtype=object), weight, vocabulary, idf, block, k)
+    return build(kept, y, np.array(names, dtype=object), weight, vocabulary, term_weight, block, k)
 
 
 def score_toxicity(df: DataFrame, index: Index | None, id_col: str = "doc_id", text_col: str = "text", extra: tuple[Column, ...] = (), shown: int = 5) -> DataFrame:

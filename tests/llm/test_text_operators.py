@@ -175,6 +175,17 @@ def test_toxicity_finds_planted(spark):
     assert {r["score"] for r in toxicity.score_toxicity(odd(spark), None).collect()} == {0.0}
 
 
+def test_toxicity_compares_all_terms(spark):
+    rng = random.Random(4)
+    plain = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(300)]
+    rows = [(i, " ".join([*rng.choices(plain, k=40), *["snarbol"] * (i % 4 == 0)])) for i in range(400)]
+    docs = documents(spark, rows)
+    index = toxicity.learn_index(docs, spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id BIGINT, toxic INT"), fold(5) != 0)
+    assert len(index.vocabulary) == len({w[:n] for i, t in rows if zlib.crc32(str(i).encode()) % 5 for w in t.split() for n in (4, 5, 6, 7)})
+    found = toxicity.score_toxicity(docs, index, extra=((fold(5) == 0).alias("held_out"),)).where("held_out").collect()
+    assert found and all(r["evidence"] and r["predicted"] == (r["doc_id"] % 4 == 0) for r in found)
+
+
 def test_toxicity_index_is_exact():
     rng = np.random.default_rng(1)
     n, v = 300, 60
