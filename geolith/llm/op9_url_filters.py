@@ -2,7 +2,8 @@
 
 Host labels and path segments are split into words at punctuation and digits, and names that run words
 together are split by the most probable sequence of dictionary words. The dictionary is counted over
-all URLs; naive Bayes learns from labelled names that are a parameter.
+all URLs; naive Bayes learns from labelled names and, if there is one, a table of labelled URLs, of which
+every word counts.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "exa
 
 #: Labelled names that naive Bayes learns from, words of a name joined by hyphens.
 BLOCKED = (
-    "casino-win casino-bonus online-casino casino-slots poker-room free-poker slots-jackpot jackpot-win free-bets bets-now best-bets bet-win sports-bet "
-    "betting-tips cheap-pills pills-online buy-pills cheap-viagra viagra-online cialis-cheap pharmacy-pills diet-pills weight-loss adult-x adult-video "
-    "adult-cams xxx-video xxx-adult porn-free free-porn sex-cams sex-chat escort-girls hot-girls spam-farm link-farm spam-links mail-spam ads-track "
+    "casino-bonus online-casino casino-slots poker-room free-poker slots-jackpot jackpot-win bets-now best-bets bet-win sports-bet "
+    "betting-tips pills-online buy-pills cheap-viagra viagra-online cialis-cheap pharmacy-pills diet-pills weight-loss adult-video "
+    "adult-cams xxx-video xxx-adult porn-free free-porn sex-cams sex-chat escort-girls hot-girls link-farm spam-links mail-spam "
     "ad-tracker track-click click-ads popup-ads banner-ads ads-server phishing-login free-money fast-money easy-cash payday-loan quick-loans cheap-loans "
     "crack-keygen keygen-free warez-download torrent-crack replica-watches cheap-replica miracle-cure lottery-win win-prize free-iphone malware-download"
 ).split()
@@ -108,9 +109,12 @@ def compound(word: str, counts: Counter, least: int = 3) -> bool:
     return n in ends
 
 
-def learn(counts: dict[str, int], blocked: tuple[str, ...] | list[str] = tuple(BLOCKED), allowed: tuple[str, ...] | list[str] = tuple(ALLOWED)) -> UrlModel:
-    """The model of URL word counts and labelled names."""
+def learn(counts: dict[str, int], blocked: tuple[str, ...] | list[str] = tuple(BLOCKED), allowed: tuple[str, ...] | list[str] = tuple(ALLOWED), labelled: dict[str, tuple[int, int]] | None = None) -> UrlModel:
+    """The model of URL word counts, labelled names, and how often each word is in blocked and allowed labelled URLs."""
     bad, good = Counter(w for x in blocked for w in x.split("-")), Counter(w for x in allowed for w in x.split("-"))
+    for word, (n_bad, n_good) in (labelled or {}).items():
+        bad[word] += n_bad
+        good[word] += n_good
     total = Counter({w: n for w, n in counts.items() if len(w) > 1})
     for word in [*bad, *good]:  # a labelled word is in the dictionary, seen or not
         total[word] += 20
@@ -132,14 +136,34 @@ def word_counts(df: DataFrame, url_col: str = "url", most: int = 50_000) -> dict
     return {w: n for w, n in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()}
 
 
-def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, model: UrlModel | None = None) -> DataFrame:
+def label_counts(labelled: DataFrame, model: UrlModel, url_col: str = "url", label_col: str = "blocked") -> dict[str, tuple[int, int]]:
+    """In how many blocked and allowed labelled URLs each word is, of all their words; rows without a label count for neither."""
+    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    host, path = url_parts(F.col(url_col))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(w, y) for h, p, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(shared.value.tokens(h, p))]
+            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int64())], names=["word", "y"])
+
+    rows = labelled.select(host.alias("host"), path.alias("path"), F.col(label_col).cast("bigint").alias("y")).where("y in (0, 1)")
+    words = map_batches(rows, work, [T.StructField("word", T.StringType()), T.StructField("y", T.LongType())])
+    return {w: (b, n - b) for w, b, n in words.groupBy("word").agg(F.sum("y"), F.count("*")).collect()}
+
+
+def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, model: UrlModel | None = None, labelled: DataFrame | None = None) -> DataFrame:
     """One row per input row: the id, ``host``, ``path``, ``rule``, ``verdict``, ``score``, ``words``.
 
     A null URL and one without ``://`` have an empty host and path, fit no rule, and are allowed by the
     prior. The longest rule wins. Repeated rows and ids give repeated rows, a null id stays null, other
     columns are ignored, an empty table gives an empty one. ``score`` is the method's, whatever rule fits.
+    ``labelled`` has a ``url`` and whether it is ``blocked``; naive Bayes learns all words of it.
     """
-    model = model or learn(word_counts(df, url_col))
+    if not model:
+        counts = word_counts(df, url_col)
+        model = learn(counts)
+        if labelled is not None:
+            model = learn(counts, labelled=label_counts(labelled, model))
     shared = df.sparkSession.sparkContext.broadcast(model)
     host, path = url_parts(F.col(url_col))
     rows = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))

@@ -218,6 +218,15 @@ def test_url_contract(spark):
     assert urls.filter_urls(df.limit(0)).count() == 0
 
 
+def test_url_labels_teach_new_words(spark):
+    df = spark.createDataFrame([(1, "http://m.grufflen.net/a"), (2, "http://quietstone.net/a"), (3, "http://casino-win.net/"), (4, "http://adult-x.net/")], "page_id INT, url STRING")
+    labelled = spark.createDataFrame([(f"http://{w}.net/x{i}", y) for i in range(20) for w, y in (("grufflen", 1), ("quietstone", 0))], "url STRING, blocked INT")
+    verdicts = lambda found: {r["page_id"]: r["verdict"] for r in found.collect()}
+    assert not {"casino-win", "ads-track", "free-bets", "spam-farm", "cheap-pills", "adult-x"} & {*urls.BLOCKED}
+    assert verdicts(urls.filter_urls(df)) == {1: "allow", 2: "allow", 3: "block", 4: "block"}
+    assert verdicts(urls.filter_urls(df, labelled=labelled))[1] == "block" and verdicts(urls.filter_urls(df, labelled=labelled))[2] == "allow"
+
+
 def test_segmentation_is_the_most_probable():
     model = urls.learn({"sun": 50, "set": 40, "sunset": 5, "sets": 3, "un": 1})
 
