@@ -129,11 +129,11 @@ def learn(counts: dict[str, int], blocked: tuple[str, ...] | list[str] = tuple(B
     return UrlModel(words, math.log(1 / (n + 1)), odds, math.log(0.4 / 0.6), max([16, *map(len, words)]))
 
 
-def word_counts(df: DataFrame, url_col: str = "url", most: int = 50_000) -> dict[str, int]:
-    """Counts of the words of all URLs' hosts and paths; the model keeps the ``most`` frequent, which bounds it."""
+def word_counts(df: DataFrame, url_col: str = "url") -> dict[str, int]:
+    """Counts of all words of all URLs' hosts and paths; they have to fit the driver and a broadcast."""
     host, path = url_parts(F.col(url_col))
     words = df.select(F.explode(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z]+")).alias("word")).where(F.length("word") > 1)
-    return {w: n for w, n in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(most).collect()}
+    return {w: n for w, n in words.groupBy("word").count().collect()}
 
 
 def label_counts(labelled: DataFrame, model: UrlModel, url_col: str = "url", label_col: str = "blocked") -> dict[str, tuple[int, int]]:

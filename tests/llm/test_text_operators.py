@@ -227,6 +227,14 @@ def test_url_labels_teach_new_words(spark):
     assert verdicts(urls.filter_urls(df, labelled=labelled))[1] == "block" and verdicts(urls.filter_urls(df, labelled=labelled))[2] == "allow"
 
 
+def test_url_dictionary_is_whole(spark):
+    name = lambda i: "q" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    path = "/".join(name(i) for i in range(50_100))
+    df = spark.createDataFrame([(1, f"http://a.net/{path}"), (2, f"http://b.net/{path}"), (3, "http://winery.net/")], "page_id INT, url STRING")
+    counts = urls.word_counts(df)
+    assert counts["winery"] == 1 and len(counts) > 50_100 and urls.learn(counts).segment("winery") == ["winery"]
+
+
 def test_segmentation_is_the_most_probable():
     model = urls.learn({"sun": 50, "set": 40, "sunset": 5, "sets": 3, "un": 1})
 
