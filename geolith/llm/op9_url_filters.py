@@ -175,7 +175,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
         for batch in batches:
             scores, words = [], []
             for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = host, re.sub("[0-9]+", "", path)
+                key = host, re.sub("[0-9]+", "0", path)
                 if key not in seen:
                     if len(seen) > 50_000:
                         seen.clear()

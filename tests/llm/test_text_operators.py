@@ -235,6 +235,11 @@ def test_url_dictionary_is_whole(spark):
     assert counts["winery"] == 1 and len(counts) > 50_100 and urls.learn(counts).segment("winery") == ["winery"]
 
 
+def test_url_digits_separate_words(spark):
+    df = spark.createDataFrame([(1, "http://b.net/spa5m/3a9d/")], "page_id INT, url STRING")
+    assert not {"spam", "ad"} & {*urls.filter_urls(df).first()["words"]}
+
+
 def test_segmentation_is_the_most_probable():
     model = urls.learn({"sun": 50, "set": 40, "sunset": 5, "sets": 3, "un": 1})
 
