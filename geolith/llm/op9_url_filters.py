@@ -72,15 +72,22 @@ class UrlModel:
     unknown: float
     odds: dict[str, float]
     prior: float
-    longest: int
+    lengths: tuple[int, ...]
 
     def segment(self, name: str) -> list[str]:
         """The most probable words; an unknown run costs by its length, so it stays whole where nothing fits."""
         best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+        free, free_from = -math.inf, 0  # the best start of an unknown run, whatever its length
         for end in range(1, len(name) + 1):
-            for start in range(max(0, end - self.longest), end):
-                value = best[start] + self.words.get(name[start:end], self.unknown - 4.0 * (end - start))
-                if value > best[end]:
+            if best[end - 1] + 4.0 * (end - 1) > free:
+                free, free_from = best[end - 1] + 4.0 * (end - 1), end - 1
+            best[end], back[end] = free + self.unknown - 4.0 * end, free_from
+            for size in self.lengths:
+                if size > end:
+                    break
+                start = end - size
+                value = best[start] + self.words.get(name[start:end], -math.inf)
+                if value > best[end] or value == best[end] and start < back[end]:
                     best[end], back[end] = value, start
         out, end = [], len(name)
         while end:
@@ -90,7 +97,7 @@ class UrlModel:
 
     def tokens(self, host: str, path: str) -> list[str]:
         names = [x for x in SPLIT.split(host) + SPLIT.split(path.lower()) if x and x not in NEUTRAL]
-        return [w for x in names for w in ([x] if x in self.odds or len(x) > 256 else self.segment(x))]
+        return [w for x in names for w in ([x] if x in self.odds else self.segment(x))]
 
     def score(self, host: str, path: str) -> float:
         """Chance that a URL is to be blocked; words of no labelled name count for neither side."""
@@ -126,7 +133,7 @@ def learn(counts: dict[str, int], blocked: tuple[str, ...] | list[str] = tuple(B
     vocabulary = len({*bad, *good})
     p, q = sum(bad.values()) + vocabulary, sum(good.values()) + vocabulary
     odds = {w: math.log((bad[w] + 1) / p) - math.log((good[w] + 1) / q) for w in {*bad, *good}}
-    return UrlModel(words, math.log(1 / (n + 1)), odds, math.log(0.4 / 0.6), max([16, *map(len, words)]))
+    return UrlModel(words, math.log(1 / (n + 1)), odds, math.log(0.4 / 0.6), tuple(sorted({len(w) for w in words})))
 
 
 def word_counts(df: DataFrame, url_col: str = "url") -> dict[str, int]:

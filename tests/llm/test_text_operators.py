@@ -240,6 +240,12 @@ def test_url_digits_separate_words(spark):
     assert not {"spam", "ad"} & {*urls.filter_urls(df).first()["words"]}
 
 
+def test_url_long_names_are_segmented():
+    model = urls.learn({})
+    found = model.tokens("casinoslotspoker" * 40, "")
+    assert found == ["casino", "slots", "poker"] * 40 and model.score("casinoslotspoker" * 40, "") > 0.5
+
+
 def test_segmentation_is_the_most_probable():
     model = urls.learn({"sun": 50, "set": 40, "sunset": 5, "sets": 3, "un": 1})
 
