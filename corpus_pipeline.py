@@ -10,12 +10,14 @@ from geolith.llm.op2_run_length_dedup import dedup_bytes
 from geolith.llm.op4_jaccard_join import near_duplicates
 from geolith.llm.op5_packing import pack
 from geolith.llm.op6_language_id import UNDETERMINED, identify, learn_model
-from geolith.llm.op10_quality_rules import quality
+from geolith.llm.op10_quality_rules import Limits, quality
 from geolith.llm.shared import Stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
 LEAST_SCORE = 0.2
+#: A line over 20 documents of its host is frequent, however large the host.
+LIMITS = Limits(line_share=0.0)
 
 
 def revised(docs: DataFrame, decisions: DataFrame, text: str) -> DataFrame:
@@ -32,7 +34,7 @@ def revised(docs: DataFrame, decisions: DataFrame, text: str) -> DataFrame:
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules, without the lines that are frequent in their host."""
-    found = quality(docs, keep_text=True).where("kept")
+    found = quality(docs, limits=LIMITS, keep_text=True).where("kept")
     return revised(docs, found.withColumn("changed", F.when(F.col("removed_words") > 0, F.col("clean_text"))), "changed")
 
 

@@ -198,5 +198,12 @@ def test_pipeline_stages_take_odd_rows(spark, make):
         assert out.count() <= docs.count() or name == "packing"
 
 
+def test_pipeline_removes_frequent_lines_of_large_hosts(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = documents(spark, [(i, own(i) + "\nsame line" * (i < 25)) for i in range(400)]).select(*corpus_pipeline.COLUMNS)
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.quality_stage(spark, docs, "").collect()}
+    assert len(out) == 400 and out[0] == own(0) + "\nsame line" and all(out[i] == own(i) for i in range(1, 400))
+
+
 def test_case_table(spark):
     assert odd(spark).columns == [c.split()[0] for c in COLUMNS.split(", ")] and len(row(1, "a")) == len(odd(spark).columns)
