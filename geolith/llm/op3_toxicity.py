@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolith.llm.batches import field, map_batches, raw, runs
+from geolith.llm.shared import small
 from geolith.llm.tokens import ALPHANUMERIC, span_hashes, words
 
 #: Prefixes in bytes that are terms beside the words themselves.
@@ -27,17 +28,44 @@ PREFIXES = (4, 5, 6)
 RUN = 1 << 19
 #: Blocks that a search scores first; each further step takes twice as many.
 FIRST_BLOCKS = 4
+#: Texts that are compared with a block at once.
+QUERIES = 256
+#: Examples with a term from which on its weights lie in tiles, not in postings.
+COMMON = 64
 #: Weight of the share of toxic documents in a vote, in examples at cosine 1/2.
 PRIOR = 4.0
 
 
-def terms(texts: pa.Array, only: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Row, distinct term hashes and counts of each text with any; ``only``: a sorted vocabulary, whose numbers then stand for the hashes."""
+class Vocabulary:
+    """Sorted term hashes, found by a table of their leading bits."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.shift = np.uint64(64 - max(8, min(22, 2 + len(hashes).bit_length())))
+        self.starts = np.searchsorted(hashes >> self.shift, np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)).astype(np.int32)
+
+    def __len__(self) -> int:
+        return len(self.hashes)
+
+    def numbers(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        bucket = (h >> self.shift).astype(np.int64)
+        at, end = self.starts[bucket], self.starts[bucket + 1]
+        live = np.flatnonzero(at < end)
+        out = np.full(len(h), -1, np.int64)
+        while len(live):
+            own = self.hashes[at[live]]
+            hit = own == h[live]
+            out[live[hit]] = at[live[hit]]
+            live = live[own < h[live]]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        return out
+
+
+def terms(texts: pa.Array, only: Vocabulary | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Row, distinct term hashes and counts of each text with any; with a vocabulary its numbers stand for the hashes."""
     data, at = raw(pc.utf8_lower(texts))
-    sieve = None
-    if only is not None:
-        sieve = np.zeros(1 << 16, bool)
-        sieve[(only >> np.uint64(48)).astype(np.int64)] = True
     for first, last in runs(at, RUN):
         base = int(at[first])
         own, cut = data[base : int(at[last])], at[first : last + 1] - base
@@ -47,25 +75,21 @@ def terms(texts: pa.Array, only: np.ndarray | None = None) -> Iterator[tuple[int
         rows = np.searchsorted(cut, starts, "right") - 1
         length = ends - starts
         found = span_hashes(own, starts, ends, *(np.minimum(ends, starts + n) for n in PREFIXES))
-        hashes, owners = [], []
-        for n, h in zip((0, *PREFIXES), found, strict=True):
-            use = sieve[(h >> np.uint64(48)).astype(np.int64)] if sieve is not None else np.ones(len(h), bool)
-            if n:
-                use = use & (length > n)
-            hashes.append(h[use])
-            owners.append(rows[use])
-        h, r = np.concatenate(hashes), np.concatenate(owners)
+        longer = [slice(None), *(length > n for n in PREFIXES)]
+        h, r = (np.concatenate(x) for x in ([x[use] for x, use in zip(found, longer, strict=True)], [rows[use] for use in longer]))
         if only is not None:
-            k = np.minimum(np.searchsorted(only, h), len(only) - 1)
-            use = only[k] == h
-            h, r = k[use].astype(np.uint64), r[use]
-        if not len(h):
-            continue
-        order = np.lexsort((h, r))
-        h, r = h[order], r[order]
-        new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]))
-        counts, h, r = np.diff(np.concatenate([new, [len(h)]])), h[new], r[new]
-        edge = np.concatenate([np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), [len(r)]])
+            number = only.numbers(h)
+            key = np.sort((r << 32 | number)[number >= 0])
+            if not len(key):
+                continue
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            counts, h, r = np.diff(np.append(new, len(key))), key[new] & 0xFFFFFFFF, key[new] >> 32
+        else:
+            order = np.lexsort((h, r))
+            h, r = h[order], r[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (r[1:] != r[:-1])]))
+            counts, h, r = np.diff(np.append(new, len(h))), h[new], r[new]
+        edge = np.append(np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])), len(r))
         for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
             yield first + int(r[a]), h[a:b], counts[a:b]
 
@@ -79,25 +103,26 @@ def spans(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 @dataclass
 class Index:
-    """Labelled examples as an inverted index in blocks.
+    """Labelled examples as an inverted index in blocks of like examples.
 
-    Term ``t`` has the rows ``at[t]`` to ``at[t + 1]`` of ``blocks``, one for each block with the term, and of
-    ``most``, its largest weight there; row ``i`` has the postings ``posted[i]`` to ``posted[i + 1]``, the
-    block's ``examples`` with the term and their ``weights``.
+    Block ``b`` holds the examples ``place[b]`` (-1: none). A term in ``COMMON`` examples or more has a
+    ``row``: its weights in a block are ``tiles[b, row]``, the largest of them is ``most[row, b]``. Any other
+    term ``t`` has the postings ``at[t]`` to ``at[t + 1]`` of ``slots``, numbers in ``place``, and ``weights``.
     """
 
-    vocabulary: np.ndarray
+    vocabulary: Vocabulary
     term_weight: np.ndarray
     names: np.ndarray
     labels: np.ndarray
     class_weight: np.ndarray
     block: int
     k: int
-    at: np.ndarray | None = None
-    blocks: np.ndarray | None = None
+    place: np.ndarray | None = None
+    row: np.ndarray | None = None
+    tiles: np.ndarray | None = None
     most: np.ndarray | None = None
-    posted: np.ndarray | None = None
-    examples: np.ndarray | None = None
+    at: np.ndarray | None = None
+    slots: np.ndarray | None = None
     weights: np.ndarray | None = None
     slope: float = 1.0
     shift: float = 0.0
@@ -107,35 +132,52 @@ class Index:
         w = (1 + np.log(counts)) * self.term_weight[numbers]
         return (w / np.linalg.norm(w)).astype(np.float32)
 
-    def nearest(self, numbers: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The ``k`` examples of largest cosine over 0, ties by number: exact, as a block is left out only if its bound is below all of them."""
-        q = self.vector(numbers, counts)
-        rows, owner = spans(self.at[numbers], self.at[numbers + 1])
-        own, most = self.blocks[rows], q[owner]
-        bounds = np.bincount(own, most * self.most[rows], -(-len(self.labels) // self.block))
-        order = np.argsort(-bounds, kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        by = np.argsort(rank[own].astype(np.int16 if len(order) < 1 << 15 else np.int64), kind="stable")
-        rows, weight = rows[by], most[by]
-        ends = np.cumsum(np.bincount(own, minlength=len(order))[order])
-        best, which, done, step = np.zeros(0, np.float32), np.zeros(0, np.int64), 0, FIRST_BLOCKS
-        while done < len(order):
-            least = best[self.k - 1] - 1e-5 if len(best) >= self.k else 0.0
-            todo = order[done : done + step]
-            todo = todo[(bounds[todo] > 0) & (bounds[todo] >= least)]
-            if not len(todo):
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the ``k`` examples of largest cosine over 0, ties by number.
+
+        They are exact, as a block is left out only if its bound is below all of them. ``without`` has an
+        example for each query that doesn't count.
+        """
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        for a in range(0, len(queries), QUERIES):
+            out += self.some_nearest(queries[a : a + QUERIES], without[a : a + QUERIES] if without is not None else np.full(len(queries[a : a + QUERIES]), -2))
+        return out
+
+    def some_nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], without: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        n, (blocks, block) = len(queries), self.place.shape
+        common, exact = np.zeros((n, len(self.most)), np.float32), np.zeros((n, blocks, block), np.float32)
+        for i, (numbers, counts) in enumerate(queries):
+            q, row = self.vector(numbers, counts), self.row[numbers]
+            use = row >= 0
+            common[i, row[use]] = q[use]
+            rare = numbers[~use]
+            postings, owner = spans(self.at[rare], self.at[rare + 1])
+            exact[i] = np.bincount(self.slots[postings], self.weights[postings] * q[~use][owner], blocks * block).reshape(blocks, block)
+        bounds = common @ self.most + exact.max(2)
+        order = np.argsort(-bounds, axis=1, kind="stable")
+        best, which, done, step = np.zeros((n, self.k), np.float32), np.full((n, self.k), -1), 0, FIRST_BLOCKS
+        while done < blocks:
+            todo = order[:, done : done + step]
+            bound = np.take_along_axis(bounds, todo, 1)
+            live = (bound > 0) & (bound >= best[:, -1:] - 1e-5)
+            if not live.any():
                 break
-            i, j = int(ends[done - 1]) if done else 0, int(ends[done + len(todo) - 1])
-            postings, row = spans(self.posted[rows[i:j]], self.posted[rows[i:j] + 1])
-            cosines = np.bincount(self.examples[postings], self.weights[postings] * weight[i:j][row], len(self.labels))
-            here = np.flatnonzero(cosines > 0)
-            here = here[here != without]
-            best, which = np.concatenate([best, cosines[here].astype(np.float32)]), np.concatenate([which, here])
-            top = np.lexsort((which, -best))[: self.k]
-            best, which = best[top], which[top]
-            done, step = done + len(todo), step * 2
-        return which, best
+            cosines = np.zeros((n, todo.shape[1], block), np.float32)
+            rows, columns = np.nonzero(live)
+            own = todo[rows, columns]
+            for b in np.unique(own).tolist():
+                r, c = rows[own == b], columns[own == b]
+                cosines[r, c] = common[r] @ self.tiles[b] + exact[r, b]
+            names = self.place[todo]
+            cosines[(names < 0) | (names == without[:, None, None])] = 0
+            cosines, names = np.concatenate([best, cosines.reshape(n, -1)], 1), np.concatenate([which, names.reshape(n, -1)], 1)
+            least = np.partition(cosines, -self.k, 1)[:, -self.k]
+            for i in range(n):
+                use = np.flatnonzero(cosines[i] >= least[i]) if least[i] > 0 else np.flatnonzero(cosines[i] > 0)
+                top = use[np.lexsort((names[i, use], -cosines[i, use]))[: self.k]]
+                best[i, : len(top)], which[i, : len(top)] = cosines[i, top], names[i, top]
+            done, step = done + todo.shape[1], step * 2
+        return [(w[c > 0], c[c > 0]) for w, c in zip(which, best, strict=True)]
 
     def vote(self, which: np.ndarray, cosines: np.ndarray) -> float:
         """Share of toxic examples among the nearest, by closeness and by how many documents an example stands for.
@@ -155,21 +197,45 @@ class Index:
         return float(1 / (1 + np.exp(-(self.slope * np.log(p / (1 - p)) + self.shift))))
 
 
+def alike(rows: np.ndarray, vectors: np.ndarray, block: int) -> list[np.ndarray]:
+    """Blocks of rows that point the same way: halves along their main direction, halved again."""
+    if len(rows) <= block:
+        return [rows]
+    x = vectors[rows] - vectors[rows].mean(0)
+    way = x[np.argmax((x * x).sum(1))]
+    for _ in range(6):
+        way = x.T @ (x @ way)
+        way /= max(1e-12, float(np.linalg.norm(way)))
+    order = rows[np.argsort(x @ way, kind="stable")]
+    half = -(-len(rows) // block) // 2 * block
+    return alike(np.sort(order[:half]), vectors, block) + alike(np.sort(order[half:]), vectors, block)
+
+
 def build(examples: list[tuple[int, np.ndarray, np.ndarray]], labels: np.ndarray, names: np.ndarray, class_weight: np.ndarray, vocabulary: np.ndarray, term_weight: np.ndarray, block: int, k: int) -> Index:
     """The index of examples, each a row with term numbers and counts, and its calibration by leaving each one out."""
-    index = Index(vocabulary, term_weight, names, labels, class_weight, block, k)
+    index = Index(Vocabulary(vocabulary), term_weight, names, labels, class_weight, block, k)
     term = np.concatenate([numbers.astype(np.int64) for _, numbers, _ in examples])
-    row = np.concatenate([np.full(len(numbers), r, np.int32) for r, numbers, _ in examples])
+    example = np.concatenate([np.full(len(numbers), r) for r, numbers, _ in examples])
     weight = np.concatenate([index.vector(numbers.astype(np.int64), counts) for _, numbers, counts in examples])
-    order = np.lexsort((row, term))
-    term, index.examples, index.weights = term[order], row[order], weight[order]
-    own = index.examples // block
-    first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (own[1:] != own[:-1])]))
-    index.at, index.blocks = np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), own[first]
-    index.most, index.posted = np.maximum.reduceat(index.weights, first), np.append(first, len(term))
+    often = np.bincount(term, minlength=len(vocabulary)) >= COMMON
+    index.row = np.where(often, np.cumsum(often) - 1, -1).astype(np.int32)
+    dense = np.zeros((len(labels), int(often.sum())), np.float32)
+    use = often[term]
+    dense[example[use], index.row[term[use]]] = weight[use]
+    blocks = alike(np.arange(len(labels)), dense, block)
+    index.place = np.full((len(blocks), block), -1)
+    for line, rows in zip(index.place, blocks, strict=True):
+        line[: len(rows)] = rows
+    index.tiles = np.where((index.place >= 0)[:, None, :], dense[index.place].transpose(0, 2, 1), np.float32(0))
+    index.most = np.ascontiguousarray(index.tiles.max(2).T)
+    slot = np.empty(len(labels), np.int64)
+    slot[index.place[index.place >= 0]] = np.flatnonzero(index.place.ravel() >= 0)
+    term, slots, weight = term[~use], slot[example[~use]], weight[~use]
+    order = np.lexsort((slots, term))
+    index.at, index.slots, index.weights = np.searchsorted(term[order], np.arange(len(vocabulary) + 1)), slots[order], weight[order]
     votes, truth, weight, empty = [], [], [], np.ones(len(labels), bool)
-    for row, numbers, counts in examples:
-        which, cosines = index.nearest(numbers.astype(np.int64), counts, row)
+    nearest = index.nearest([(numbers.astype(np.int64), counts) for _, numbers, counts in examples], np.array([row for row, *_ in examples]))
+    for (row, *_), (which, cosines) in zip(examples, nearest, strict=True):
         if len(which):
             empty[row] = False
             votes.append(index.vote(which, cosines))
@@ -234,7 +300,7 @@ def label_evidence(vocabulary: np.ndarray, examples: list[tuple[int, np.ndarray,
     return out
 
 
-def document_frequencies(df: DataFrame, vocabulary: np.ndarray, text_col: str) -> tuple[np.ndarray, int]:
+def document_frequencies(df: DataFrame, vocabulary: Vocabulary, text_col: str) -> tuple[np.ndarray, int]:
     """In how many of all documents each vocabulary term occurs, and how many documents there are."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +308,7 @@ def document_frequencies(df: DataFrame, vocabulary: np.ndarray, text_col: str) -
         for batch in batches:
             total += batch.num_rows
             for _, numbers, _ in terms(batch.column(0).fill_null(""), vocabulary):
-                n[numbers.astype(np.int64)] += 1
+                n[numbers] += 1
         used = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(used, -1)), pa.array(np.append(n[used], total))], names=["term", "n"])
 
@@ -258,7 +324,8 @@ def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1
 
     The sample are the documents with the smallest hashes of their ids; each of their terms is indexed. A
     term's weight is its IDF times 1 + G / ``evidence``, where G is how much it tells about the labels. A
-    document that is labelled several times has its largest label.
+    document that is labelled several times has its largest label; of several texts of one id one counts,
+    whatever their order.
     """
     known = labels.where(learn & F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label")).where("label in (0, 1)")
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
@@ -275,9 +342,10 @@ def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1
             blobs = [found.get(i, none) for i in range(batch.num_rows)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([h.tobytes() for h, _ in blobs], pa.binary()), pa.array([n.astype("<u4").tobytes() for _, n in blobs], pa.binary())], names=["id", "label", "terms", "counts"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sampled.withColumnRenamed(id_col, "id")), "id").select("id", "label", "text")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(small(sampled.withColumnRenamed(id_col, "id")), "id").select("id", "label", "text")
     fields = [field(chosen, "id"), T.StructField("label", T.IntegerType()), T.StructField("terms", T.BinaryType()), T.StructField("counts", T.BinaryType())]
-    rows = sorted({r["id"]: r for r in map_batches(chosen, extract, fields).collect()}.values(), key=lambda r: r["id"])
+    found = sorted(map_batches(chosen, extract, fields).collect(), key=lambda r: (r["id"], r["terms"], r["counts"]))
+    rows = [r for i, r in enumerate(found) if not i or r["id"] != found[i - 1]["id"]]
     if not rows:
         return None
     names, y = [r["id"] for r in rows], np.array([r["label"] for r in rows])
@@ -285,7 +353,7 @@ def learn_index(docs: DataFrame, labels: DataFrame, learn: Column, most: int = 1
     if not examples:
         return None
     vocabulary = np.unique(np.concatenate([h for _, h, _ in examples]))
-    frequency, total = document_frequencies(docs, vocabulary, text_col)
+    frequency, total = document_frequencies(docs, Vocabulary(vocabulary), text_col)
     term_weight = (np.log((total + 1) / (frequency + 1)) + 1e-3) * (1 + label_evidence(vocabulary, unlike(examples), y) / evidence)
     kept = [(i, np.searchsorted(vocabulary, h), n) for i, h, n in examples]
     weight = np.where(y == 1, 1 / rate[1], 1 / rate[0])
@@ -311,8 +379,8 @@ def score_toxicity(df: DataFrame, index: Index | None, id_col: str = "doc_id", t
             names: list[list] = [[] for _ in range(n)]
             cosines: list[list] = [[] for _ in range(n)]
             if own:
-                for row, numbers, counts in terms(batch.column(batch.num_columns - 1).fill_null(""), own.vocabulary):
-                    which, near = own.nearest(numbers.astype(np.int64), counts)
+                found = list(terms(batch.column(batch.num_columns - 1).fill_null(""), own.vocabulary))
+                for (row, *_), (which, near) in zip(found, own.nearest([(numbers, counts) for _, numbers, counts in found]), strict=True):
                     scores[row] = own.score(which, near)
                     names[row] = own.names[which[:shown]].tolist()
                     cosines[row] = near[:shown].tolist()

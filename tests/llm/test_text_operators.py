@@ -195,8 +195,7 @@ def test_toxicity_index_is_exact():
     dense = np.zeros((n, v), np.float32)
     for i, t, c in examples:
         dense[i, t] = index.vector(t, c)
-    for _, t, c in examples[:100]:
-        which, cosines = index.nearest(t, c)
+    for (_, t, c), (which, cosines) in zip(examples[:100], index.nearest([(t, c) for _, t, c in examples[:100]]), strict=True):
         exact = dense[:, t] @ index.vector(t, c)
         order = np.lexsort((np.arange(n), -exact))[:7]
         assert np.allclose(cosines, exact[order][: len(cosines)], atol=1e-5) and set(which) <= set(np.flatnonzero(exact >= exact[order[-1]] - 1e-5))
