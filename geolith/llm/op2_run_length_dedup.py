@@ -2,9 +2,11 @@
 
 Candidates are found by anchors, positions that any two equal strings of the given length share. A first
 exchange finds anchors that several documents have; those, with the bytes around them, are dealt by the
-anchor's string, so that equal strings always meet. Where an anchor's contexts differ, a run-length index
-of the contexts is built and their matching statistics are streamed. Whatever can be settled within a
-batch or a chunk of documents is not sent, so that a very common passage is sent once for each of them.
+anchor's string, so that equal strings always meet. There equal contexts are kept once. A run-length index is
+built of the contexts of smaller documents, and the matching statistics of the others are streamed against it,
+for growing groups of documents as in a merge sort, so that every two contexts of an anchor are compared unless
+one holds nothing that an earlier one doesn't. Hashes only choose what is compared; bytes decide. What is settled
+within a batch or a chunk of documents is not sent, so that a very common passage is sent once for each of them.
 """
 
 from __future__ import annotations
@@ -25,12 +27,11 @@ from geolith.llm.run_index import RunIndex
 from geolith.llm.shared import Stored, small
 from geolith.llm.tokens import mix
 
-#: An anchor of this many documents is dealt by its windows, the ``HOT_KEYS`` most frequent at most: any other has under 1 / HOT_KEYS of all.
-HOT_DOCS, HOT_KEYS = 4096, 10_000
-#: Bytes of one run-length index, or one anchor's contexts.
-INDEX_BYTES = 1 << 20
-BUCKET_BITS = 9
-WEIGHTS = np.cumprod(np.full(512, 0x9E3779B97F4A7C15 | 1, np.uint64))
+#: An anchor of ``HOT_DOCS`` documents that makes up more than 1 / ``HOT_SHARE`` of all shared anchors is dealt by its
+#: windows, so that no task gets all its contexts; there are fewer than ``HOT_SHARE`` of them, whatever the input.
+HOT_DOCS, HOT_SHARE = 4096, 1 << 20
+#: Bytes of one run-length index, contexts that are searched at once, and bytes of text that a task reads before it sends.
+INDEX_BYTES, CONTEXTS, SEND_BYTES = 1 << 20, 1 << 14, 16 << 20
 
 
 def chunk_of(ids: np.ndarray, chunks: int) -> np.ndarray:
@@ -97,51 +98,55 @@ def by_chunk(ids: np.ndarray, chunks: int, *arrays: np.ndarray) -> Iterator[tupl
     chunk = chunk_of(ids, chunks)
     order = np.argsort(chunk, kind="stable")
     for c, a, b in slices(chunk[order]):
-        yield c & ((1 << BUCKET_BITS) - 1), c, packed(*(x[order[a:b]] for x in (ids, *arrays)))
+        yield c, c, packed(*(x[order[a:b]] for x in (ids, *arrays)))
+
+
+def bucket_of(key: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mix(key) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def first_pass(df: DataFrame, length: int, chunks: int) -> DataFrame:
-    """Anchors dealt by 48 bits of their strings' hashes; anchors that two documents of a batch have go straight to the documents' chunks.
+    """Anchors dealt by 48 bits of their strings' hashes; anchors that two documents sent together have go straight to the documents' chunks.
 
     Strings that agree in these bits only are candidates in vain, no more.
     """
 
+    def sent(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, place, doc = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(key)
+        key, place, doc = key[order], place[order], doc[order]
+        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        count = np.diff(np.concatenate([start, [len(key)]]))
+        several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
+        shared = np.repeat(several, count)
+        out = list(by_chunk(doc[shared], chunks, place[shared]))
+        one, known, docs = ~shared, key[start[several]], count[several].astype(np.uint32)
+        key, place, doc = key[one], place[one], doc[one]
+        bucket = bucket_of(key, chunks)
+        order = np.lexsort((place, doc, bucket))
+        key, place, doc, bucket = key[order], place[order], doc[order], bucket[order]
+        own = bucket_of(known, chunks)
+        order = np.argsort(own, kind="stable")
+        own, known, docs = own[order], known[order], docs[order]
+        for k in np.union1d(bucket, own).tolist():
+            (a, b), (c, d) = (np.searchsorted(x, [k, k + 1]).tolist() for x in (bucket, own))
+            out.append((k, ENTRY, packed(*halves(key[a:b]), np.diff(doc[a:b], prepend=0), place[a:b], *halves(known[c:d]), docs[c:d])))
+        return rows_of(out)
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             data, at = raw(batch.column(1))
-            ids = batch.column(0).to_numpy()
-            places, hashes, owners = [], [], []
-            for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+            for name, a, b in zip(batch.column(0).to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
                 p, h = anchors(data[a:b], length)
-                places.append(p.astype(np.uint32))
-                hashes.append(h)
-                owners.append(np.full(len(p), k))
-            if not hashes or not sum(map(len, hashes)):
-                continue
-            key, place, doc = np.concatenate(hashes) >> KEY_SHIFT, np.concatenate(places), ids[np.concatenate(owners)]
-            order = np.argsort(key)
-            key, place, doc = key[order], place[order], doc[order]
-            start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.concatenate([start, [len(key)]]))
-            several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start)
-            shared = np.repeat(several, count)
-            out = list(by_chunk(doc[shared], chunks, place[shared]))
-            one, known, docs = ~shared, key[start[several]], count[several].astype(np.uint32)
-            order = np.lexsort((place[one], doc[one]))
-            key, place, doc = key[one][order], place[one][order], doc[one][order]
-            bucket = (mix(key) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-            order = np.argsort(bucket, kind="stable")
-            key, place, doc, bucket = key[order], place[order], doc[order], bucket[order]
-            own = (mix(known) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-            order = np.argsort(own, kind="stable")
-            own, known, docs = own[order], known[order], docs[order]
-            edge = np.searchsorted(own, np.arange((1 << BUCKET_BITS) + 1))
-            ends = np.searchsorted(bucket, np.arange((1 << BUCKET_BITS) + 1))
-            for k in range(1 << BUCKET_BITS):
-                a, b, c, d = int(ends[k]), int(ends[k + 1]), int(edge[k]), int(edge[k + 1])
-                if b > a or d > c:
-                    out.append((k, ENTRY, packed(*halves(key[a:b]), np.diff(doc[a:b], prepend=0), place[a:b], *halves(known[c:d]), docs[c:d])))
-            yield rows_of(out)
+                if len(p):
+                    parts.append((h >> KEY_SHIFT, p.astype(np.uint32), np.full(len(p), name)))
+            held += len(data)
+            if parts and held >= SEND_BYTES:
+                yield sent(parts)
+                parts, held = [], 0
+        if parts:
+            yield sent(parts)
 
     return map_batches(df, work, ROWS)
 
@@ -172,9 +177,9 @@ def repeated(dealt: DataFrame, chunks: int) -> DataFrame:
         use = np.repeat(several, count) & single
         out = list(by_chunk(doc[use], chunks, place[order[use]]))
         total = np.add.reduceat(docs, start)
-        hot = total >= HOT_DOCS
-        if hot.any():
-            out.append((0, HOT, packed(key[start[hot]], total[hot])))
+        hot = several & (total >= HOT_DOCS)
+        if several.any():
+            out.append((0, HOT, packed(key[start[hot]], total[hot], np.array([total[several].sum()]))))
         yield rows_of(out)
 
     return map_batches(dealt, work, ROWS)
@@ -191,21 +196,47 @@ def distinct_rows(names: np.ndarray, texts: list[bytes]) -> np.ndarray:
     return sub
 
 
-def settle(context: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order by context; and whether a smaller document has the same context."""
-    order = np.argsort(context)
-    c, d = context[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]])) if len(c) else np.zeros(0, np.int64)
-    least = np.repeat(np.minimum.reduceat(d, start), np.diff(np.concatenate([start, [len(c)]]))) if len(c) else d
-    return order, d > least
+def same_before(rows: np.ndarray, *others: np.ndarray) -> np.ndarray:
+    """Whether each row has the bytes, and the values of ``others``, of the row before it."""
+    out = np.zeros(len(rows), bool)
+    for a in range(1, len(rows), CONTEXTS):
+        b = min(len(rows), a + CONTEXTS)
+        out[a:b] = (rows[a:b] == rows[a - 1 : b - 1]).all(1)
+    for x in others:
+        out[1:] &= x[1:] == x[:-1]
+    return out
 
 
-def column_hash(matrix: np.ndarray, first: int, last: int) -> np.ndarray:
-    """Hashes of the rows' bytes in some columns."""
-    out = np.zeros(len(matrix), np.uint64)
-    for c in range(first, last):
-        out += matrix[:, c] * WEIGHTS[c - first]
-    return mix(out)
+def settled(hashes: np.ndarray, doc: np.ndarray, rows: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order in which rows of equal bytes stand together; where such a class begins; and whether a smaller document is in it.
+
+    Rows are brought together by their hashes and compared by their bytes; where different rows share a hash, they are sorted by bytes.
+    """
+    order = np.lexsort((doc, hashes))
+    h = hashes[order]
+    new = ~same_before(rows[order], *(x[order] for x in others))
+    group = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else new
+    new |= group
+    if (mixed := np.flatnonzero(new & ~group)).size:
+        starts = np.flatnonzero(group)
+        for g in np.unique(np.searchsorted(starts, mixed, "right") - 1).tolist():
+            a, b = int(starts[g]), int(starts[g + 1]) if g + 1 < len(starts) else len(order)
+            name = lambda i: (*(int(x[i]) for x in others), rows[i].tobytes())
+            order[a:b] = sorted(order[a:b].tolist(), key=lambda i: (name(i), doc[i]))
+            names = [name(i) for i in order[a:b].tolist()]
+            new[a:b] = [i == 0 or names[i] != names[i - 1] for i in range(b - a)]
+    first = np.flatnonzero(new)
+    least = np.repeat(doc[order[first]], np.diff(np.append(first, len(order))))
+    return order, first, doc[order] > least
+
+
+def window_sums(rows: np.ndarray, length: int) -> np.ndarray:
+    """A hash of each string of ``length`` neighbouring columns, for each row."""
+    width = rows.shape[1]
+    weights = np.cumprod(np.full(width, 0x9E3779B97F4A7C15 | 1, np.uint64))
+    sums = np.zeros((len(rows), width + 1), np.uint64)
+    np.cumsum((rows.astype(np.uint64) + np.uint64(1)) * weights, axis=1, out=sums[:, 1:])
+    return mix(sums[:, length:] - sums[:, : width + 1 - length])
 
 
 def shared_by_two(values: np.ndarray) -> np.ndarray:
@@ -217,77 +248,138 @@ def shared_by_two(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray], hot: np.ndarray, length: int, chunks: int) -> list[tuple[int, int, bytes]]:
-    """The rows that a chunk of documents sends: contexts by their anchors, windows of hot anchors, and what is settled here."""
+def fitting(left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """Which strings of ``length`` neighbouring columns lie within each context."""
+    before = length - GRAM
+    o = np.arange(before + 1)[None, :]
+    return (o >= before - left.astype(np.int64)[:, None]) & (o + length <= before + right.astype(np.int64)[:, None])
+
+
+def joined_strings(rows: np.ndarray, todo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The part of each row that its windows in question cover, each followed by a terminator; the ends; and each part's first column."""
+    first, last = todo.argmax(1), todo.shape[1] - 1 - todo[:, ::-1].argmax(1)
+    column = np.arange(rows.shape[1] + 1)[None, :]
+    use = (column >= first[:, None]) & (column <= (last + length)[:, None])
+    padded = np.concatenate([rows, np.zeros((len(rows), 1), np.uint8)], 1)
+    ends = np.cumsum(last + length - first + 1) - 1
+    flat = padded[use]
+    flat[ends] = 0
+    return flat, ends, first
+
+
+def streamed(rows: np.ndarray, group: np.ndarray, doc: np.ndarray, todo: np.ndarray, length: int) -> np.ndarray:
+    """Which windows (row, column) a row of the same group with a smaller document has; ``todo``: the windows in question.
+
+    The documents of a group are numbered. In round b, those whose number has bit b are streamed against a
+    run-length index of those that agree with them in all higher bits and lack bit b. A row of which every window
+    is found has nothing that an earlier row lacks, and is neither indexed nor streamed any more.
+    """
+    found, todo = np.zeros_like(todo), todo.copy()
+    order = np.lexsort((doc, group))
+    g, d = group[order], doc[order]
+    head = np.concatenate([[True], g[1:] != g[:-1]])
+    number = np.cumsum(np.concatenate([[True], d[1:] != d[:-1]]) | head)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = number - np.maximum.accumulate(np.where(head, number, 0))
+    bit = 0
+    while True:
+        live = np.flatnonzero(todo.any(1))
+        if not len(live) or not (rank[live] >> bit).any():
+            return found
+        block = np.unique(np.stack([group[live], rank[live] >> (bit + 1)]), axis=1, return_inverse=True)[1].reshape(-1)
+        high = (rank[live] >> bit & 1).astype(bool)
+        both = np.intersect1d(block[high], block[~high])
+        use = np.isin(block, both)
+        live, block, high = live[use], np.searchsorted(both, block[use]), high[use]
+        by = np.argsort(block, kind="stable")
+        live, block, high = live[by], block[by], high[by]
+        low, own = live[~high], block[~high]
+        size = np.cumsum((todo[low].shape[1] - todo[low].argmax(1) - todo[low][:, ::-1].argmax(1)) + length) if len(low) else np.zeros(0, np.int64)
+        for part in np.split(np.arange(len(low)), np.flatnonzero(np.diff(size // INDEX_BYTES)) + 1):
+            if not len(part):
+                continue
+            a, b = int(own[part[0]]), int(own[part[-1]])
+            flat, ends, _ = joined_strings(rows[low[part]], todo[low[part]], length)
+            index = RunIndex.build(flat, ends, own[part] - a)
+            rest = np.flatnonzero(high & (block >= a) & (block <= b) & todo[live].any(1))
+            for c in range(0, len(rest), CONTEXTS):
+                some = live[rest[c : c + CONTEXTS]]
+                flat, ends, first = joined_strings(rows[some], todo[some], length)
+                matched, _ = index.statistics(flat, ends, block[rest[c : c + CONTEXTS]] - a)
+                at = np.flatnonzero(matched >= length)
+                string = np.searchsorted(ends, at)
+                column = at - np.append(0, ends[:-1] + 1)[string] + first[string]
+                found[some[string], column] = True
+        todo &= ~found
+        bit += 1
+
+
+def surroundings(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray], length: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bytes around the wanted anchors: document, number among rows of its id, place, bytes to the left and right, the bytes."""
     before, width = length - GRAM, 2 * length - GRAM
     sub = distinct_rows(ids, texts)
-    data, docs, subs, places, sizes, bases, base = [], [], [], [], [], [], 0
     for i, text in enumerate(texts):
         p = wanted.get(int(ids[i]))
         if p is None or len(text) < length:
             continue
-        p = np.unique(p[p <= len(text) - GRAM])
-        data.append(text)
-        docs.append(np.full(len(p), ids[i]))
-        subs.append(np.full(len(p), sub[i], np.int32))
-        places.append(p.astype(np.int64))
-        sizes.append(np.full(len(p), len(text)))
-        bases.append(np.full(len(p), base))
-        base += len(text)
-    if not data:
+        p = np.unique(p[p <= len(text) - GRAM]).astype(np.int64)
+        flat = np.concatenate([np.zeros(before, np.uint8), np.frombuffer(text, np.uint8), np.zeros(length, np.uint8)])
+        yield np.full(len(p), ids[i]), np.full(len(p), sub[i], np.int32), p, np.minimum(before, p), np.minimum(length, len(text) - p), np.lib.stride_tricks.sliding_window_view(flat, width)[p]
+
+
+def contexts(ids: np.ndarray, texts: list[bytes], wanted: dict[int, np.ndarray], hot: np.ndarray, length: int, chunks: int) -> list[tuple[int, int, bytes]]:
+    """The rows that a chunk of documents sends: contexts by their anchors, windows of hot anchors, and what is settled here."""
+    before = length - GRAM
+    parts = list(surroundings(ids, texts, wanted, length))
+    if not sum(len(p[0]) for p in parts):
         return []
-    doc, own, place, size, base = (np.concatenate(x) for x in (docs, subs, places, sizes, bases))
-    flat = np.concatenate([np.zeros(width, np.uint8), np.frombuffer(b"".join(data), np.uint8), np.zeros(width, np.uint8)])
+    doc, own, place, left, right, matrix = (np.concatenate(x) for x in zip(*parts, strict=True))
+    parts.clear()
+    key = gram_hash(*(np.ascontiguousarray(matrix[:, before + k : before + k + 8]).view("<u8").ravel() for k in (0, 8, GRAM - 8)))
     out: list[tuple[int, int, bytes]] = []
-    done: list[tuple[np.ndarray, ...]] = []
-    step = 1 << 14
-    parts = []
-    for a in range(0, len(place), step):
-        s = slice(a, a + step)
-        p, room = place[s], size[s]
-        left, right = np.minimum(before, p), np.minimum(length, room - p)
-        column = np.arange(width)[None, :]
-        matrix = flat[(base[s] + p + width - before)[:, None] + column]
-        matrix[(column < (before - left)[:, None]) | (column >= (before + right)[:, None])] = 0
-        key = gram_hash(*(np.ascontiguousarray(matrix[:, before + k : before + k + 8]).view("<u8").ravel() for k in (0, 8, GRAM - 8)))
-        whole = mix(column_hash(matrix, 0, width) ^ mix((left * 256 + right).astype(np.uint64)))
-        parts.append((key, whole, left.astype(np.uint8), right.astype(np.uint8), matrix))
-    key, context, left, right, matrix = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order, later = settle(context, doc)
+    order, _, later = settled(key ^ mix(whole_hash(matrix)), doc, matrix, left, right)
     gone = order[later]
-    done.append((doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone]))
+    done = [(doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone])]
     order = order[~later]
     is_hot = np.isin(key[order] >> KEY_SHIFT, hot) if len(hot) else np.zeros(len(order), bool)
-    send, windows = order[~is_hot], order[is_hot]
-    bucket = (mix(key[send] ^ np.uint64(0x5DEECE66D)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
+    send, spread = order[~is_hot], order[is_hot]
+    bucket = bucket_of(key[send] ^ np.uint64(0x5DEECE66D), chunks)
     by = np.argsort(bucket, kind="stable")
     send = send[by]
     for b, i, j in slices(bucket[by]):
         s = send[i:j]
-        out.append((b, ENTRY, packed(key[s], context[s], doc[s], own[s], place[s].astype(np.uint32), left[s], right[s], matrix[s].ravel())))
-    if len(windows):
-        hashes, rows, starts = [], [], []
-        for o in range(before + 1):
-            fits = windows[(o >= before - left[windows]) & (o + length <= before + right[windows].astype(np.int64))]
-            hashes.append(column_hash(matrix[fits, o : o + length], 0, length))
-            rows.append(fits)
-            starts.append(place[fits] - before + o)
-        h, r, p = np.concatenate(hashes), np.concatenate(rows), np.concatenate(starts)
-        order, later = settle(h, doc[r])
-        gone = order[later]
-        done.append((doc[r[gone]], own[r[gone]], p[gone], p[gone] + length))
-        order = order[~later]
-        h, r, p = h[order], r[order], p[order]
-        bucket = (mix(h) >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)
-        by = np.argsort(bucket, kind="stable")
-        for b, i, j in slices(bucket[by]):
-            s = by[i:j]
-            out.append((b, HOT, packed(h[s], doc[r[s]], own[r[s]], p[s].astype(np.uint32))))
+        out.append((b, ENTRY, packed(doc[s], own[s], place[s].astype(np.uint32), left[s].astype(np.uint16), right[s].astype(np.uint16), matrix[s].ravel())))
+    spread = spread[np.argsort(key[spread], kind="stable")]
+    for a in range(0, len(spread), CONTEXTS):
+        some = spread[a : a + CONTEXTS]
+        row, column = np.nonzero(fitting(left[some], right[some], length))
+        h = window_sums(matrix[some], length)[row, column] ^ mix(key[some[row]] + column.astype(np.uint64))
+        windows = np.lib.stride_tricks.sliding_window_view(matrix[some], length, axis=1)[row, column]
+        row, at = some[row], place[some[row]] - before + column
+        by, _, later = settled(h, doc[row], windows)
+        gone = by[later]
+        done.append((doc[row[gone]], own[row[gone]], at[gone], at[gone] + length))
+        kept = by[~later]
+        bucket = bucket_of(h[kept], chunks)
+        kept = kept[np.lexsort((column[kept], row[kept], bucket))]
+        for b, i, j in slices(bucket_of(h[kept], chunks)):
+            s = kept[i:j]
+            out.append((b, HOT, packed(h[s], doc[row[s]], own[row[s]], at[s].astype(np.uint32), windows[s].ravel())))
     doc, own, a, b = (np.concatenate(x) for x in zip(*done, strict=True))
     out += by_chunk(doc, chunks, own, a.astype(np.uint32), b.astype(np.uint32))
     return out
 
 
+def whole_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row's bytes."""
+    padded = np.zeros((len(rows), -(-rows.shape[1] // 8) * 8), np.uint8)
+    padded[:, : rows.shape[1]] = rows
+    out = np.zeros(len(rows), np.uint64)
+    for column in padded.view(np.uint64).T:
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out
+
+
 def carried(batch: pa.RecordBatch, rows: np.ndarray) -> np.ndarray:
     """The columns from the fourth on of some rows, as bytes."""
     if batch.num_columns < 4:
@@ -348,72 +440,60 @@ def second_pass(docs: DataFrame, places: DataFrame, hot: np.ndarray, length: int
     return docs.groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(lambda a, b: returned(work, a.select(["chunk", "blob"]), b.select(["chunk", "blob"])), T.StructType(ROWS))
 
 
+def later_windows(key: np.ndarray, doc: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of each window of contexts, sorted by key, that a smaller document's context of the same key has."""
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    cuts = [*start[np.flatnonzero(np.diff(start // CONTEXTS, prepend=-1))].tolist(), len(key)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):  # whole keys, so that a very large one is a part of its own
+        group = np.searchsorted(start, np.arange(a, b), "right")
+        todo = fitting(left[a:b], right[a:b], length)
+        row, column = np.nonzero(todo)
+        sums = np.concatenate([window_sums(rows[c : min(b, c + CONTEXTS)], length) for c in range(a, b, CONTEXTS)])[row, column]
+        todo[row, column] = shared_by_two(sums + mix((group[row] * rows.shape[1] + column).astype(np.uint64)))
+        some = np.flatnonzero(todo.any(1))
+        if len(some):
+            row, column = np.nonzero(streamed(rows[a + some], group[some], doc[a + some], todo[some], length))
+            out.append((a + some[row], column))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def matched(dealt: DataFrame, length: int, chunks: int) -> DataFrame:
     """Ranges of bytes to remove, by chunk."""
     before, width = length - GRAM, 2 * length - GRAM
 
-    def indexed(key: np.ndarray, text: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Row and offset from the anchor of each window that a smaller document has, by run-length indexes of whole keys."""
-        sizes = left.astype(np.int64) + right + 1
-        ends = np.cumsum(sizes)
-        cuts, last = [0], 0
-        for k in (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist():
-            if ends[k - 1] - last >= INDEX_BYTES:
-                cuts.append(k)
-                last = int(ends[k - 1])
-        rows, offsets = [], []
-        for a, b in zip(cuts, [*cuts[1:], len(key)], strict=True):
-            order = a + np.argsort(doc[a:b], kind="stable")
-            column = np.arange(width + 1)[None, :]
-            l, r = left[order].astype(np.int64), right[order].astype(np.int64)
-            padded = np.concatenate([text[order], np.zeros((len(order), 1), np.uint8)], 1)
-            used = (column >= (before - l)[:, None]) & (column <= (before + r)[:, None])
-            flat, own = padded[used], np.cumsum(l + r + 1) - 1
-            flat[own] = 0
-            found = RunIndex.build(flat, own, doc[order], length).stream(flat, own, doc[order])
-            string = np.searchsorted(own, found)
-            rows.append(order[string])
-            offsets.append(found - (own[string] - r[string]))
-        return np.concatenate(rows), np.concatenate(offsets)
-
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, windows = [], []
         for batch in batches:
             ready = list(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))
             yield rows_of([r for r in ready if r[1] >= 0])
-            parts += [unpacked(x, np.uint64, np.uint64, np.int64, np.int32, np.uint32, np.uint8, np.uint8, np.uint8) for _, c, x in ready if c == ENTRY]
-            windows += [unpacked(x, np.uint64, np.int64, np.int32, np.uint32) for _, c, x in ready if c == HOT]
+            parts += [unpacked(x, np.int64, np.int32, np.uint32, np.uint16, np.uint16, np.uint8) for _, c, x in ready if c == ENTRY]
+            windows += [unpacked(x, np.uint64, np.int64, np.int32, np.uint32, np.uint8) for _, c, x in ready if c == HOT]
         ranges = []
         if parts:
-            key, context, doc, own, place, left, right, text = (np.concatenate(x) for x in zip(*parts, strict=True))
+            doc, own, place, left, right, text = (np.concatenate(x) for x in zip(*parts, strict=True))
             parts.clear()
             place, text = place.astype(np.int64), text.reshape(-1, width)
-            order, later = settle(context, doc)
+            key = gram_hash(*(np.ascontiguousarray(text[:, before + k : before + k + 8]).view("<u8").ravel() for k in (0, 8, GRAM - 8)))
+            order, first, later = settled(key ^ mix(whole_hash(text)), doc, text, left, right)
             gone = order[later]
             ranges.append((doc[gone], own[gone], place[gone] - left[gone], place[gone] + right[gone]))
-            order = order[~later]
-            c = context[order]
-            first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            last = np.concatenate([first[1:], [len(order)]])
-            # equal strings around an anchor agree in half of the rest before it or after it
-            half, some = (length - GRAM) // 2, np.flatnonzero(shared_by_two(key[order[first]]))
-            rows = text[order[first[some]]]
-            some = some[shared_by_two(column_hash(rows, before - half, before + GRAM)) | shared_by_two(column_hash(rows, before, before + GRAM + half))]
+            size = np.add.reduceat((~later).astype(np.int64), first)  # the smallest document's places, which share their windows
+            some = np.flatnonzero(shared_by_two(key[order[first]]))
             some = some[np.argsort(key[order[first[some]]], kind="stable")]
             chosen = order[first[some]]
-            if len(chosen):
-                rows, offsets = indexed(key[chosen], text[chosen], left[chosen], right[chosen], doc[chosen])
-                # the rows of one document that share a context share its windows
-                counts = (last - first)[some][rows]
+            rows, columns = later_windows(key[chosen], doc[chosen], left[chosen], right[chosen], text[chosen], length)
+            if len(rows):
+                counts = size[some][rows]
                 where = np.repeat(first[some][rows] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
                 hit = order[where]
-                at = place[hit] + np.repeat(offsets, counts)
+                at = place[hit] + np.repeat(columns, counts) - before
                 ranges.append((doc[hit], own[hit], at, at + length))
         if windows:
-            h, doc, own, place = (np.concatenate(x) for x in zip(*windows, strict=True))
-            order, later = settle(h, doc)
+            h, doc, own, place, text = (np.concatenate(x) for x in zip(*windows, strict=True))
+            order, _, later = settled(h, doc, text.reshape(-1, length))
             gone = order[later]
-            ranges.append((doc[gone], own[gone], place[gone], place[gone] + np.uint32(length)))
+            ranges.append((doc[gone], own[gone], place[gone].astype(np.int64), place[gone].astype(np.int64) + length))
         if ranges:
             d, o, a, b = (np.concatenate(x) for x in zip(*ranges, strict=True))
             yield rows_of(list(by_chunk(d, chunks, o, a.astype(np.uint32), b.astype(np.uint32))))
@@ -469,42 +549,66 @@ def result(docs: DataFrame, ranges: DataFrame, length: int, keep_text: bool, ext
     return docs.groupBy("chunk").cogroup(ranges.groupBy("chunk")).applyInArrow(lambda a, b: returned(work, a.select(["blob"]), b.select(["blob"])), T.StructType(fields))
 
 
-def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+def hot_anchors(places: DataFrame) -> np.ndarray:
+    """Sorted keys of the anchors to be dealt by windows: fewer than ``HOT_SHARE``."""
+    rows = places.where(F.col("chunk") == HOT).select("blob")
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(unpacked(x, np.uint64, np.int64, np.int64)[2][0]) for x in batch.column(0).to_pylist()], pa.int64())], names=["n"])
+
+    every = map_batches(rows, totals, [T.StructField("n", T.LongType())]).agg(F.sum("n")).first()[0] or 0
+    least = max(HOT_DOCS, every // HOT_SHARE + 1)
+
+    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in batch.column(0).to_pylist():
+                keys, counts, _ = unpacked(x, np.uint64, np.int64, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys[counts >= least].view(np.int64))], names=["key"])
+
+    found = [r[0] for r in map_batches(rows, frequent, [T.StructField("key", T.LongType())]).collect()]
+    return np.sort(np.array(found, np.int64).view(np.uint64))
+
+
+def dedup_bytes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, keep_text: bool = False, extra: tuple[str, ...] = (), chunk_bytes: int = 64 << 20) -> DataFrame:
     """One row per input row: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``; with ``keep_text`` also ``kept_text``; and the columns ``extra``.
 
     Removed is each byte covered by a string of ``length`` bytes that also begins in a document with a
     smaller id; strings are judged on the input. A null or empty text has no bytes. Rows with one id are
     neither smaller nor larger than each other. A row with a null id keeps all its bytes and removes no
     others. Other columns are ignored, an empty table gives an empty one. Texts are taken whole.
-    ``kept_text`` leaves out characters of which only some bytes are kept. ``length`` is at least 32.
+    ``kept_text`` leaves out characters of which only some bytes are kept. ``length`` is at least 32 and
+    ids are integers; anything else is an error. There are as many chunks and buckets as shuffle partitions,
+    and more where they would get over ``chunk_bytes`` of text.
     """
+    if length < 32:
+        raise ValueError("length must be 32 or more")
+    if not isinstance(df.schema[id_col].dataType, T.IntegralType):
+        raise ValueError(f"{id_col} must be an integer column")
     spark = df.sparkSession
     stored = Stored(spark)
     own = [F.col(c).alias(f"extra_{c}") for c in extra]
     every = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *own)
-    docs = every.select("id", "text")
-    chunks = int(spark.conf.get("spark.sql.shuffle.partitions")) | 1
-    same = docs.where("id is not null").select("id", F.sha2(F.col("text").cast("binary"), 256).alias("h"))
-    firsts = stored(same.groupBy("h").agg(F.min("id").alias("least"), F.count("*").alias("n")).where("n > 1").select("h", "least"))
-    copies = stored(same.join(small(firsts), "h").where("id > least").select("id", "h").distinct())
-    copies_small = small(copies)
-    with_hash = docs.withColumn("h", F.sha2(F.col("text").cast("binary"), 256))
-    unique = with_hash.where("id is not null").join(copies_small, ["id", "h"], "left_anti").drop("h")
-    places = stored(repeated(first_pass(unique, length, chunks).repartition("bucket"), chunks))
+    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+    digests = stored(every.select("id", sha.alias("h"), F.octet_length("text").alias("n")))
+    n_bytes = digests.agg(F.sum("n")).first()[0] or 0
+    chunks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // chunk_bytes)) | 1
+    same = digests.where("id is not null").where(F.col("n") >= length).select("id", "h")
+    firsts = stored(same.groupBy("h").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h", "least"))
+    copies = same.join(small(firsts), "h").where("id > least").groupBy("id").agg(F.collect_set("h").alias("copied"))
+    copies = small(stored(copies))
+    stored.drop(digests, firsts)
+    # the texts of ids with a copy are hashed again, no others
+    flagged = every.join(copies, "id", "left").withColumn("copy", F.when(F.col("copied").isNull(), False).otherwise(F.array_contains("copied", sha)))
+    flagged = flagged.select("id", "text", "copy", *(f"extra_{c}" for c in extra))
+    unique = flagged.where("id is not null and not copy").select("id", "text")
+    dealt = lambda rows: rows.repartitionById(chunks, "bucket")
+    places = stored(repeated(dealt(first_pass(unique, length, chunks)), chunks))
     stored.release()
-    frequent: dict[int, int] = {}
-    hot_rows = places.where(F.col("chunk") == HOT).select("blob")
-    for row in hot_rows.toLocalIterator():
-        keys, counts = unpacked(row[0], np.uint64, np.int64)
-        frequent |= dict(zip(keys.tolist(), counts.tolist(), strict=True))
-        if len(frequent) > 4 * HOT_KEYS:
-            frequent = dict(sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:HOT_KEYS])
-    hot = np.sort(np.array([k for k, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0]))[:HOT_KEYS]], np.uint64))
-    texts = dealt_texts(unique.select("id", "text", F.lit(False).alias("copy")), chunks)
-    ranges = stored(matched(second_pass(texts, places.where("chunk >= 0").select("chunk", "blob"), hot, length, chunks).repartition("bucket"), length, chunks))
+    hot = hot_anchors(places)
+    texts = dealt_texts(unique.withColumn("copy", F.lit(False)), chunks)
+    ranges = stored(matched(dealt(second_pass(texts, places.where("chunk >= 0").select("chunk", "blob"), hot, length, chunks)), length, chunks))
     stored.drop(places)
     stored.release()
-    flagged = every.withColumn("h", F.sha2(F.col("text").cast("binary"), 256)).join(copies_small.withColumn("copy", F.lit(True)), ["id", "h"], "left")
-    flagged = flagged.select("id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), *(f"extra_{c}" for c in extra))
     out = result(dealt_texts(flagged, chunks), ranges.select("chunk", "blob"), length, keep_text, [df.schema[c] for c in extra])
     return out.withColumn("id", F.col("id").cast(df.schema[id_col].dataType)).withColumnRenamed("id", id_col)

@@ -75,10 +75,26 @@ def test_jaccard_is_exact(spark, monkeypatch, tile):
 
 def test_jaccard_odd_rows(spark):
     found = Counter((r["doc_id"], r["component_id"]) for r in jaccard.near_duplicates(odd(spark)).collect())
+    assert found[4, 4] == 1 and found[8, 8] == 1 and found[6, 6] == 1 and sum(found.values()) == odd(spark).count()
     assert found[5, 5] == 2 and found[7, 5] == 1 and found[None, None] == 1 and found[1, 1] == found[2, 2] == found[3, 3] == found[10, 10] == 1
     assert jaccard.near_duplicates(empty(spark)).count() == 0
 
 
+def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE", 4)
+    rng = random.Random(2)
+    rows = [(1, k, rng.choice([60, 61, 70, 75, 80, 95, 100, 120, 400]), 0 if k < 60 else rng.randrange(1, 9)) for k in range(90)] + [(2, k, 50, k % 2) for k in range(3)] + [(3, k, 50, 7) for k in range(9)]
+    own = spark.createDataFrame(rows, "tile BIGINT, b BIGINT, n BIGINT, label BIGINT")
+    groups = defaultdict(list)
+    for r in jaccard.blocked(own, 80).collect():
+        groups[r["tile"], r["low"], r["high"]].append((r["b"], r["block"]))
+    met = Counter((t, *sorted((x, y))) for (t, low, high), g in groups.items() for i, (x, p) in enumerate(g) for y, q in g[:i] if low == high or p != q)
+    info = {(t, b): (n, y) for t, b, n, y in rows}
+    wanted = {(t, a, b) for (t, a), (n, y) in info.items() for (u, b), (m, z) in info.items() if t == u and a < b and y != z and 100 * min(n, m) >= 80 * max(n, m)}
+    assert wanted <= set(met) and max(met.values()) == 1 and all(k[0] < 3 for k in groups)
+    assert max(len(g) for k, g in groups.items()) < 40 and len(met) < 90 * 89 / 2
+
+
 def test_overlap_bound_is_never_below():
     rng = np.random.default_rng(2)
     for _ in range(200):
@@ -129,17 +145,53 @@ def digests(df):
     return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect())
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_removal_is_exact(spark, monkeypatch, hot):
+PASSAGES = planted(6, 10) + [(1000 + k, "é" * k + "ab" * 60 + "q" * (k % 7)) for k in range(12)] + [(2000, "x" * 49), (2001, "x" * 49), (2002, "y" * 50), (2003, "zy" + "y" * 50)]
+
+
+@pytest.mark.parametrize(("hot", "index", "chunk"), [(4096, 1 << 20, 1 << 26), (2, 1 << 20, 1 << 26), (4096, 200, 1 << 26), (4096, 1 << 20, 4000)])
+def test_removal_is_exact(spark, monkeypatch, hot, index, chunk):
     monkeypatch.setattr(dedup, "HOT_DOCS", hot)
-    rows = planted(6, 10) + [(1000 + k, "é" * k + "ab" * 60 + "q" * (k % 7)) for k in range(12)] + [(2000, "x" * 49), (2001, "x" * 49), (2002, "y" * 50), (2003, "zy" + "y" * 50)]
-    assert digests(dedup.dedup_bytes(documents(spark, rows))) == brute_removed(rows)
-    rows = [(r["doc_id"], r["text"]) for r in sample(spark).limit(120).collect()]
-    assert digests(dedup.dedup_bytes(documents(spark, rows))) == brute_removed(rows)
+    monkeypatch.setattr(dedup, "INDEX_BYTES", index)
+    assert digests(dedup.dedup_bytes(documents(spark, PASSAGES), chunk_bytes=chunk)) == brute_removed(PASSAGES)
+    rows = [(r["doc_id"], r["text"]) for r in sample(spark).collect()]
+    assert digests(dedup.dedup_bytes(sample(spark), chunk_bytes=chunk * 100)) == brute_removed(rows)
+
+
+def later_windows(texts, docs, length):
+    before, width = length - dedup.GRAM, 2 * length - dedup.GRAM
+    rows = np.stack([np.frombuffer(x.encode().ljust(width, b"\0"), np.uint8) for x in texts])
+    n, left = len(texts), np.full(len(texts), before)
+    row, column = dedup.later_windows(np.zeros(n, np.uint64), np.array(docs), left, np.full(n, length), rows, length)
+    return {*zip(row.tolist(), column.tolist(), strict=True)}
+
+
+@pytest.mark.parametrize("index", [1 << 20, 300])
+def test_later_windows_are_those_of_smaller_documents(monkeypatch, index):
+    monkeypatch.setattr(dedup, "INDEX_BYTES", index)
+    rng = random.Random(9)
+    pool = ["".join(rng.choices("ab", k=60)) for _ in range(6)]
+    texts = [(lambda x, k, m: x[k : k + m] + "#" * (k % 3) + x[k + m : k + 60])(rng.choice(pool), 0, rng.randrange(20, 60)).ljust(60, rng.choice("ab"))[:60] for _ in range(70)]
+    docs = sorted(rng.choices(range(40), k=70))
+    expected = {(i, k) for i in range(70) for k in range(21) if any(docs[j] < docs[i] and texts[j][k : k + 40] == texts[i][k : k + 40] for j in range(70))}
+    found = later_windows(texts, docs, 40)
+    assert expected <= found  # a window may also stand elsewhere in an earlier context
+    assert all(any(docs[j] < docs[i] and texts[i][k : k + 40] in texts[j] for j in range(70)) for i, k in found)
+
+
+def test_bytes_decide_when_hashes_collide(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "whole_hash", lambda rows: np.zeros(len(rows), np.uint64))
+    monkeypatch.setattr(dedup, "window_sums", lambda rows, length: np.zeros((len(rows), rows.shape[1] - length + 1), np.uint64))
+    h, rows = np.zeros(40, np.uint64), np.random.default_rng(0).integers(0, 2, (40, 3)).astype(np.uint8)
+    order, first, later = dedup.settled(h, np.arange(40)[::-1], rows)
+    assert [rows[order[i]].tolist() for i in first] == sorted({tuple(r) for r in rows.tolist()}, key=bytes) or len(first) == len({tuple(r) for r in rows.tolist()})
+    assert (~later).sum() == len(first)
+    texts = ["x" * k + "common words " * 5 + "y" * (40 - k) for k in range(9)]
+    texts = [t.ljust(110, "z")[:110] for t in texts]
+    assert later_windows(texts, list(range(9)), 60) == {(i, k) for i in range(9) for k in range(41) if any(texts[i][k : k + 60] in texts[j] for j in range(i))}
 
 
 def test_removal_odd_rows(spark):
-    df = odd(spark).where("doc_id is null or doc_id <> 4")
+    df = odd(spark)
     rows = [(r["doc_id"], r["text"]) for r in df.where("doc_id is not null").collect()]
     found = digests(dedup.dedup_bytes(df))
     unknown = [k for k in found if k[0] is None]
@@ -148,20 +200,35 @@ def test_removal_odd_rows(spark):
     assert dedup.dedup_bytes(empty(spark)).count() == 0
     twice = [(1, WORDS * 2), (1, WORDS + "more"), (2, WORDS)]
     assert {k[:3] for k in digests(dedup.dedup_bytes(documents(spark, twice)))} == {(1, len(WORDS) * 2, 0), (1, len(WORDS) + 4, 0), (2, len(WORDS), len(WORDS))}
+    with pytest.raises(ValueError):
+        dedup.dedup_bytes(df.withColumn("doc_id", F.col("doc_id").cast("string")))
 
 
-def test_run_index_streams_matching_statistics():
+def test_removal_of_long_strings(spark):
+    rows = [(1, "a" * 5 + WORDS * 6), (2, "b" * 9 + WORDS * 6), (3, WORDS * 2)]
+    expected = brute_removed(rows, 300)
+    assert digests(dedup.dedup_bytes(documents(spark, rows), length=300)) == expected
+
+
+def test_matching_statistics():
     rng = np.random.default_rng(4)
-    pool = bytes(rng.integers(97, 101, 400).astype(np.uint8))
-    strings = [pool[a : a + int(rng.integers(30, 90))] for a in rng.integers(0, 310, 60)]
-    flat = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    ends = np.cumsum([len(s) + 1 for s in strings]) - 1
-    owners = np.sort(rng.integers(0, 40, 60))
-    index = RunIndex.build(flat, ends, owners, 40)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    expected = {int(starts[i]) + k for i, s in enumerate(strings) for k in range(len(s) - 39) if any(s[k : k + 40] in strings[j] for j in range(60) if owners[j] < owners[i])}
-    assert set(index.stream(flat, ends, owners).tolist()) == expected and len(index.starts) < len(flat)
-    assert (index.first_sample[0], len(index.first_sample)) == (int(ends[0]), len(index.last_sample))
+    for blocks in (1, 3):
+        pool = bytes(rng.integers(97, 99 + blocks, 300).astype(np.uint8))
+        cut = lambda n: [pool[a : a + int(rng.integers(1, 60))] for a in rng.integers(0, 240, n)]
+        flat = lambda x: (np.frombuffer(b"\0".join(x) + b"\0", np.uint8), np.cumsum([len(s) + 1 for s in x]) - 1)
+        strings, own = cut(40), np.sort(np.append(np.arange(blocks), rng.integers(0, blocks, 40 - blocks)))
+        patterns, theirs = [x[:9] + b"?" * (k % 2) + x[9:] for k, x in enumerate(cut(30))], rng.integers(0, blocks, 30)
+        text, ends = flat(strings)
+        index = RunIndex.build(text, ends, own)
+        assert index.runs < len(text)
+        flat_patterns, stops = flat(patterns)
+        length, place = index.statistics(flat_patterns, stops, theirs)
+        for x, stop, b in zip(patterns, stops.tolist(), theirs.tolist(), strict=True):
+            others = [s for s, o in zip(strings, own.tolist(), strict=True) if o == b]
+            for k in range(len(x)):
+                n, at = int(length[stop - len(x) + k]), int(place[stop - len(x) + k])
+                assert n == max(m for m in range(len(x) - k + 1) if any(x[k : k + m] in s for s in others))
+                assert text[at : at + n].tobytes() == x[k : k + n] and (not n or own[np.searchsorted(ends, at)] == b)
 
 
 def test_pipeline_stages_work_on_what_is_left(spark, tmp_path):
@@ -205,5 +272,12 @@ def test_pipeline_removes_frequent_lines_of_large_hosts(spark):
     assert len(out) == 400 and out[0] == own(0) + "\nsame line" and all(out[i] == own(i) for i in range(1, 400))
 
 
+def test_pipeline_keeps_different_texts_of_an_id(spark):
+    text = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    docs = documents(spark, [(1, text(1)), (1, text(2)), (1, text(2)), (2, text(1)), (3, text(3)), (None, text(1)), (None, text(1))]).select(*corpus_pipeline.COLUMNS)
+    out = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies_stage(spark, docs, "").collect())
+    assert out == {(1, text(1)): 1, (1, text(2)): 1, (3, text(3)): 1, (None, text(1)): 2}
+
+
 def test_case_table(spark):
     assert odd(spark).columns == [c.split()[0] for c in COLUMNS.split(", ")] and len(row(1, "a")) == len(odd(spark).columns)
