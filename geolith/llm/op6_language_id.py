@@ -13,7 +13,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,18 +152,26 @@ def has_letter(texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.nda
 
 
 def sample(df: DataFrame, learn: Column, most: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """About ``most`` labelled documents of each language, those with the smallest hashes of their ids."""
-    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    part = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / (1 << 30)
-    counts = rows.groupBy(lang_col).count().collect()  # a row for each language
+    """About ``most`` different texts of each language, those with the smallest hashes, and never over twice as many.
+
+    Rows with a null id are not learned from; equal texts of a language count once, whatever their ids.
+    """
+    rows = df.where(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
+    part = F.pmod(F.xxhash64(F.col(lang_col), F.col(text_col)), F.lit(1 << 30)) / (1 << 30)
+    rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), part.alias("part"))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("part").alias("n")).collect()  # a row for each language
     keep = F.lit(False)
     for lang, n in counts:
-        keep = keep | ((F.col(lang_col) == lang) & (part < most / n))
-    return rows.where(keep).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+        keep = keep | ((F.col("lang") == lang) & (F.col("part") < most / max(1, n)))
+    order = Window.partitionBy("lang").orderBy("part", "text")
+    return rows.where(keep).dropDuplicates(["lang", "text"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= 2 * most).select("lang", "text")
 
 
 def learn_model(df: DataFrame, learn: Column, most: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """The model fitted on about ``most`` documents of each language among those where ``learn`` holds."""
+    """The model fitted on about ``most`` documents of each language among those where ``learn`` holds; null without any.
+
+    Null texts, languages and ids are not learned from, and equal texts once.
+    """
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
