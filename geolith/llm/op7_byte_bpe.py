@@ -2,13 +2,14 @@
 
 Each row of a matrix is one piece. In each round every row that still has a mergeable pair merges its
 leftmost pair of minimum rank, found by a hashed pair table, and the matrix is compacted by a column.
+A row of a very long piece merges all its pairs of minimum rank in one round, from the left, where that is
+the same as merging them one after the other.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ from geolith.llm.pieces import PieceCache, gather
 
 NONE = np.int32(2**31 - 1)
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Cells of one matrix, and bytes from which a piece has its own list of pairs instead of a row.
+#: Cells of one matrix, and bytes from which a row merges all its pairs of minimum rank in a round.
 CELLS, LONG_PIECE = 1 << 19, 256
 
 
@@ -142,28 +143,39 @@ class Encoder:
                 ranks[right, at[right]] = self.pairs(best[right], ids[right, at[right] + 1])
 
     def long(self, piece: bytes) -> np.ndarray:
-        """The same merges for one long piece, with a heap of its pairs."""
+        """The same merges for a matrix of one row, many in a round.
+
+        Merging a pair makes pairs with the new token. While each of these has a larger rank than the pair, the
+        next merges are the other pairs of this rank, from the left; where one hasn't, only the leftmost merges.
+        """
         ids = self.bytes[np.frombuffer(piece, np.uint8)]
-        first = self.pairs(ids[:-1], ids[1:])
-        ids = ids.tolist()
-        after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
-        heap = [(r, i) for i, r in enumerate(first.tolist()) if r != NONE]
-        heapq.heapify(heap)
-        current = first.tolist() + [int(NONE)]
-        while heap:
-            rank, i = heapq.heappop(heap)
-            if current[i] != rank:
-                continue
-            j = after[i]
-            ids[i], after[i], current[j], ids[j] = rank, after[j], -1, -1
-            if after[i] >= 0:
-                before[after[i]] = i
-            for k in (before[i], i):
-                if k >= 0:
-                    current[k] = int(self.pairs(np.array([ids[k]]), np.array([ids[after[k]]]))[0]) if after[k] >= 0 else int(NONE)
-                    if current[k] != NONE:
-                        heapq.heappush(heap, (current[k], k))
-        return np.array([x for x in ids if x >= 0], np.int32)
+        ranks = self.pairs(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            run = np.arange(len(at)) - at  # neighbouring pairs overlap: of a run of them every second one merges
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            at = at[(np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))) % 2 == 0]
+            merged, after = self.merge(ids, ranks, at, best)
+            right = ids[at[:-1] + 2]  # the pairs with what followed, before that merged itself
+            if len(at) > 1 and (after.min(initial=NONE) <= best or self.pairs(np.full(len(right), best), right).min() <= best):
+                merged, after = self.merge(ids, ranks, at[:1], best)
+            ids, ranks = merged, after
+        return ids
+
+    def merge(self, ids: np.ndarray, ranks: np.ndarray, at: np.ndarray, best: np.int32) -> tuple[np.ndarray, np.ndarray]:
+        """The row with the pairs at ``at`` merged, and the ranks of its pairs."""
+        ids = ids.copy()
+        ids[at] = best
+        keep = np.ones(len(ids), bool)
+        keep[at + 1] = False
+        out = ids[keep]
+        new = at - np.arange(len(at))  # where the merged tokens are now
+        after = ranks[keep[1:]] if len(out) > 1 else ranks[:0]
+        touched = np.unique(np.concatenate([new - 1, new]))
+        touched = touched[(touched >= 0) & (touched < len(out) - 1)]
+        after = after[: len(out) - 1].copy()
+        after[touched] = self.pairs(out[touched], out[touched + 1])
+        return out, after
 
     def decode(self, ids: np.ndarray) -> bytes:
         return gather(self.pool, self.starts[ids], self.lengths[ids]).tobytes()

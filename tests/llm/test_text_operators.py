@@ -20,6 +20,7 @@ from geolith.llm import op6_language_id as language
 from geolith.llm import op7_byte_bpe as bpe
 from geolith.llm import op8_token_counts as counts
 from geolith.llm import op9_url_filters as urls
+from geolith.llm import shared
 from geolith.llm.op10_quality_rules import Limits, quality
 from geolith.llm.registry import fold
 from tests.llm.cases import WORDS, documents, empty, odd, sample
@@ -87,6 +88,41 @@ def test_bpe_on_random_text(reference):
         assert encoder.decode(pieces.of(numbers)) == text.encode()
 
 
+def test_bpe_of_long_pieces(reference):
+    rng = random.Random(8)
+    encoder, _ = bpe.cache(RANKS, P.PATTERN)
+    for alphabet, n in (("ab", 5000), ("a", 4097), ("etaoinsrhl", 5000), ("thequickbrown", 20_000), ("aé", 900), ("xyzab", 257)):
+        piece = "".join(rng.choices(alphabet, k=n))
+        expected = reference.encode_ordinary(piece)
+        assert encoder.long(piece.encode()).tolist() == expected and encoder([piece])[0].tolist() == expected
+        out = [None]
+        if n <= 1000:
+            encoder.matrix([piece.encode()], [0], out)
+            assert out[0].tolist() == expected
+
+
+def test_bpe_of_long_pieces_with_any_ranks():
+    """A later token may have a smaller rank than its parts; then merges go one by one."""
+    rng = random.Random(3)
+    for _ in range(40):
+        tokens = {bytes([i]) for i in range(256)}
+        while len(tokens) < 330:
+            tokens.add("".join(rng.choices("abc", k=rng.randrange(2, 6))).encode())
+        order = rng.sample(sorted(tokens), len(tokens))
+        encoder = bpe.Encoder.__new__(bpe.Encoder)
+        encoder.ranks = {t: r for r, t in enumerate(order)}
+        encoder.pairs, encoder.bytes = bpe.PairTable(encoder.ranks), np.array([encoder.ranks[bytes([i])] for i in range(256)], np.int32)
+        piece = "".join(rng.choices("abc", k=60)).encode()
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            ranks = [encoder.ranks.get(parts[i] + parts[i + 1], 1 << 30) for i in range(len(parts) - 1)]
+            if not ranks or min(ranks) == 1 << 30:
+                break
+            i = ranks.index(min(ranks))
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        assert encoder.long(piece).tolist() == [encoder.ranks[p] for p in parts]
+
+
 @pytest.mark.parametrize("path", [JSON, P.path("word_bpe_49k.json"), P.path("piece_bpe_32k.model")])
 def test_token_counts(spark, path):
     encode, _ = counts.load(path)
@@ -152,6 +188,38 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in language.identify(documents(spark, [(3, "any words")]), one).collect()} == {"en"}
 
 
+def test_language_sample_is_bounded(spark):
+    rows = [(None if k % 2 else 7, f"{WORDS} {k}") for k in range(4000)] + [(k, WORDS) for k in range(2000)]
+    found = language.sample(documents(spark, rows), F.lit(True), 100, "doc_id", "text", "lang").collect()
+    assert 50 <= len(found) <= 200 and len({r["text"] for r in found}) == len(found)
+    again = language.sample(documents(spark, rows[::-1]), F.lit(True), 100, "doc_id", "text", "lang").collect()
+    assert {r["text"] for r in found} == {r["text"] for r in again}
+
+
+def test_language_is_brute_force(spark):
+    """Every prediction recomputed from dense vectors, family first, then votes of the pairs."""
+    df = sample(spark)
+    model = language.learn_model(df, F.lit(True))
+    rows = {r["doc_id"]: r["text"] for r in df.where("text is not null").collect()}
+    for r in language.identify(df, model).collect():
+        text = rows.get(r["doc_id"])
+        if not text or not any(c.isalpha() for c in text):
+            assert r["lang_pred"] == "und"
+            continue
+        data = text.lower().encode()
+        vector = np.zeros(1 << language.BITS)
+        for k in range(len(data) - 2):
+            n = data[k] | data[k + 1] << 8 | data[k + 2] << 16
+            vector[(n * 0x9E3779B1 % (1 << 32)) >> (32 - language.BITS)] += 1
+        margins = vector / max(1, len(data) - 2) @ model.weights + model.biases
+        group = model.families[int(margins[: len(model.families)].argmax())] if len(model.families) > 1 else model.families[0]
+        own = {x: 0 for x in model.members[group]}
+        for k, (a, b) in enumerate(model.pairs, len(model.families)):
+            if a in own:
+                own[a if margins[k] >= 0 else b] += 1
+        assert own[r["lang_pred"]] == max(own.values()) and 0 <= r["score"] <= 1
+
+
 def test_toxicity_finds_planted(spark):
     rng = random.Random(3)
     plain = "the and of to in a is was for on with as by at from house river stone walk green".split()
@@ -282,3 +350,32 @@ def test_quality_removes_frequent_lines(spark):
     assert found[0]["removed_words"] == 0 and found[0]["clean_text"] == rows[0][1]
     assert all(found[i]["removed_words"] == 3 and found[i]["clean_text"] == f"{own(i)}\nrest{i}" and found[i]["kept"] for i in range(1, 30))
     assert not found[100]["kept"] and found[100]["removed_words"] == 90 and found[200]["kept"] and found[300]["removed_words"] == 0
+
+
+def test_quality_counts_documents_not_rows(spark):
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(1, f"{own(1)}\nthe very same line here")] * 25 + [(2, f"{own(2)}\nthe very same line here")] + [(None, f"{own(3)}\nthe very same line here")] * 30
+    found = quality(documents(spark, rows), limits=Limits(line_share=0.0)).collect()
+    assert len(found) == 56 and all(r["removed_words"] == 0 and r["kept"] for r in found)
+
+
+@pytest.mark.parametrize("most", [200_000, 0])
+def test_quality_is_brute_force(spark, monkeypatch, most):
+    """Removed words of each row, with null hosts, repeated rows, lines of spaces and many hot lines, by broadcast and by shuffle."""
+    monkeypatch.setattr("geolith.llm.shared.BROADCAST_ROWS", most)
+    monkeypatch.setattr(shared.small, "__defaults__", (most,))
+    rng = random.Random(11)
+    lines = [f"line {k} of some words" for k in range(12)]
+    rows = [(i // 2 if i % 9 == 0 else i, "\n".join([*rng.sample(lines, rng.randrange(6)), "  ", f"own text {i} " * 30]), "en", rng.choice([None, "", "a", "b"])) for i in range(240)]
+    rows.append((None, f"{lines[0]}\n" + "x " * 80, "en", "a"))
+    having, docs = {}, Counter()
+    norm = lambda x: " ".join(x.lower().split())
+    for i, t, _, host in rows:
+        docs[host or ""] += 1
+        for x in t.split("\n"):
+            if norm(x) and i is not None:
+                having.setdefault((host or "", norm(x)), set()).add(i)
+    hot = {k: min(v) for k, v in having.items() if len(v) > 5 and len(v) > 0.1 * docs[k[0]]}
+    expected = Counter((i, sum(len(x.split()) for x in t.split("\n") if (h or "", norm(x)) in hot and hot[h or "", norm(x)] != i), "\n".join(x for x in t.split("\n") if (h or "", norm(x)) not in hot or hot[h or "", norm(x)] == i)) for i, t, _, h in rows)
+    found = quality(documents(spark, rows), limits=Limits(line_docs=5), keep_text=True).collect()
+    assert hot and Counter((r["doc_id"], r["removed_words"], r["clean_text"]) for r in found) == expected
