@@ -110,12 +110,6 @@ def clip_half_plane(ring: np.ndarray, a: float, b: float, c: float) -> np.ndarra
     return np.array(out).reshape(-1, 2)
 
 
-def clip_box(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float) -> np.ndarray:
-    for a, b, c in ((-1, 0, -x0), (1, 0, x1), (0, -1, -y0), (0, 1, y1)):
-        ring = clip_half_plane(ring, a, b, c)
-    return ring
-
-
 def clip_convex(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     """The part of a ring inside a convex ring."""
     if area(window) < 0:
@@ -126,41 +120,178 @@ def clip_convex(ring: np.ndarray, window: np.ndarray) -> np.ndarray:
     return ring
 
 
-def triangles(ring: np.ndarray) -> list[np.ndarray]:
-    """A simple ring cut into triangles, ear by ear."""
-    points = [tuple(p) for p in (ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring)]
-    if area(np.array(points)) < 0:
-        points.reverse()
-    cross = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    out = []
-    while len(points) > 3:
-        for i in range(len(points)):
-            a, b, c = points[i - 1], points[i], points[(i + 1) % len(points)]
-            if cross(a, b, c) <= 0:
-                continue
-            if any(p not in (a, b, c) and cross(a, b, p) >= 0 and cross(b, c, p) >= 0 and cross(c, a, p) >= 0 for p in points):
-                continue
-            out.append(np.array([a, b, c]))
-            points.pop(i)
-            break
-        else:
-            points.pop(min(range(len(points)), key=lambda i: abs(cross(points[i - 1], points[i], points[(i + 1) % len(points)]))))
-    return [*out, np.array(points)] if len(points) == 3 else out
-
-
-def intersection_area(a: np.ndarray, b: np.ndarray) -> float:
-    """Common area of two simple rings."""
-    return float(sum(abs(area(p)) for s in triangles(a) for t in triangles(b) if len(p := clip_convex(s, t)) > 2))
-
-
-def contains(ring: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether a ring covers each point; its border belongs to it."""
+class Rings:
+    """Many rings as flat arrays: the points of ring k are ``at[k]`` to ``at[k + 1]``; a ring may be empty."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, at: np.ndarray):
+        self.x, self.y, self.at = x, y, at
+
+    @classmethod
+    def of(cls, rings: list) -> Rings:
+        """Of sequences of points, closed or not; repeated last points go."""
+        parts = [np.array([np.asarray(p, float) for p in r], float).reshape(-1, 2) for r in rings]
+        parts = [p[:-1] if len(p) > 1 and (p[0] == p[-1]).all() else p for p in parts]
+        flat = np.concatenate(parts) if parts else np.zeros((0, 2))
+        return cls(flat[:, 0], flat[:, 1], np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64))
+
+    def __len__(self) -> int:
+        return len(self.at) - 1
+
+    @property
+    def ring(self) -> np.ndarray:
+        """The ring of each point."""
+        return np.repeat(np.arange(len(self)), np.diff(self.at))
+
+    @property
+    def following(self) -> np.ndarray:
+        """The next point of each point's ring."""
+        out = np.arange(1, len(self.x) + 1)
+        some = np.diff(self.at) > 0
+        out[self.at[1:][some] - 1] = self.at[:-1][some]
+        return out
+
+    def take(self, rows: np.ndarray) -> Rings:
+        """Copies of some rings."""
+        sizes = np.diff(self.at)[rows]
+        at = np.concatenate([[0], np.cumsum(sizes)])
+        points = np.arange(at[-1]) + np.repeat(self.at[rows] - at[:-1], sizes)
+        return Rings(self.x[points], self.y[points], at)
+
+    def clipped(self, a, b, c) -> Rings:
+        """The parts where a x + b y <= c, with a value for each ring."""
+        ring, n = self.ring, len(self)
+        a, b, c = (np.broadcast_to(np.asarray(v, float), n)[ring] for v in (a, b, c))
+        side = a * self.x + b * self.y - c
+        after = self.following
+        inside, other = side <= 0, side[after] if len(side) else side
+        cross = (side < 0) & (other > 0) | (side > 0) & (other < 0)
+        place = np.cumsum(inside.astype(np.int64) + cross) - cross
+        x, y = (np.empty(int(inside.sum() + cross.sum())) for _ in range(2))
+        x[place[inside] - 1], y[place[inside] - 1] = self.x[inside], self.y[inside]
+        t = side[cross] / (side[cross] - other[cross])
+        x[place[cross]] = self.x[cross] + (self.x[after[cross]] - self.x[cross]) * t
+        y[place[cross]] = self.y[cross] + (self.y[after[cross]] - self.y[cross]) * t
+        sizes = np.bincount(ring, inside.astype(np.int64) + cross, n).astype(np.int64) if n else np.zeros(0, np.int64)
+        return Rings(x, y, np.concatenate([[0], np.cumsum(sizes)]))
+
+    def areas(self) -> np.ndarray:
+        """Signed areas, relative to each ring's first point."""
+        first = np.minimum(self.at[:-1], max(0, len(self.x) - 1))
+        ring, after = self.ring, self.following
+        if not len(self.x):
+            return np.zeros(len(self))
+        x, y = self.x - self.x[first][ring], self.y - self.y[first][ring]
+        return np.bincount(ring, x * y[after] - x[after] * y, len(self)) / 2
+
+    def boxes(self) -> np.ndarray:
+        """x0, y0, x1, y1 of each ring, infinite for an empty one."""
+        out = np.stack([np.full(len(self), v) for v in (np.inf, np.inf, -np.inf, -np.inf)], 1)
+        some = np.diff(self.at) > 0
+        starts = self.at[:-1][some]
+        if len(starts):
+            for k, (values, best) in enumerate(((self.x, np.minimum), (self.y, np.minimum), (self.x, np.maximum), (self.y, np.maximum))):
+                out[some, k] = best.reduceat(values, starts)
+        return out
+
+
+def shape_rings(shape) -> list[np.ndarray]:
+    """The rings of a shape, which is a ring, a list of rings, or a list of lists of rings; every ring of areas within others an odd number of times is a hole."""
+    depth, inner = 0, shape
+    while hasattr(inner, "__len__") and len(inner):
+        depth, inner = depth + 1, inner[0]
+    if depth <= 2:
+        return [shape] if depth else []
+    return list(shape) if depth == 3 else [r for part in shape for r in part]
+
+
+def signed(shape) -> list[np.ndarray]:
+    """The rings of a shape: those around areas counterclockwise, those around holes clockwise."""
+    rings = [np.array([np.asarray(p, float) for p in r], float).reshape(-1, 2) for r in shape_rings(shape)]
+    rings = [r for r in rings if len(r) > 2 and area(r) != 0]
+    out, sizes = [], [abs(area(r)) for r in rings]
+    for k, ring in enumerate(rings):
+        larger = [other for other, size in zip(rings, sizes, strict=True) if size > sizes[k]]
+        depth = 0
+        if larger:
+            x, y = (np.array([v]) for v in inner_point(ring))
+            depth = sum(bool(contains([other], x, y)[0]) for other in larger)
+        out.append(ring if (area(ring) > 0) == (depth % 2 == 0) else ring[::-1])
+    return out
+
+
+def fan(rings: Rings, owner: np.ndarray) -> tuple[Rings, np.ndarray, np.ndarray]:
+    """Triangles from each owner's first point to the edges of its rings, all counterclockwise; their owners; and their signs.
+
+    Summed with their signs, the triangles cover each point of a shape once and any other point not at all.
+    """
+    first = np.unique(owner, return_index=True)[1]
+    point = np.empty(int(owner.max(initial=-1)) + 1, np.int64)
+    point[owner[first]] = rings.at[first]
+    ring, after = rings.ring, rings.following
+    own = owner[ring]
+    o = point[own]
+    turn = (rings.x - rings.x[o]) * (rings.y[after] - rings.y[o]) - (rings.x[after] - rings.x[o]) * (rings.y - rings.y[o])
+    use = turn != 0
+    i, j = np.flatnonzero(use), after[use]
+    i, j = np.where(turn[use] > 0, i, j), np.where(turn[use] > 0, j, i)
+    corners = np.stack([o[use], i, j], 1).ravel()
+    return Rings(rings.x[corners], rings.y[corners], np.arange(0, len(corners) + 1, 3)), own[use], np.sign(turn[use])
+
+
+def within_triangles(rings: Rings, triangles: Rings) -> Rings:
+    """The part of ring k inside the counterclockwise triangle k."""
+    x, y = triangles.x.reshape(-1, 3), triangles.y.reshape(-1, 3)
+    for k in range(3):
+        j = (k + 1) % 3
+        a, b = y[:, j] - y[:, k], x[:, k] - x[:, j]
+        rings = rings.clipped(a, b, a * x[:, k] + b * y[:, k])
+    return rings
+
+
+def flat_shapes(shapes: list) -> tuple[Rings, np.ndarray]:
+    """The signed rings of many shapes, and the shape of each."""
+    found = [signed(s) for s in shapes]
+    return Rings.of([r for f in found for r in f]), np.repeat(np.arange(len(shapes)), [len(f) for f in found])
+
+
+def products(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions i, j with equal values in two ascending arrays."""
+    a, b = np.searchsorted(right, left), np.searchsorted(right, left, "right")
+    i = np.repeat(np.arange(len(left)), b - a)
+    return i, np.arange(len(i)) - np.repeat(np.cumsum(b - a) - (b - a), b - a) + np.repeat(a, b - a)
+
+
+def intersection_areas(left: list, right: list) -> np.ndarray:
+    """Common area of each pair of shapes, which may be concave, have holes and several parts."""
+    a, of_a = flat_shapes(left)
+    b, of_b = flat_shapes(right)
+    if not len(a) or not len(b):
+        return np.zeros(len(left))
+    triangles, own, sign = fan(b, of_b)
+    order = np.argsort(own, kind="stable")
+    triangles, own, sign = triangles.take(order), own[order], sign[order]
+    i, j = products(of_a, own)
+    box_a, box_b = a.boxes()[i], triangles.boxes()[j]
+    use = (box_a[:, :2] < box_b[:, 2:]).all(1) & (box_b[:, :2] < box_a[:, 2:]).all(1)
+    i, j = i[use], j[use]
+    common = within_triangles(a.take(i), triangles.take(j)).areas()
+    return np.maximum(0.0, np.bincount(own[j], common * sign[j], len(left)))
+
+
+def shape_areas(shapes: list) -> np.ndarray:
+    rings, own = flat_shapes(shapes)
+    return np.bincount(own, rings.areas(), len(shapes)) if len(rings) else np.zeros(len(shapes))
+
+
+def contains(rings: list[np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether a shape's rings cover each point: an odd number of them is around it, or it is on a border."""
     inside, border = np.zeros(len(x), bool), np.zeros(len(x), bool)
-    for (x0, y0), (x1, y1) in zip(ring, np.roll(ring, -1, 0), strict=True):
-        cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
-        border |= (cross == 0) & (np.minimum(x0, x1) <= x) & (x <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))
-        if y0 != y1:
-            inside ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
+    for ring in rings:
+        for (x0, y0), (x1, y1) in zip(ring, np.roll(ring, -1, 0), strict=True):
+            cross = (x1 - x0) * (y - y0) - (y1 - y0) * (x - x0)
+            border |= (cross == 0) & (np.minimum(x0, x1) <= x) & (x <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= y) & (y <= np.maximum(y0, y1))
+            if y0 != y1:
+                inside ^= ((y0 > y) != (y1 > y)) & (x < (x1 - x0) * (y - y0) / (y1 - y0) + x0)
     return inside | border
 
 
@@ -216,7 +347,7 @@ def clip_line(line: np.ndarray, ring: np.ndarray) -> list[np.ndarray]:
         cuts = sorted(set(cuts))
         for s, t in zip(cuts[:-1], cuts[1:], strict=True):
             mid = p + (q - p) * (s + t) / 2
-            if contains(ring, np.array([mid[0]]), np.array([mid[1]]))[0]:
+            if contains([ring], np.array([mid[0]]), np.array([mid[1]]))[0]:
                 a, b = p + (q - p) * s, p + (q - p) * t
                 if out and np.allclose(out[-1][-1], a):
                     out[-1].append(b)

@@ -78,3 +78,19 @@ def scenario_weights(part: Column, weight: Column, levels: Column, explicit: Col
 def sensitivity_weights(proxy: Column, explicit_share: Column, observed_share: Column) -> dict[str, Column]:
     """Weights of a published cell under its shares of explicit and observed proxies."""
     return {"ambiguous_removed": proxy * explicit_share, "assumed_half": proxy * (0.5 + 0.5 * observed_share), "assumed_double": proxy * (2 - observed_share)}
+
+
+def cell_weights(buildings: DataFrame, cells: DataFrame, name: str, cell: str, footprint: tuple[float, float] = (12.0, 80_000.0), least_part: float = 1e-8, size: float = 1000.0) -> DataFrame:
+    """Scenario weights of published cells, by the exact parts of buildings in their shapes.
+
+    ``buildings`` has ``ring``, ``levels``, ``weight``, ``explicit``, ``observed`` and ``lifecycle``; those with a footprint out
+    of range count nowhere. A cell that no building touches has no row; ``baseline`` is the weight of the published model.
+    """
+    from geolith.operators.spatial import box_pairs, common_area, ring_area, with_box
+
+    b = with_box(buildings).withColumn("_footprint", ring_area("ring")).where(F.col("_footprint").between(*footprint))
+    pairs = box_pairs(b, with_box(cells), name, cell, size)
+    rows = pairs.join(b, name).join(cells.select(cell, F.col("ring").alias("_shape")), cell).withColumn("_part", common_area("ring", "_shape")).where(F.col("_part") > least_part)
+    found = scenario_weights(*(F.col(c) for c in ("_part", "weight", "levels", "explicit", "observed", "lifecycle")))
+    found["baseline"] = F.col("_part") * F.col("weight") * F.col("levels")
+    return rows.groupBy(cell).agg(*(F.sum(v).alias(k) for k, v in found.items()))

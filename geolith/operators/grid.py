@@ -1,15 +1,14 @@
 """Sparse grids: accumulation over occupied cells and adaptive coarsening.
 
-Coarsening is unrolled over the spans: each level is one aggregation on coarser keys, whose partial
-sums combine before the exchange, and a cell looks up which of its ancestors is the first that stays whole.
+Coarsening is unrolled over the spans: nested windows, which share one exchange, sum each cell's ancestors,
+and a cell joins the first of them that isn't split.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,23 +34,23 @@ def coarsened(df: DataFrame, group: str, maximum: int, minimum: int, sums: Seque
     if rest or factor < 1 or factor & (factor - 1):
         raise ValueError("the sizes' ratio must be a power of two")
     spans = [factor >> k for k in range(factor.bit_length())]
-    levels = []
+    block = lambda c, span: F.floor(F.col(c) / span).cast("bigint")
     for span in spans:
-        n = F.count_distinct(ids) if ids else F.sum(buildings)
-        at = [F.floor(F.col(c) / span).cast("bigint").alias(f"{c}_{span}") for c in ("ix", "iy")]
-        level = df.groupBy(group, *at).agg(*(F.sum(s).alias(s) for s in dict.fromkeys([*sums, proxy])), n.alias("buildings"))
-        crowded = F.lit(span > 1) & ((F.col("buildings") >= split_buildings) | (F.col(proxy) / float((span * minimum / 1000) ** 2) >= split_density))
-        levels.append(level.withColumn("crowded", crowded))
-    out = []
-    for k, (span, level) in enumerate(zip(spans, levels, strict=True)):
-        block = level.where(~F.col("crowded"))
-        for outer, parent in zip(spans[:k], levels[:k], strict=True):  # every coarser block around it is split
-            step = outer // span
-            keys = [F.floor(F.col(f"{c}_{span}") / step).cast("bigint") for c in ("ix", "iy")]
-            p = parent.where("crowded").select(F.col(group).alias("_g"), F.col(f"ix_{outer}").alias("_x"), F.col(f"iy_{outer}").alias("_y"))
-            block = block.join(p, (F.col(group) == F.col("_g")) & (keys[0] == F.col("_x")) & (keys[1] == F.col("_y")), "left_semi")
-        out.append(block.select(group, (F.col(f"ix_{span}") * span).alias("ix"), (F.col(f"iy_{span}") * span).alias("iy"), F.lit(span).alias("span"), *sums, "buildings"))
-    return reduce(DataFrame.unionByName, out)
+        df = df.withColumns({f"_{c}{span}": block(c, span) for c in ("ix", "iy")})
+    own, whole = [group], F.lit(None).cast("int")
+    for span in spans[:-1]:  # the windows nest, so that all share the exchange by the coarsest blocks
+        own = [*own, f"_ix{span}", f"_iy{span}"]
+        if ids:
+            df = df.withColumn("_new", F.coalesce(F.lag(ids).over(Window.partitionBy(*own).orderBy(ids)) != F.col(ids), F.lit(True)).cast("bigint"))
+        n, total = (F.sum(c).over(Window.partitionBy(*own)) for c in ("_new" if ids else buildings, proxy))
+        crowded = (n >= split_buildings) | (total / float((span * minimum / 1000) ** 2) >= split_density)
+        df = df.withColumn(f"_crowded{span}", F.coalesce(crowded, F.lit(False)))
+    for span in reversed(spans[:-1]):
+        whole = F.when(~F.col(f"_crowded{span}"), span).otherwise(whole)
+    df = df.withColumn("span", F.coalesce(whole, F.lit(1)))
+    at = [(block(c, F.col("span")) * F.col("span")).alias(c) for c in ("ix", "iy")]
+    n = F.count_distinct(ids) if ids else F.sum(buildings)
+    return df.groupBy(group, *at, "span").agg(*(F.sum(s).alias(s) for s in dict.fromkeys(sums)), n.alias("buildings"))
 
 
 def visit_order(ix: Column, iy: Column, span: Column, root: int) -> Column:

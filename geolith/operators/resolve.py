@@ -2,52 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolith.functions.text import company_key, compact, email, link_type, phone, strings, unique_by, web_address, web_host
+from geolith.operators.tables import Stored, components
 
 CONTACT_KINDS = ("agency", "realtor", "broker", "developer", "property_manager", "other")
+SOURCES = "array<struct<source_id: string, retrieved_at: string, url: string>>"
 LISTS = ("coverage", "specializations", "phones", "emails", "websites", "addresses")
 
 
-def table(df: DataFrame) -> DataFrame:
-    """``df`` written to the folder that the cluster shares, which cuts its lineage and survives lost executors."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    path = f"{context.getCheckpointDir()}/step-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component): the smallest node that each node of ``edges`` (a, b) is linked with.
-
-    Large-star and small-star contractions alternate until nothing changes; a node's neighbours are never gathered.
-    """
-    edges = table(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = None
-    while True:
-        both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = table(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-        lower = large.groupBy("a").agg(F.min("b").alias("m"))
-        edges = table(large.join(lower, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(lower).distinct())
-        new = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if new == state:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        state = new
-
-
 def normalized(df: DataFrame, region: str) -> DataFrame:
     """Contact records in normal form; those without a name, or without any channel or address, go.
 
-    Columns: record (order), contact_id, name, kind, the lists, links (array of url), source_id.
+    Columns: record (order), contact_id, name, kind, the lists, links (array of url), and optionally ``sources``, an
+    array of (source_id, retrieved_at, url), empty where it is missing.
     """
+    if "sources" not in df.columns:
+        df = df.withColumn("sources", F.array().cast(SOURCES))
+    df = df.withColumn("sources", F.coalesce(F.transform(F.col("sources").cast(SOURCES), lambda x: x.withField("url", web_address(x["url"]))), F.array().cast(SOURCES))).withColumn("review_status", F.lit("needs_review"))
     kind = F.lower(compact(F.col("kind")))
     same = lambda x: F.lower(x)
     df = df.withColumn("name", compact(F.col("name"))).withColumn("kind", F.when(kind.isin(*CONTACT_KINDS), kind).otherwise("other"))
@@ -78,8 +52,11 @@ def merged(df: DataFrame) -> DataFrame:
     """
     df = df.withColumn("keys", evidence(df))
     keyed = df.select("record", F.explode("keys").alias("key"))
-    stars = keyed.join(keyed.groupBy("key").agg(F.min("record").alias("first")), "key").select(F.col("record").alias("a"), F.col("first").alias("b"))
-    found = components(stars)
+    stored = Stored(df.sparkSession)
+    keyed = stored(keyed)
+    firsts = keyed.groupBy("key").agg(F.min("record").alias("first"), F.max("record").alias("last")).where("first < last").select("key", "first")
+    stars = keyed.join(firsts, "key").select(F.col("record").alias("a"), F.col("first").alias("b"))
+    found = components(stars, stored)
     df = df.join(found.withColumnRenamed("node", "record"), "record", "left").withColumn("component", F.coalesce("component", "record"))
     channels = sum((F.size(c) for c in ("phones", "emails", "websites", "links")), F.lit(0))
     df = df.withColumn("rank", F.struct((-channels).alias("c"), (-F.length("name")).alias("l"), F.col("record").alias("r")))
@@ -94,18 +71,54 @@ def merged(df: DataFrame) -> DataFrame:
     lists = lists.groupBy("component").agg(*(F.coalesce(F.first(F.when(F.col("c") == c, F.col("v")), ignorenulls=True), none).alias(c) for c in (*LISTS, "keys", "links")))
     links = F.transform("links", lambda u: F.struct(link_type(u).alias("type"), link_type(u).alias("label"), u.alias("url")))
     out = best.join(lists, "component").select("component", "records", F.col("best.name").alias("name"), F.col("best.kind").alias("kind"), F.col("supplied.id").alias("supplied"), *LISTS, links.alias("links"), F.array_sort("keys").alias("keys"))
+    seen = df.select("component", "rank", F.posexplode("sources").alias("at", "s")).groupBy("component", F.col("s.source_id").alias("k"), F.coalesce("s.url", F.lit("")).alias("u")).agg(F.min(F.struct("rank", "at", "s")).alias("i"))
+    seen = seen.groupBy("component").agg(F.transform(F.array_sort(F.collect_list("i")), lambda x: x["s"]).alias("sources"))
+    out = out.join(seen, "component", "left").withColumn("sources", F.coalesce("sources", F.array().cast(SOURCES))).withColumn("review_status", F.lit("needs_review"))
     identity = F.coalesce(F.get("keys", F.lit(0)), company_key(F.col("name")))
     return out.withColumn("contact_id", F.coalesce("supplied", F.concat(F.lit("contact_"), F.substring(F.sha2(identity, 256), 1, 16)))).drop("supplied")
 
 
 def preserved_ids(df: DataFrame, published: DataFrame) -> DataFrame:
-    """Contacts with the published id that alone owns their evidence; the first of several that claim one gets it."""
+    """Contacts with the published id that alone owns their evidence; of several that claim one, the first by name, then by id, gets it."""
     owners = published.select(F.col("contact_id").alias("owner"), F.explode("keys").alias("key"))
-    claims = df.select("component", F.explode("keys").alias("key")).join(owners, "key").groupBy("component").agg(F.collect_set("owner").alias("owners")).where(F.size("owners") == 1).select("component", F.get("owners", F.lit(0)).alias("owner"))
-    first = claims.groupBy("owner").agg(F.min("component").alias("component"))
+    claims = df.select("component", F.explode("keys").alias("key")).join(owners, "key").groupBy("component").agg(F.min("owner").alias("owner"), F.max("owner").alias("last")).where("owner = last")
+    claims = claims.join(df.select("component", F.struct(F.lower("name").alias("name"), "contact_id", "component").alias("order")), "component")
+    first = claims.groupBy("owner").agg(F.min("order").alias("order")).select("owner", F.col("order.component").alias("component"))
     return df.join(first, "component", "left").withColumn("contact_id", F.coalesce("owner", "contact_id")).drop("owner")
 
 
+def comparable(df: DataFrame) -> Column:
+    """All that two versions of a contact are compared by: not the review's state, nor when a source was read."""
+    columns = [F.transform("sources", lambda x: x.dropFields("retrieved_at")).alias("sources") if c == "sources" else F.col(c) for c in sorted(df.columns) if c not in ("review_status", "contact_id")]
+    return F.sha2(F.to_json(F.struct(*columns)), 256)
+
+
+def delta(previous: DataFrame, candidate: DataFrame) -> DataFrame:
+    """(contact_id, status): added, changed, removed or unchanged between two catalogues of the same columns."""
+    old, new = (df.select("contact_id", comparable(df).alias(c)) for df, c in ((previous, "old"), (candidate, "new")))
+    status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
+    return old.join(new, "contact_id", "full_outer").select("contact_id", status.alias("status"))
+
+
+def catalogue_errors(df: DataFrame, states: tuple[str, ...] = ("needs_review", "published")) -> DataFrame:
+    """(contact_id, error) of contacts that aren't in normal form, for which each form is its own: none if the catalogue is valid."""
+    same = lambda c, form: F.coalesce(F.forall(F.col(c), lambda x: F.coalesce(form(x) == x, F.lit(False))), F.lit(False))
+    filled = lambda c: F.coalesce(F.forall(F.col(c), lambda x: F.coalesce(x != "", F.lit(False))), F.lit(False))
+    rules = {
+        "contact_id": F.coalesce(F.col("contact_id").rlike("^[a-z0-9][a-z0-9_-]{2,63}$"), F.lit(False)),
+        "name": F.coalesce(compact(F.col("name")) != "", F.lit(False)),
+        "kind": F.coalesce(F.col("kind").isin(*CONTACT_KINDS), F.lit(False)),
+        "phones": same("phones", phone), "emails": same("emails", email), "websites": same("websites", web_address),
+        **{c: filled(c) for c in ("coverage", "specializations", "addresses")},
+        "links": F.coalesce(F.forall("links", lambda x: F.coalesce((web_address(x["url"]) == x["url"]) & (compact(x["label"]) != ""), F.lit(False))), F.lit(False)),
+        "sources": F.coalesce(F.forall("sources", lambda x: F.coalesce(x["source_id"].rlike("^[a-z0-9][a-z0-9_-]*$") & (compact(x["retrieved_at"]) != ""), F.lit(False)) & (x["url"].isNull() | F.coalesce(web_address(x["url"]) == x["url"], F.lit(False)))), F.lit(False)),
+        "review_status": F.coalesce(F.col("review_status").isin(*states), F.lit(False)),
+    }
+    found = df.select("contact_id", F.explode(F.array_compact(F.array(*(F.when(~ok, name) for name, ok in rules.items())))).alias("error"))
+    twice = df.groupBy("contact_id").count().where("count > 1").select("contact_id", F.lit("duplicate").alias("error"))
+    return found.union(twice)
+
+
 def searched(df: DataFrame, text: str = "", kind: str = "", coverage: str = "", specialization: str = "") -> DataFrame:
     """Contacts that contain a text in their name or lists, of a kind, area and specialization."""
     if text:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from geolith.functions.geo import geodesic_m
 from geolith.operators.spatial import nearest, overlapping_boxes, pairs_within
+from geolith.operators.tables import Stored
 
 #: The states of a reviewed value, and the fields that may override a model.
 STATUSES = ("unknown", "reported", "conflicting", "confirmed")
@@ -52,26 +54,35 @@ def programme_matches(houses: DataFrame, programme: DataFrame, house_id: str) ->
     return keys.join(programme.select("locality", "street", "number"), ["locality", "street", "number"], "left_semi").select(house_id).distinct()
 
 
-def nearest_on_ellipsoid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, longitude_km: float, latitude_km: float = 111.0, slack: float = 1.05) -> DataFrame:
+def least_km(left: DataFrame, right: DataFrame) -> tuple[float, float]:
+    """Kilometres per degree of longitude and latitude that no two of the points are nearer by; longitudes span 180 degrees at most."""
+    both = left.select("x", "y").union(right.select("x", "y"))
+    top, wide, high = both.agg(F.max(F.abs("y")), F.max("x") - F.min("x"), F.max("y") - F.min("y")).first()
+    chord = lambda degrees: (lambda half: math.sin(half) / half if half else 1.0)(math.radians(min(180.0, degrees or 0.0)) / 2)
+    degree = 0.993 * math.radians(6371.0)  # below the least radius of curvature
+    return degree * math.cos(math.radians(min(89.9, top or 0.0))) * chord(wide), degree * chord(high)
+
+
+def nearest_on_ellipsoid(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """The nearest right point by geodesic metres, ties to the least id; ``x`` and ``y`` are longitude and latitude.
 
-    The plane gives a first distance; all points within it and a slack for the plane's error are measured on the ellipsoid.
+    A plane in which no distance is longer than on the ellipsoid gives a first partner; all points that are
+    in the plane within the geodesic distance of this partner are measured. Longitudes don't wrap and span 180 degrees at most.
     """
-    from geolith.operators.resolve import table
-
-    first = nearest(left, right, left_id, right_id, longitude_km, latitude_km).select(left_id, F.col("distance").alias("_first"))
-    first = table(first.withColumn("_ring", F.ceil(F.log2(F.greatest(F.col("_first"), F.lit(0.001)) * slack)).cast("int")))
-    out = None
-    for (ring,) in first.select("_ring").distinct().collect():  # distances in powers of two: a few dozen at most
-        some = left.join(first.where(F.col("_ring") == ring), left_id)
-        pairs = pairs_within(some, right, left_id, right_id, 2.0**ring, longitude_km, latitude_km).join(first.select(left_id, "_first"), left_id)
-        pairs = pairs.where(F.col("distance") <= F.greatest(F.col("_first"), F.lit(0.001)) * slack).select(left_id, right_id)
-        out = pairs if out is None else out.union(pairs)
-    if out is None:
-        return first.select(left_id, F.lit(None).cast(right.schema[right_id].dataType).alias(right_id), F.col("_first").alias("metres"))
+    stored = Stored(left.sparkSession)
+    kx, ky = least_km(left, right)
     at = lambda df, n, p: df.select(F.col(n), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
-    rows = out.join(at(left, left_id, "a"), left_id).join(at(right, right_id, "b"), right_id)
-    best = rows.withColumn("metres", geodesic_m("ax", "ay", "bx", "by")).groupBy(left_id).agg(F.min(F.struct("metres", right_id)).alias("b"))
+    metres = geodesic_m("ax", "ay", "bx", "by").alias("metres")
+    first = nearest(left, right, left_id, right_id, kx, ky).select(left_id, right_id)
+    first = first.join(at(left, left_id, "a"), left_id).join(at(right, right_id, "b"), right_id).select(left_id, right_id, metres)
+    first = stored(first.withColumn("_ring", F.ceil(F.log2(F.greatest(F.col("metres") / 1000, F.lit(0.001)))).cast("int")))
+    out = first.select(left_id, right_id)
+    for (ring,) in first.select("_ring").distinct().collect():  # distances in powers of two: a few dozen at most
+        some = left.join(first.where(F.col("_ring") == ring).select(left_id, "metres"), left_id)
+        pairs = pairs_within(some, right, left_id, right_id, 2.0**ring, kx, ky).join(first.select(left_id, "metres"), left_id)
+        out = out.union(pairs.where(F.col("distance") * 1000 <= F.col("metres")).select(left_id, right_id))
+    rows = out.distinct().join(at(left, left_id, "a"), left_id).join(at(right, right_id, "b"), right_id)
+    best = rows.withColumn("metres", metres).groupBy(left_id).agg(F.min(F.struct("metres", right_id)).alias("b"))
     return best.select(left_id, f"b.{right_id}", "b.metres")
 
 

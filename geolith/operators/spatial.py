@@ -11,14 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolith.functions.scalars import finite
-from geolith.functions.geo import area, clip_box, clip_convex, contains, intersection_area, triangles, voronoi
-
-RING = T.ArrayType(T.ArrayType(T.DoubleType()))
+from geolith.functions.geo import Rings, clip_convex, contains, fan, flat_shapes, intersection_areas, products, shape_areas, shape_rings, voronoi, within_triangles
+from geolith.operators.tables import Stored
 
 
 def _cells(df: DataFrame, x: Column, y: Column, size: float, around: int) -> DataFrame:
@@ -52,19 +51,52 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kx:
     The first radius, unless given, is the spacing of as many points spread evenly.
     Points without finite coordinates, and all points if the right side is empty, have no row.
     """
-    from geolith.operators.resolve import table
-
+    stored = Stored(left.sparkSession)
     known = lambda df: df.where(finite(F.col("x")) & finite(F.col("y")))
-    pending, right = table(known(left.select(left_id, "x", "y"))), known(right.select(F.col(right_id), "x", "y"))
+    pending, right = known(left.select(left_id, "x", "y")), stored(known(right.select(F.col(right_id), "x", "y")))
     w, h, n = right.agg((F.max("x") - F.min("x")) * kx, (F.max("y") - F.min("y")) * ky, F.count("*")).first()
-    nothing = not n
-    out, size = None, start or (max(w, h, 1e-9) / math.sqrt(n) if n else 1.0)
+    out, size = None, start or (1.5 * max(w, h, 1e-9) / math.sqrt(n) if n else 1.0)
     while True:
         found = pairs_within(pending, right, left_id, right_id, size, kx, ky).groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"))
-        found = table(found.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance")))
+        found = stored(found.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance")))
         out = found if out is None else out.union(found)
-        pending = table(pending.join(found, left_id, "left_anti"))
-        if nothing or not pending.limit(1).count():
+        pending = stored(pending.join(found, left_id, "left_anti"))
+        if not n or pending.isEmpty():
+            return out
+        size *= 4
+
+
+def segments(lines: DataFrame, line_id: str, longest: float, kx: float = 1.0, ky: float = 1.0) -> DataFrame:
+    """The stretches of lines (``line``: an array of points) in a scaled plane, cut so that none is longer: id, ax, ay, bx, by."""
+    ends = lines.where(F.size("line") > 1).select(line_id, F.explode(F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("a"), F.slice("line", 2, F.size("line") - 1).alias("b"))).alias("s"))
+    ends = ends.select(line_id, (F.col("s.a")[0] * kx).alias("ax"), (F.col("s.a")[1] * ky).alias("ay"), (F.col("s.b")[0] * kx).alias("bx"), (F.col("s.b")[1] * ky).alias("by"))
+    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / longest)).cast("int")
+    ends = ends.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    at = lambda c, k: (F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * (k / F.col("n")))
+    return ends.select(line_id, *(at(c, F.col("k") + i).alias(f"{p}{c}") for p, i in (("a", 0), ("b", 1)) for c in "xy"))
+
+
+def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, kx: float = 1.0, ky: float = 1.0, start: float = 1.0) -> DataFrame:
+    """(point id, distance) to the union of lines in a scaled plane; without lines, and for points without coordinates, no row.
+
+    As in :func:`nearest`, the radius grows fourfold for the points that have found nothing.
+    """
+    from geolith.functions.geo import segment_distance
+
+    stored = Stored(points.sparkSession)
+    lines = lines.withColumn("_line", F.monotonically_increasing_id())
+    parts = stored(segments(lines, "_line", 2 * start, kx, ky).drop("_line"))
+    pending = points.where(finite(F.col("x")) & finite(F.col("y"))).select(F.col(point_id), (F.col("x") * kx).alias("x"), (F.col("y") * ky).alias("y"))
+    out, size, none = None, start, parts.isEmpty()
+    while True:
+        boxes = parts.select("*", *(e(F.col(f"a{c}"), F.col(f"b{c}")) + d * size for c in "xy" for e, d in ((F.least, -1), (F.greatest, 1))))
+        boxes = boxes.toDF("ax", "ay", "bx", "by", "x0", "x1", "y0", "y1")
+        d = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+        rows = _cells(pending, F.col("x"), F.col("y"), size, 0).join(box_cells(boxes, size), ["_cx", "_cy"]).withColumn("distance", d)
+        found = stored(rows.where(F.col("distance") <= size).groupBy(point_id).agg(F.min("distance").alias("distance")))
+        out = found if out is None else out.union(found)
+        pending = stored(pending.join(found, point_id, "left_anti"))
+        if none or pending.isEmpty():
             return out
         size *= 4
 
@@ -93,31 +125,58 @@ def box_cells(df: DataFrame, size: float) -> DataFrame:
     return df
 
 
+def levels(df: DataFrame, column: str) -> int:
+    """How deep a shape's arrays are: 2 for a ring, 3 for a polygon, 4 for a multipolygon."""
+    n, kind = 0, df.schema[column].dataType
+    while isinstance(kind, T.ArrayType):
+        n, kind = n + 1, kind.elementType
+    return n
+
+
 def with_box(df: DataFrame, ring: str = "ring") -> DataFrame:
-    part = (lambda p: p[0]), (lambda p: p[1])
-    for axis, of in zip("xy", part, strict=True):
-        values = F.transform(F.col(ring), of)
+    """x0, y0, x1, y1 of a shape: a ring, a polygon with holes, or a multipolygon."""
+    points = F.col(ring)
+    for _ in range(levels(df, ring) - 2):
+        points = F.flatten(points)
+    for axis, of in (("x", lambda p: p[0]), ("y", lambda p: p[1])):
+        values = F.transform(points, of)
         df = df.withColumn(f"{axis}0", F.array_min(values)).withColumn(f"{axis}1", F.array_max(values))
     return df
 
 
+def _distinct(shapes: pd.Series) -> tuple[list, np.ndarray]:
+    """The different shapes of a column and the number of each row's."""
+    seen: dict[bytes, int] = {}
+    out, rows = [], np.empty(len(shapes), np.int64)
+    for i, shape in enumerate(shapes):
+        rings = [np.array([np.asarray(p, float) for p in r], float) for r in shape_rings(shape)]
+        key = b"|".join(r.tobytes() for r in rings)
+        if key not in seen:
+            seen[key] = len(out)
+            out.append(rings)
+        rows[i] = seen[key]
+    return out, rows
+
+
 @F.pandas_udf(T.BooleanType())
 def covers(ring: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
     out = np.zeros(len(x), bool)
-    keys = ring.map(lambda r: np.array([np.asarray(p) for p in r]).tobytes())
-    for _, rows in pd.Series(range(len(x))).groupby(keys.to_numpy()):
-        k = rows.to_numpy()
-        out[k] = contains(np.array([np.asarray(p) for p in ring.iloc[k[0]]]), x.to_numpy()[k], y.to_numpy()[k])
+    shapes, own = _distinct(ring)
+    order = np.argsort(own, kind="stable")
+    edges = np.searchsorted(own[order], np.arange(len(shapes) + 1))
+    for rings, a, b in zip(shapes, edges[:-1], edges[1:], strict=True):
+        k = order[a:b]
+        out[k] = contains(rings, x.to_numpy()[k], y.to_numpy()[k])
     return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def common_area(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([intersection_area(np.array([np.asarray(q) for q in p]), np.array([np.asarray(q) for q in r])) for p, r in zip(a, b, strict=True)], dtype="float64")
+    return pd.Series(intersection_areas(a.tolist(), b.tolist()), dtype="float64")
 
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float = 1000.0) -> DataFrame:
-    """(point id, polygon id) of each polygon (``ring``) that covers a point; borders belong to polygons."""
+    """(point id, polygon id) of each polygon (``ring``, of any number of rings) that covers a point; borders belong to polygons."""
     p = _cells(points.select(point_id, "x", "y"), F.col("x"), F.col("y"), size, 0)
     g = box_cells(with_box(polygons.select(polygon_id, "ring")), size)
     near = p.join(g, ["_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
@@ -141,6 +200,14 @@ def overlapping_boxes(df: DataFrame, name: str, size: float) -> DataFrame:
     return left.join(right, ["_cx", "_cy"]).where((F.col("a") < F.col("b")) & once & (lo["x"] < hi["x"]) & (lo["y"] < hi["y"])).select("a", "b", ((hi["x"] - lo["x"]) * (hi["y"] - lo["y"])).alias("area"))
 
 
+def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float) -> DataFrame:
+    """(left id, right id) of boxes of two tables with a common area, each pair once."""
+    side = lambda df, name, p: box_cells(df.select(name, "x0", "y0", "x1", "y1"), size).select(F.col(name), *(F.col(c).alias(f"{p}{c}") for c in ("x0", "y0", "x1", "y1")), "_cx", "_cy")
+    lo, hi = ({k: f(f"a{k}{i}", f"b{k}{i}") for k in "xy"} for f, i in ((F.greatest, 0), (F.least, 1)))
+    once = (F.floor(lo["x"] / size) == F.col("_cx")) & (F.floor(lo["y"] / size) == F.col("_cy"))
+    return side(left, left_id, "a").join(side(right, right_id, "b"), ["_cx", "_cy"]).where(once & (lo["x"] < hi["x"]) & (lo["y"] < hi["y"])).select(left_id, right_id)
+
+
 def overlaps(polygons: DataFrame, name: str, least_area: float = 1.0, least_ratio: float = 0.05, nested_ratio: float = 0.95, size: float = 1000.0) -> DataFrame:
     """Pairs a < b of polygons with a common area over the limits, relative to the smaller; nested ones are flagged."""
     boxes = with_box(polygons.select(name, "ring"))
@@ -154,42 +221,96 @@ def overlaps(polygons: DataFrame, name: str, least_area: float = 1.0, least_rati
 
 @F.pandas_udf(T.DoubleType())
 def ring_area(ring: pd.Series) -> pd.Series:
-    return ring.map(lambda r: abs(area(np.array([np.asarray(p) for p in r])))).astype("float64")
+    return pd.Series(shape_areas(ring.tolist()), dtype="float64")
+
+
+def cut_to_cells(rings: Rings, size: float, cut: str = "xy") -> tuple[Rings, np.ndarray, dict[str, np.ndarray]]:
+    """The parts of rings in the cells of a grid that their boxes touch, the ring of each part, and the cells' numbers."""
+    rows, cells = np.arange(len(rings)), {}
+    for k, axis in enumerate(cut):
+        box = rings.boxes()
+        some = np.flatnonzero(np.isfinite(box[:, 0]))
+        first, last = (np.floor(box[some, j] / size).astype(np.int64) for j in (k, k + 2))
+        counts = last - first + 1
+        part = np.repeat(some, counts)
+        number = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(first, counts)
+        a, b = (1.0, 0.0) if axis == "x" else (0.0, 1.0)
+        rings = rings.take(part).clipped(-a, -b, -number * size).clipped(a, b, (number + 1) * size)
+        rows, cells = rows[part], {c: v[part] for c, v in cells.items()} | {axis: number}
+    return rings, rows, cells
+
+
+def pieces(domains: DataFrame, domain: str, size: float) -> DataFrame:
+    """The part of each domain in each cell of a grid: domain, _cx, _cy, ``whole``, and ``window``, signed rings unless the cell is ``whole`` inside."""
+    kind = domains.schema[domain].dataType
+    schema = T.StructType([T.StructField(domain, kind), T.StructField("_cx", T.LongType()), T.StructField("_cy", T.LongType()), T.StructField("whole", T.BooleanType()), T.StructField("window", T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType()))))])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, shape in zip(frame[domain], frame["ring"], strict=True):
+                rings, _ = flat_shapes([shape])
+                parts, _, cells = cut_to_cells(rings, size)
+                areas, out = parts.areas(), {}
+                for k in np.flatnonzero(areas != 0).tolist():
+                    found = out.setdefault((int(cells["x"][k]), int(cells["y"][k])), [0.0, []])
+                    found[0] += areas[k]
+                    found[1].append(np.stack([parts.x[parts.at[k] : parts.at[k + 1]], parts.y[parts.at[k] : parts.at[k + 1]]], 1).tolist())
+                rows = [(name, x, y, a >= size * size * (1 - 1e-12), [] if a >= size * size * (1 - 1e-12) else found) for (x, y), (a, found) in out.items()]
+                yield pd.DataFrame(rows, columns=[f.name for f in schema])
+
+    return domains.select(domain, "ring").mapInPandas(cut, schema)
+
+
+def parts_by_cell(rings: Rings, own: np.ndarray, windows: list, whole: np.ndarray, cells: np.ndarray, size: float, grid: float) -> tuple[np.ndarray, ...]:
+    """Pair, ix, iy and area of the parts of each pair's rings inside its window, a part of one cell of ``size``, in the cells of ``grid``."""
+    low = cells[own] * size
+    rings = rings.clipped(-1, 0, -low[:, 0]).clipped(1, 0, low[:, 0] + size).clipped(0, -1, -low[:, 1]).clipped(0, 1, low[:, 1] + size)
+    sign, part = np.ones(len(rings)), np.flatnonzero(~whole)
+    if len(part):
+        flat = Rings.of([r for k in part for r in windows[k]])
+        of = np.repeat(part, [len(windows[k]) for k in part])
+        triangles, to, turn = fan(flat, of)
+        order = np.argsort(to, kind="stable")
+        triangles, to, turn = triangles.take(order), to[order], turn[order]
+        i, j = products(own, to)
+        a, b = rings.boxes()[i], triangles.boxes()[j]
+        use = (a[:, :2] < b[:, 2:]).all(1) & (b[:, :2] < a[:, 2:]).all(1)
+        i, j = i[use], j[use]
+        inner, kept = within_triangles(rings.take(i), triangles.take(j)), np.flatnonzero(whole[own])
+        outer = rings.take(kept)
+        rings = Rings(np.concatenate([inner.x, outer.x]), np.concatenate([inner.y, outer.y]), np.concatenate([inner.at, outer.at[1:] + inner.at[-1]]))
+        own, sign = np.concatenate([own[i], own[kept]]), np.concatenate([turn[j], np.ones(len(kept))])
+    fine, row, at = cut_to_cells(rings, grid)
+    if not len(row):
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0),)
+    keys = np.stack([own[row], at["x"], at["y"]], 1)
+    found, where = np.unique(keys, axis=0, return_inverse=True)
+    return *found.T, np.bincount(where.reshape(-1), fine.areas() * sign[row], len(found))
 
 
 def clipped_to_cells(buildings: DataFrame, domains: DataFrame, name: str, domain: str, grid: float, least_area: float = 0.01, least_part: float = 1e-8) -> DataFrame:
     """(domain, ix, iy, building, area) of each building's part in each cell of each domain it intersects.
 
-    Domains may be concave: they are cut into triangles, and footprints are clipped to each. Domains are
-    few and small beside buildings; they meet by the cells of their boxes.
+    Shapes may be concave, have holes and several parts. Each domain is cut once into the cells of a coarse
+    grid; buildings meet the pieces of their cells only, and all clipping is done for whole batches.
     """
-    size = max(1000.0, grid)
-    g = box_cells(with_box(domains.select(domain, "ring")).select(domain, F.col("ring").alias("window"), "x0", "y0", "x1", "y1"), size).select(domain, "window", "_cx", "_cy")
+    size = grid * max(1, math.ceil(1000.0 / grid))
+    g = pieces(domains, domain, size)
     b = box_cells(with_box(buildings.select(name, "ring")), size).select(name, "ring", "_cx", "_cy")
-    pairs = b.join(g, ["_cx", "_cy"]).drop("_cx", "_cy").dropDuplicates([name, domain])
     types = (buildings.schema[name].dataType, domains.schema[domain].dataType)
     schema = T.StructType([T.StructField(domain, types[1]), T.StructField("ix", T.LongType()), T.StructField("iy", T.LongType()), T.StructField(name, types[0]), T.StructField("area", T.DoubleType())])
 
     def clip(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
-            for n, ring, d, window in zip(frame[name], frame["ring"], frame[domain], frame["window"], strict=True):
-                ring, window = (np.array([np.asarray(p) for p in r]) for r in (ring, window))
-                parts = [p for s in triangles(ring) for t in triangles(window) if len(p := clip_convex(s, t)) > 2]
-                if sum(abs(area(p)) for p in parts) < least_area:
-                    continue
-                cells: dict[tuple[int, int], float] = {}
-                for p in parts:
-                    (x0, y0), (x1, y1) = np.floor(p.min(0) / grid).astype(int), np.floor(p.max(0) / grid).astype(int)
-                    for ix in range(x0, x1 + 1):
-                        for iy in range(y0, y1 + 1):
-                            piece = clip_box(p, ix * grid, iy * grid, (ix + 1) * grid, (iy + 1) * grid)
-                            if len(piece) > 2:
-                                cells[ix, iy] = cells.get((ix, iy), 0.0) + abs(area(piece))
-                rows += [(d, ix, iy, n, a) for (ix, iy), a in cells.items() if a > least_part]
-            yield pd.DataFrame(rows, columns=[f.name for f in schema])
-
-    return pairs.select(name, "ring", domain, "window").mapInPandas(clip, schema)
+            rings, own = flat_shapes(frame["ring"].tolist())
+            pair, ix, iy, areas = parts_by_cell(rings, own, frame["window"].tolist(), frame["whole"].to_numpy(bool), frame[["_cx", "_cy"]].to_numpy(), size, grid)
+            use = areas > least_part
+            pair = pair[use]
+            yield pd.DataFrame({domain: frame[domain].to_numpy()[pair], "ix": ix[use], "iy": iy[use], name: frame[name].to_numpy()[pair], "area": areas[use]}, columns=[f.name for f in schema])
+
+    found = b.join(g, ["_cx", "_cy"]).select(name, "ring", domain, "window", "whole", "_cx", "_cy").mapInPandas(clip, schema)
+    total = F.sum("area").over(Window.partitionBy(domain, name))
+    return found.withColumn("_total", total).where(F.col("_total") >= least_area).drop("_total")
 
 
 def voronoi_domains(sites: list[tuple[str, float, float, float]], frame: Sequence[Sequence[float]]) -> list[tuple[str, list[list[float]]]]:

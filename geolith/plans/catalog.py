@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geolith.functions import scalars, text
-from geolith.functions.geo import CENTRE_LAT, CENTRE_LON, E1, E2, SEMI_MAJOR, equal_area
+from geolith.functions.geo import CENTRE_LAT, CENTRE_LON, E1, E2, FLATTENING, SEMI_MAJOR, equal_area
 from geolith.operators import allocate, audit, grid, housing, layers, match, resolve, review, score, spatial
 from geolith.sources import read
 
@@ -104,6 +104,27 @@ def grid_coarsen(spark, sf_dir):
     return grid.coarsened(cells(spark, sf_dir, 16, 50), "settlement", 400, 100, ["proxy"])
 
 
+def _distinct_levels(spans=(4, 2, 1)) -> str:
+    parts = ["c as (select o_custkey % 50 as settlement, l_partkey % 16 as ix, l_suppkey % 16 as iy, l_orderkey as building, sum(cast(l_quantity as bigint)) as proxy from lineitem join orders on l_orderkey = o_orderkey group by 1, 2, 3, 4)"]
+    for s in spans:
+        parts.append(f"l{s} as (select settlement, ix // {s} as x, iy // {s} as y, cast(sum(proxy) as bigint) as proxy, count(distinct building) as buildings, {s} > 1 and (count(distinct building) >= 40 or cast(sum(proxy) as double) / cast('{(s * 100 / 1000) ** 2!r}' as double) >= 9000) as crowded from c group by 1, 2, 3)")
+    return "with " + ", ".join(parts)
+
+
+COARSE = """ select settlement, x * 4 as ix, y * 4 as iy, 4 as span, proxy, buildings from l4 where not crowded
+    union all select settlement, x * 2, y * 2, 2, proxy, buildings from l2 where not crowded and exists (select 1 from l4 where l4.settlement = l2.settlement and l4.x = l2.x // 2 and l4.y = l2.y // 2 and l4.crowded)
+    union all select settlement, x, y, 1, proxy, buildings from l1 where exists (select 1 from l4 where l4.settlement = l1.settlement and l4.x = l1.x // 4 and l4.y = l1.y // 4 and l4.crowded)
+    and exists (select 1 from l2 where l2.settlement = l1.settlement and l2.x = l1.x // 2 and l2.y = l1.y // 2 and l2.crowded)"""
+
+
+@query(_distinct_levels() + COARSE)
+def grid_coarsen_distinct(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    li = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
+    rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).groupBy((F.col("o_custkey") % 50).alias("settlement"), (F.col("l_partkey") % 16).alias("ix"), (F.col("l_suppkey") % 16).alias("iy"), F.col("l_orderkey").alias("building")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("proxy"))
+    return grid.coarsened(rows, "settlement", 400, 100, ["proxy"], ids="building", split_buildings=40, split_density=9000.0)
+
+
 @query(f"with c as ({cells_sql(8, 100)}) select settlement, count(*) as cells, cast(sum(buildings) as bigint) as buildings, max(proxy / 10000.0::double) as max_density, cast(sum(10000) as bigint) as area_km2, '100' as grid_sizes from c group by 1")
 def settlement_summary(spark, sf_dir):
     rows = cells(spark, sf_dir, 8, 100).withColumn("area", F.lit(10000)).withColumn("size", F.lit(100))
@@ -444,6 +465,86 @@ def polygon_overlaps(spark, sf_dir):
     return spatial.overlaps(polygons, "s_suppkey", least_ratio=0.06).select("a", "b", F.round("area", 3).alias("area"), "nested")
 
 
+def _frames(spark, sf_dir):
+    """Boxes with a hole, which is the middle ninth and as often clockwise as not."""
+    b = _boxes(spark, sf_dir)
+    for c in ("x", "y"):
+        third = (F.col(f"{c}1") - F.col(f"{c}0")) / 3
+        b = b.withColumn(f"h{c}0", F.col(f"{c}0") + third).withColumn(f"h{c}1", F.col(f"{c}1") - third)
+    hole = _ring("hx0", "hy0", "hx1", "hy1")
+    return b.withColumn("ring", F.array(_ring("x0", "y0", "x1", "y1"), F.when(F.col("s_suppkey") % 2 == 0, hole).otherwise(F.reverse(hole))))
+
+
+#: Signed boxes of each frame: its outside, less its hole.
+FRAMES = f"{BOXES}, f as (select k, 1 as sign, x0, y0, x1, y1 from b union all select k, -1, x0 + (x1 - x0) / 3, y0 + (y1 - y0) / 3, x1 - (x1 - x0) / 3, y1 - (y1 - y0) / 3 from b)"
+COMMON = "greatest(0, least(l.x1, r.x1) - greatest(l.x0, r.x0)) * greatest(0, least(l.y1, r.y1) - greatest(l.y0, r.y0))"
+
+
+@query(f"with {PLACES}, {FRAMES} select c_custkey, f.k as s_suppkey from p join f on f.sign = 1 and x between x0 and x1 and y between y0 and y1 where not exists (select 1 from f h where h.k = f.k and h.sign = -1 and x > h.x0 + 1e-9 and x < h.x1 - 1e-9 and y > h.y0 + 1e-9 and y < h.y1 - 1e-9)")
+def point_in_frame(spark, sf_dir):
+    return spatial.points_in_polygons(places(spark, sf_dir), _frames(spark, sf_dir), "c_custkey", "s_suppkey")
+
+
+@query(f"""with {FRAMES}, o as (select l.k as a, r.k as b, sum(l.sign * r.sign * {COMMON}) as area from f l join f r on l.k < r.k and least(l.x1, r.x1) > greatest(l.x0, r.x0) and least(l.y1, r.y1) > greatest(l.y0, r.y0) group by 1, 2),
+    z as (select k, sum(sign * (x1 - x0) * (y1 - y0)) as size from f group by 1), v as (select a, b, area, area / least(x.size, y.size) as ratio from o join z x on x.k = a join z y on y.k = b) select a, b, round(area, 3) as area, ratio >= 0.95 as nested from v where area > 1 and ratio >= 0.06""")
+def frame_overlaps(spark, sf_dir):
+    return spatial.overlaps(_frames(spark, sf_dir), "s_suppkey", least_ratio=0.06).select("a", "b", F.round("area", 3).alias("area"), "nested")
+
+
+#: Signed boxes of two domains: an L, and two islands of which one has a lake.
+LANDS = (("ell", 1, 0, 0, 2500, 10800), ("ell", 1, 2500, 0, 5000, 5000), ("isles", 1, 6000, 1000, 8000, 3000), ("isles", 1, 8500, 4000, 10000, 9000), ("isles", -1, 9000, 5000, 9500, 6000))
+
+
+@query(f"""with {FRAMES}, d(domain, sign, x0, y0, x1, y1) as (values {", ".join(map(repr, LANDS))}), g as (select l.k, r.domain, l.sign * r.sign as sign, greatest(l.x0, r.x0) as x0, greatest(l.y0, r.y0) as y0, least(l.x1, r.x1) as x1, least(l.y1, r.y1) as y1 from f l join d r on least(l.x1, r.x1) > greatest(l.x0, r.x0) and least(l.y1, r.y1) > greatest(l.y0, r.y0)),
+    e as (select *, unnest(range(cast(floor(x0 / 100) as bigint), cast(floor(x1 / 100) as bigint) + 1)) as ix from g), h as (select *, unnest(range(cast(floor(y0 / 100) as bigint), cast(floor(y1 / 100) as bigint) + 1)) as iy from e),
+    a as (select domain, ix, iy, k, sum(sign * greatest(0, least(x1, ix * 100 + 100) - greatest(x0, ix * 100)) * greatest(0, least(y1, iy * 100 + 100) - greatest(y0, iy * 100))) as area from h group by 1, 2, 3, 4) select domain, ix, iy, k as s_suppkey, round(cast(area as double), 3) as area from a where area > 0.001""")
+def frames_on_lands(spark, sf_dir):
+    box = lambda x0, y0, x1, y1: [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+    ell = [[[[0.0, 0.0], [5000.0, 0.0], [5000.0, 5000.0], [2500.0, 5000.0], [2500.0, 10800.0], [0.0, 10800.0]]]]
+    isles = [[box(6000.0, 1000.0, 8000.0, 3000.0)], [box(8500.0, 4000.0, 10000.0, 9000.0), box(9000.0, 5000.0, 9500.0, 6000.0)]]
+    lands = spark.createDataFrame([("ell", ell), ("isles", isles)], "domain STRING, ring ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")
+    return spatial.clipped_to_cells(_frames(spark, sf_dir), lands, "s_suppkey", "domain", 100.0, least_part=0.001).withColumn("area", F.round("area", 3))
+
+
+SQUARES = "q as (select ix * 100 + iy as cell, ix * 700 as x0, iy * 900 as y0, ix * 700 + 600 as x1, iy * 900 + 800 as y1 from range(15) a(ix), range(12) c(iy))"
+
+
+@query(f"""with {FRAMES}, {SQUARES}, p as (select f.k, q.cell, sum(f.sign * greatest(0, least(f.x1, q.x1) - greatest(f.x0, q.x0)) * greatest(0, least(f.y1, q.y1) - greatest(f.y0, q.y0))) as part from f join q on least(f.x1, q.x1) > greatest(f.x0, q.x0) and least(f.y1, q.y1) > greatest(f.y0, q.y0) group by 1, 2),
+    z as (select k, sum(sign * (x1 - x0) * (y1 - y0)) as size from f group by 1), w as (select p.cell, part, case when k % 3 = 0 then 1.0 else 0.55 end as weight, k % 9 + 1 as levels, k % 3 = 0 as explicit, k % 2 = 0 as observed, k % 5 = 0 as lifecycle from p join z using (k) where part > 1e-6 and size between 12 and 80000), v as (select *, part * cast(weight as double) * levels as full_ from w)
+    select cell, round(sum(part * cast(weight as double)), 2) as footprint_only, round(sum(case when explicit then full_ else 0 end), 2) as explicit_only, round(sum(case when lifecycle then 0 else full_ end), 2) as lifecycle_excluded, round(sum(case when observed then full_ else full_ / 2 end), 2) as assumed_half, round(sum(case when observed then full_ else full_ * 2 end), 2) as assumed_double, round(sum(full_), 2) as baseline from v group by 1""")
+def published_cell_weights(spark, sf_dir):
+    k = F.col("s_suppkey")
+    b = _frames(spark, sf_dir).select("s_suppkey", "ring", (k % 9 + 1).alias("levels"), F.when(k % 3 == 0, 1.0).otherwise(0.55).alias("weight"), (k % 3 == 0).alias("explicit"), (k % 2 == 0).alias("observed"), (k % 5 == 0).alias("lifecycle"))
+    q = spark.range(15).selectExpr("id as ix").selectExpr("ix", "explode(sequence(0, 11)) as iy").selectExpr("ix * 100 + iy as cell", "ix * 700 as x0", "iy * 900 as y0", "ix * 700 + 600 as x1", "iy * 900 + 800 as y1")
+    found = allocate.cell_weights(b, q.select("cell", F.array(_ring("x0", "y0", "x1", "y1")).alias("ring")), "s_suppkey", "cell", least_part=1e-6)
+    return found.select("cell", *(F.round(c, 2).alias(c) for c in ("footprint_only", "explicit_only", "lifecycle_excluded", "assumed_half", "assumed_double", "baseline")))
+
+
+ROAD = "(select n_nationkey as k, [[n_nationkey * 401 % 10007, 0], [n_nationkey * 733 % 10007, 2500], [n_nationkey * 97 % 10007, 2500], [n_nationkey * 59 % 10007, 9000]] as line from nation where n_nationkey % 3 = 0)"
+
+
+@query(f"""with {PLACES}, s as (select unnest([1, 2, 3]) as i, line from {ROAD}), e as (select cast(line[i][1] as double) as ax, cast(line[i][2] as double) as ay, cast(line[i + 1][1] as double) as bx, cast(line[i + 1][2] as double) as v from s),
+    d as (select c_custkey, x, y, ax, ay, bx, v, case when ax = bx and ay = v then 0 else greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (v - ay)) / ((bx - ax) * (bx - ax) + (v - ay) * (v - ay)))) end as t from p, e)
+    select c_custkey, round(min(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (v - ay)) ** 2)), 5) + 0 as distance from d group by 1""")
+def nearest_road(spark, sf_dir):
+    k = F.col("n_nationkey")
+    point = lambda f, y: F.array((k * f % 10007).cast("double"), F.lit(float(y)))
+    roads = t(spark, sf_dir, "nation").where(k % 3 == 0).select(k.alias("road"), F.array(point(401, 0), point(733, 2500), point(97, 2500), point(59, 9000)).alias("line"))
+    return spatial.nearest_line(places(spark, sf_dir), roads, "c_custkey", start=200.0).select("c_custkey", (F.round("distance", 5) + 0).alias("distance"))
+
+
+@query("select s_nationkey as page, 'Город ' || s_nationkey as title, cast(s_suppkey as varchar) as card_id, 'Ленина ул., дом ' || s_suppkey as address, '8:00 до ' || (20 + s_suppkey % 4) || ':00' as hours, case when s_suppkey % 5 <> 0 then 130 + s_suppkey % 100 / 10.0::double end as lon, case when s_suppkey % 5 <> 0 then 42 + s_suppkey % 70 / 10.0::double end as lat from supplier")
+def store_catalogue(spark, sf_dir):
+    """Catalogue pages made of suppliers, one page a nation; a fifth of the cards has no handler, and each handler has a line that doesn't count."""
+    k = F.col("s_suppkey")
+    card = F.format_string('<div id="addr-id-%d" class="item"> <div>Ленина ул., дом %d</div> <div>8:00 до %d:00</div> </div>', k, k, 20 + k % 4)
+    handler = F.format_string('$("#addr-id-%d").click(function(){\n//center: [37.6, 55.7],\nmap.flyTo({center: [%s, %s,], zoom:15});\n});', k, (130 + k % 100 / 10.0).cast("string"), (42 + k % 70 / 10.0).cast("string"))
+    pages = t(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("page")).agg(F.concat_ws("", F.collect_list(card)).alias("cards"), F.concat_ws("\n", F.collect_list(F.when(k % 5 != 0, handler))).alias("handlers"), F.count("*").alias("n"))
+    html = F.format_string("<html>[block]<h2>Город %d</h2>магазинов: %d %s[/block]%s</html>", "page", "n", "cards", "handlers")
+    patterns = (r"(?s)\[block\](.*?)\[/block\]", "<h2>(.*?)</h2>", r"магазинов: (\d+)", r'(?s)<div id="addr-id-(\d+)" class="item">\s*<div>(.*?)</div>\s*<div>(.*?)</div>\s*</div>', r'(?s)\$\("#addr-id-(\d+)"\)\.click\(function\(\)\{(.*?)\}\);', r"center:\s*\[\s*([-\d.]+),\s*([-\d.]+)\s*,?\s*\]")
+    return read.catalogue(pages.select("page", html.alias("html")), "page", F.col("html"), *patterns).drop("block")
+
+
 @query(f"""with {BOXES}, d as (select 'west' as domain, 0 as u0, 5000 as u1 union all select 'east', 5000, 10400), g as (select k, x0, y0, x1, y1, domain, u0, u1 from b, d where x0 < u1 and x1 > u0),
     e as (select *, unnest(range(cast(floor(x0 / 100) as bigint), cast(floor(x1 / 100) as bigint) + 1)) as ix from g), f as (select *, unnest(range(cast(floor(y0 / 100) as bigint), cast(floor(y1 / 100) as bigint) + 1)) as iy from e),
     a as (select domain, ix, iy, k, (least(x1, u1, ix * 100 + 100) - greatest(x0, u0, ix * 100)) as w, (least(y1, 10800, iy * 100 + 100) - greatest(y0, iy * 100)) as h from f) select domain, ix, iy, k as s_suppkey, round(cast(w * h as double), 3) as area from a where w > 0 and h > 0""")
@@ -499,12 +600,49 @@ def contact_components(spark, sf_dir):
     return found.select("component", "records", F.size("phones").cast("bigint").alias("phones"), F.size("emails").cast("bigint").alias("emails"))
 
 
-@query("select case when c_custkey % 5 = 0 then 'old' || c_custkey else 'new' || c_custkey end as contact_id, c_custkey as component from customer")
+@query("""with c as (select c_custkey as k, lower(c_name) as name, 'new' || c_custkey as id from customer), b as (select k // 3 as g, max(name) as name from c where k % 5 <> 4 group by 1), w as (select b.g, c.k from b join c on c.k // 3 = b.g and c.name = b.name and c.k % 5 <> 4)
+    select case when w.k is not null and c.k // 3 % 2 = 0 then 'old' || c.k // 3 else c.id end as contact_id, c.k as component from c left join w on w.k = c.k""")
 def contact_stable_ids(spark, sf_dir):
-    keys = F.array(F.concat(F.lit("d:"), F.col("c_custkey").cast("string")))
-    c = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("component"), F.concat(F.lit("new"), F.col("c_custkey").cast("string")).alias("contact_id"), keys.alias("keys"))
-    old = c.where("component % 5 = 0").select(F.concat(F.lit("old"), F.col("component").cast("string")).alias("contact_id"), "keys")
-    return resolve.preserved_ids(c, old).select("contact_id", "component")
+    """Up to three contacts claim an old id; names fall as components rise, so that the last component is first by name."""
+    k = F.col("c_custkey")
+    own = F.concat(F.lit("d:"), F.floor(k / 3).cast("string"))
+    keys = F.when(k % 5 == 4, F.array(own, F.concat(F.lit("p:"), F.floor(k / 3).cast("string")))).otherwise(F.array(own))
+    name = F.translate(F.lower("c_name"), "0123456789", "9876543210")
+    c = t(spark, sf_dir, "customer").select(k.alias("component"), name.alias("name"), F.concat(F.lit("new"), k.cast("string")).alias("contact_id"), keys.alias("keys"))
+    g = c.select(F.floor(F.col("component") / 3).alias("g")).distinct().where("g % 2 = 0")
+    old = g.select(F.concat(F.lit("old"), F.col("g").cast("string")).alias("contact_id"), F.array(F.concat(F.lit("d:"), F.col("g").cast("string"))).alias("keys"))
+    rival = g.select(F.concat(F.lit("rival"), F.col("g").cast("string")).alias("contact_id"), F.array(F.concat(F.lit("p:"), F.col("g").cast("string"))).alias("keys"))
+    return resolve.preserved_ids(c, old.union(rival)).select("contact_id", "component")
+
+
+def _versions(spark, sf_dir, new: bool):
+    k = F.col("c_custkey")
+    source = F.array(F.struct(F.lit("registry").alias("source_id"), F.lit("2026-02-02" if new else "2026-01-01").alias("retrieved_at"), F.when((k % 17 == 0) & F.lit(new), "http://a.example.org/").alias("url")))
+    phones = F.array(F.format_string("+7900%07d", k + F.when((k % 13 == 0) & F.lit(new), 1).otherwise(0)))
+    c = t(spark, sf_dir, "customer").where(k % 10 != 0 if not new else k % 7 != 0)
+    return c.select(F.concat(F.lit("c-"), k.cast("string")).alias("contact_id"), F.col("c_name").alias("name"), phones.alias("phones"), source.alias("sources"), F.lit("needs_review" if new else "published").alias("review_status"))
+
+
+@query("""select 'c-' || c_custkey as contact_id, case when c_custkey % 10 = 0 then 'added' when c_custkey % 7 = 0 then 'removed' when c_custkey % 13 = 0 or c_custkey % 17 = 0 then 'changed' else 'unchanged' end as status from customer where c_custkey % 10 <> 0 or c_custkey % 7 <> 0""")
+def contact_delta(spark, sf_dir):
+    """When a source was read and the state of the review differ everywhere and count nowhere."""
+    return resolve.delta(_versions(spark, sf_dir, False), _versions(spark, sf_dir, True))
+
+
+@query("""with r as (select c_custkey as k, 'c-' || lpad(cast(c_custkey // 2 * 2 + case when c_custkey % 30 = 1 then 0 else c_custkey % 2 end as varchar), 6, '0') || case when c_custkey % 41 = 0 then 'X' else '' end as id from customer)
+    select id as contact_id, unnest(list_filter([case when k % 41 = 0 then 'contact_id' end, case when k % 9 = 0 then 'kind' end, case when k % 5 = 0 then 'phones' end, case when k % 6 = 0 then 'emails' end, case when k % 8 = 0 then 'websites' end, case when k % 12 = 0 then 'coverage' end, case when k % 14 = 0 then 'sources' end], lambda x: x is not null)) as error from r
+    union all select id, 'duplicate' from r group by 1 having count(*) > 1""")
+def contact_validation(spark, sf_dir):
+    k, none = F.col("c_custkey"), F.array().cast("array<string>")
+    number = F.floor(k / 2) * 2 + F.when(k % 30 == 1, 0).otherwise(k % 2)
+    one = lambda bad, x, y: F.array(F.when(bad, x).otherwise(y))
+    c = t(spark, sf_dir, "customer").select(
+        F.concat(F.lit("c-"), F.lpad(number.cast("string"), 6, "0"), F.when(k % 41 == 0, "X").otherwise("")).alias("contact_id"), F.col("c_name").alias("name"), F.when(k % 9 == 0, "shop").otherwise("agency").alias("kind"),
+        one(k % 5 == 0, "8 (900) 111-22-33", "+79001112233").alias("phones"), one(k % 6 == 0, "User@Example.com", "user@example.com").alias("emails"), one(k % 8 == 0, "HTTP://Example.org:80//a", "http://example.org/a").alias("websites"),
+        one(k % 12 == 0, "", "City").alias("coverage"), none.alias("specializations"), none.alias("addresses"), F.array(F.struct(F.lit("telegram").alias("type"), F.lit("telegram").alias("label"), F.lit("https://t.me/u").alias("url"))).alias("links"),
+        F.array(F.struct(F.when(k % 14 == 0, "Bad id").otherwise("registry").alias("source_id"), F.lit("2026-01-01").alias("retrieved_at"), F.lit(None).cast("string").alias("url"))).alias("sources"), F.lit("needs_review").alias("review_status"),
+    )
+    return resolve.catalogue_errors(c)
 
 
 @query("select c_custkey from customer where c_mktsegment = 'BUILDING' and contains(lower(c_name), '7')")
@@ -533,9 +671,10 @@ def manifest_hash(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"), F.sha2("text", 256).alias("sha256"))
 
 
-@query("select coalesce(a.o_custkey, b.c_custkey) as c_custkey, case when b.c_custkey is null then 'unexpected' else 'missing' end as side from (select distinct o_custkey from orders) a full join customer b on a.o_custkey = b.c_custkey where a.o_custkey is null or b.c_custkey is null")
+@query("select coalesce(a.o_custkey, b.c_custkey) as c_custkey, case when b.c_custkey is null then 'unexpected' else 'missing' end as side from (select distinct case when o_custkey % 11 = 0 then -o_custkey else o_custkey end as o_custkey from orders where o_custkey % 7 <> 0) a full join customer b on a.o_custkey = b.c_custkey where a.o_custkey is null or b.c_custkey is null")
 def key_differences(spark, sf_dir):
-    o = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    k = F.col("o_custkey")
+    o = t(spark, sf_dir, "orders").where(k % 7 != 0).select(F.when(k % 11 == 0, -k).otherwise(k).alias("c_custkey"))
     return audit.key_differences(t(spark, sf_dir, "customer"), o, ["c_custkey"])
 
 
@@ -576,10 +715,23 @@ def overlaps_by_owner(spark, sf_dir):
     return review.overlaps_by_owner(spatial.overlapping_boxes(b, "s_suppkey", 1000.0), b.withColumn("owner", F.col("s_suppkey") % 3), "s_suppkey", "owner")
 
 
-@query()
+def _geodesic_sql(rounds: int = 8) -> str:
+    """Vincenty's inverse formula over all pairs, with its iteration written out."""
+    f, a = FLATTENING, SEMI_MAJOR
+    axis = a * (1 - f)
+    parts = [f"g as (select c_custkey, store_id, atan((1 - {f}) * tan(radians(42 + p.y / 2500))) as u1, atan((1 - {f}) * tan(radians(42 + s.y / 2500))) as u2, radians(s.x / 2000 - p.x / 2000) as dl from p, s)", "i0 as (select *, dl as lam from g)"]
+    sigma = "sqrt((cos(u2) * sin(lam)) ** 2 + (cos(u1) * sin(u2) - sin(u1) * cos(u2) * cos(lam)) ** 2) as sn, sin(u1) * sin(u2) + cos(u1) * cos(u2) * cos(lam) as cs, atan2(sn, cs) as sg, case when sn > 0 then cos(u1) * cos(u2) * sin(lam) / sn else 0 end as al, 1 - al * al as ca, case when ca > 0 then cs - 2 * sin(u1) * sin(u2) / ca else 0 end as md"
+    for k in range(rounds):
+        parts.append(f"j{k} as (select *, {sigma}, {f} / 16 * ca * (4 + {f} * (4 - 3 * ca)) as kk from i{k})")
+        parts.append(f"i{k + 1} as (select c_custkey, store_id, u1, u2, dl, dl + (1 - kk) * {f} * al * (sg + kk * sn * (md + kk * cs * (2 * md * md - 1))) as lam from j{k})")
+    parts.append(f"m as (select *, {sigma}, ca * {(a * a - axis * axis) / (axis * axis)} as uu, 1 + uu / 16384 * (4096 + uu * (-768 + uu * (320 - 175 * uu))) as aa, uu / 1024 * (256 + uu * (-128 + uu * (74 - 47 * uu))) as bb, bb * sn * (md + bb / 4 * (cs * (2 * md * md - 1) - bb / 6 * md * (4 * sn * sn - 3) * (4 * md * md - 3))) as dd, {axis} * aa * (sg - dd) as metres from i{rounds})")
+    return f"with {PLACES}, {STORES}, {', '.join(parts)}, r as (select c_custkey, store_id, metres, row_number() over (partition by c_custkey order by metres, store_id) as n from m) select c_custkey, store_id, round(metres, 2) as metres from r where n = 1"
+
+
+@query(_geodesic_sql())
 def nearest_on_ellipsoid(spark, sf_dir):
     degrees = lambda df: df.withColumn("x", 130 + F.col("x") / 2000).withColumn("y", 42 + F.col("y") / 2500)
-    return review.nearest_on_ellipsoid(degrees(places(spark, sf_dir)), degrees(stores(spark, sf_dir)), "c_custkey", "store_id", 80.4)
+    return review.nearest_on_ellipsoid(degrees(places(spark, sf_dir)), degrees(stores(spark, sf_dir)), "c_custkey", "store_id").withColumn("metres", F.round("metres", 2))
 
 
 @query()

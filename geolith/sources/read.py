@@ -231,3 +231,22 @@ def audit_csv(spark: SparkSession, path: str, json_columns: dict[str, str], doub
     return df
 
 
+def catalogue_coordinates(df: DataFrame, page_id: str, html: str, handler: str, centre: str) -> DataFrame:
+    """page, card_id, lon and lat of the handlers in catalogue pages.
+
+    ``handler`` is a pattern with the groups id and body, ``centre`` one with longitude and latitude. Lines of a body
+    after ``//`` don't count. A body without exactly one centre is an error, and so are two different centres of a card.
+    """
+    found = df.select(page_id, F.explode(F.arrays_zip(*(F.regexp_extract_all(html, F.lit(handler), F.lit(i)).alias(n) for i, n in ((1, "id"), (2, "body"))))).alias("h"))
+    body = F.regexp_replace("h.body", r"//[^\n]*", "")
+    found = found.select(page_id, F.col("h.id").alias("card_id"), *(F.regexp_extract_all(body, F.lit(centre), F.lit(i)).alias(n) for i, n in ((1, "x"), (2, "y"))))
+    one = lambda c: F.when(F.size("x") == 1, F.col(c)[0].cast("double")).otherwise(F.raise_error(F.lit("missing or ambiguous centre")).cast("double"))
+    found = found.select(page_id, "card_id", F.struct(one("x").alias("lon"), one("y").alias("lat")).alias("at")).groupBy(page_id, "card_id").agg(F.min("at").alias("at"), F.max("at").alias("other"))
+    same = F.when(F.col("at") == F.col("other"), F.col("at")).otherwise(F.raise_error(F.lit("conflicting centres of a card")))
+    return found.select(page_id, "card_id", same.alias("at")).select(page_id, "card_id", "at.lon", "at.lat")
+
+
+def catalogue(df: DataFrame, page_id: str, html: str, block: str, title: str, count: str, card: str, handler: str, centre: str) -> DataFrame:
+    """Cards of catalogue pages with the coordinates of their handlers, null where there is none; see :func:`catalogue_cards`."""
+    cards = catalogue_cards(df, page_id, html, block, title, count, card)
+    return cards.join(catalogue_coordinates(df, page_id, html, handler, centre), [page_id, "card_id"], "left")

@@ -18,13 +18,18 @@ MOST_COLUMNS, MOST_ROWS, MOST_CHARACTERS = 16384, 1_048_575, 32_767
 
 
 def feature_lines(df: DataFrame, path: str, geometry: str, properties: Sequence[str]) -> None:
-    """One compact feature to a line, in as many files as there are partitions."""
-    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), F.col(geometry).alias("geometry"), F.struct(*properties).alias("properties")))
+    """One compact feature to a line, in as many files as there are partitions; coordinates may be arrays or JSON text."""
+    shape = F.col(geometry)
+    if "coordinates" in (names := df.select(geometry).schema[0].dataType.fieldNames()) and df.select(f"{geometry}.coordinates").schema[0].dataType.typeName() == "string":
+        shape = F.struct(*((F.parse_json(shape[c]) if c == "coordinates" else shape[c]).alias(c) for c in names))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), shape.alias("geometry"), F.struct(*properties).alias("properties")))
     df.select(feature.alias("value")).write.mode("overwrite").text(path)
 
 
 def csv(df: DataFrame, path: str, columns: Sequence[str] | None = None) -> None:
-    df.select(*(columns or sorted(df.columns))).write.mode("overwrite").option("header", True).csv(path)
+    """A table with a byte order mark before its header, which each file repeats."""
+    columns = list(columns or sorted(df.columns))
+    df.select(*columns).toDF(f"\ufeff{columns[0]}", *columns[1:]).write.mode("overwrite").option("header", True).csv(path)
 
 
 def json_lines(df: DataFrame, path: str) -> None:
@@ -95,7 +100,10 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def publish(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> None:
-    """Write all tables beside the target, then put them in its place by renaming; the old state returns if that fails."""
+    """Write all tables beside the target, then put them in its place by renaming; the old state returns if that fails.
+
+    Between the two renames there is no target; readers that can't wait go by a pointer, see :func:`point_to`.
+    """
     staging, backup = f"{target}.staging", f"{target}.backup"
     fs, to = _filesystem(spark, target)
     path = spark._jvm.org.apache.hadoop.fs.Path
@@ -114,7 +122,7 @@ def publish(spark: SparkSession, tables: dict[str, DataFrame], target: str) -> N
 
 
 def point_to(spark: SparkSession, pointer: str, dataset: str) -> None:
-    """Make a dataset, if it is there, the current one: the pointer is a file of one line, replaced by renaming."""
+    """Make a dataset, if it is there, the current one: the pointer is a file of one line, replaced by one rename, so that it is never missing."""
     fs, _ = _filesystem(spark, dataset)
     path = spark._jvm.org.apache.hadoop.fs.Path
     if not fs.exists(path(dataset)):
@@ -123,6 +131,8 @@ def point_to(spark: SparkSession, pointer: str, dataset: str) -> None:
     stream = fs.create(new, True)
     stream.write(bytearray(dataset.encode()))
     stream.close()
-    fs.delete(path(pointer), False)
-    if not fs.rename(new, path(pointer)):
-        raise OSError(f"{pointer} can't be replaced")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    option = getattr(hadoop, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(option, 1)
+    how[0] = option.OVERWRITE
+    hadoop.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration()).rename(new, path(pointer), how)

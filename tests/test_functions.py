@@ -101,10 +101,10 @@ ELL = np.array([[0, 0], [3, 0], [3, 1], [1, 1], [1, 3], [0, 3]], float)
 
 
 def test_polygons():
-    assert geo.area(SQUARE) == 4 and sum(abs(geo.area(t)) for t in geo.triangles(ELL)) == pytest.approx(5)
-    assert geo.intersection_area(ELL, SQUARE) == pytest.approx(3) and geo.intersection_area(SQUARE, SQUARE + 5) == 0
-    assert geo.contains(ELL, np.array([0.5, 2, 3, 1]), np.array([2, 2, 0.5, 2])).tolist() == [True, False, True, True]
-    assert geo.contains(ELL, *np.array(geo.inner_point(ELL))[:, None])[0]
+    assert geo.area(SQUARE) == 4 and geo.shape_areas([ELL, SQUARE])[0] == pytest.approx(5)
+    assert geo.intersection_areas([ELL, SQUARE], [SQUARE, SQUARE + 5]).tolist() == pytest.approx([3, 0])
+    assert geo.contains([ELL], np.array([0.5, 2, 3, 1]), np.array([2, 2, 0.5, 2])).tolist() == [True, False, True, True]
+    assert geo.contains([ELL], *np.array(geo.inner_point(ELL))[:, None])[0]
     assert geo.normal_form(SQUARE) == geo.normal_form(np.roll(SQUARE, 2, 0)) == geo.normal_form(SQUARE[::-1]) != geo.normal_form(ELL)
     assert abs(geo.area(geo.circle(0, 0, 1))) == pytest.approx(math.pi, rel=1e-3)
     parts = geo.clip_line(np.array([[-1, 1], [4, 1]], float), SQUARE)
@@ -118,6 +118,46 @@ def test_polygons():
 @given(st.floats(-3, 3), st.floats(-3, 3), st.floats(0.1, 4), st.floats(0.1, 4))
 def test_clip_never_grows(x, y, w, h):
     ring = np.array([[x, y], [x + w, y], [x + w, y + h], [x, y + h]])
-    common = geo.intersection_area(ring, SQUARE)
+    common = geo.intersection_areas([ring], [SQUARE])[0]
     exact = max(0, min(x + w, 2) - max(x, 0)) * max(0, min(y + h, 2) - max(y, 0))
     assert common == pytest.approx(exact, abs=1e-9)
+
+
+def box(x0, y0, x1, y1, turned=False):
+    ring = [[x0, y0], [x1, y0], [x1, y1], [x0, y1], [x0, y0]]
+    return ring[::-1] if turned else ring
+
+
+#: A U-shape, a frame with a hole, two islands one of which has a hole with an island, a comb.
+SHAPES = [
+    [[0, 0], [9, 0], [9, 8], [6, 8], [6, 3], [3, 3], [3, 8], [0, 8]],
+    [box(1, 1, 8, 8), box(3, 2, 6, 5)],
+    [[box(0, 0, 3, 3, True)], [box(4, 0, 11, 9), box(5, 1, 10, 8)], [box(6, 3, 8, 6)]],
+    [[0, 0], [10, 0], [10, 2], [8, 2], [8, 7], [7, 7], [7, 2], [5, 2], [5, 7], [4, 7], [4, 2], [2, 2], [2, 7], [0, 7]],
+]
+
+
+def covered(shape):
+    """Unit cells of a shape, whose corners are integers."""
+    middle = np.array([(x + 0.5, y + 0.5) for x in range(12) for y in range(12)])
+    return geo.contains(geo.shape_rings([np.array(r, float) for r in geo.shape_rings(shape)]), *middle.T)
+
+
+def test_shapes_with_holes_and_parts():
+    cells = [covered(s) for s in SHAPES]
+    assert geo.shape_areas(SHAPES).tolist() == pytest.approx([c.sum() for c in cells])
+    left, right = zip(*((i, j) for i in range(4) for j in range(4)))
+    found = geo.intersection_areas([SHAPES[i] for i in left], [SHAPES[j] for j in right])
+    assert found.tolist() == pytest.approx([(cells[i] & cells[j]).sum() for i, j in zip(left, right)])
+    turned = [[[q[1], q[0]] for q in SHAPES[0]]]
+    assert geo.intersection_areas(turned, [SHAPES[1]]).tolist() == pytest.approx([(cells[1] & covered(turned[0])).sum()])
+
+
+def test_ragged_clipping_matches_single_rings():
+    rng = np.random.default_rng(3)
+    rings = [rng.random((int(rng.integers(3, 9)), 2)) for _ in range(50)] + [np.zeros((0, 2))]
+    many = geo.Rings.of(rings)
+    a, b, c = rng.random(51), rng.random(51), rng.random(51)
+    for k, (ring, area) in enumerate(zip(rings, many.clipped(a, b, c).areas(), strict=True)):
+        alone = geo.clip_half_plane(ring, a[k], b[k], c[k])
+        assert area == pytest.approx(geo.area(alone) if len(alone) else 0)

@@ -1,5 +1,8 @@
 """Operators by known vectors, and invariants of their results."""
 
+import json
+import math
+import random
 import zipfile
 
 import pytest
@@ -127,7 +130,7 @@ def test_reviews(spark):
     assert ("a", "mixed", None) in rows(review.compiled_register(register), "name", "use", "apartments") and review.compiled_register(register).where("name = 'b'").count() == 0
     a = spark.createDataFrame([(1, 131.9, 43.1), (2, 135.0, 48.4)], "i INT, x DOUBLE, y DOUBLE")
     b = spark.createDataFrame([(7, 131.0, 43.0), (8, 135.1, 48.5), (9, 132.0, 43.9)], "j INT, x DOUBLE, y DOUBLE")
-    best = {r["i"]: (r["j"], r["metres"]) for r in review.nearest_on_ellipsoid(a, b, "i", "j", 80.4).collect()}
+    best = {r["i"]: (r["j"], r["metres"]) for r in review.nearest_on_ellipsoid(a, b, "i", "j").collect()}
     for i, x, y in ((1, 131.9, 43.1), (2, 135.0, 48.4)):
         exact = min((float(geodesic(x, y, u, v)), j) for j, u, v in ((7, 131.0, 43.0), (8, 135.1, 48.5), (9, 132.0, 43.9)))
         assert best[i] == (exact[1], pytest.approx(exact[0]))
@@ -228,6 +231,95 @@ def test_stream(spark, tmp_path):
     assert sum(seen) == 2 and snapshots.latest_states(events, "k", "ts").isStreaming
 
 
+def test_nearest_on_ellipsoid_at_any_latitude(spark):
+    rng = random.Random(5)
+    for low, high in ((47.9, 48.1), (-70.0, 70.0)):
+        a = [(k, rng.uniform(130, 132), rng.uniform(low, high)) for k in range(40)]
+        b = [(k, rng.uniform(130, 132), rng.uniform(low, high)) for k in range(60)]
+        left, right = (spark.createDataFrame(x, f"{n} INT, x DOUBLE, y DOUBLE") for n, x in (("i", a), ("j", b)))
+        found = {r["i"]: r["j"] for r in review.nearest_on_ellipsoid(left, right, "i", "j").collect()}
+        assert found == {i: min((float(geodesic(x, y, u, v)), j) for j, u, v in b)[1] for i, x, y in a}
+    assert review.nearest_on_ellipsoid(left, right.limit(0), "i", "j").count() == 0
+
+
+def test_nearest_line(spark):
+    rng = random.Random(6)
+    points = [(k, rng.uniform(-50, 50), rng.uniform(-50, 50)) for k in range(60)] + [(60, 4000.0, 0.0), (61, None, 0.0)]
+    lines = [(k, [[rng.uniform(-50, 50), rng.uniform(-50, 50)] for _ in range(n)]) for k, n in enumerate((2, 4, 3, 1, 0))] + [(9, [[5.0, 5.0], [5.0, 5.0]])]
+    df, roads = spark.createDataFrame(points, "id INT, x DOUBLE, y DOUBLE"), spark.createDataFrame(lines, "road INT, line ARRAY<ARRAY<DOUBLE>>")
+
+    def distance(x, y):
+        out = []
+        for _, line in lines:
+            for (ax, ay), (bx, by) in zip(line[:-1], line[1:]):
+                n = (bx - ax) ** 2 + (by - ay) ** 2
+                t = max(0, min(1, ((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / n)) if n else 0
+                out.append(math.hypot(x - ax - t * (bx - ax), y - ay - t * (by - ay)))
+        return min(out)
+
+    found = {r["id"]: r["distance"] for r in spatial.nearest_line(df, roads, "id", start=3.0).collect()}
+    assert found == {k: pytest.approx(distance(x, y)) for k, x, y in points if x is not None}
+    assert spatial.nearest_line(df, roads.limit(0), "id").count() == 0
+
+
+def test_clipping_of_shapes_with_holes(spark):
+    domain = [[[[0.0, 0.0], [9.0, 0.0], [9.0, 8.0], [6.0, 8.0], [6.0, 3.0], [3.0, 3.0], [3.0, 8.0], [0.0, 8.0]]], [[[20.0, 0.0], [30.0, 0.0], [30.0, 10.0], [20.0, 10.0]], [[22.0, 2.0], [22.0, 5.0], [25.0, 5.0], [25.0, 2.0]]]]
+    frame = [[[1.0, 1.0], [29.0, 1.0], [29.0, 7.0], [1.0, 7.0]], [[2.0, 2.0], [2.0, 6.0], [24.0, 6.0], [24.0, 2.0]]]
+    buildings = spark.createDataFrame([("b", frame), ("far", [[[90.0, 90.0], [91.0, 90.0], [91.0, 91.0]]])], "b STRING, ring ARRAY<ARRAY<ARRAY<DOUBLE>>>")
+    domains = spark.createDataFrame([("d", domain)], "d STRING, ring ARRAY<ARRAY<ARRAY<ARRAY<DOUBLE>>>>")
+    found = {(r["ix"], r["iy"]): r["area"] for r in spatial.clipped_to_cells(buildings, domains, "b", "d", 1.0).collect()}
+    cell = lambda x, y: (x < 9 and y < 8 and not (3 <= x < 6 and y >= 3) or 20 <= x < 30 and y < 10 and not (22 <= x < 25 and 2 <= y < 5)) and 1 <= x < 29 and 1 <= y < 7 and not (2 <= x < 24 and 2 <= y < 6)
+    assert found == {(x, y): pytest.approx(1.0) for x in range(31) for y in range(11) if cell(x, y)}
+
+
+def test_published_ids_go_by_name(spark):
+    new = spark.createDataFrame([(1, "Zeta", "new1", ["k"]), (2, "alpha", "new2", ["k"]), (3, "Mid", "new3", ["k", "m"]), (4, "None", "new4", ["x"])], "component INT, name STRING, contact_id STRING, keys ARRAY<STRING>")
+    old = spark.createDataFrame([("old", ["k"]), ("other", ["m"])], "contact_id STRING, keys ARRAY<STRING>")
+    assert rows(resolve.preserved_ids(new, old), "component", "contact_id") == [(1, "new1"), (2, "old"), (3, "new3"), (4, "new4")]
+
+
+def test_contact_sources(spark):
+    source = "ARRAY<STRUCT<source_id: STRING, retrieved_at: STRING, url: STRING>>"
+    schema = f"record INT, contact_id STRING, name STRING, kind STRING, coverage ARRAY<STRING>, specializations ARRAY<STRING>, phones ARRAY<STRING>, emails ARRAY<STRING>, websites ARRAY<STRING>, addresses ARRAY<STRING>, links ARRAY<STRING>, sources {source}"
+    data = [(1, "", "Alpha", "agency", ["X"], [], ["8 999 111-22-33"], [], [], [], [], [("s", "d1", None)]), (2, "", "Alpha", "agency", ["X"], [], ["8 999 111-22-33"], ["a@b.ru"], [], [], [], [("s", "d2", None), ("t", "d2", "http://z.org//a")]), (3, "", "Beta", "broker", [], [], ["89990001122"], [], [], [], [], None)]
+    found = resolve.merged(resolve.normalized(spark.createDataFrame(data, schema), "region"))
+    one = {r["name"]: ([(x["source_id"], x["retrieved_at"], x["url"]) for x in r["sources"]], r["review_status"]) for r in found.collect()}
+    assert one == {"Alpha": ([("s", "d2", None), ("t", "d2", "http://z.org/a")], "needs_review"), "Beta": ([], "needs_review")}
+    assert resolve.catalogue_errors(found).count() == 0 and resolve.catalogue_errors(found.withColumn("kind", F.lit("?")), ("published",)).groupBy("error").count().count() == 2
+    later = found.withColumn("sources", F.transform("sources", lambda x: x.withField("retrieved_at", F.lit("d9"))))
+    assert {r["status"] for r in resolve.delta(found, later.withColumn("review_status", F.lit("published"))).collect()} == {"unchanged"}
+    assert sorted(r["status"] for r in resolve.delta(found.where("name = 'Alpha'"), later.withColumn("phones", F.array(F.lit("+1")))).collect()) == ["added", "changed"]
+
+
+def test_features_round_trip(spark, tmp_path):
+    text = '{"type":"FeatureCollection","features":[{"type":"Feature","geometry":{"type":"Polygon","coordinates":[[[37.6,55.7],[38,55],[37,55],[37.6,55.7]]]},"properties":{"name":"Дом"}}]}'
+    (tmp_path / "l.geojson").write_text(text, encoding="utf-8")
+    write.feature_lines(read.geojson(spark, str(tmp_path / "l.geojson"), "name: STRING").select("geometry", "properties.name"), str(tmp_path / "out"), "geometry", ["name"])
+    lines = [json.loads(x) for f in (tmp_path / "out").glob("*.txt") for x in f.read_text(encoding="utf-8").splitlines()]
+    assert lines == json.loads(text)["features"]
+    assert read.feature_lines(spark, str(tmp_path / "out"), "name: STRING").select("properties.name").first()[0] == "Дом"
+    write.csv(spark.createDataFrame([(1, "b")], "n INT, a STRING").coalesce(1), str(tmp_path / "csv"))
+    assert next((tmp_path / "csv").glob("*.csv")).read_bytes() == "\ufeffa,n\nb,1\n".encode()
+    for name in ("one", "two"):
+        (tmp_path / name).mkdir()
+        write.point_to(spark, str(tmp_path / "pointer"), str(tmp_path / name))
+        assert (tmp_path / "pointer").read_text() == str(tmp_path / name)
+    with pytest.raises(ValueError):
+        write.point_to(spark, str(tmp_path / "pointer"), str(tmp_path / "three"))
+
+
+def test_catalogue_coordinates(spark):
+    def page(center="[133.266194, 44.157401,]", more=""):
+        return f'$("#addr-id-27").click(function(){{\n  //center: [37.65, 55.71],\n map.flyTo({{center: {center}, zoom:15}});\n}});{more}'
+
+    handler, centre = r'(?s)\$\("#addr-id-(\d+)"\)\.click\(function\(\)\{(.*?)\}\);', r"center:\s*\[\s*([-\d.]+),\s*([-\d.]+)\s*,?\s*\]"
+    parse = lambda html: read.catalogue_coordinates(spark.createDataFrame([(1, html)], "id INT, html STRING"), "id", F.col("html"), handler, centre).collect()
+    assert [tuple(r) for r in parse(page(more=page()))] == [(1, "27", 133.266194, 44.157401)]
+    for bad in (page("[]"), page("[1, 2], center: [3, 4]"), page(more=page("[1, 2]"))):
+        with pytest.raises(Exception, match="centre"):
+            parse(bad)
+
+
 def test_entry(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and __spark_entry__.entry(spark).limit(5).count() == 5
