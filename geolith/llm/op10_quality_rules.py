@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from geolith.llm.shared import materialize
+from geolith.llm.shared import Stored, small
 
 #: White space, and the characters that count as symbols.
 SPACE, SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r", "#*$%&|<>"
@@ -27,7 +27,6 @@ class Limits:
     line_docs: int = 20
     line_share: float = 0.1
     depleted_share: float = 0.5
-    broadcast_rows: int = 200_000
 
 
 def words(text: Column) -> Column:
@@ -49,20 +48,27 @@ def n_repeat_words(w: Column, hashes: Column) -> Column:
     return F.when(once, F.lit(0).cast("bigint")).otherwise(F.element_at(F.transform(F.array(rows), covered), 1))
 
 
-def measured(df: DataFrame, id_col: str, text_col: str, host_col: str, limits: Limits) -> DataFrame:
-    """The rules on each text alone, and its lines."""
+def text_of(df: DataFrame, id_col: str, text_col: str, host_col: str, *extra: Column) -> DataFrame:
+    """Id, text and host of each row, and the lines of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    df = df.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit(""))).alias("host"), F.monotonically_increasing_id().alias("row"))
-    w = F.col("w")
+    host = F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit(""))).alias("host")
+    df = df.select(F.col(id_col).alias("id"), text.alias("text"), host, F.monotonically_increasing_id().alias("row"), *extra)
+    return df.withColumn("lines", F.split(F.col("text"), "\n"))
+
+
+def measured(df: DataFrame, limits: Limits) -> DataFrame:
+    """The rules on each text alone, beside the columns of ``df``."""
+    w, has_word = F.col("w"), lambda x: F.btrim(x, F.lit(SPACES)) != ""
     window = F.when(F.size(w) >= 3, F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("w", words(F.col("text"))).withColumn("lines", F.filter(F.split(F.col("text"), "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""))
+    own = df.columns
+    df = df.withColumn("w", words(F.col("text"))).withColumn("own", F.filter("lines", has_word))
     df = df.withColumn("hashes", window)
     df = df.select(
-        "id", "row", "host", "lines", F.xxhash64("text").alias("text_key"),
+        *own, F.xxhash64("text").alias("text_key"),
         F.size(w).cast("bigint").alias("n_words"),
         F.length(F.array_join(w, "")).cast("bigint").alias("word_chars"),
         (F.length("text") - F.length(F.translate(F.col("text"), SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        (F.size("own") - F.size(F.array_distinct("own"))).cast("bigint").alias("n_dup_lines"),
         n_repeat_words(w, F.col("hashes")).alias("n_repeat_words"),
     )
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > round(100 * limits.repeat_share) * F.col("n_words"))
@@ -74,40 +80,52 @@ def normalised(line: Column) -> Column:
     return F.btrim(F.lower(F.regexp_replace(line, SPACE, " ")))
 
 
-def line_key(host: Column, line: Column) -> Column:
-    return F.xxhash64(host, normalised(line))
+def line_keys() -> Column:
+    """The keys of a host's lines; a line without a word has none."""
+    return F.transform("lines", lambda x: F.when(F.btrim(x, F.lit(SPACES)) != "", F.xxhash64(F.col("host"), normalised(x))))
 
 
-def frequent_lines(df: DataFrame, id_col: str, text_col: str, host_col: str, limits: Limits) -> DataFrame:
-    """``key`` of each line above the limit in a host, and ``first``, the smallest id that has it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = df.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(host_col).cast("string"), F.lit(""))).alias("host"), F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "").alias("lines"))
+def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
+    """``key`` of each line above the limit in a host, and ``first``, the smallest id that has it.
+
+    A line and a document count once, whatever rows have them.
+    """
     hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    keys = rows.select("id", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: line_key(F.col("host"), x)))).alias("key"))
-    counts = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("host").alias("host")).where(F.col("n") > limits.line_docs)
+    pairs = rows.select("id", "host", F.explode(F.array_compact(F.array_distinct(line_keys()))).alias("key")).where("id is not null").distinct()
+    counts = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("host").alias("host")).where(F.col("n") > limits.line_docs)
     return counts.join(hosts, "host").where(F.col("n") > limits.line_share * F.col("docs")).select("key", "first")
 
 
-def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits(), keep_text: bool = False) -> DataFrame:  # noqa: B008
-    """One row per input row: the id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``removed_words``, ``kept``; with ``keep_text`` also ``text_key``, the xxhash64 of the text, and ``clean_text``.
+def removals(rows: DataFrame, hot: DataFrame) -> DataFrame:
+    """``places`` of the frequent lines that go from a text, by its id and ``text_key``, and how many words they have."""
+    lines = rows.select("row", "id", F.xxhash64("text").alias("text_key"), F.posexplode(F.arrays_zip("lines", line_keys().alias("keys"))).alias("at", "line"))
+    lines = lines.select("row", "id", "text_key", "at", F.col("line.lines").alias("line"), F.col("line.keys").alias("key")).where("key is not null")
+    lines = lines.join(hot, "key").where(~F.col("id").eqNullSafe(F.col("first")))
+    found = lines.groupBy("row", "id", "text_key").agg(F.sum(F.size(words(F.col("line")))).alias("removed_words"), F.collect_set("at").alias("places"))
+    return found.groupBy("id", "text_key").agg(F.first("removed_words").alias("removed_words"), F.first("places").alias("places"))  # equal rows lose the same
+
+
+def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limits: Limits = Limits(), keep_text: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:  # noqa: B008
+    """One row per input row: the id, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``, ``base_failed``, ``removed_words``, ``kept``; with ``keep_text`` also ``clean_text`` and ``row``; and the columns ``extra``.
 
     A null or empty text has no words and fails. A null host is a host of its own, together with the
-    empty one. Each row counts as a document, repeated rows too; a null id stays null and is never a
-    line's first document. Other columns are ignored, an empty table gives an empty one. Texts are taken
-    whole. ``clean_text`` is the text without its frequent lines.
+    empty one. Rows of one id are one document, of which a line counts once; a row with a null id is no
+    document when lines are counted, and loses the lines that are frequent without it. Of ties the smallest id
+    keeps the line. Other columns are ignored, an empty table gives an empty one. Texts are taken
+    whole. ``clean_text`` is the text without its frequent lines. ``row`` is different for each row.
     """
-    hot, size = materialize(frequent_lines(df, id_col, text_col, host_col, limits))
-    if size <= limits.broadcast_rows:
-        hot = F.broadcast(hot)
-    keys = ["text_key"] if keep_text else []
+    stored = Stored(df.sparkSession)
+    rows = text_of(df, id_col, text_col, host_col)
+    hot = stored(frequent_lines(rows, limits))
+    gone = stored(removals(rows, small(hot)))
+    stored.drop(hot)
     rules = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    lines = measured(df, id_col, text_col, host_col, limits)
-    lines = lines.select("row", "id", *keys, *rules, "host", F.posexplode_outer("lines").alias("at", "line"))
-    lines = lines.select("row", "id", *keys, *rules, "at", *(["line"] if keep_text else []), F.size(words(F.col("line"))).alias("own_words"), line_key(F.col("host"), F.col("line")).alias("key"))
-    out = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first"))
-    removed = F.coalesce(F.sum(F.when(out, F.col("own_words"))), F.lit(0)).cast("bigint").alias("removed_words")
-    kept_lines = F.array_sort(F.collect_list(F.when(~out & F.col("line").isNotNull(), F.struct("at", "line")))) if keep_text else None
-    # the rules are aggregates here, so that no filter on them moves below, where it would compute them again for each line
-    found = lines.join(hot, "key", "left").groupBy("row", "id", *keys).agg(*(F.first(x).alias(x) for x in rules), removed, *([F.array_join(F.transform(kept_lines, lambda x: x["line"]), "\n").alias("clean_text")] if keep_text else []))
-    kept = ~F.col("base_failed") & (F.col("removed_words") <= limits.depleted_share * F.col("n_words"))
-    return found.select(F.col("id").alias(id_col), *rules, "removed_words", kept.alias("kept"), *keys, *(["clean_text"] if keep_text else []))
+    found = measured(text_of(df, id_col, text_col, host_col, *(F.col(c).alias(f"extra_{c}") for c in extra)), limits)
+    found = found.select("row", "id", "text_key", *rules, *(["lines"] if keep_text else []), *(f"extra_{c}" for c in extra))
+    own = small(gone.select(F.col("id").alias("own_id"), F.col("text_key").alias("own_key"), "removed_words", "places"))
+    found = found.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
+    removed = F.coalesce("removed_words", F.lit(0)).cast("bigint")
+    kept = ~F.col("base_failed") & (removed <= limits.depleted_share * F.col("n_words"))
+    left = F.when(F.col("places").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("places", i))) if keep_text else None
+    text = [F.array_join(left, "\n").alias("clean_text"), F.col("row")] if keep_text else []
+    return found.select(F.col("id").alias(id_col), *rules, removed.alias("removed_words"), kept.alias("kept"), *text, *(F.col(f"extra_{c}").alias(c) for c in extra))

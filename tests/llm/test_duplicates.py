@@ -86,7 +86,7 @@ def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
     rows = [(1, k, rng.choice([60, 61, 70, 75, 80, 95, 100, 120, 400]), 0 if k < 60 else rng.randrange(1, 9)) for k in range(90)] + [(2, k, 50, k % 2) for k in range(3)] + [(3, k, 50, 7) for k in range(9)]
     own = spark.createDataFrame(rows, "tile BIGINT, b BIGINT, n BIGINT, label BIGINT")
     groups = defaultdict(list)
-    for r in jaccard.blocked(own, 80).collect():
+    for r in jaccard.blocked(own, 80, Stored(spark)).collect():
         groups[r["tile"], r["low"], r["high"]].append((r["b"], r["block"]))
     met = Counter((t, *sorted((x, y))) for (t, low, high), g in groups.items() for i, (x, p) in enumerate(g) for y, q in g[:i] if low == high or p != q)
     info = {(t, b): (n, y) for t, b, n, y in rows}
