@@ -11,7 +11,7 @@ from geolith.llm.op4_jaccard_join import near_duplicates
 from geolith.llm.op5_packing import pack
 from geolith.llm.op6_language_id import UNDETERMINED, identify, learn_model
 from geolith.llm.op10_quality_rules import Limits, quality
-from geolith.llm.shared import Stored
+from geolith.llm.shared import Stored, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
@@ -20,37 +20,37 @@ LEAST_SCORE = 0.2
 LIMITS = Limits(line_share=0.0)
 
 
-def revised(docs: DataFrame, decisions: DataFrame, text: str) -> DataFrame:
-    """The documents with a decision, and the decision's text unless it is null; ``n_chars`` follows a changed text.
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the rules, without the lines that are frequent in their host; ``n_chars`` follows a changed text.
 
-    Decisions hold ``doc_id``, ``text_key`` and the column ``text``; equal rows have equal decisions.
+    A document without text fails. Repeated rows are judged alike and all stay or go; other nulls don't matter.
     """
-    own = decisions.select(F.col("doc_id").alias("own_id"), F.col("text_key").alias("own_key"), F.col(text).alias("own_text")).dropDuplicates(["own_id", "own_key"])
-    same = F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("own_key"))
-    out = docs.join(own, same)
-    length = F.when(F.col("own_text").isNull(), F.col("n_chars")).otherwise(F.length("own_text")).cast(docs.schema["n_chars"].dataType)
-    return out.withColumn("n_chars", length).withColumn("text", F.coalesce("own_text", "text")).select(*COLUMNS)
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules, without the lines that are frequent in their host."""
-    found = quality(docs, limits=LIMITS, keep_text=True).where("kept")
-    return revised(docs, found.withColumn("changed", F.when(F.col("removed_words") > 0, F.col("clean_text"))), "changed")
+    found = quality(docs, limits=LIMITS, keep_text=True, extra=("lang", "source", "n_chars"))
+    found = found.where(F.col("kept") & (F.col("row") >= 0))  # on a row number, so that the rules are not moved into the filter and computed twice
+    length = F.when(F.col("removed_words") > 0, F.length("clean_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+    return found.withColumn("n_chars", length).withColumnRenamed("clean_text", "text").select(*COLUMNS)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that was recognised, with it as their ``lang``."""
+    """Documents in a language that was recognised, with it as their ``lang``.
+
+    A document without a letter goes, and all do if no row has a ``lang`` to learn from. Repeated rows are judged
+    alike; ties go to the first family and language in alphabetical order.
+    """
     found = identify(docs, learn_model(docs, F.lit(True)), extra=tuple(F.col(c) for c in COLUMNS if c not in ("doc_id", "lang")))
     found = found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= LEAST_SCORE))
     return found.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each component of near copies; one row of it, if its id is repeated. Rows without an id stay."""
-    chosen = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = F.struct(*(c for c in COLUMNS if c != "doc_id"))
-    one = docs.join(chosen, "doc_id").groupBy("doc_id").agg(F.min(rest).alias("row"))
-    return one.select("doc_id", "row.*").select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+    """The document of smallest id of each component of near copies: all its different rows, once each. Rows without an id stay."""
+    stored = Stored(spark)
+    found = stored(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") != F.col("component_id")).alias("copy"), (F.count("*") > 1).alias("repeated")).where("copy or repeated"))
+    copies, repeated = (small(found.where(x).select("doc_id")) for x in ("copy", "repeated and not copy"))
+    own = docs.where("doc_id is not null").join(copies, "doc_id", "left_anti")
+    twice = own.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    rest = docs.where("doc_id is null").union(own.join(repeated, "doc_id", "left_anti").select(*docs.columns))
+    return rest.select(*COLUMNS).union(twice.select(*COLUMNS))
 
 
 def passages_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
