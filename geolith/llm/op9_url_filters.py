@@ -1,47 +1,29 @@
 """URL filters: host rules first, then word segmentation by unigram Viterbi and multinomial naive Bayes.
 
-Host labels and path segments are split into words at punctuation and digits, and names that run words
-together are split by the most probable sequence of dictionary words. The dictionary is counted over
-all URLs; naive Bayes learns from labelled names and, if there is one, a table of labelled URLs, of which
-every word counts.
+Host labels and path segments are split into names at punctuation and digits, and a name that runs words
+together is split by the most probable sequence of dictionary words. The dictionary is counted over the names
+of all URLs. Each distinct name is segmented once, with those dictionary words that it contains, which a join
+brings to it; so neither names nor words have to fit one process. Naive Bayes learns from all URLs that a rule
+decides, whose verdict is their label, or from a table of labelled URLs, and every word of them counts.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.llm.batches import field, map_batches
+from geolith.llm.batches import map_batches
+from geolith.llm.shared import Stored, small
 
 #: The default rules (verdict, host, path prefix), in the order given.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-
-#: Labelled names that naive Bayes learns from, words of a name joined by hyphens.
-BLOCKED = (
-    "casino-bonus online-casino casino-slots poker-room free-poker slots-jackpot jackpot-win bets-now best-bets bet-win sports-bet "
-    "betting-tips pills-online buy-pills cheap-viagra viagra-online cialis-cheap pharmacy-pills diet-pills weight-loss adult-video "
-    "adult-cams xxx-video xxx-adult porn-free free-porn sex-cams sex-chat escort-girls hot-girls link-farm spam-links mail-spam "
-    "ad-tracker track-click click-ads popup-ads banner-ads ads-server phishing-login free-money fast-money easy-cash payday-loan quick-loans cheap-loans "
-    "crack-keygen keygen-free warez-download torrent-crack replica-watches cheap-replica miracle-cure lottery-win win-prize free-iphone malware-download"
-).split()
-ALLOWED = (
-    "news-daily daily-news local-news city-library public-library school-books science-journal open-science data-archive history-museum art-museum "
-    "music-school sports-club football-club garden-club cooking-recipes home-garden travel-guide city-guide weather-report health-service hospital-info "
-    "university-press research-center computer-science code-docs software-docs wiki-pages blog-posts open-source book-review film-review photo-gallery "
-    "train-times bus-times map-service town-council government-services tax-help law-review job-board community-forum help-center support-desk "
-    "language-learning math-tutor history-blog food-blog tech-blog web-design online-course video-lectures free-software free-library win-tips best-books"
-).split()
-#: Labels and path words that say nothing about a site.
-NEUTRAL = frozenset("www m blog mobile com net org example html htm php index page en de fr es it http https".split())
-SPLIT = re.compile(r"[^a-z]+")
+#: What each letter of an unknown run costs beside the run itself, in log probability.
+LETTER = 4.0
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -64,50 +46,37 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return name, verdict
 
 
-@dataclass(frozen=True)
-class UrlModel:
-    """Log probabilities: of dictionary words, and of words in blocked against allowed names."""
-
-    words: dict[str, float]
-    unknown: float
-    odds: dict[str, float]
-    prior: float
-    lengths: tuple[int, ...]
-
-    def segment(self, name: str) -> list[str]:
-        """The most probable words; an unknown run costs by its length, so it stays whole where nothing fits."""
-        best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
-        free, free_from = -math.inf, 0  # the best start of an unknown run, whatever its length
-        for end in range(1, len(name) + 1):
-            if best[end - 1] + 4.0 * (end - 1) > free:
-                free, free_from = best[end - 1] + 4.0 * (end - 1), end - 1
-            best[end], back[end] = free + self.unknown - 4.0 * end, free_from
-            for size in self.lengths:
-                if size > end:
-                    break
-                start = end - size
-                value = best[start] + self.words.get(name[start:end], -math.inf)
-                if value > best[end] or value == best[end] and start < back[end]:
-                    best[end], back[end] = value, start
-        out, end = [], len(name)
-        while end:
-            out.append(name[back[end] : end])
-            end = back[end]
-        return out[::-1]
-
-    def tokens(self, host: str, path: str) -> list[str]:
-        names = [x for x in SPLIT.split(host) + SPLIT.split(path.lower()) if x and x not in NEUTRAL]
-        return [w for x in names for w in ([x] if x in self.odds else self.segment(x))]
-
-    def score(self, host: str, path: str) -> float:
-        """Chance that a URL is to be blocked; words of no labelled name count for neither side."""
-        odds = self.prior + sum(self.odds.get(w, 0.0) for w in self.tokens(host, path))
-        return 1 / (1 + math.exp(-max(-50.0, min(50.0, odds))))
-
-
-def compound(word: str, counts: Counter, least: int = 3) -> bool:
+def names_of(host: Column, path: Column) -> Column:
+    """The names of a URL in order: runs of the letters a to z, in lower case, of its host and path."""
+    return F.filter(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z]+"), lambda x: x != "")
+
+
+def segment(name: str, words: dict[str, float], unknown: float) -> list[str]:
+    """The most probable words, given log probabilities; an unknown run costs by its length, so it stays whole where nothing fits. Ties go to the longer last word."""
+    best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
+    lengths = sorted({len(w) for w in words})
+    free, free_from = -math.inf, 0  # the best start of an unknown run, whatever its length
+    for end in range(1, len(name) + 1):
+        if best[end - 1] + LETTER * (end - 1) > free:
+            free, free_from = best[end - 1] + LETTER * (end - 1), end - 1
+        best[end], back[end] = free + unknown - LETTER * end, free_from
+        for size in lengths:
+            if size > end:
+                break
+            start = end - size
+            value = best[start] + words.get(name[start:end], -math.inf)
+            if value > best[end] or value == best[end] and start < back[end]:
+                best[end], back[end] = value, start
+    out, end = [], len(name)
+    while end:
+        out.append(name[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def compound(word: str, counts: dict[str, int], least: int = 3) -> bool:
     """Whether a word is two or more others of ``least`` letters that are at least as frequent."""
-    whole, n, ends = counts[word], len(word), {0}
+    whole, n, ends = counts.get(word, 0), len(word), {0}
     for end in range(least, n + 1):
         for start in [s for s in ends if end - s >= least and end - s < n]:
             if counts.get(word[start:end], 0) >= whole:
@@ -116,81 +85,99 @@ def compound(word: str, counts: Counter, least: int = 3) -> bool:
     return n in ends
 
 
-def learn(counts: dict[str, int], blocked: tuple[str, ...] | list[str] = tuple(BLOCKED), allowed: tuple[str, ...] | list[str] = tuple(ALLOWED), labelled: dict[str, tuple[int, int]] | None = None) -> UrlModel:
-    """The model of URL word counts, labelled names, and how often each word is in blocked and allowed labelled URLs."""
-    bad, good = Counter(w for x in blocked for w in x.split("-")), Counter(w for x in allowed for w in x.split("-"))
-    for word, (n_bad, n_good) in (labelled or {}).items():
-        bad[word] += n_bad
-        good[word] += n_good
-    total = Counter({w: n for w, n in counts.items() if len(w) > 1})
-    for word in [*bad, *good]:  # a labelled word is in the dictionary, seen or not
-        total[word] += 20
-    for word in sorted(total, key=len):  # a name made of words that are as frequent is no word itself
-        if word not in bad and word not in good and compound(word, total):
-            del total[word]
-    n = sum(total.values()) or 1
-    words = {w: math.log(c / n) for w, c in total.items()}
-    vocabulary = len({*bad, *good})
-    p, q = sum(bad.values()) + vocabulary, sum(good.values()) + vocabulary
-    odds = {w: math.log((bad[w] + 1) / p) - math.log((good[w] + 1) / q) for w in {*bad, *good}}
-    return UrlModel(words, math.log(1 / (n + 1)), odds, math.log(0.4 / 0.6), tuple(sorted({len(w) for w in words})))
-
-
-def word_counts(df: DataFrame, url_col: str = "url") -> dict[str, int]:
-    """Counts of all words of all URLs' hosts and paths; they have to fit the driver and a broadcast."""
-    host, path = url_parts(F.col(url_col))
-    words = df.select(F.explode(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z]+")).alias("word")).where(F.length("word") > 1)
-    return {w: n for w, n in words.groupBy("word").count().collect()}
+def name_counts(*urls: DataFrame) -> DataFrame:
+    """How often each name occurs, over tables with a column ``names``."""
+    rows = [df.select(F.explode("names").alias("name")) for df in urls]
+    out = rows[0]
+    for df in rows[1:]:
+        out = out.union(df)
+    return out.groupBy("name").agg(F.count("*").alias("n"))
 
 
-def label_counts(labelled: DataFrame, model: UrlModel, url_col: str = "url", label_col: str = "blocked") -> dict[str, tuple[int, int]]:
-    """In how many blocked and allowed labelled URLs each word is, of all their words; rows without a label count for neither."""
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
-    host, path = url_parts(F.col(url_col))
+def with_words(names: DataFrame, words: DataFrame, longest: int) -> DataFrame:
+    """Each name and, as ``known``, the words (``name``, ``n``) of up to ``longest`` letters that it contains."""
+    inside = F.expr(f"array_distinct(flatten(transform(sequence(1, length(name) - 1), i -> transform(sequence(2, least({longest}, length(name) - i + 1)), k -> substring(name, i, k)))))")
+    parts = names.where(F.length("name") > 1).select("name", F.explode(inside).alias("part"))
+    found = parts.join(words.select(F.col("name").alias("part"), "n"), "part").groupBy("name").agg(F.collect_list(F.struct("part", "n")).alias("known"))
+    return names.select("name").join(found, "name", "left")
+
+
+def per_name(rows: DataFrame, function, kind: T.DataType, arrow: pa.DataType) -> DataFrame:
+    """``name`` and ``value``: the function of each name and the counts of its words."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(w, y) for h, p, y in zip(*(c.to_pylist() for c in batch.columns), strict=True) for w in set(shared.value.tokens(h, p))]
-            yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int64())], names=["word", "y"])
+            values = [function(name, {k["part"]: k["n"] for k in known or ()}) for name, known in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, arrow)], names=["name", "value"])
 
-    rows = labelled.select(host.alias("host"), path.alias("path"), F.col(label_col).cast("bigint").alias("y")).where("y in (0, 1)")
-    words = map_batches(rows, work, [T.StructField("word", T.StringType()), T.StructField("y", T.LongType())])
-    return {w: (b, n - b) for w, b, n in words.groupBy("word").agg(F.sum("y"), F.count("*")).collect()}
+    return map_batches(rows, work, [T.StructField("name", T.StringType()), T.StructField("value", kind)])
 
 
-def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, model: UrlModel | None = None, labelled: DataFrame | None = None) -> DataFrame:
+def segmented(names: DataFrame, stored: Stored, longest: int) -> DataFrame:
+    """``name`` and its ``words``, for each of the counted names.
+
+    Words are the names of 2 to ``longest`` letters that are not made of others at least as frequent.
+    """
+    short = names.where(F.length("name").between(2, longest))
+    made = per_name(with_words(short, small(short), longest), compound, T.BooleanType(), pa.bool_())
+    words = stored(short.join(stored(made.where("value").select("name")), "name", "left_anti"))
+    total = words.agg(F.sum("n")).first()[0] or 1
+
+    def split(name: str, known: dict[str, int]) -> list[str]:
+        return segment(name, {w: math.log(n / total) for w, n in known.items()}, math.log(1 / (total + 1)))
+
+    return per_name(with_words(names, small(words), longest), split, T.ArrayType(T.StringType()), pa.list_(pa.string())).withColumnRenamed("value", "words")
+
+
+def word_odds(labelled: DataFrame, segments: DataFrame, stored: Stored, prior: float) -> tuple[DataFrame, float]:
+    """``word`` and its ``odds``, by multinomial naive Bayes with one added to each count; and the log odds of blocked URLs.
+
+    ``labelled`` has ``names`` and ``y``, 1 for blocked and 0 for allowed. Without both labels all odds are 0 and
+    the log odds those of ``prior``.
+    """
+    n, bad = labelled.agg(F.count("*"), F.sum("y")).first()
+    if not n or not bad or bad == n:
+        return labelled.sparkSession.createDataFrame([], "word STRING, odds DOUBLE"), math.log(prior / (1 - prior))
+    tokens = labelled.select("y", F.explode("names").alias("name")).groupBy("name").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
+    tokens = tokens.join(segments, "name").select(F.explode("words").alias("word"), "bad", "n").groupBy("word").agg(F.sum("bad").alias("bad"), (F.sum("n") - F.sum("bad")).alias("good"))
+    tokens = stored(tokens)
+    p, q, v = (x or 0 for x in tokens.agg(F.sum("bad"), F.sum("good"), F.count("*")).first())
+    odds = F.log((F.col("bad") + 1) / F.lit(float(p + v))) - F.log((F.col("good") + 1) / F.lit(float(q + v)))
+    return tokens.select("word", odds.alias("odds")), math.log((bad + 1) / (n - bad + 1))
+
+
+def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: tuple = RULES, labelled: DataFrame | None = None, longest: int = 24, prior: float = 0.4) -> DataFrame:
     """One row per input row: the id, ``host``, ``path``, ``rule``, ``verdict``, ``score``, ``words``.
 
-    A null URL and one without ``://`` have an empty host and path, fit no rule, and are allowed by the
-    prior. The longest rule wins. Repeated rows and ids give repeated rows, a null id stays null, other
-    columns are ignored, an empty table gives an empty one. ``score`` is the method's, whatever rule fits.
-    ``labelled`` has a ``url`` and whether it is ``blocked``; naive Bayes learns all words of it.
+    A null URL and one without ``://`` have an empty host and path, fit no rule, and get the score of no
+    words. The longest rule wins. Repeated rows and ids give repeated rows, a null id stays null, other
+    columns are ignored, an empty table gives an empty one. ``score`` is the method's chance that the URL is to be
+    blocked, whatever rule fits, and 0.5 or more blocks; words of no labelled URL count for neither side.
+    ``labelled`` has a ``url`` and whether it is ``blocked``; rows without either don't count. Without it the URLs
+    that a rule decides are the labels. A dictionary word has ``longest`` letters at most; names of any length
+    are split.
     """
-    if not model:
-        counts = word_counts(df, url_col)
-        model = learn(counts)
-        if labelled is not None:
-            model = learn(counts, labelled=label_counts(labelled, model))
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    stored = Stored(df.sparkSession)
     host, path = url_parts(F.col(url_col))
     rows = df.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = shared.value, {}
-        for batch in batches:
-            scores, words = [], []
-            for host, path in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                key = host, re.sub("[0-9]+", "0", path)
-                if key not in seen:
-                    if len(seen) > 50_000:
-                        seen.clear()
-                    seen[key] = own.score(*key), own.tokens(*key)
-                scores.append(seen[key][0])
-                words.append(seen[key][1])
-            verdicts = [v or ("block" if s >= 0.5 else "allow") for v, s in zip(batch.column(4).to_pylist(), scores, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(verdicts, pa.string()), pa.array(scores, pa.float64()), pa.array(words, pa.list_(pa.string()))], names=[id_col, "host", "path", "rule", "verdict", "score", "words"])
-
-    strings = [T.StructField(x, T.StringType()) for x in ("host", "path", "rule", "verdict")]
-    return map_batches(rows, work, [field(rows, "id", id_col), *strings, T.StructField("score", T.DoubleType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"), names_of(F.col("host"), F.col("path")).alias("names"))
+    if labelled is None:
+        known = rows.where("verdict is not null").select("names", (F.col("verdict") == "block").cast("bigint").alias("y"))
+    else:
+        own, rest = url_parts(F.col("url"))
+        known = labelled.where("url is not null and blocked is not null").select(names_of(own, rest).alias("names"), F.col("blocked").cast("int").cast("bigint").alias("y")).where("y in (0, 1)")
+    names = stored(name_counts(rows, *([known] if labelled is not None else [])))
+    segments = stored(segmented(names, stored, longest))
+    odds, base = word_odds(known, small(segments), stored, prior)
+    scored = segments.select("name", "words", F.explode_outer("words").alias("word")).join(small(odds), "word", "left").groupBy("name").agg(F.first("words").alias("words"), F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds"))
+    scored = stored(scored)
+    stored.drop(names, segments)
+    tokens = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer("names").alias("at", "name")).drop("names")
+    tokens = tokens.join(small(scored), "name", "left")
+    found = tokens.groupBy("row").agg(*(F.first(c).alias(c) for c in ("id", "host", "path", "rule", "verdict")), F.sort_array(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("at", "words", "odds")))).alias("all"))
+    total = F.aggregate("all", F.lit(float(base)), lambda a, x: a + x["odds"])  # in the order of the names, so that equal URLs have equal scores
+    score = 1 / (1 + F.exp(-F.least(F.lit(50.0), F.greatest(F.lit(-50.0), total))))
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
+    found = found.withColumn("score", score)
+    return found.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "score", F.flatten(F.transform("all", lambda x: x["words"])).alias("words"))
