@@ -70,6 +70,42 @@ def test_audio_resynchronises_and_verifies(spark):
     assert [found[i]["n_frames"] for i in (2, 3, 4)] == [0, 0, 0] and found[4]["n_skipped"] == 8
 
 
+def frame(version, layer, bitrate, rate, padding=0, mode=3, body=b""):
+    """A frame by the definitions, independent of the reader's tables; no checksum."""
+    kbits = {(3, 3): 64, (3, 2): 128, (3, 1): 160, (2, 3): 64, (2, 2): 64, (0, 1): 80}[version, layer]
+    hertz = {3: 44100, 2: 22050, 0: 11025}[version]
+    size = (12 * kbits * 1000 // hertz + padding) * 4 if layer == 1 else (72 if layer == 3 and version != 3 else 144) * kbits * 1000 // hertz + padding
+    return (bytes([0xFF, 0xE0 | version << 3 | (4 - layer) << 1 | 1, bitrate << 4 | rate << 2 | padding << 1, mode << 6]) + body).ljust(size, b"\0")
+
+
+@pytest.mark.parametrize(("version", "layer", "bitrate", "samples"), [(3, 3, 5, 1152), (3, 2, 8, 1152), (3, 1, 5, 384), (2, 3, 8, 576), (2, 2, 8, 1152), (0, 1, 5, 384)])
+def test_audio_layers(version, layer, bitrate, samples):
+    frames = [frame(version, layer, bitrate, 0, k % 2) for k in range(7)]
+    found = audio.read(b"".join(frames))
+    assert found.offsets == np.cumsum([0, *map(len, frames)]).tolist()[:-1] and found.samples == 7 * samples and found.skipped == 0
+
+
+def test_audio_tags_and_tables():
+    safe = lambda n: bytes(n >> k & 0x7F for k in (21, 14, 7, 0))
+    sound = [frame(3, 3, 5, 0) for _ in range(9)]
+    long = b"\3" + "é".encode() * 100
+    four = b"TIT2" + safe(len(long)) + b"\0\0" + long + b"TXXX" + safe(6) + b"\0\0" + b"\0a\0b\0c"
+    two = b"TT2" + (4).to_bytes(3, "big") + b"\0abc"
+    assert audio.read(b"ID3\4\0\0" + safe(len(four)) + four + b"".join(sound)).tags == {"TIT2": "é" * 100, "TXXX": "a=b=c"}
+    found = audio.read(b"ID3\2\0\0" + safe(len(two)) + two + b"".join(sound))
+    assert found.tags == {"TT2": "abc"} and len(found.offsets) == 9 and found.table is None and found.table_fits is None
+    entries = [len(sound[0]) * 4, len(sound[0]) * 4, len(sound[0])]
+    head = lambda n, sizes: frame(3, 3, 5, 0, body=b"\0" * 32 + b"VBRI" + bytes(6) + ((n + 1) * len(sound[0])).to_bytes(4, "big") + n.to_bytes(4, "big") + b"".join(x.to_bytes(2, "big") for x in (len(sizes), 1, 2, 4, *sizes)))
+    found = audio.read(head(9, entries) + b"".join(sound))
+    assert found.table["frames"] == 9 and found.table_fits and found.toc_fits and found.offsets[0] == len(sound[0])
+    assert audio.read(head(8, entries) + b"".join(sound)).table_fits is False and audio.read(head(9, entries[::-1]) + b"".join(sound)).toc_fits is False
+    media, _ = audio.write(b"x" * 9000)
+    clean = audio.read(media)
+    assert clean.table_fits and clean.toc_fits
+    shorter = audio.read(media[: clean.offsets[-1]])
+    assert shorter.table_fits is False and audio.read(media.replace(clean.toc, bytes(100))).toc_fits is False
+
+
 @pytest.mark.parametrize("make", [odd, empty, sample])
 def test_bpe_is_exact(spark, reference, make):
     df = make(spark)
@@ -160,9 +196,9 @@ def test_token_batches_are_balanced():
     rng = random.Random(1)
     parts = ["é" * rng.randrange(1, 90) for _ in range(500)]
     batches = counts.balanced(parts, 4000)
-    sizes = [sum(len(p.encode()) for p in b) for b in batches]
-    assert sorted(p for b in batches for p in b) == sorted(parts) and max(sizes) - min(sizes) <= 180 and max(sizes) < 4000 + 180
-    assert counts.balanced([], 10) == []
+    sizes = [sum(len(parts[i].encode()) for i in b) for b in batches]
+    assert sorted(i for b in batches for i in b) == list(range(500)) and max(sizes) - min(sizes) <= 180 and max(sizes) < 4000 + 180
+    assert counts.balanced([], 10) == [] and counts.in_batches(parts, 4000, lambda b: [p + "!" for p in b]) == [p + "!" for p in parts]
 
 
 def test_unknown_tokenizers_are_not_cut():
@@ -192,6 +228,42 @@ def test_packing_is_gapless(spark, tokenizer, make, pool):
         assert at & (at - 1) == 0 and at <= 1024
 
 
+def test_packing_takes_null_and_repeated_ids(spark, tokenizer):
+    found = packing.pack(odd(spark), JSON, P.PATTERN, keep_ids=True).collect()
+    expected, lengths = Counter(), Counter()
+    for i, t in texts(odd(spark)):
+        ids = tokenizer.encode(t, add_special_tokens=False).ids + [0]
+        expected.update((i, x) for x in ids)
+        lengths[i, len(ids)] += len(ids)
+    assert Counter((r["doc_id"], x) for r in found for x in r["ids"]) == expected
+    got = Counter()
+    for r in found:
+        got[r["doc_id"], r["doc_tokens"]] += r["length"]
+    assert got == lengths
+
+
+def test_packing_is_the_lowest_cost_assignment():
+    """Each piece goes, by descending length, to the sequence of least cost that has room; recomputed without arrays."""
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        lengths = rng.integers(1, 200, 60)
+        lengths = np.append(lengths, -lengths.sum() % 256)
+        room = [256] * int(lengths.sum() // 256)
+        cost, found = [0.0] * len(room), {}
+        for i, start, n, k in zip(*(x.tolist() for x in packing.assign(lengths, np.array(room), 1.0, 1 / 64)), strict=True):
+            found.setdefault(i, []).append((start, n, k))
+        for i in sorted(range(61), key=lambda i: -lengths[i]):
+            n = int(lengths[i])
+            fits = [k for k in range(len(room)) if room[k] >= n]
+            if n and fits:
+                k = min(fits, key=lambda k: (cost[k], k))
+                assert found[i] == [(0, n, k)]
+                room[k] -= n
+                cost[k] += n + n * n / 64
+            elif n:
+                assert sum(m for _, m, _ in found[i]) == n and len(found[i]) > 1  # cut over the room that is left
+
+
 def test_packing_balances_costs():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 700, 400)
@@ -280,6 +352,57 @@ def test_toxicity_finds_planted(spark):
     assert {r["score"] for r in toxicity.score_toxicity(odd(spark), None).collect()} == {0.0}
 
 
+def test_toxicity_is_brute_force(spark):
+    """Scores, evidence and document frequencies of whole texts, from counts of terms and dense cosines."""
+    docs = sample(spark)
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    index = toxicity.learn_index(docs, labels, fold(5) != 0)
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in docs.collect()))
+
+    def terms(text):
+        words = [w.encode() for w in re.findall(r"(?:[0-9a-z]|[^\x00-\x7f])+", text.lower())]
+        return Counter([*words, *(w[:n] for n in toxicity.PREFIXES for w in words if len(w) > n)])
+
+    own = {i: terms(t) for i, t in rows}
+    keys = sorted({t for c in own.values() for t in c})
+    number = {t: int(index.vocabulary.numbers(toxicity.span_hashes(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0])[0]) for t in keys}
+    learned = [i for i in index.names]
+    used = sorted({t for i in learned for t in own[i]})
+    assert len(index.vocabulary) == len(used) and all(number[t] >= 0 for t in used)
+
+    def vector(counts):
+        v = np.zeros(len(index.vocabulary))
+        for t, n in counts.items():
+            if number[t] >= 0:
+                v[number[t]] = (1 + np.log(n)) * index.term_weight[number[t]]
+        return v / (np.linalg.norm(v) or 1)
+
+    examples = np.stack([vector(own[i]) for i in learned])
+    scored = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, index).collect()}
+    for i, _ in rows:
+        cosines = examples @ vector(own[i])
+        top = np.lexsort((np.arange(len(learned)), -cosines.round(6)))[: index.k]
+        top = top[cosines[top] > 1e-7]
+        c = np.minimum(1.0, cosines[top])
+        w = index.class_weight[top] * c / (1.0001 - c)
+        prior = toxicity.PRIOR * index.class_weight.mean()
+        common = (index.labels * index.class_weight).sum() / index.class_weight.sum()
+        p = np.clip((w[index.labels[top] == 1].sum() + prior * common) / (w.sum() + prior), 1e-3, 1 - 1e-3)
+        expected = 1 / (1 + np.exp(-(index.slope * np.log(p / (1 - p)) + index.shift))) if len(top) else index.base
+        assert scored[i]["score"] == pytest.approx(expected, abs=2e-3)
+        assert scored[i]["cosines"] == pytest.approx(cosines[top][:5].tolist(), abs=1e-4)
+
+
+def test_toxicity_learns_from_a_few_rows(spark):
+    docs = documents(spark, [(1, "good kind words here"), (2, "snarbol words here"), (3, "snarbol again"), (4, "kind words"), (4, "another text of the same id")])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 0), (4, None), (None, 1), (9, 1)], "doc_id BIGINT, toxic INT")
+    found = [toxicity.score_toxicity(d, toxicity.learn_index(d, labels, F.lit(True))).collect() for d in (docs, docs.orderBy(F.desc("text")))]
+    scores = [sorted((r["doc_id"], r["score"]) for r in rows) for rows in found]
+    assert scores[0] == scores[1] and len(scores[0]) == 5
+    by = {r["doc_id"]: r for r in found[0]}
+    assert by[3]["score"] > by[1]["score"] and by[3]["evidence"][0] == 2
+
+
 def test_toxicity_compares_all_terms(spark):
     rng = random.Random(4)
     plain = ["".join(rng.choices("abcdefghij", k=7)) for _ in range(300)]
