@@ -50,10 +50,9 @@ def merged(df: DataFrame) -> DataFrame:
 
     Links run from a record to the smallest record with the same key, so a key of very many records is a star.
     """
-    df = df.withColumn("keys", evidence(df))
-    keyed = df.select("record", F.explode("keys").alias("key"))
     stored = Stored(df.sparkSession)
-    keyed = stored(keyed)
+    df = stored(df.withColumn("keys", evidence(df)))  # the normal forms are computed once
+    keyed = df.select("record", F.explode("keys").alias("key"))
     firsts = keyed.groupBy("key").agg(F.min("record").alias("first"), F.max("record").alias("last")).where("first < last").select("key", "first")
     stars = keyed.join(firsts, "key").select(F.col("record").alias("a"), F.col("first").alias("b"))
     found = components(stars, stored)

@@ -734,12 +734,27 @@ def nearest_on_ellipsoid(spark, sf_dir):
     return review.nearest_on_ellipsoid(degrees(places(spark, sf_dir)), degrees(stores(spark, sf_dir)), "c_custkey", "store_id").withColumn("metres", F.round("metres", 2))
 
 
-@query()
+#: The pages' text, for the entities that they have, and their markup without comments, scripts and styles.
+VISIBLE = r"""with a as (select page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<!--.*?-->', ' ', 'gs'), '<(script|style)\b[^>]*>.*?</(script|style)>', ' ', 'gs') as h from pages), b as (select page_id, h, regexp_replace(h, '<[^>]*>', ' ', 'g') as t from a),
+    u as (select page_id, h, replace(replace(replace(replace(replace(replace(replace(t, '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as t from b), v as (select page_id, h, trim(regexp_replace(t, '[\s\x{a0}]+', ' ', 'g')) as t from u)"""
+
+
+@query(VISIBLE + r""" select page_id, cast(length(t) as int) as text_chars, cast(len(list_filter(regexp_extract_all(h, '(?s)<tr\b.*?(?:</tr>|$)'), lambda r: regexp_matches(r, '</t[dh]>'))) as int) as table_rows, cast(len(regexp_extract_all(h, '<a\b[^>]*\bhref="[^"]+"')) as int) as links from v""")
 def html_visible_rows(spark, sf_dir):
     found = read.parsed_pages(t(spark, sf_dir, "pages"), "page_id", "html")
     return found.select("page_id", F.length("text").alias("text_chars"), F.size("rows").alias("table_rows"), F.size("links").alias("links"))
 
 
-@query()
+@query(VISIBLE + r""", c as (select page_id, lpad(cast(page_id % 100 as varchar), 2, '0') as n, list_transform(regexp_extract_all(t, '[\w.+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'), lambda x: lower(x)) as m,
+      list_transform(regexp_extract_all(t, '(?:^|[^0-9])((?:\+?7|8)[\s()\-]*(?:[0-9][\s()\-]*){9}[0-9])[\s()\-]*(?:[^0-9]|$)', 1), lambda x: '+7' || regexp_replace(x, '[^0-9]', '', 'g')[-10:]) as p from v)
+    select page_id, array_to_string(list_sort(list_distinct(list_concat(p, ['+79' || n || '1112233'], case when page_id % 3 = 0 then ['+79' || n || '9998877'] else [] end))), ';') as phones,
+      array_to_string(list_sort(list_distinct(list_concat(m, ['info' || page_id % 50 || '@example.com'], case when page_id % 4 = 0 then ['sales@example.org'] else [] end))), ';') as emails from c""")
 def page_contacts(spark, sf_dir):
-    return read.page_contacts(read.parsed_pages(t(spark, sf_dir, "pages"), "page_id", "html"), "page_id", "text", "links")
+    """Pages followed by some more contacts: in text, twice in other spellings, in links, and in comments, which don't count."""
+    k = F.col("page_id")
+    text = F.format_string("<!-- 8 900 000-00-00 --><p>call 8 (9%02d) 111-22-33, +7 9%02d 111 22 33, <i>Info%d@Example.com</i> 12345", k % 100, k % 100, k % 50)
+    tel = F.when(k % 3 == 0, F.format_string('<a href="tel:+79%02d9998877">t</a>', k % 100)).otherwise("")
+    mail = F.when(k % 4 == 0, '<a href="mailto:Sales@example.org?subject=x">m</a>').otherwise("")
+    pages = t(spark, sf_dir, "pages").withColumn("html", F.concat(F.col("html"), text, tel, mail))
+    found = read.page_contacts(read.parsed_pages(pages, "page_id", "html"), "page_id", "text", "links")
+    return found.select("page_id", F.array_join(F.array_sort("phones"), ";").alias("phones"), F.array_join(F.array_sort("emails"), ";").alias("emails"))
