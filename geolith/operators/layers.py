@@ -93,3 +93,43 @@ def legend(specs: Sequence[dict]) -> list[dict]:
             seen.add(mark)
             out.append(s)
     return out
+
+
+def draw_order() -> list[Column]:
+    """Layers from the bottom up: by ``z_index``, or else ``order``, or else 0; ties by the order of declaration, ``position``."""
+    return [F.coalesce("z_index", "order", F.lit(0)).cast("double").asc(), F.col("position").asc()]
+
+
+def fill_opacity(zoom: Column, most: Column, opacity: Column, above: Column) -> Column:
+    """Opacity of an area: its own up to a zoom, then another; without a limit always its own."""
+    return F.when(most.isNull() | (zoom <= most), F.coalesce(opacity, F.lit(0.55))).otherwise(F.coalesce(above, F.lit(0.0)))
+
+
+def value_at(document: Column, path: str) -> Column:
+    """The value at a dotted path of a JSON object, as text; null where a part is missing."""
+    return F.get_json_object(document, "$" + "".join(f"['{part}']" for part in path.split(".")))
+
+
+def escaped(text: Column) -> Column:
+    """Text for markup."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for character, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        out = F.replace(out, F.lit(character), F.lit(entity))
+    return out
+
+
+def safe_link(address: Column) -> Column:
+    """An address that may be followed: of the schemes http and https only; else null."""
+    return F.when(address.rlike(r"^(?i)https?://[^\s/?#]"), address)
+
+
+def plural(n: Column, one: str, few: str, many: str) -> Column:
+    """A count with its noun: 1, 21 one; 2 to 4, 22 few; 5 to 20, 25 many."""
+    last, two = F.abs(n) % 10, F.abs(n) % 100
+    noun = F.when((last == 1) & (two != 11), one).when(last.between(2, 4) & ~two.between(12, 14), few).otherwise(many)
+    return F.concat(n.cast("string"), F.lit(" "), noun)
+
+
+def cooled_down(last: Column, now: Column, seconds: int) -> Column:
+    """Whether so many seconds have passed since an ISO timestamp; also if there is none."""
+    return last.isNull() | (F.unix_timestamp(F.to_timestamp(now)) - F.unix_timestamp(F.to_timestamp(last)) >= seconds)

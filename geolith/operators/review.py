@@ -124,3 +124,46 @@ def missing_ids(df: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
 
 def wanted_rows(df: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     return df.join(wanted.select(name), name, "left_semi")
+
+
+def review_order(candidates: Column, settlement: Column, targets: Sequence[str], area: Column, name: Column) -> list[Column]:
+    """Rows with candidates first, then those of target settlements, large before small, then by id."""
+    return [(F.coalesce(candidates, F.lit("")) == "").asc(), (~F.coalesce(settlement.isin(*targets), F.lit(False))).asc(), area.desc(), name.asc()]
+
+
+def map_findings(df: DataFrame, issues: Column, conflicts: Sequence[str], settlement: Column, targets: Sequence[str], area: Column, name: Column, most: int = 1000) -> DataFrame:
+    """The first findings for a map: rows with a conflict first, then as in a review."""
+    none = F.lit(True)
+    for issue in conflicts:
+        none = none & ~F.coalesce(F.array_contains(issues, issue), F.lit(False))
+    return df.orderBy(none.asc(), (~F.coalesce(settlement.isin(*targets), F.lit(False))).asc(), area.desc(), name.asc()).limit(most)
+
+
+def triage(records: DataFrame, states: Sequence[str] = ("ambiguous", "quarantined", "alias_review")) -> DataFrame:
+    """Records whose match has to be looked at, their candidates (arrays) as text; nothing in them is verified."""
+    rows = records.where(F.col("match_status").isin(*states))
+    return rows.select("name", F.col("settlement"), F.col("match_status").alias("prior_status"), F.array_join("preferred", ";").alias("preferred_candidates"), F.array_join("candidates", ";").alias("all_candidates"), F.array_join("addresses", "; ").alias("official_addresses"), F.lit(False).alias("geometry_verified"))
+
+
+def resettlement(records: DataFrame) -> DataFrame:
+    """Records in a programme: its evidence proves no completion, so who lives there stays unknown."""
+    return records.where(F.size("evidence") > 0).select("name", "settlement", F.to_json("evidence").alias("program_evidence"), occupancy().alias("current_residents"), F.lit("programme_address_only_no_completion_proof").alias("status"))
+
+
+def occupancy(*counts: Column) -> Column:
+    """Occupied dwellings by counts of linked records: always unknown, as a record is no resident and none is no vacancy."""
+    return F.lit(None).cast("bigint")
+
+
+def reported_fields(tags: Column, name: Column) -> Column:
+    """What tags report of a contour: use, storeys and apartments as (status, value, locator); premises are never reported."""
+    from geolith.functions.scalars import positive
+    from geolith.operators.housing import reported_use
+
+    entry = lambda value, place: F.struct(F.when(value.isNull(), "unknown").otherwise("reported").alias("status"), value.cast("string").alias("value"), F.when(value.isNotNull(), F.concat(name, F.lit(": "), place)).alias("locator"))
+    tag = lambda key: F.concat(F.lit(f"{key}="), F.coalesce(tags[key], F.lit("")))
+    number = lambda key: positive(tags[key])
+    return F.struct(
+        entry(reported_use(tags), F.concat_ws(", ", tag("building"), tag("amenity"), tag("shop"))).alias("use"), entry(number("building:levels"), tag("building:levels")).alias("above_ground_storeys"),
+        entry(F.lit(None).cast("double"), F.lit("")).alias("residential_premises_area_m2"), entry(number("building:flats"), tag("building:flats")).alias("apartments"),
+    )

@@ -323,3 +323,53 @@ def voronoi_domains(sites: list[tuple[str, float, float, float]], frame: Sequenc
         if len(ring) > 2:
             out.append((name, ring.tolist()))
     return out
+
+
+def covered(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
+    """The points in the union of all polygons, each once, without building the union."""
+    hits = points_in_polygons(points, polygons, point_id, polygon_id).select(point_id).distinct()
+    return points.join(hits, point_id, "left_semi")
+
+
+def valid_coordinates(df: DataFrame, column: str) -> Column:
+    """Whether all points of an array of any depth are in the range of longitudes and latitudes; an empty shape isn't valid."""
+    depth = levels(df, column)
+    ok = lambda p: F.coalesce((F.size(p) >= 2) & F.get(p, F.lit(0)).between(-180, 180) & F.get(p, F.lit(1)).between(-90, 90), F.lit(False))
+
+    def whole(value: Column, n: int) -> Column:
+        return ok(value) if n == 1 else F.coalesce((F.size(value) > 0) & F.forall(value, lambda x: whole(x, n - 1)), F.lit(False))
+
+    return whole(F.col(column), depth)
+
+
+def polygonal(df: DataFrame, parts: str = "geometries") -> Column:
+    """The polygons of a collection (an array of type and shape), without its points and lines; several overlap as they may."""
+    return F.filter(F.col(parts), lambda g: g["type"].isin("Polygon", "MultiPolygon"))
+
+
+def domains(sites: DataFrame, site: str, frame: Sequence[Sequence[float]]) -> DataFrame:
+    """Each site's part of a convex frame, nearer to it than to any other and within its ``radius``: site, ring; sites without any part go.
+
+    Only sites within twice the radius can cut a part off, so each site meets its neighbours only.
+    """
+    from geolith.functions.geo import circle
+
+    own = sites.select(F.col(site), "x", "y", "radius")
+    most = own.agg(F.max("radius")).first()[0] or 1.0
+    near = pairs_within(own, own.withColumnRenamed(site, "_other"), site, "_other", 2.0 * most).where(F.col(site) != F.col("_other"))
+    other = own.select(F.col(site).alias("_other"), F.array("x", "y").alias("_at"))
+    rows = own.join(near.join(other, "_other").groupBy(site).agg(F.sort_array(F.collect_list(F.struct("distance", "_at"))).alias("near")), site, "left")
+    rows = rows.select(site, "x", "y", "radius", F.transform("near", lambda n: n["_at"]).alias("near"))
+    schema = T.StructType([sites.schema[site], T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in frames:
+            out = []
+            for name, x, y, r, near in zip(*(part[c] for c in (site, "x", "y", "radius", "near")), strict=True):
+                points = np.array([(x, y), *(tuple(p) for p in (near if near is not None else []))], float)
+                ring = clip_convex(voronoi(points, 0, np.array(frame, float)), circle(x, y, r))
+                if len(ring) > 2:
+                    out.append((name, ring.tolist()))
+            yield pd.DataFrame(out, columns=[site, "ring"])
+
+    return rows.mapInPandas(cut, schema)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from geolith.functions import scalars, text
@@ -758,3 +758,91 @@ def page_contacts(spark, sf_dir):
     pages = t(spark, sf_dir, "pages").withColumn("html", F.concat(F.col("html"), text, tel, mail))
     found = read.page_contacts(read.parsed_pages(pages, "page_id", "html"), "page_id", "text", "links")
     return found.select("page_id", F.array_join(F.array_sort("phones"), ";").alias("phones"), F.array_join(F.array_sort("emails"), ";").alias("emails"))
+
+
+@query("select c_custkey, case when c_custkey % 4 = 0 then null else 'n' || c_nationkey end as nation, cast(c_custkey % 7 as varchar) as deep from customer")
+def dotted_paths(spark, sf_dir):
+    k = F.col("c_custkey")
+    document = F.to_json(F.struct(F.struct(F.when(k % 4 != 0, F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))).alias("nation"), F.struct((k % 7).alias("c.d")).alias("b")).alias("a")))
+    c = t(spark, sf_dir, "customer").select("c_custkey", document.alias("d"))
+    return c.select("c_custkey", layers.value_at(F.col("d"), "a.nation").alias("nation"), F.coalesce(layers.value_at(F.col("d"), "a.b.c"), F.get_json_object(F.col("d"), "$.a.b['c.d']")).alias("deep"))
+
+
+@query("select p_partkey, replace(replace(replace(replace(replace('<' || p_name || '> & \"' || p_brand || '\" ''x''', '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') as markup, case when p_partkey % 3 = 0 then 'https://a.example/' || p_partkey end as link from part")
+def escaped_markup(spark, sf_dir):
+    k = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("<"), F.col("p_name"), F.lit('> & "'), F.col("p_brand"), F.lit("\" 'x'"))
+    address = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("https://a.example/"), k)).when(F.col("p_partkey") % 3 == 1, "javascript:alert(1)").otherwise("https://")
+    return t(spark, sf_dir, "part").select("p_partkey", layers.escaped(text).alias("markup"), layers.safe_link(address).alias("link"))
+
+
+@query("select n_nationkey, cast(row_number() over (order by coalesce(case when n_nationkey % 3 = 0 then n_nationkey % 5 end, case when n_nationkey % 2 = 0 then 2 end, 0), n_nationkey) as bigint) as place, case when n_nationkey % 4 = 0 or n_nationkey % 9 >= 5 then 0.7 else 0.1 end as opacity, n_nationkey || case when n_nationkey % 10 = 1 and n_nationkey % 100 <> 11 then ' слой' when n_nationkey % 10 in (2, 3, 4) and n_nationkey % 100 not in (12, 13, 14) then ' слоя' else ' слоёв' end as layers from nation")
+def layer_drawing(spark, sf_dir):
+    k = F.col("n_nationkey")
+    specs = t(spark, sf_dir, "nation").select(k, F.when(k % 3 == 0, k % 5).alias("z_index"), F.when(k % 2 == 0, 2).alias("order"), k.alias("position"))
+    opacity = layers.fill_opacity(F.lit(5), F.when(k % 4 != 0, k % 9), F.lit(0.7), F.lit(0.1))
+    return layers.ordinal(specs, layers.draw_order(), [], "place").select("n_nationkey", F.col("place").cast("bigint").alias("place"), opacity.alias("opacity"), layers.plural(k, "слой", "слоя", "слоёв").alias("layers"))
+
+
+REVIEW = "select p_partkey, row_number() over (order by p_partkey % 3 = 0, p_size not in (7, 9), p_retailprice desc, p_partkey) as place from part"
+
+
+@query(f"with r as ({REVIEW}) select p_partkey from r where place <= 300")
+def review_queue(spark, sf_dir):
+    candidates = F.when(F.col("p_partkey") % 3 != 0, "h1;h2").otherwise("")
+    order = review.review_order(candidates, F.col("p_size"), (7, 9), F.col("p_retailprice"), F.col("p_partkey"))
+    return t(spark, sf_dir, "part").orderBy(*order).limit(300).select("p_partkey")
+
+
+@query("select p_partkey, row_number() over (order by not (p_partkey % 5 = 0 or p_partkey % 7 = 0), p_size not in (7, 9), p_retailprice desc, p_partkey) as place from part qualify place <= 1000")
+def map_findings(spark, sf_dir):
+    k = F.col("p_partkey")
+    issues = F.array_compact(F.array(F.when(k % 5 == 0, "storeys_source_conflict"), F.when(k % 7 == 0, "gross_area_source_conflict"), F.lit("address_incomplete")))
+    found = review.map_findings(t(spark, sf_dir, "part"), issues, ("storeys_source_conflict", "gross_area_source_conflict"), F.col("p_size"), (7, 9), F.col("p_retailprice"), k)
+    return found.select("p_partkey", F.row_number().over(Window.orderBy((~(F.array_contains(issues, "storeys_source_conflict") | F.array_contains(issues, "gross_area_source_conflict"))).asc(), (~F.col("p_size").isin(7, 9)).asc(), F.desc("p_retailprice"), k.asc())).cast("bigint").alias("place"))
+
+
+@query("select p_partkey as name, p_brand as settlement, ['ambiguous', 'quarantined', 'alias_review'][p_partkey % 5 + 1] as prior_status, 'a' || p_partkey as preferred_candidates, 'a' || p_partkey || ';b' as all_candidates, 'x; y' as official_addresses, false as geometry_verified from part where p_partkey % 5 < 3")
+def triage_extract(spark, sf_dir):
+    k = F.col("p_partkey")
+    state = F.element_at(F.array(*map(F.lit, ("ambiguous", "quarantined", "alias_review", "confirmed", "none"))), (k % 5 + 1).cast("int"))
+    own = F.concat(F.lit("a"), k.cast("string"))
+    rows = t(spark, sf_dir, "part").select(k.alias("name"), F.col("p_brand").alias("settlement"), state.alias("match_status"), F.array(own).alias("preferred"), F.array(own, F.lit("b")).alias("candidates"), F.array(F.lit("x"), F.lit("y")).alias("addresses"))
+    return review.triage(rows)
+
+
+@query("select p_partkey as name, p_brand as settlement, '[\"e' || p_partkey || '\"]' as program_evidence, cast(null as bigint) as current_residents, 'programme_address_only_no_completion_proof' as status from part where p_partkey % 6 = 0")
+def resettlement_extract(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = t(spark, sf_dir, "part").select(k.alias("name"), F.col("p_brand").alias("settlement"), F.when(k % 6 == 0, F.array(F.concat(F.lit("e"), k.cast("string")))).otherwise(F.array().cast("array<string>")).alias("evidence"))
+    return review.resettlement(rows)
+
+
+@query("select c_custkey, c_custkey % 4 <> 0 and c_custkey % 50 <> 49 as point, c_custkey % 4 <> 0 and c_custkey % 6 <> 0 as polygon from customer")
+def nested_coordinates(spark, sf_dir):
+    k = F.col("c_custkey")
+    point = F.array(F.when(k % 4 == 0, 181.0).otherwise(10.0), F.when(k % 50 == 49, -90.5).otherwise(-90.0))
+    polygon = F.array(F.array(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.when(k % 4 == 0, 200.0).otherwise(180.0), F.lit(5.0))), F.when(k % 6 == 0, F.array().cast("array<array<double>>")).otherwise(F.array(F.array(F.lit(0.0), F.lit(0.0)))))
+    c = t(spark, sf_dir, "customer").select("c_custkey", point.alias("p"), polygon.alias("g"))
+    return c.select("c_custkey", spatial.valid_coordinates(c, "p").alias("point"), spatial.valid_coordinates(c, "g").alias("polygon"))
+
+
+@query(f"with {PLACES}, {BOXES} select distinct c_custkey from p, b where x between x0 and x1 and y between y0 and y1")
+def covered_by_any(spark, sf_dir):
+    polygons = _boxes(spark, sf_dir).withColumn("ring", _ring("x0", "y0", "x1", "y1"))
+    return spatial.covered(places(spark, sf_dir), polygons, "c_custkey", "s_suppkey").select("c_custkey")
+
+
+@query("select s_nationkey as source, array_to_string(list_sort(list('+7900' || lpad(cast(s_suppkey as varchar), 7, '0'))), ';') as phones, array_to_string(list_sort(list(distinct 'm' || s_suppkey % 3 || '@example.org')), ';') as emails, count(*) as websites, array_to_string(list_sort(list(distinct 'https://t.me/u' || s_suppkey % 4)), ';') as links from supplier group by 1")
+def website_sources(spark, sf_dir):
+    k = F.col("s_suppkey")
+    html = F.format_string('<p>Call 8 900 %07d</p><a href="mailto:M%d@Example.org?subject=a">m</a><a href="https://t.me/u%d">t</a><a href="/local">l</a>', k, k % 3, k % 4)
+    pages = t(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), F.format_string("http://Site%d.example.org//p%d", F.col("s_nationkey"), k).alias("url"), html.alias("html"), F.array(F.format_string("site%d.example.org", F.col("s_nationkey"))).alias("hosts"), F.lit(True).alias("allowed"))
+    found = read.website_contacts(pages, "source", "url", "html", "hosts", "allowed")
+    return found.select("source", F.array_join("phones", ";").alias("phones"), F.array_join("emails", ";").alias("emails"), F.size("websites").cast("bigint").alias("websites"), F.array_join("links", ";").alias("links"))
+
+
+@query(f"""select p_partkey, case when k in ('apartments', 'house', 'residential') then 'mixed' when k = 'retail' or p_partkey % 11 = 0 then 'non_residential' end as use, case when k in ('apartments', 'house', 'residential') or k = 'retail' or p_partkey % 11 = 0 then 'reported' else 'unknown' end as use_status, case when p_partkey % 5 > 1 then p_size + 0.5 end as storeys, 'unknown' as apartments_status from (select *, {KIND} as k from part)""")
+def reported_observations(spark, sf_dir):
+    found = t(spark, sf_dir, "part").select("p_partkey", review.reported_fields(_tags(), F.col("p_partkey").cast("string")).alias("f"))
+    return found.select("p_partkey", "f.use.value", "f.use.status", F.col("f.above_ground_storeys.value").cast("double").alias("storeys"), F.col("f.apartments.status").alias("apartments_status")).toDF("p_partkey", "use", "use_status", "storeys", "apartments_status")

@@ -250,3 +250,48 @@ def catalogue(df: DataFrame, page_id: str, html: str, block: str, title: str, co
     """Cards of catalogue pages with the coordinates of their handlers, null where there is none; see :func:`catalogue_cards`."""
     cards = catalogue_cards(df, page_id, html, block, title, count, card)
     return cards.join(catalogue_coordinates(df, page_id, html, handler, centre), [page_id, "card_id"], "left")
+
+
+def _listed(schema: str, key: str) -> Column:
+    """The records of a document that is a list, or an object with a list under ``key``; else null."""
+    whole = F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", f"$['{key}']"))
+    return F.when(F.ltrim(whole).startswith("["), F.from_json(whole, f"array<struct<{schema}>>"))
+
+
+def contacts_json(spark: SparkSession, root: str, path: str, schema: str, key: str = "contacts") -> DataFrame:
+    """Contact records (``schema``: a DDL string) of a JSON file below ``contacts/``, a list or an object that has one under ``key``."""
+    if PurePosixPath(path).parts[:1] != ("contacts",):
+        raise ValueError(f"outside contacts/: {path}")
+    text = spark.read.text(inside(root, path), wholetext=True)
+    rows = _listed(schema, key)
+    return text.select(F.explode(F.when(rows.isNotNull(), rows).otherwise(F.raise_error(F.lit("no contacts array")))).alias("c")).select("c.*")
+
+
+def fetched_json(spark: SparkSession, path: str, address: str, hosts: list[str], schema: str, key: str = "contacts") -> DataFrame:
+    """Contact records of a file that was fetched from an address, which has to be https and of an allowed host."""
+    found = re.match(r"https://([^/:?#@]+)(?::443)?(?:[/?#]|$)", address)
+    if not found or found[1].lower() not in hosts:
+        raise ValueError(f"address is not allowed: {address}")
+    text = spark.read.text(path, wholetext=True)
+    rows = _listed(schema, key)
+    return text.select(F.explode(F.when(rows.isNotNull(), rows).otherwise(F.raise_error(F.lit("no contacts array")))).alias("c")).select("c.*")
+
+
+def website_contacts(pages: DataFrame, source: str, url: str, html: str, hosts: str, allowed: str) -> DataFrame:
+    """One record for each source of fetched pages: phones, emails, websites and typed links, each once.
+
+    ``hosts`` is the source's array of hosts and ``allowed`` whether robots may read the page; a page of another host, and one that
+    robots may not read, is an error.
+    """
+    from geolith.functions.text import link_type, web_address, web_host
+
+    own = web_host(web_address(F.col(url)))
+    checked = F.when(F.array_contains(F.col(hosts), own) & F.col(allowed), F.col(source)).otherwise(F.raise_error(F.concat(F.lit("page is not allowed: "), F.coalesce(F.col(url), F.lit("")))))
+    rows = pages.withColumn("_source", checked.cast(pages.schema[source].dataType)).withColumn("_page", F.struct(F.col("_source").alias("source"), F.col(url).alias("url")))
+    page = F.to_json(F.struct(F.col("_source").alias("source"), web_address(F.col(url)).alias("url"))).alias("_page")
+    parsed = parsed_pages(rows.select(page, F.col(html).alias("_html")), "_page", "_html")
+    found = page_contacts(parsed, "_page", "text", "links").withColumnRenamed("_page", "p").join(parsed.select("_page", "links"), F.col("p") == F.col("_page"))
+    kind = f"source {pages.schema[source].dataType.simpleString()}, url string"
+    found = found.select(F.from_json("_page", kind).alias("s"), "phones", "emails", F.filter(F.array_compact(F.transform("links", lambda x: web_address(x["href"]))), lambda x: link_type(x) != "other").alias("links"))
+    gathered = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_set(c)))).alias(c)
+    return found.groupBy(F.col("s.source").alias(source)).agg(gathered("phones"), gathered("emails"), F.array_sort(F.collect_set("s.url")).alias("websites"), gathered("links"))

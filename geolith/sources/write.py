@@ -6,6 +6,7 @@ import hashlib
 import json
 import zipfile
 from collections.abc import Sequence
+from itertools import chain
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,16 +38,12 @@ def json_lines(df: DataFrame, path: str) -> None:
 
 
 def workbook(df: DataFrame, path: str, metadata: Sequence[Sequence[str]] = ()) -> int:
-    """A workbook of a table of bounded size with a filter, a frozen header and a sheet of metadata; the number of rows.
+    """A workbook of a table with a filter, a frozen header and a sheet of metadata; the number of rows.
 
-    A table over the limits of a sheet is an error. Text that looks like a formula stays text.
+    Rows are written as they come, so the driver holds one partition at a time. A table over the limits of a sheet is an error. Text that looks like a formula stays text.
     """
     if len(df.columns) > MOST_COLUMNS:
         raise ValueError("too many columns for a sheet")
-    rows = df.limit(MOST_ROWS + 1).collect()
-    if len(rows) > MOST_ROWS:
-        raise ValueError("too many rows for a sheet")
-
     def cell(r: int, c: int, value) -> str:
         at = f"{excel_column(c)}{r}"
         if value is None:
@@ -58,11 +55,20 @@ def workbook(df: DataFrame, path: str, metadata: Sequence[Sequence[str]] = ()) -
             raise ValueError(f"{at} is too long for a cell")
         return f'<c r="{at}" t="inlineStr"><is><t xml:space="preserve">{escape(text)}</t></is></c>'
 
-    def sheet(table, extra: str = "", view: str = "") -> str:
-        body = "".join(f'<row r="{r}">{"".join(cell(r, c, v) for c, v in enumerate(row, 1))}</row>' for r, row in enumerate(table, 1))
-        return f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{view}<sheetData>{body}</sheetData>{extra}</worksheet>'
-
-    last = f"{excel_column(max(1, len(df.columns)))}{len(rows) + 1}"
+    def sheet(z: zipfile.ZipFile, name: str, table, extra, view: str = "") -> int:
+        """Write rows as they come; the number of rows."""
+        n = 0
+        with z.open(name, "w", force_zip64=True) as out:
+            put = lambda text: out.write(text.encode())
+            put(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main">{view}<sheetData>')
+            for n, row in enumerate(table, 1):
+                if n > MOST_ROWS + 1:
+                    raise ValueError("too many rows for a sheet")
+                put(f'<row r="{n}">{"".join(cell(n, c, v) for c, v in enumerate(row, 1))}</row>')
+            put(f"</sheetData>{extra(n)}</worksheet>")
+        return n
+
+    width = excel_column(max(1, len(df.columns)))
     frozen = '<sheetViews><sheetView workbookViewId="0"><pane ySplit="1" topLeftCell="A2" state="frozen"/></sheetView></sheetViews>'
     main = "http://schemas.openxmlformats.org"
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
@@ -70,9 +76,9 @@ def workbook(df: DataFrame, path: str, metadata: Sequence[Sequence[str]] = ()) -
         z.writestr("_rels/.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{main}/package/2006/relationships"><Relationship Id="rId1" Type="{main}/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>')
         z.writestr("xl/workbook.xml", f'<?xml version="1.0" encoding="UTF-8"?><workbook xmlns="{main}/spreadsheetml/2006/main" xmlns:r="{main}/officeDocument/2006/relationships"><sheets><sheet name="Data" sheetId="1" r:id="rId1"/><sheet name="Metadata" sheetId="2" r:id="rId2"/></sheets></workbook>')
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="{main}/package/2006/relationships"><Relationship Id="rId1" Type="{main}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Type="{main}/officeDocument/2006/relationships/worksheet" Target="worksheets/sheet2.xml"/></Relationships>')
-        z.writestr("xl/worksheets/sheet1.xml", sheet([df.columns, *rows], f'<autoFilter ref="A1:{last}"/>', frozen))
-        z.writestr("xl/worksheets/sheet2.xml", sheet(metadata))
-    return len(rows)
+        rows = sheet(z, "xl/worksheets/sheet1.xml", chain([df.columns], df.limit(MOST_ROWS + 1).toLocalIterator()), lambda n: f'<autoFilter ref="A1:{width}{n}"/>', frozen)
+        sheet(z, "xl/worksheets/sheet2.xml", metadata, lambda n: "")
+    return rows - 1
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -5,10 +5,12 @@ import math
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
+from geolith.functions import geo
 from geolith.functions.geo import geodesic
 from geolith.operators import allocate, audit, grid, housing, layers, match, resolve, review, score, spatial
 from geolith.plans.pipeline import Pipeline, Plugin, region_errors
@@ -320,6 +322,45 @@ def test_catalogue_coordinates(spark):
             parse(bad)
 
 
+def test_contact_sources_in_files(spark, tmp_path):
+    (tmp_path / "contacts").mkdir()
+    (tmp_path / "contacts/a.json").write_text('{"contacts": [{"name": "A", "phones": ["1"]}], "rows": [{"name": "R"}]}')
+    (tmp_path / "contacts/b.json").write_text('[{"name": "B"}, {"name": "C", "phones": []}]')
+    (tmp_path / "contacts/c.json").write_text('{"contacts": 3}')
+    get = lambda path: [r["name"] for r in read.contacts_json(spark, str(tmp_path), path, "name: STRING, phones: ARRAY<STRING>").collect()]
+    assert get("contacts/a.json") == ["A"] and get("contacts/b.json") == ["B", "C"]
+    with pytest.raises(Exception, match="no contacts"):
+        get("contacts/c.json")
+    for path in ("other/a.json", "contacts/../x.json", "/contacts/a.json"):
+        with pytest.raises(ValueError):
+            get(path)
+    fetched = lambda address, key: [r["name"] for r in read.fetched_json(spark, str(tmp_path / "contacts/a.json"), address, ["z.org"], "name: STRING", key).collect()]
+    assert fetched("https://z.org/x", "rows") == ["R"]
+    for address in ("http://z.org/x", "https://z.org.evil.net/", "https://z.org@evil.net/"):
+        with pytest.raises(ValueError):
+            fetched(address, "rows")
+    page = spark.createDataFrame([("s", "http://z.org/a", "<p>8 900 111-22-33", ["z.org"], False)], "s STRING, u STRING, h STRING, hosts STRING, ok BOOLEAN".replace("hosts STRING", "hosts ARRAY<STRING>"))
+    with pytest.raises(Exception, match="not allowed"):
+        read.website_contacts(page, "s", "u", "h", "hosts", "ok").collect()
+
+
+def test_domains_are_those_of_the_list(spark):
+    rng = random.Random(4)
+    sites = [(f"s{k}", rng.uniform(0, 100), rng.uniform(0, 100), rng.uniform(5, 40)) for k in range(25)]
+    frame = [[10.0, 0.0], [90.0, 0.0], [90.0, 100.0], [10.0, 100.0]]
+    expected = {n: abs(geo.area(np.array(r))) for n, r in spatial.voronoi_domains(sites, frame)}
+    found = {r["name"]: abs(geo.area(np.array(r["ring"]))) for r in spatial.domains(spark.createDataFrame(sites, "name STRING, x DOUBLE, y DOUBLE, radius DOUBLE"), "name", frame).collect()}
+    assert found.keys() == expected.keys() and all(found[n] == pytest.approx(a, rel=1e-6, abs=1e-6) for n, a in expected.items())
+
+
+def test_small_rules(spark):
+    df = spark.createDataFrame([("2026-01-01T00:00:00Z", "2026-01-01T00:01:00Z"), (None, "2026-01-01T00:01:00Z")], "a STRING, b STRING")
+    assert [tuple(r) for r in df.select(layers.cooled_down(F.col("a"), F.col("b"), 60), layers.cooled_down(F.col("a"), F.col("b"), 61)).collect()] == [(True, False), (True, True)]
+    parts = spark.createDataFrame([([("Point", [1.0]), ("Polygon", [2.0]), ("LineString", [3.0]), ("MultiPolygon", [4.0])],)], "geometries ARRAY<STRUCT<type: STRING, shape: ARRAY<DOUBLE>>>")
+    assert [g["shape"] for g in parts.select(spatial.polygonal(parts).alias("g")).first()["g"]] == [[2.0], [4.0]]
+    assert spark.range(1).select(review.occupancy(F.lit(5)).alias("o")).first()["o"] is None
+
+
 def test_entry(spark):
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(queries) and __spark_entry__.entry(spark).limit(5).count() == 5
