@@ -24,8 +24,8 @@ from geolith.llm.shared import Stored, components, grouped, small
 from geolith.llm.tokens import LOWER, NOT_SPACE, mix, span_hashes, words
 
 RUN = 1 << 19
-#: Rows of a tile's block; larger tiles are compared block by block.
-TILE = 1024
+#: Rows of a tile's block; larger tiles are compared block by block. Prefix shingles that one bucket gets.
+TILE, BUCKET = 64, 1 << 22
 #: Frequent shingles that come last in the order, so that they rarely make a tile; the order changes no result.
 FREQUENT = 4096
 FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -95,7 +95,7 @@ def shared_least(n: np.ndarray | int | Column):
     return 1 + (F.floor(n / 25) if isinstance(n, Column) else n // 25)
 
 
-def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> DataFrame:
+def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray, buckets: int) -> DataFrame:
     """``key``, ``cls`` and ``n`` for each prefix shingle that two classes or more have."""
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
@@ -123,7 +123,7 @@ def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> Dat
                 continue
             key, repeat = np.concatenate(keys), [p for _, p in sizes]
             cls, n = np.repeat(np.array(classes, np.int64), repeat), np.repeat(np.array([n for n, _ in sizes], np.int32), repeat)
-            bucket = (mix(key ^ FACTORS[2]) >> np.uint64(55)).astype(np.int32)
+            bucket = ((mix(key ^ FACTORS[2]) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
             key, cls, n, bucket = key[order], cls[order], n[order], bucket[order]
             edge = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]]).tolist()
@@ -158,7 +158,7 @@ def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray) -> Dat
         use = np.repeat(count > 1, count)
         yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(cls[use]), pa.array(n[use])], names=["key", "cls", "n"])
 
-    dealt = map_batches(df, deal, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())]).repartition("bucket")
+    dealt = map_batches(df, deal, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())]).repartitionById(buckets, "bucket")
     return map_batches(dealt, gather, [T.StructField("key", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType())])
 
 
@@ -288,16 +288,34 @@ def tile_pairs(maps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, bl
                 yield k, rows[use[fits]]
 
 
-def across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def blocked(own: DataFrame, percent: int, stored: Stored) -> DataFrame:
+    """The rows of mixed tiles, once for each pair of blocks that they have to be compared in: tile, low, high, b, n, label, block.
+
+    A large tile is cut by size bands, of which only neighbours can link, and into blocks of about ``TILE``
+    rows. A component with more rows than that has blocks of its own, which need no comparison with each other.
+    """
+    labels = own.groupBy("tile", "label").agg(F.count("*").alias("c"))
+    mixed = labels.groupBy("tile").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.collect_list(F.when(F.col("c") > TILE, F.col("label"))).alias("large"))
+    rows = own.join(small(stored(mixed.where("labels > 1").drop("labels"))), "tile")
+    band = F.when(F.col("m") > TILE, F.floor(F.log(F.col("n") * 1.0) / float(np.log(100 / percent)))).otherwise(0).cast("int")
+    part = F.when(F.array_contains("large", F.col("label")), F.col("label"))
+    rows = stored(rows.select("tile", "b", "n", "label", part.alias("part"), band.alias("band")))
+    counts = rows.groupBy("tile", "part", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("subs"))
+    rows = rows.join(small(stored(counts.groupBy("tile").agg(F.collect_list(F.struct("part", "band", "subs")).alias("kinds")))), "tile")
+    name = lambda part, band, sub: F.concat_ws(":", F.coalesce(part.cast("string"), F.lit("")), band.cast("string"), sub.cast("string"))
+    same = lambda x: x["part"].eqNullSafe(F.col("part")) & (x["band"] == F.col("band"))
+    fits = lambda x: (F.abs(x["band"] - F.col("band")) <= 1) & ~F.coalesce(x["part"] == F.col("part"), F.lit(False))
+    rows = rows.withColumn("block", name(F.col("part"), F.col("band"), F.pmod(F.xxhash64("b"), F.filter("kinds", same)[0]["subs"])))
+    others = F.transform(F.filter("kinds", fits), lambda x: F.transform(F.sequence(F.lit(0), x["subs"] - 1), lambda sub: name(x["part"], x["band"], sub)))
+    rows = rows.withColumn("other", F.explode(F.flatten(others)))
+    return rows.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "b", "n", "label", "block")
+
+
+def across(members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, stored: Stored) -> DataFrame:
     """Pairs of classes of one tile in different components whose bitmaps allow a link."""
     info = sets.select(F.col("cls").alias("b"), "node", "n").join(labels, "node", "left").select("b", "n", F.coalesce("component", "node").alias("label"))
-    own = members.join(info, "b")
-    mixed = own.groupBy("tile").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("tile", F.ceil(F.col("m") / TILE).cast("int").alias("blocks"))
-    rows = own.join(mixed, "tile").join(sets.select(F.col("cls").alias("b"), "bitmap"), "b")
-    block = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("block", block).withColumn("other", other)
-    rows = rows.select("tile", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "b", "n", "label", "block", "bitmap")
+    rows = blocked(members.join(info, "b"), percent, stored).join(sets.select(F.col("cls").alias("b"), "bitmap"), "b")
+    rows = rows.select("tile", "low", "high", "b", "n", "label", "block", "bitmap")
     rows = rows.repartition("tile", "low", "high").sortWithinPartitions("tile", "low", "high", "n", "b")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,10 +343,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = df.sparkSession
     stored = Stored(spark)
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    every = stored(summaries(docs, size))
+    all_rows = every = stored(summaries(docs, size))
     hot = every.where("hot").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(FREQUENT).collect()
     last = np.sort(np.array([r["h1"] for r in hot], np.int64).view(np.uint64))
-    members = stored(tile_members(docs.where(F.col("id").isNotNull()), size, percent, last))
+    entries = every.where("not hot").agg(F.sum(prefix_length(F.col("n"), percent))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // BUCKET))
+    members = stored(tile_members(docs.where(F.col("id").isNotNull()), size, percent, last, buckets))
     stored.release()
     pairs, rest = tiles(members, percent, stored)
     stored.drop(members)
@@ -342,15 +362,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = stored(verified(likely, sets, percent))
     stored.release()
     labels = stored(components(edges, stored))
-    left = stored(across(rest, sets, labels, percent).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    left = stored(across(rest, sets, labels, percent, stored).distinct().join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     more = stored(verified(left, sets, percent))
     if more.limit(1).count():
         links = labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
-        labels = stored(components(links, stored))
-    stored.drop(pairs, likely, sets, edges, rest, left, nodes)
+        before, labels = labels, stored(components(links, stored))
+        stored.drop(before)
+    stored.drop(pairs, likely, sets, edges, rest, left, nodes, more)
     stored.release()
     copies = stored(classes.where("rows > 1").select("h1", "h2", "node"))
+    stored.drop(classes)
     out = every.join(small(copies), ["h1", "h2"], "left").withColumn("node", F.when(F.col("n") > 0, F.coalesce("node", "id")).otherwise(F.col("id")))
     out = out.join(small(labels.where("node <> component")), "node", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "node"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"))
+    out = stored(out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id")))
+    stored.drop(all_rows, copies, labels)
+    return out
