@@ -846,3 +846,144 @@ def website_sources(spark, sf_dir):
 def reported_observations(spark, sf_dir):
     found = t(spark, sf_dir, "part").select("p_partkey", review.reported_fields(_tags(), F.col("p_partkey").cast("string")).alias("f"))
     return found.select("p_partkey", "f.use.value", "f.use.status", F.col("f.above_ground_storeys.value").cast("double").alias("storeys"), F.col("f.apartments.status").alias("apartments_status")).toDF("p_partkey", "use", "use_status", "storeys", "apartments_status")
+
+
+@query("""select s_suppkey, 'елка ' || s_suppkey as token, 'артем' || s_suppkey % 9 as locality, 'ленина' as street, (s_suppkey % 50) || 'вк2' as number, 'Горное' as resort, 'лесной' || s_suppkey % 7 as municipality, case s_suppkey % 3 when 0 then 'district' when 1 then 'city' else 'municipal' end as category,
+    'находка' as store_locality, 'пограничная' as store_street, (s_suppkey % 40) || 'вк1' as store_number, case when s_suppkey % 4 <> 0 then 'Чугуевка' end as rural, 'A & <B> ' || s_suppkey as markup from supplier""")
+def text_identities(spark, sf_dir):
+    k = F.col("s_suppkey")
+    n = lambda m: (k % m).cast("string")
+    category = F.when(k % 3 == 0, "муниципальный район").when(k % 3 == 1, "городской округ").otherwise("")
+    m = text.municipality_identity(F.concat(F.lit("Лесной"), n(7), F.lit(" "), category))
+    key = text.store_address(F.lit("г. Находка"), F.concat(F.lit("Пограничная ул., дом "), n(40), F.lit("В корпус 1")))
+    card = text.rural_card(F.lit("Край"), F.when(k % 4 != 0, F.lit("с. Чугуевка, Титова ул., дом 42")).otherwise("неизвестный адрес"), "Край")
+    return t(spark, sf_dir, "supplier").select(
+        "s_suppkey", text.token(F.concat(F.lit("  Ёлка  "), k.cast("string"))).alias("token"), text.plain_locality(F.concat(F.lit("г. Артём"), n(9))).alias("locality"), text.plain_street(F.lit("ул. Ленина")).alias("street"), text.plain_number(F.concat(n(50), F.lit(" B K2"))).alias("number"), text.resort_locality(F.lit("Горное  КП")).alias("resort"),
+        m["name"].alias("municipality"), m["category"].alias("category"), key["locality"].alias("store_locality"), key["street_name"].alias("store_street"), key["house_number"].alias("store_number"), card["locality"].alias("rural"), text.clean_markup(F.concat(F.lit("<b>A &amp; &lt;B&gt;</b> "), k.cast("string"))).alias("markup"),
+    )
+
+
+@query(f"""with b as (select p_partkey, p_size, {KIND} as kind, p_partkey % 3 <> 0 as street, p_partkey as n from part)
+    select p_partkey, case when kind in ('apartments', 'house', 'residential') then 1.0::double when kind = 'retail' then 0.0::double when kind = 'yes' and street then 0.55::double else 0.0::double end as weight,
+      case when kind in ('apartments', 'house', 'residential') then 'explicit_residential' when kind = 'retail' then 'excluded_non_residential' when kind = 'yes' and street then 'ambiguous_addressed' else 'excluded_unclassified' end as reason,
+      case when kind in ('apartments', 'house', 'residential') then 'mixed_use_requires_residential_area' else '' end as review,
+      case when n % 4 = 0 and n > 0 then 'residential_area' when n % 4 = 1 then 'occupied_apartments' when n % 4 = 2 then 'floors' end as method, cast(case when n % 4 = 0 and n > 0 then n when n % 4 = 1 then p_size * 0.5 when n % 4 = 2 then p_size * 10 end as double) as confirmed,
+      case when n % 5 = 0 then 'premises_exceed_gross' when n % 5 = 1 then 'residential_exceed_premises;residential_exceed_gross' else '' end as areas, least(18.0, greatest(3.0, 6 + p_size * 0.5))::double as radius, case when p_size >= 40 then 'large' when p_size >= 10 then 'middle' when p_size >= 20 then 'never' else 'small' end as rule,
+      case when p_size <= 25 then 17 when p_size <= 40 then 16 else 15 end as zoom, p_size >= 30 as labelled, 'p_size: ' || p_size || ' m' as popup, case when street then 1 else 0 end as address_tags from b""")
+def housing_rules(spark, sf_dir):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    none = F.lit(None).cast("double")
+    pick = lambda m, v: F.when(k % 4 == m, v).otherwise(none)
+    w = housing.confirmed_weight(pick(0, k.cast("double")), pick(1, size.cast("double")), pick(1, F.lit(0.5)), pick(2, size.cast("double")), F.lit(10.0))
+    areas = scalars.area_issues(F.lit(100.0), F.when(k % 5 == 0, 102.0).when(k % 5 == 1, 90.0).otherwise(100.5), F.when(k % 5 == 1, 101.5).otherwise(50.0))
+    rule = scalars.first_rule(size, ((40, "large"), (10, "middle"), (20, "never"), (0, "small")))
+    p = t(spark, sf_dir, "part").withColumn("tags", _tags())
+    tags, blank = F.col("tags"), F.lit(None).cast("string")
+    address = F.size(F.filter(F.map_values(housing.prefixed(tags, "addr:")), lambda v: v != ""))
+    return p.withColumn("empty", blank).select(
+        "p_partkey", housing.factor(tags)["weight"].alias("weight"), housing.factor(tags)["reason"].alias("reason"), F.array_join(housing.review_flags(tags), ";").alias("review"), w["method"].alias("method"), w["weight"].alias("confirmed"), F.array_join(areas, ";").alias("areas"),
+        scalars.radius(size, 6.0, 0.5, 3, 18).alias("radius"), rule.alias("rule"), scalars.zoom(size * 10 + F.when(size > 40, 200).when(size > 25, 0).otherwise(0)).alias("zoom"), layers.labelled(p, "p_size", 30).alias("labelled"), layers.popup(p.withColumn("empty", blank), ("empty", "p_size"), {"p_size": " m"}).alias("popup"), address.alias("address_tags"),
+    )
+
+
+@query("""with s as (select s_suppkey as k from supplier) select k as s_suppkey, case when k % 7 = 0 then 'ambiguous' when k % 5 = 0 then 'quarantined' when k % 3 = 0 then 'address_candidate' when k % 2 = 0 then 'context_candidate' when k % 11 = 0 then 'alias_review' else 'unmatched' end as status,
+    case when k % 5 = 0 then 'conflict_blocked' when k % 11 = 0 then 'alias_requires_independent_identity' when k % 3 = 1 and k % 2 = 1 then 'unique_explicit_candidate_contour_unverified' when k % 3 > 0 then 'candidate_requires_review' else 'no_candidate' end as review,
+    array_to_string(list_filter([case when k % 6 > 0 and k % 4 = 0 then 'coordinate_differs_from_saved_html' end, case when k % 6 = 0 then 'not_in_saved_html' end, case when k % 13 = 0 then 'outside_municipal_union' end, case when k % 9 = 0 then 'property_geometry_coordinate_mismatch' end], lambda x: x is not null), ';') as published,
+    case when k % 2 = 0 then 'street_type_conflict' when k % 3 = 0 then 'house_number_conflict' end as conflict, case when k % 2 = 0 or k % 3 = 0 then 'quarantined_text_conflict' when k % 5 = 0 then 'ambiguous' when k % 7 = 0 then 'locality_or_alias_review_required' else 'text_consistent_geometry_unverified' end as link from s""")
+def match_reviews(spark, sf_dir):
+    k = F.col("s_suppkey")
+    no = F.lit(False)
+    status = housing.match_status(k % 5 == 0, k % 3 == 0, k % 2 == 0, k % 11 == 0, k % 7 == 0)
+    prior = F.when(k % 5 == 0, "quarantined").when(k % 11 == 0, "alias_review").otherwise("x")
+    review_ = housing.review_status(prior, k % 3, F.when(k % 3 == 1, 1).otherwise(0), k % 2 == 1)
+    flags = housing.published_flags(k % 6 != 0, k % 4 != 0, k % 9 != 0, k % 13 != 0)
+    place = F.when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("town")))
+    street = F.struct(F.when(k % 2 == 0, "lane").otherwise("street").alias("street_type"), F.lit("x").alias("street_name"))
+    official = F.struct(F.lit("town").alias("locality"), F.lit("street").alias("street_type"), F.lit("x").alias("street_name"), F.lit("1").alias("house_number"))
+    links = housing.link_flags(place, street, F.when((k % 2 != 0) & (k % 3 == 0), "2").otherwise("1"), official, F.when(k % 5 == 0, 2).otherwise(1), F.lit(1), F.lit(100.0), F.lit(100.0), F.lit(1), F.array().cast("array<string>"))
+    found = t(spark, sf_dir, "supplier").select("s_suppkey", status.alias("status"), review_.alias("review"), F.array_join(flags, ";").alias("published"), links.alias("links"))
+    conflict = F.filter("links", lambda x: x.isin("street_type_conflict", "house_number_conflict"))
+    return found.select("s_suppkey", "status", "review", "published", F.get(conflict, F.lit(0)).alias("conflict"), housing.link_status(F.col("links")).alias("link"))
+
+
+@query("select c_custkey, cast(2500 + (c_custkey * 7919) % 97500 as bigint) as capacity from customer where 7 between case when c_custkey % 3 = 0 then 9 else 0 end and case when c_custkey % 5 = 0 then 6 else 99 end and (c_custkey % 2 = 0 or c_name in ('Customer#000000001', 'Customer#000000007')) and c_name <> 'Customer#000000002'")
+def visible_places(spark, sf_dir):
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select("c_custkey", F.col("c_name").alias("name"), F.when(k % 3 == 0, 9).alias("min_zoom"), F.when(k % 5 == 0, 6).alias("max_zoom"), F.when(k % 2 == 0, population("c_custkey")).otherwise(0).alias("capacity"), population("c_custkey").alias("p"))
+    found = housing.candidate_places(layers.visible(c, 7), ("Customer#000000001", "Customer#000000007"), ("Customer#000000002",))
+    return found.select("c_custkey", F.col("p").alias("capacity"))
+
+
+@query("select c_custkey from customer where exists (select 1 from supplier where s_suppkey % 4 = c_custkey % 4 and s_suppkey % 5 = c_custkey % 5 and s_suppkey % 6 in (c_custkey % 6, (c_custkey + 1) % 6) and s_suppkey % 3 = 0)")
+def programme_matches(spark, sf_dir):
+    k, m = F.col("c_custkey"), F.col("s_suppkey")
+    houses = t(spark, sf_dir, "customer").select("c_custkey", F.array(k % 6, (k + 1) % 6).alias("localities"), (k % 4).alias("street"), (k % 5).alias("number"))
+    programme = t(spark, sf_dir, "supplier").where(m % 3 == 0).select((m % 6).alias("locality"), (m % 4).alias("street"), (m % 5).alias("number"))
+    return review.programme_matches(houses, programme, "c_custkey")
+
+
+@query("select c.c_custkey, array_to_string(list_sort(list(s_suppkey)), ';') as partners from customer c join supplier s on c_custkey % 7 = s_suppkey % 7 and c_custkey % 3 = s_suppkey % 3 and c_custkey % 4 = s_suppkey % 4 and s_suppkey % 5 <> 0 where c_custkey % 10 <> 0 group by 1 union all select c_custkey, null from customer c where c_custkey % 10 = 0 or not exists (select 1 from supplier where c_custkey % 7 = s_suppkey % 7 and c_custkey % 3 = s_suppkey % 3 and c_custkey % 4 = s_suppkey % 4 and s_suppkey % 5 <> 0)")
+def address_key_partners(spark, sf_dir):
+    def key(k, known):
+        return F.when(known, F.struct((k % 7).cast("string").alias("locality"), F.lit(None).cast("string").alias("street_type"), (k % 3).cast("string").alias("street_name"), (k % 4).cast("string").alias("house_number")))
+
+    k, m = F.col("c_custkey"), F.col("s_suppkey")
+    cards = t(spark, sf_dir, "customer").select("c_custkey", key(k, k % 10 != 0).alias("key"))
+    others = t(spark, sf_dir, "supplier").select("s_suppkey", key(m, m % 5 != 0).alias("key"))
+    return match.by_address_key(cards, others, "c_custkey", "s_suppkey").select("c_custkey", F.array_join("partners", ";").alias("partners"))
+
+
+@query("""with r as (select c_custkey as id, 'n' || c_custkey % 40 as name, c_custkey % 2 as category from customer), n as (select 'n' || n_nationkey as name, n_nationkey % 2 as category, n_nationkey as municipality, n_nationkey % 4 = 0 as historical from nation)
+    select id as c_custkey, coalesce((select any_value(municipality) from n where n.name = r.name and n.category = r.category), (select any_value(municipality) from n where n.name = r.name and historical)) as municipality from r""")
+def municipality_names(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    rows = t(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("n"), (k % 40).cast("string")).alias("name"), (k % 2).alias("category"))
+    names = t(spark, sf_dir, "nation").select(F.concat(F.lit("n"), n.cast("string")).alias("name"), (n % 2).alias("category"), n.alias("municipality"), (n % 4 == 0).alias("historical"))
+    return match.municipality_by_name(rows, names, "c_custkey").select("c_custkey", "municipality")
+
+
+@query("select s_suppkey, s_acctbal as u, s_acctbal * 2 as v, least(s_acctbal, s_acctbal * 2) as low, greatest(s_acctbal, s_acctbal * 2) as high, n_name as cell_name from supplier join nation on s_nationkey = n_nationkey where not (s_suppkey % 3 = 0 and s_nationkey % 2 = 1) and s_nationkey in (select n_nationkey from nation where n_nationkey % 5 <> 0)")
+def scenario_cells(spark, sf_dir):
+    n = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("cell"), F.col("n_name").alias("cell_name"))
+    m = F.col("s_suppkey")
+    rows = t(spark, sf_dir, "supplier").where("s_nationkey % 5 <> 0").select("s_suppkey", F.col("s_nationkey").alias("cell"), F.col("s_acctbal").alias("u"), (F.col("s_acctbal") * 2).alias("v"), F.when(m % 3 == 0, "a").otherwise("b").alias("place"), F.when(F.col("s_nationkey") % 2 == 1, "s").otherwise("r").alias("street"))
+    alias = review.alias_suggestions(rows, F.col("place"), F.col("street"), (("a", "s"),)).select("s_suppkey")
+    kept = rows.join(alias, "s_suppkey", "left_anti")
+    return review.scenario_overlay(kept.drop("place", "street"), n, "cell", ("u", "v")).select("s_suppkey", "u", "v", "low", "high", "cell_name")
+
+
+@query("""with w as (select o_custkey as k, array_agg(distinct case when o_orderkey % 97 = 0 then 'm2' else 'apartments' end) as u from orders group by 1), c as (select o_custkey as k, count(*) as n, sum(o_totalprice) as p from orders group by 1)
+    select c.k as o_custkey, len(w.u) = 1 as single, c.k % 13 = 0 as misses_count, c.k % 17 = 0 as misses_density from c join w using (k) where len(w.u) > 1 or c.k % 13 = 0 or c.k % 17 = 0""")
+def control_audits(spark, sf_dir):
+    o = t(spark, sf_dir, "orders").select("o_custkey", F.when(F.col("o_orderkey") % 97 == 0, "m2").otherwise("apartments").alias("unit"))
+    mixed = allocate.single_unit(o, "o_custkey", "unit").select("o_custkey", F.lit(True).alias("mixed"))
+    counts = o.groupBy("o_custkey").agg(F.count("*").alias("n"))
+    k = F.col("o_custkey")
+    wrong = audit.summary_differences(o, counts.withColumn("n", F.col("n") + (k % 13 == 0).cast("int")), "o_custkey").select("o_custkey", F.lit(True).alias("counted"))
+    dense = counts.select("o_custkey", F.col("n").alias("people"), F.lit(4.0).alias("area"), (F.col("n") / 4 + F.when(k % 17 == 0, 0.5).otherwise(0)).alias("density"))
+    off = audit.density_formula(dense, "people", "area", "density").select("o_custkey", F.lit(True).alias("dense"))
+    rows = mixed.join(wrong, "o_custkey", "full_outer").join(off, "o_custkey", "full_outer")
+    no = lambda c: F.coalesce(c, F.lit(False))
+    return rows.select("o_custkey", (~no("mixed")).alias("single"), no("counted").alias("misses_count"), no("dense").alias("misses_density"))
+
+
+@query("""with g as (select p_partkey % 50 as g, p_partkey as id, case when p_partkey % 3 = 0 then 0 else 1 end as tags, p_partkey % 4 = 0 as way from part), r as (select *, row_number() over (partition by g order by tags desc, way desc, id) as n from g) select g, id as kept from r where n = 1""")
+def preferred_geometry(spark, sf_dir):
+    k = F.col("p_partkey")
+    tags = F.map_from_arrays(F.array(F.when(k % 3 == 0, "note").otherwise("addr:street")), F.array(F.lit("x")))
+    rows = t(spark, sf_dir, "part").select((k % 50).alias("g"), housing.preferred_member(tags, F.when(k % 4 == 0, "way").otherwise("relation"), k).alias("key"))
+    return rows.groupBy("g").agg(F.min("key").alias("key")).select("g", F.col("key.id").alias("kept"))
+
+
+@query("select p_partkey, p_partkey % 4 <> 0 as kept, p_partkey % 4 = 0 and p_partkey % 3 <> 0 as stale, false as missing from part union all select -1, false, true, true")
+def building_exclusions(spark, sf_dir):
+    k = F.col("p_partkey")
+    p = t(spark, sf_dir, "part").select("p_partkey", F.create_map(F.lit("size"), F.col("p_size").cast("string")).alias("tags"))
+    listed = p.where(k % 4 == 0).union(spark.createDataFrame([(-1, {"size": "1"})], "p_partkey BIGINT, tags MAP<STRING, STRING>"))
+    listed = listed.select("p_partkey", F.when(k % 3 == 1, F.create_map(F.lit("size"), F.lit("old"))).otherwise(F.col("tags")).alias("expected_tags"), F.when(k % 3 != 2, "http://a.example/").alias("source_url"), F.lit("razed").alias("reason"))
+    kept, stale = housing.without_excluded(p, listed, "p_partkey", "tags")
+    gone = review.missing_ids(p, listed, "p_partkey").select("p_partkey", F.lit(True).alias("missing"))
+    every = p.select("p_partkey").union(review.missing_ids(p, listed, "p_partkey"))
+    flag = lambda df, n: df.select("p_partkey", F.lit(True).alias(n))
+    rows = every.join(flag(review.wanted_rows(kept, every, "p_partkey"), "kept"), "p_partkey", "left").join(flag(stale, "stale"), "p_partkey", "left").join(gone, "p_partkey", "left")
+    return rows.select("p_partkey", *(F.coalesce(c, F.lit(False)).alias(c) for c in ("kept", "stale", "missing")))
