@@ -78,9 +78,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``; each stage's rows are written to the shared folder and read again."""
+    """The stages over ``documents``; each stage's rows are written to the shared folder, read again, and deleted after the next stage."""
     stored = Stored(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
     for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
+        before, docs = docs, stored(stage(spark, docs, sf_dir))
+        stored.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
