@@ -121,7 +121,8 @@ def quality(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_
     stored.drop(hot)
     rules = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     found = measured(text_of(df, id_col, text_col, host_col, *(F.col(c).alias(f"extra_{c}") for c in extra)), limits)
-    found = found.select("row", "id", "text_key", *rules, *(["lines"] if keep_text else []), *(f"extra_{c}" for c in extra))
+    # a row number made here keeps filters that use it above the rules, which would otherwise be computed twice
+    found = found.select(F.monotonically_increasing_id().alias("row"), "id", "text_key", *rules, *(["lines"] if keep_text else []), *(f"extra_{c}" for c in extra))
     own = small(gone.select(F.col("id").alias("own_id"), F.col("text_key").alias("own_key"), "removed_words", "places"))
     found = found.join(own, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left")
     removed = F.coalesce("removed_words", F.lit(0)).cast("bigint")
