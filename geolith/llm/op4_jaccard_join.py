@@ -24,8 +24,10 @@ from geolith.llm.shared import Stored, components, grouped, small
 from geolith.llm.tokens import LOWER, NOT_SPACE, mix, span_hashes, words
 
 RUN = 1 << 19
-#: Rows of a tile's block; larger tiles are compared block by block. Prefix shingles that one bucket gets.
-TILE, BUCKET = 64, 1 << 22
+#: Rows of a tile's block: a ``PARTS``-th of the tile, but ``LEAST`` at least and ``TILE`` at most. Larger tiles are compared block by block.
+LEAST, TILE, PARTS = 64, 1024, 16
+#: Prefix shingles that one partition gets, and buckets at least.
+BUCKET, BUCKETS = 1 << 22, 128
 #: Frequent shingles that come last in the order, so that they rarely make a tile; the order changes no result.
 FREQUENT = 4096
 FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -95,8 +97,9 @@ def shared_least(n: np.ndarray | int | Column):
     return 1 + (F.floor(n / 25) if isinstance(n, Column) else n // 25)
 
 
-def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray, buckets: int) -> DataFrame:
-    """``key``, ``cls`` and ``n`` for each prefix shingle that two classes or more have."""
+def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray, partitions: int) -> DataFrame:
+    """``key``, ``cls`` and ``n`` for each prefix shingle that two classes or more have; as many buckets for each partition."""
+    buckets = partitions * -(-BUCKETS // partitions)
     shared = df.sparkSession.sparkContext.broadcast(hot)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,7 +161,7 @@ def tile_members(df: DataFrame, size: int, percent: int, hot: np.ndarray, bucket
         use = np.repeat(count > 1, count)
         yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(cls[use]), pa.array(n[use])], names=["key", "cls", "n"])
 
-    dealt = map_batches(df, deal, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())]).repartitionById(buckets, "bucket")
+    dealt = map_batches(df, deal, [T.StructField("bucket", T.IntegerType()), T.StructField("blob", T.BinaryType())]).repartitionById(partitions, "bucket")
     return map_batches(dealt, gather, [T.StructField("key", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.IntegerType())])
 
 
@@ -291,16 +294,19 @@ def tile_pairs(maps: list[np.ndarray], sizes: np.ndarray, labels: np.ndarray, bl
 def blocked(own: DataFrame, percent: int, stored: Stored) -> DataFrame:
     """The rows of mixed tiles, once for each pair of blocks that they have to be compared in: tile, low, high, b, n, label, block.
 
-    A large tile is cut by size bands, of which only neighbours can link, and into blocks of about ``TILE``
-    rows. A component with more rows than that has blocks of its own, which need no comparison with each other.
+    A large tile is cut by size bands, of which only neighbours can link, and into blocks. A component with more
+    rows than a block has blocks of its own, which need no comparison with each other.
     """
     labels = own.groupBy("tile", "label").agg(F.count("*").alias("c"))
-    mixed = labels.groupBy("tile").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.collect_list(F.when(F.col("c") > TILE, F.col("label"))).alias("large"))
-    rows = own.join(small(stored(mixed.where("labels > 1").drop("labels"))), "tile")
-    band = F.when(F.col("m") > TILE, F.floor(F.log(F.col("n") * 1.0) / float(np.log(100 / percent)))).otherwise(0).cast("int")
+    mixed = labels.groupBy("tile").agg(F.count("*").alias("labels"), F.sum("c").alias("m"), F.collect_list(F.when(F.col("c") > LEAST, F.struct("c", "label"))).alias("large"))
+    block = F.least(F.lit(TILE), F.greatest(F.lit(LEAST), F.ceil(F.col("m") / PARTS))).cast("int")
+    mixed = mixed.where("labels > 1").withColumn("size", block)
+    mixed = mixed.select("tile", "m", "size", F.transform(F.filter("large", lambda x: x["c"] > F.col("size")), lambda x: x["label"]).alias("large"))
+    rows = own.join(small(stored(mixed)), "tile")
+    band = F.when(F.col("m") > F.col("size"), F.floor(F.log(F.col("n") * 1.0) / float(np.log(100 / percent)))).otherwise(0).cast("int")
     part = F.when(F.array_contains("large", F.col("label")), F.col("label"))
-    rows = stored(rows.select("tile", "b", "n", "label", part.alias("part"), band.alias("band")))
-    counts = rows.groupBy("tile", "part", "band").agg(F.ceil(F.count("*") / TILE).cast("int").alias("subs"))
+    rows = stored(rows.select("tile", "b", "n", "label", "size", part.alias("part"), band.alias("band")))
+    counts = rows.groupBy("tile", "part", "band").agg(F.ceil(F.count("*") / F.first("size")).cast("int").alias("subs"))
     rows = rows.join(small(stored(counts.groupBy("tile").agg(F.collect_list(F.struct("part", "band", "subs")).alias("kinds")))), "tile")
     name = lambda part, band, sub: F.concat_ws(":", F.coalesce(part.cast("string"), F.lit("")), band.cast("string"), sub.cast("string"))
     same = lambda x: x["part"].eqNullSafe(F.col("part")) & (x["band"] == F.col("band"))
@@ -347,8 +353,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot = every.where("hot").groupBy("h1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h1").limit(FREQUENT).collect()
     last = np.sort(np.array([r["h1"] for r in hot], np.int64).view(np.uint64))
     entries = every.where("not hot").agg(F.sum(prefix_length(F.col("n"), percent))).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // BUCKET))
-    members = stored(tile_members(docs.where(F.col("id").isNotNull()), size, percent, last, buckets))
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(entries) // BUCKET))
+    members = stored(tile_members(docs.where(F.col("id").isNotNull()), size, percent, last, partitions))
     stored.release()
     pairs, rest = tiles(members, percent, stored)
     stored.drop(members)

@@ -68,6 +68,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("tile", [1024, 4])
 def test_jaccard_is_exact(spark, monkeypatch, tile):
     monkeypatch.setattr(jaccard, "TILE", tile)
+    monkeypatch.setattr(jaccard, "LEAST", min(tile, jaccard.LEAST))
     for rows in (planted(), [(r["doc_id"], r["text"]) for r in sample(spark).collect()]):
         found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(documents(spark, rows)).collect()}
         assert found == brute_components(rows)
@@ -82,6 +83,7 @@ def test_jaccard_odd_rows(spark):
 
 def test_large_tiles_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE", 4)
+    monkeypatch.setattr(jaccard, "LEAST", 4)
     rng = random.Random(2)
     rows = [(1, k, rng.choice([60, 61, 70, 75, 80, 95, 100, 120, 400]), 0 if k < 60 else rng.randrange(1, 9)) for k in range(90)] + [(2, k, 50, k % 2) for k in range(3)] + [(3, k, 50, 7) for k in range(9)]
     own = spark.createDataFrame(rows, "tile BIGINT, b BIGINT, n BIGINT, label BIGINT")
