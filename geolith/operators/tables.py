@@ -31,10 +31,11 @@ class Stored:
         self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
 
-    def __call__(self, df: DataFrame) -> DataFrame:
+    def __call__(self, df: DataFrame, rows_a_file: int = 0) -> DataFrame:
+        """``rows_a_file``: for rows of many MB, as a reader takes thousands of a file's rows at once; 0: no limit."""
         self.n += 1
         path = f"{self.path}/{self.n}"
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_a_file).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(out)] = path
         return out
