@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,9 @@ from geolith.llm.op7_byte_bpe import encode_bpe
 from geolith.llm.op8_token_counts import count_tokens
 from geolith.llm.op9_url_filters import filter_urls
 from geolith.llm.op10_quality_rules import quality
+from geolith.llm.op11_ranked_search import ranked_search
+from geolith.llm.op12_stream_dedup import dedup_files
+from geolith.llm.op13_period_runs import period_runs
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +76,30 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_files(spark, f"{sf_dir}/documents.parquet")
+
+
+def looped(doc_id: int | None, n: int) -> np.ndarray | None:
+    """The order in which a tenth of the documents are read: from some word on, the words of a period again and again."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10:
+        return None
+    g = h // 10
+    first = g % n
+    places = np.arange(n)
+    places[first:] = first + (places[first:] - first) % (1 + (n - first) // (3 + g % 8))
+    return places
+
+
+def op13_period_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return period_runs(documents(spark, sf_dir), order=looped)
+
+
 QUERIES = {
     "op1_mpeg_audio": op1_mpeg_audio,
     "op2_run_length_dedup": op2_run_length_dedup,
@@ -81,6 +111,9 @@ QUERIES = {
     "op8_token_counts": op8_token_counts,
     "op9_url_filters": op9_url_filters,
     "op10_quality_rules": op10_quality_rules,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_stream_dedup": op12_stream_dedup,
+    "op13_period_runs": op13_period_runs,
 }
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -123,4 +156,18 @@ ORACLE_SQL: dict[str, str] = {
         b as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
           coalesce(n_repeat_words, 0) as n_repeat_words, cast(coalesce(removed, 0) as bigint) as removed_words from w left join q using (doc_id) left join u using (doc_id) left join z using (doc_id))
         select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and removed_words <= 0.5 * n_words as kept from b""",
+    "op11_ranked_search": """
+        with t as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from documents),
+        c as (select doc_id, term, count(*) as tf from t group by 1, 2),
+        d as (select doc_id, cast(sum(tf) as bigint) as n from c group by 1),
+        s as (select count(*) as docs, cast(sum(n) as bigint) as words from d),
+        w as (select term, cast(floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1))) as bigint) as w from c, s group by 1),
+        q as (select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from benchmark),
+        x as (select item_id, doc_id, cast(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + ((50 * n * docs) // words))))) as bigint) as score from q join w using (term) join c using (term) join d using (doc_id), s group by 1, 2),
+        r as (select item_id, doc_id, score, row_number() over (partition by item_id order by score desc, doc_id) as rank from x where score > 0)
+        select item_id, cast(rank as integer) as rank, doc_id, score from r where rank <= 50""",
+    "op12_stream_dedup": """
+        with d as (select doc_id, coalesce(text, '') as text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') as norm from documents),
+        g as (select doc_id, norm, first_value(doc_id) over (partition by norm order by length(text) desc, doc_id rows between unbounded preceding and unbounded following) as keep_id, count(*) over (partition by norm) as group_size from d)
+        select doc_id, keep_id, group_size, doc_id = keep_id as kept, sha256(norm) as text_sha256 from g""",
 }
