@@ -7,7 +7,7 @@ equi-join that Spark shuffles, broadcasts or splits as it sees fit; an exact tes
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.functions.scalars import finite
-from geolith.functions.geo import Rings, clip_convex, contains, fan, flat_shapes, intersection_areas, products, shape_areas, shape_rings, voronoi, within_triangles
-from geolith.operators.tables import Stored
+from geolith.functions.geo import Rings, contains, fan, flat_shapes, intersection_areas, products, shape_areas, shape_rings, within_triangles
+from geolith.operators.nearest import nearest, nearest_line, segments
+
+
+__all__ = ["nearest", "nearest_line", "segments"]
 
 
 def _cells(df: DataFrame, x: Column, y: Column, size: float, around: int) -> DataFrame:
@@ -43,79 +45,21 @@ def nearby_pairs(points: DataFrame, name: str, radius: float) -> DataFrame:
     return pairs_within(points, other, name, "other", radius).where(F.col(name) < F.col("other"))
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, kx: float = 1.0, ky: float = 1.0, start: float | None = None) -> DataFrame:
-    """The nearest right point of each left point, ties to the least id: (left id, right id, distance).
-
-    Points look for partners within a radius that grows fourfold each round. Who has found one is settled,
-    as all points within the radius were seen; only the others go on, so dense regions take few rounds.
-    The first radius, unless given, is the spacing of as many points spread evenly.
-    Points without finite coordinates, and all points if the right side is empty, have no row.
-    """
-    stored = Stored(left.sparkSession)
-    known = lambda df: df.where(finite(F.col("x")) & finite(F.col("y")))
-    pending, right = known(left.select(left_id, "x", "y")), stored(known(right.select(F.col(right_id), "x", "y")))
-    w, h, n = right.agg((F.max("x") - F.min("x")) * kx, (F.max("y") - F.min("y")) * ky, F.count("*")).first()
-    out, size = None, start or (1.5 * max(w, h, 1e-9) / math.sqrt(n) if n else 1.0)
-    while True:
-        found = pairs_within(pending, right, left_id, right_id, size, kx, ky).groupBy(left_id).agg(F.min(F.struct("distance", right_id)).alias("b"))
-        found = stored(found.select(left_id, F.col(f"b.{right_id}").alias(right_id), F.col("b.distance").alias("distance")))
-        out = found if out is None else out.union(found)
-        pending = stored(pending.join(found, left_id, "left_anti"))
-        if not n or pending.isEmpty():
-            return out
-        size *= 4
-
-
-def segments(lines: DataFrame, line_id: str, longest: float, kx: float = 1.0, ky: float = 1.0) -> DataFrame:
-    """The stretches of lines (``line``: an array of points) in a scaled plane, cut so that none is longer: id, ax, ay, bx, by."""
-    ends = lines.where(F.size("line") > 1).select(line_id, F.explode(F.arrays_zip(F.slice("line", 1, F.size("line") - 1).alias("a"), F.slice("line", 2, F.size("line") - 1).alias("b"))).alias("s"))
-    ends = ends.select(line_id, (F.col("s.a")[0] * kx).alias("ax"), (F.col("s.a")[1] * ky).alias("ay"), (F.col("s.b")[0] * kx).alias("bx"), (F.col("s.b")[1] * ky).alias("by"))
-    n = F.greatest(F.lit(1), F.ceil(F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")) / longest)).cast("int")
-    ends = ends.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    at = lambda c, k: (F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * (k / F.col("n")))
-    return ends.select(line_id, *(at(c, F.col("k") + i).alias(f"{p}{c}") for p, i in (("a", 0), ("b", 1)) for c in "xy"))
-
-
-def nearest_line(points: DataFrame, lines: DataFrame, point_id: str, kx: float = 1.0, ky: float = 1.0, start: float = 1.0) -> DataFrame:
-    """(point id, distance) to the union of lines in a scaled plane; without lines, and for points without coordinates, no row.
-
-    As in :func:`nearest`, the radius grows fourfold for the points that have found nothing.
-    """
-    from geolith.functions.geo import segment_distance
-
-    stored = Stored(points.sparkSession)
-    lines = lines.withColumn("_line", F.monotonically_increasing_id())
-    parts = stored(segments(lines, "_line", 2 * start, kx, ky).drop("_line"))
-    pending = points.where(finite(F.col("x")) & finite(F.col("y"))).select(F.col(point_id), (F.col("x") * kx).alias("x"), (F.col("y") * ky).alias("y"))
-    out, size, none = None, start, parts.isEmpty()
-    while True:
-        boxes = parts.select("*", *(e(F.col(f"a{c}"), F.col(f"b{c}")) + d * size for c in "xy" for e, d in ((F.least, -1), (F.greatest, 1))))
-        boxes = boxes.toDF("ax", "ay", "bx", "by", "x0", "x1", "y0", "y1")
-        d = segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-        rows = _cells(pending, F.col("x"), F.col("y"), size, 0).join(box_cells(boxes, size), ["_cx", "_cy"]).withColumn("distance", d)
-        found = stored(rows.where(F.col("distance") <= size).groupBy(point_id).agg(F.min("distance").alias("distance")))
-        out = found if out is None else out.union(found)
-        pending = stored(pending.join(found, point_id, "left_anti"))
-        if none or pending.isEmpty():
-            return out
-        size *= 4
-
-
-def assigned(buildings: DataFrame, places: DataFrame, building_id: str, place: str) -> DataFrame:
-    """The place of each building: least of (distance / radius, distance, name) among places whose radius reaches it.
-
-    ``places`` has x, y and its own radius; a place covers the cells its radius reaches.
-    """
-    size = 1000.0
+def reached(buildings: DataFrame, places: DataFrame, building_id: str, place: str, size: float = 1000.0) -> DataFrame:
+    """(building, place, distance, radius) of all places (x, y) whose own radius reaches a building (x, y); a place covers the cells its radius reaches."""
     b = _cells(buildings.select(building_id, "x", "y"), F.col("x"), F.col("y"), size, 0)
     p = places.select(F.col(place), F.col("x").alias("px"), F.col("y").alias("py"), "radius")
     for axis in ("x", "y"):
         c = F.col(f"p{axis}")
         p = p.withColumn(f"_c{axis}", F.explode(F.sequence(F.floor((c - F.col("radius")) / size), F.floor((c + F.col("radius")) / size))))
     d = F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))
-    rows = b.join(p, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= F.col("radius"))
+    return b.join(p, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") <= F.col("radius")).select(building_id, place, "distance", "radius")
+
+
+def assigned(buildings: DataFrame, places: DataFrame, building_id: str, place: str) -> DataFrame:
+    """The place of each building: least of (distance / radius, distance, name) among places whose radius reaches it."""
     best = F.min(F.struct((F.col("distance") / F.col("radius")).alias("relative"), "distance", place)).alias("best")
-    return rows.groupBy(building_id).agg(best).select(building_id, F.col(f"best.{place}").alias(place), F.col("best.distance").alias("distance"))
+    return reached(buildings, places, building_id, place).groupBy(building_id).agg(best).select(building_id, F.col(f"best.{place}").alias(place), F.col("best.distance").alias("distance"))
 
 
 def box_cells(df: DataFrame, size: float) -> DataFrame:
@@ -313,18 +257,6 @@ def clipped_to_cells(buildings: DataFrame, domains: DataFrame, name: str, domain
     return found.withColumn("_total", total).where(F.col("_total") >= least_area).drop("_total")
 
 
-def voronoi_domains(sites: list[tuple[str, float, float, float]], frame: Sequence[Sequence[float]]) -> list[tuple[str, list[list[float]]]]:
-    """Each site's part of a convex frame, nearer to it than to any other and within its radius: (name, ring). Sites are a bounded list."""
-    from geolith.functions.geo import circle
-
-    points, out = np.array([(x, y) for _, x, y, _ in sites], float), []
-    for k, (name, x, y, r) in enumerate(sites):
-        ring = clip_convex(voronoi(points, k, np.array(frame, float)), circle(x, y, r))
-        if len(ring) > 2:
-            out.append((name, ring.tolist()))
-    return out
-
-
 def covered(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
     """The points in the union of all polygons, each once, without building the union."""
     hits = points_in_polygons(points, polygons, point_id, polygon_id).select(point_id).distinct()
@@ -345,31 +277,3 @@ def valid_coordinates(df: DataFrame, column: str) -> Column:
 def polygonal(df: DataFrame, parts: str = "geometries") -> Column:
     """The polygons of a collection (an array of type and shape), without its points and lines; several overlap as they may."""
     return F.filter(F.col(parts), lambda g: g["type"].isin("Polygon", "MultiPolygon"))
-
-
-def domains(sites: DataFrame, site: str, frame: Sequence[Sequence[float]]) -> DataFrame:
-    """Each site's part of a convex frame, nearer to it than to any other and within its ``radius``: site, ring; sites without any part go.
-
-    Only sites within twice the radius can cut a part off, so each site meets its neighbours only.
-    """
-    from geolith.functions.geo import circle
-
-    own = sites.select(F.col(site), "x", "y", "radius")
-    most = own.agg(F.max("radius")).first()[0] or 1.0
-    near = pairs_within(own, own.withColumnRenamed(site, "_other"), site, "_other", 2.0 * most).where(F.col(site) != F.col("_other"))
-    other = own.select(F.col(site).alias("_other"), F.array("x", "y").alias("_at"))
-    rows = own.join(near.join(other, "_other").groupBy(site).agg(F.sort_array(F.collect_list(F.struct("distance", "_at"))).alias("near")), site, "left")
-    rows = rows.select(site, "x", "y", "radius", F.transform("near", lambda n: n["_at"]).alias("near"))
-    schema = T.StructType([sites.schema[site], T.StructField("ring", T.ArrayType(T.ArrayType(T.DoubleType())))])
-
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in frames:
-            out = []
-            for name, x, y, r, near in zip(*(part[c] for c in (site, "x", "y", "radius", "near")), strict=True):
-                points = np.array([(x, y), *(tuple(p) for p in (near if near is not None else []))], float)
-                ring = clip_convex(voronoi(points, 0, np.array(frame, float)), circle(x, y, r))
-                if len(ring) > 2:
-                    out.append((name, ring.tolist()))
-            yield pd.DataFrame(out, columns=[site, "ring"])
-
-    return rows.mapInPandas(cut, schema)

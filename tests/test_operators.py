@@ -103,8 +103,6 @@ def test_spatial(spark):
     assert rows(spatial.overlaps(rings, "p"), "a", "b", "area", "nested") == [("l", "q", pytest.approx(3.0), False)]
     cells = spatial.clipped_to_cells(rings.where("p = 'q'").withColumnRenamed("p", "b"), rings.where("p = 'l'").withColumnRenamed("p", "d"), "b", "d", 1.0)
     assert rows(cells.withColumn("area", F.round("area", 9)), "ix", "iy", "area") == [(0, 0, 1.0), (0, 1, 1.0), (1, 0, 1.0)]
-    domains = spatial.voronoi_domains([("a", 0, 0, 10), ("b", 4, 0, 10)], [[-20, -20], [20, -20], [20, 20], [-20, 20]])
-    assert [n for n, _ in domains] == ["a", "b"] and max(x for x, _ in domains[0][1]) == pytest.approx(2)
 
 
 def test_matching(spark):
@@ -344,15 +342,6 @@ def test_contact_sources_in_files(spark, tmp_path):
         read.website_contacts(page, "s", "u", "h", "hosts", "ok").collect()
 
 
-def test_domains_are_those_of_the_list(spark):
-    rng = random.Random(4)
-    sites = [(f"s{k}", rng.uniform(0, 100), rng.uniform(0, 100), rng.uniform(5, 40)) for k in range(25)]
-    frame = [[10.0, 0.0], [90.0, 0.0], [90.0, 100.0], [10.0, 100.0]]
-    expected = {n: abs(geo.area(np.array(r))) for n, r in spatial.voronoi_domains(sites, frame)}
-    found = {r["name"]: abs(geo.area(np.array(r["ring"]))) for r in spatial.domains(spark.createDataFrame(sites, "name STRING, x DOUBLE, y DOUBLE, radius DOUBLE"), "name", frame).collect()}
-    assert found.keys() == expected.keys() and all(found[n] == pytest.approx(a, rel=1e-6, abs=1e-6) for n, a in expected.items())
-
-
 def test_small_rules(spark):
     df = spark.createDataFrame([("2026-01-01T00:00:00Z", "2026-01-01T00:01:00Z"), (None, "2026-01-01T00:01:00Z")], "a STRING, b STRING")
     assert [tuple(r) for r in df.select(layers.cooled_down(F.col("a"), F.col("b"), 60), layers.cooled_down(F.col("a"), F.col("b"), 61)).collect()] == [(True, False), (True, True)]
