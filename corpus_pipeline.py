@@ -17,7 +17,7 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A document whose language is less certain than this is rejected.
 LEAST_SCORE = 0.2
 #: A line over 20 documents of its host is frequent, however large the host.
-LIMITS = Limits(line_share=0.0)
+LIMITS = Limits()
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
