@@ -20,12 +20,11 @@ SPACE, SPACES, SYMBOLS = r"[\x20\x09-\x0D]+", " \t\n\x0b\f\r", "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Limits:
-    """A line is frequent if over ``line_docs`` documents of its host and over ``line_share`` of them have it."""
+    """A line is frequent if over ``line_docs`` documents of its host have it, however many the host has."""
 
     min_words: int = 50
     repeat_share: float = 0.5
     line_docs: int = 20
-    line_share: float = 0.1
     depleted_share: float = 0.5
 
 
@@ -90,10 +89,9 @@ def frequent_lines(rows: DataFrame, limits: Limits) -> DataFrame:
 
     A line and a document count once, whatever rows have them.
     """
-    hosts = rows.groupBy("host").agg(F.count("*").alias("docs"))
-    pairs = rows.select("id", "host", F.explode(F.array_compact(F.array_distinct(line_keys()))).alias("key")).where("id is not null").distinct()
-    counts = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first"), F.min("host").alias("host")).where(F.col("n") > limits.line_docs)
-    return counts.join(hosts, "host").where(F.col("n") > limits.line_share * F.col("docs")).select("key", "first")
+    pairs = rows.select("id", F.explode(F.array_compact(F.array_distinct(line_keys()))).alias("key")).where("id is not null").distinct()
+    return pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("first")).where(F.col("n") > limits.line_docs).select("key", "first")
+
 
 
 def removals(rows: DataFrame, hot: DataFrame) -> DataFrame:

@@ -86,8 +86,10 @@ class Lengths:
             added = spec.get("added_tokens") or []
             whole = all(" " not in x["content"] and not (x["lstrip"] or x["rstrip"] or x["single_word"]) for x in added)
             self.cuts, self.lead, self.wide = whole and splits_at_spaces(spec.get("pre_tokenizer")) and plain_normalizer(spec.get("normalizer")), " ", True
-            if whole and spec.get("normalizer") is None and spec.get("post_processor") is None and spec["pre_tokenizer"] == spec["pre_tokenizer"] | {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}:
-                self.special = [x["content"] for x in added]
+            kind = spec.get("pre_tokenizer") or {}
+            if whole and len({x["normalized"] for x in added}) < 2 and spec.get("normalizer") is None and spec.get("post_processor") is None and kind == kind | {"type": "ByteLevel", "use_regex": True, "add_prefix_space": False}:
+                names = sorted((x["content"] for x in added if x["content"]), key=len, reverse=True)  # the longest of those at a place is taken
+                self.special = re.compile("|".join(map(re.escape, names))) if names else None
                 self.pieces = PieceCache(BYTE_LEVEL, lambda parts: in_batches(parts, batch_bytes, lambda batch: [x.ids for x in tokenizer.encode_batch_fast(batch, add_special_tokens=False)]))
         AT_TASK_END.append(self.forget_if_idle)
 
@@ -108,11 +110,10 @@ class Lengths:
     def __call__(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text."""
         if self.pieces:
-            plain = [not any(s in x for s in self.special) for x in texts]
-            found = iter(self.pieces.numbers([x for x, y in zip(texts, plain, strict=True) if y]))
-            others = iter(self.encode([x for x, y in zip(texts, plain, strict=True) if not y]))  # those with a special token go whole
+            split = [self.special.split(x) if self.special else [x] for x in texts]  # between special strings, each of which is a token
+            found = iter(self.pieces.numbers([part for parts in split for part in parts]))
             sizes = np.diff(self.pieces.at[: len(self.pieces.index) + 1])
-            return np.array([int(sizes[next(found)].sum()) if y else next(others) for y in plain], np.int64)
+            return np.array([len(parts) - 1 + sum(int(sizes[next(found)].sum()) for _ in parts) for parts in split], np.int64)
         if len(self.known) > CACHE_PARTS:
             self.known = {}
         self.used = time.monotonic()

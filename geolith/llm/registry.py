@@ -149,9 +149,8 @@ ORACLE_SQL: dict[str, str] = {
         l as (select doc_id, source, line, {WORDS.format("line")} as lw from (select doc_id, source, unnest(string_split(text, chr(10))) as line from d)),
         m as (select doc_id, source, line, len(lw) as own, lower(array_to_string(lw, ' ')) as norm from l where len(lw) > 0),
         u as (select doc_id, count(*) - count(distinct line) as n_dup_lines from m group by 1),
-        h as (select source, count(*) as docs from d group by 1),
         x as (select source, norm, count(distinct doc_id) as n, min(doc_id) as first from m group by 1, 2),
-        y as (select x.* from x join h using (source) where n > 20 and n > 0.1 * docs),
+        y as (select * from x where n > 20),
         z as (select m.doc_id, sum(own) as removed from m join y using (source, norm) where m.doc_id <> y.first group by 1),
         b as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(translate(text, '#*$%&|<>', '')) as n_symbols, coalesce(n_dup_lines, 0) as n_dup_lines,
           coalesce(n_repeat_words, 0) as n_repeat_words, cast(coalesce(removed, 0) as bigint) as removed_words from w left join q using (doc_id) left join u using (doc_id) left join z using (doc_id))

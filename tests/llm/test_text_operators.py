@@ -1,6 +1,7 @@
 """Audio, packing, language, byte-level BPE, token counts, URLs, quality and toxicity."""
 
 import hashlib
+import json
 import random
 import re
 import zlib
@@ -182,6 +183,17 @@ def test_token_counts(spark, path):
         assert all(r["over_limit"] == (r["n_tokens"] > 1024) for r in found)
 
 
+def test_token_counts_without_pre_tokenizer(tmp_path):
+    """A file that names no pre-tokenizer is encoded whole; special strings are tokens between parts that are cut as usual."""
+    spec = json.loads(Tokenizer.from_file(JSON).to_str())
+    kinds = [spec | {"pre_tokenizer": None}, spec | {"added_tokens": []}, spec | {"added_tokens": [{"id": 50_000 + k, "content": c, "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True} for k, c in enumerate(("<a>", "<a><b>", "|end|"))]}]
+    given = ["", "<a>", "x<a><b>y  <a> <b>", "|end||end| a  b", "word " * 500 + "<a>" + " word" * 500, "<|endoftext|>tail", "no specials  here"]
+    for n, kind in enumerate(kinds):
+        (tmp_path / f"{n}.json").write_text(json.dumps(kind))
+        own = Tokenizer.from_file(str(tmp_path / f"{n}.json"))
+        assert counts.Lengths(str(tmp_path / f"{n}.json"))(given).tolist() == [len(own.encode(t, add_special_tokens=False).ids) for t in given]
+
+
 @pytest.mark.parametrize("path", PATHS)
 def test_token_counts_of_cut_texts(path):
     rng = random.Random(6)
@@ -576,10 +588,19 @@ def test_quality_removes_frequent_lines(spark):
 def test_quality_counts_documents_not_rows(spark):
     own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
     rows = [(1, f"{own(1)}\nthe very same line here")] * 25 + [(2, f"{own(2)}\nthe very same line here")] + [(None, f"{own(3)}\nthe very same line here")] * 30
-    found = quality(documents(spark, rows), limits=Limits(line_share=0.0)).collect()
+    found = quality(documents(spark, rows), limits=Limits()).collect()
     assert len(found) == 56 and all(r["removed_words"] == 0 and r["kept"] for r in found)
 
 
+def test_quality_bar_does_not_grow_with_the_host(spark):
+    """Neither repeated rows nor many other documents of a host keep a frequent line."""
+    own = lambda i: " ".join(f"w{i}x{k}" for k in range(60))
+    rows = [(i, f"{own(i)}\nthe very same line here") for i in range(1, 26)]
+    for more in ([rows[0]] * 300, [(1000 + i, own(1000 + i)) for i in range(400)]):
+        found = quality(documents(spark, rows + more)).where("doc_id between 2 and 25").collect()
+        assert [r["removed_words"] for r in found] == [5] * 24
+
+
 @pytest.mark.parametrize("most", [200_000, 0])
 def test_quality_is_brute_force(spark, monkeypatch, most):
     """Removed words of each row, with null hosts, repeated rows, lines of spaces and many hot lines, by broadcast and by shuffle."""
@@ -589,14 +610,13 @@ def test_quality_is_brute_force(spark, monkeypatch, most):
     lines = [f"line {k} of some words" for k in range(12)]
     rows = [(i // 2 if i % 9 == 0 else i, "\n".join([*rng.sample(lines, rng.randrange(6)), "  ", f"own text {i} " * 30]), "en", rng.choice([None, "", "a", "b"])) for i in range(240)]
     rows.append((None, f"{lines[0]}\n" + "x " * 80, "en", "a"))
-    having, docs = {}, Counter()
+    having = {}
     norm = lambda x: " ".join(x.lower().split())
     for i, t, _, host in rows:
-        docs[host or ""] += 1
         for x in t.split("\n"):
             if norm(x) and i is not None:
                 having.setdefault((host or "", norm(x)), set()).add(i)
-    hot = {k: min(v) for k, v in having.items() if len(v) > 5 and len(v) > 0.1 * docs[k[0]]}
+    hot = {k: min(v) for k, v in having.items() if len(v) > 5}
     expected = Counter((i, sum(len(x.split()) for x in t.split("\n") if (h or "", norm(x)) in hot and hot[h or "", norm(x)] != i), "\n".join(x for x in t.split("\n") if (h or "", norm(x)) not in hot or hot[h or "", norm(x)] == i)) for i, t, _, h in rows)
     found = quality(documents(spark, rows), limits=Limits(line_docs=5), keep_text=True).collect()
     assert hot and Counter((r["doc_id"], r["removed_words"], r["clean_text"]) for r in found) == expected
