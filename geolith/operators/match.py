@@ -106,17 +106,32 @@ def municipality_by_name(rows: DataFrame, names: DataFrame, row_id: str) -> Data
     return rows.join(exact, row_id, "left").join(past, row_id, "left").withColumn("municipality", F.coalesce(one("_exact"), one("_past"))).drop("_exact", "_past")
 
 
-def carried_down(df: DataFrame, value: str, order: str, group: Sequence[str] = (), name: str = "context") -> DataFrame:
-    """The last non-null value at or above each row of its sheet."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def carried_down(df: DataFrame, value: str, order: str, group: Sequence[str] = (), name: str = "context", block: int = 10_000) -> DataFrame:
+    """The last non-null value at or above each row of its sheet; ``order`` is a whole number.
+
+    In two passes, so that no task sorts a sheet: the last value in each ``block`` of numbers is carried over the blocks, which are few,
+    and then into the rows of each block. Rows of one number all take the greatest of their values, rows without a number the null's.
+    """
+    keys = [F.col(g) for g in group]
+    number = F.floor(F.col(order) / block)
+    filled = F.when(F.col(value).isNotNull(), F.struct(F.col(order).alias("at"), F.col(value).alias("v")))
+    blocks = df.groupBy(*(k.alias(f"_g{i}") for i, k in enumerate(keys)), number.alias("_b")).agg(F.max(filled).alias("_last"))
+    above = Window.partitionBy(*(f"_g{i}" for i in range(len(keys)))).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("_above", F.last("_last", ignorenulls=True).over(above)["v"]).drop("_last")
+    on = number.eqNullSafe(F.col("_b"))
+    for i, k in enumerate(keys):
+        on = on & k.eqNullSafe(F.col(f"_g{i}"))
+    inside = Window.partitionBy(*(f"_g{i}" for i in range(len(keys))), "_b").orderBy(order)
+    found = F.coalesce(F.max(filled).over(inside.rangeBetween(Window.unboundedPreceding, 0))["v"], F.col("_above"))
+    if value != name and name in df.columns:
+        df = df.drop(name)
+    return df.join(blocks, on).withColumn(name, found).select(*(c for c in df.columns if c != name), name)
 
 
 def active_rows(df: DataFrame, starts: Column, stops: Column, order: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rows after a starting row and before the next stopping one."""
-    w = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    state = F.last(F.when(starts, True).when(stops, False), ignorenulls=True).over(w)
-    return df.withColumn("_on", state).where(F.col("_on") & ~F.coalesce(starts, F.lit(False))).drop("_on")
+    """Rows after a starting row and before the next stopping one; the state is carried as in :func:`carried_down`."""
+    marked = df.withColumn("_mark", F.when(starts, True).when(stops, False)).withColumn("_start", F.coalesce(starts, F.lit(False)))
+    return carried_down(marked, "_mark", order, group, "_on").where(F.col("_on") & ~F.col("_start")).drop("_on", "_mark", "_start")
 
 
 def stratified_sample(df: DataFrame, stratum: str, name: str, size: int = 20, salt: str = "") -> DataFrame:
