@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from geolith.operators.tables import Stored, components
 
 CONTACT_KINDS = ("agency", "realtor", "broker", "developer", "property_manager", "other")
 SOURCES = "array<struct<source_id: string, retrieved_at: string, url: string>>"
+#: What a contact is compared by; everything else, such as its place in a run, may change.
+CONTACT_FIELDS = ("name", "kind", "coverage", "specializations", "phones", "emails", "websites", "addresses", "links", "sources")
 LISTS = ("coverage", "specializations", "phones", "emails", "websites", "addresses")
 
 
@@ -86,15 +90,16 @@ def preserved_ids(df: DataFrame, published: DataFrame) -> DataFrame:
     return df.join(first, "component", "left").withColumn("contact_id", F.coalesce("owner", "contact_id")).drop("owner")
 
 
-def comparable(df: DataFrame) -> Column:
-    """All that two versions of a contact are compared by: not the review's state, nor when a source was read."""
-    columns = [F.transform("sources", lambda x: x.dropFields("retrieved_at")).alias("sources") if c == "sources" else F.col(c) for c in sorted(df.columns) if c not in ("review_status", "contact_id")]
+def comparable(df: DataFrame, fields: Sequence[str] = CONTACT_FIELDS) -> Column:
+    """All that two versions of a contact are compared by: its fields, but not when a source was read."""
+    columns = [F.transform("sources", lambda x: x.dropFields("retrieved_at")).alias("sources") if c == "sources" else F.col(c) for c in sorted(fields) if c in df.columns]
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-def delta(previous: DataFrame, candidate: DataFrame) -> DataFrame:
-    """(contact_id, status): added, changed, removed or unchanged between two catalogues of the same columns."""
-    old, new = (df.select("contact_id", comparable(df).alias(c)) for df, c in ((previous, "old"), (candidate, "new")))
+def delta(previous: DataFrame, candidate: DataFrame, fields: Sequence[str] = CONTACT_FIELDS) -> DataFrame:
+    """(contact_id, status): added, changed, removed or unchanged between two catalogues, by those of ``fields`` that both have."""
+    both = [c for c in fields if c in previous.columns and c in candidate.columns]
+    old, new = (df.select("contact_id", comparable(df, both).alias(c)) for df, c in ((previous, "old"), (candidate, "new")))
     status = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(F.col("old") == F.col("new"), "unchanged").otherwise("changed")
     return old.join(new, "contact_id", "full_outer").select("contact_id", status.alias("status"))
 

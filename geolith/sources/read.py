@@ -11,7 +11,7 @@ from html.parser import HTMLParser
 from pathlib import PurePosixPath
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -124,19 +124,29 @@ def appendix_lines(df: DataFrame, text: str) -> DataFrame:
     return lines.withColumn("parts", F.transform(F.split("content", ","), lambda x: F.btrim(x)))
 
 
-def catalogue_cards(df: DataFrame, page_id: str, html: str, block: str, title: str, count: str, card: str) -> DataFrame:
-    """Cards of the blocks of catalogue pages, with their block's title and displayed count.
+def catalogue_cards(df: DataFrame, page_id: str, html: str, block: str, title: str, count: str, card: str, region: str | None = None) -> DataFrame:
+    """Cards of the blocks of catalogue pages, with their block's title; with ``region``, also the region in the last header above the block.
 
-    ``block``, ``title`` and ``count`` are patterns of one group; ``card`` has the groups id, address, hours.
-    A block whose displayed count is not its number of cards, and an id on two cards of a page, is an error.
+    ``block``, ``title``, ``count`` and ``region`` are patterns of one group; ``card`` has the groups id, address, hours. Errors are: a block
+    without title or count, or whose displayed count is not its number of cards; an id on two cards of a page; a page without cards.
     """
-    blocks = df.select(page_id, F.posexplode(F.regexp_extract_all(html, F.lit(block), F.lit(1))).alias("block", "content"))
-    blocks = blocks.withColumn("title", F.regexp_extract("content", title, 1)).withColumn("shown", F.regexp_extract("content", count, 1).try_cast("int"))
+    either = F.lit(f"(?:{region})|(?:{block})" if region else f"()(?:{block})")
+    parts = df.select(page_id, F.arrays_zip(*(F.regexp_extract_all(html, either, F.lit(i)).alias(n) for i, n in ((1, "r"), (2, "b")))).alias("parts"))
+    named = F.transform("parts", lambda p, i: F.struct(p["r"].alias("own"), p["b"].alias("content"), F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(F.transform(F.slice("parts", 1, i + 1), lambda q: q["r"]), lambda x: x != "")), -1).alias("region")))
+    blocks = parts.select(page_id, F.posexplode(F.filter(named, lambda p: p["own"] == "")).alias("block", "p")).select(page_id, "block", "p.content", "p.region")
+    whole = F.col("content").rlike(title) & F.col("content").rlike(count)
+    blocks = blocks.withColumn("title", F.when(whole, F.regexp_extract("content", title, 1)).otherwise(F.raise_error(F.lit("block without title or count")))).withColumn("shown", F.regexp_extract("content", count, 1).try_cast("int"))
     groups = [F.regexp_extract_all("content", F.lit(card), F.lit(i)).alias(n) for i, n in ((1, "ids"), (2, "addresses"), (3, "hours"))]
-    blocks = blocks.select(page_id, "block", "title", "shown", *groups)
+    blocks = blocks.select(page_id, "block", "title", "region", "shown", *groups)
     blocks = blocks.withColumn("ids", F.when(F.size("ids").eqNullSafe(F.col("shown")), F.col("ids")).otherwise(F.raise_error(F.lit("displayed count differs from the cards"))))
-    cards = blocks.select(page_id, "block", "title", F.explode(F.arrays_zip("ids", "addresses", "hours")).alias("c"))
-    return cards.select(page_id, "block", clean_markup(F.col("title")).alias("title"), F.col("c.ids").alias("card_id"), clean_markup(F.col("c.addresses")).alias("address"), clean_markup(F.col("c.hours")).alias("hours"))
+    cards = blocks.select(page_id, "block", "title", "region", F.explode(F.arrays_zip("ids", "addresses", "hours")).alias("c"))
+    same = Window.partitionBy(page_id, "c.ids")
+    once = F.when(F.count("*").over(same) == 1, F.col("c.ids")).otherwise(F.raise_error(F.lit("several cards with one id")))
+    cards = cards.withColumn("card_id", once)
+    pages = df.select(F.col(page_id).alias("_page")).distinct().join(cards, F.col("_page").eqNullSafe(F.col(page_id)), "left")
+    own = F.when(F.col("c").isNotNull(), F.col("card_id")).otherwise(F.raise_error(F.lit("page without cards"))).alias("card_id")
+    more = ["region"] if region else []
+    return pages.select(F.col("_page").alias(page_id), "block", clean_markup(F.col("title")).alias("title"), *more, own, clean_markup(F.col("c.addresses")).alias("address"), clean_markup(F.col("c.hours")).alias("hours"))
 
 
 class _Visible(HTMLParser):
@@ -246,9 +256,9 @@ def catalogue_coordinates(df: DataFrame, page_id: str, html: str, handler: str,
     return found.select(page_id, "card_id", same.alias("at")).select(page_id, "card_id", "at.lon", "at.lat")
 
 
-def catalogue(df: DataFrame, page_id: str, html: str, block: str, title: str, count: str, card: str, handler: str, centre: str) -> DataFrame:
+def catalogue(df: DataFrame, page_id: str, html: str, block: str, title: str, count: str, card: str, handler: str, centre: str, region: str | None = None) -> DataFrame:
     """Cards of catalogue pages with the coordinates of their handlers, null where there is none; see :func:`catalogue_cards`."""
-    cards = catalogue_cards(df, page_id, html, block, title, count, card)
+    cards = catalogue_cards(df, page_id, html, block, title, count, card, region)
     return cards.join(catalogue_coordinates(df, page_id, html, handler, centre), [page_id, "card_id"], "left")
 
 

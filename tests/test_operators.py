@@ -201,6 +201,12 @@ def test_pages(spark):
     assert rows(parse(cards.where("id = 1")), "card_id", "address", "hours") == [("1", "A st", "9-18"), ("2", "B st", "10")]
     with pytest.raises(Exception, match="displayed count"):
         parse(cards).collect()
+    for html, error in (("[[T:City;N:2;<c 1|A st|9-18><c 1|B st|10>]]", "one id"), ("[[T:City;N:1;<c 1|A|9>]][[T:Town;N:1;<c 1|B|9>]]", "one id"), ("nothing", "without cards"), (None, "without cards"), ("[[N:0;]]", "without title"), ("[[T:City;]]", "without title")):
+        with pytest.raises(Exception, match=error):
+            parse(spark.createDataFrame([(1, html)], "id INT, html STRING")).collect()
+    shared = spark.createDataFrame([(1, "[[T:x;N:1;<c 0|A|9>]]<!-- North -->[[T:City;N:1;<c 1|A|9>]] <!--South--><!--East-->[[T:City;N:1;<c 2|A|9>]][[T:City;N:1;<c 3|A|9>]]"), (2, "[[T:y;N:1;<c 1|A|9>]]")], "id INT, html STRING")
+    found = read.catalogue_cards(shared, "id", "html", block, "T:(.*?);", r"N:(\d+)", r"<c (\d+)\|(.*?)\|(.*?)>", region=r"<!--\s*(North|South|East)\s*-->")
+    assert sorted((r["id"], r["block"], r["card_id"], r["region"]) for r in found.collect()) == [(1, 0, "0", None), (1, 1, "1", "North"), (1, 2, "2", "East"), (1, 3, "3", "East"), (2, 0, "1", None)]
 
 
 def test_pipeline(spark, tmp_path):
@@ -287,6 +293,10 @@ def test_contact_sources(spark):
     assert one == {"Alpha": ([("s", "d2", None), ("t", "d2", "http://z.org/a")], "needs_review"), "Beta": ([], "needs_review")}
     assert resolve.catalogue_errors(found).count() == 0 and resolve.catalogue_errors(found.withColumn("kind", F.lit("?")), ("published",)).groupBy("error").count().count() == 2
     later = found.withColumn("sources", F.transform("sources", lambda x: x.withField("retrieved_at", F.lit("d9"))))
+    # A record before all others moves their places in the run, which changes no contact.
+    more = [(0, "", "Newcomer", "", [], [], ["8 900 000-00-00"], [], [], [], [], None), *((r[0] + 1, *r[1:]) for r in data)]
+    more = resolve.merged(resolve.normalized(spark.createDataFrame(more, schema), "region"))
+    assert sorted(r["status"] for r in resolve.delta(found, more).collect()) == ["added", "unchanged", "unchanged"]
     assert {r["status"] for r in resolve.delta(found, later.withColumn("review_status", F.lit("published"))).collect()} == {"unchanged"}
     assert sorted(r["status"] for r in resolve.delta(found.where("name = 'Alpha'"), later.withColumn("phones", F.array(F.lit("+1")))).collect()) == ["added", "changed"]
 
