@@ -306,14 +306,43 @@ def inner_point(ring: np.ndarray) -> tuple[float, float]:
     return (a + b) / 2, float(y)
 
 
-def normal_form(ring: np.ndarray) -> bytes:
-    """Well-known binary of a ring turned clockwise from its least point: equal for equal shapes."""
-    points = ring[:-1] if len(ring) > 1 and (ring[0] == ring[-1]).all() else ring
-    if area(points) > 0:
+def open_ring(ring) -> np.ndarray:
+    """A ring's points without those that repeat the one before."""
+    points = np.array([np.asarray(p, float) for p in ring], float).reshape(-1, 2)
+    return points[(points != np.roll(points, 1, 0)).any(1)] if len(points) > 1 else points
+
+
+def normal_ring(ring, clockwise: bool = True) -> np.ndarray:
+    """A closed ring in one direction from its least point, of several equal ones the one with the least points behind it."""
+    points = open_ring(ring)
+    if not len(points):
+        return points
+    if (area(points) > 0) == clockwise:
         points = points[::-1]
-    start = min(range(len(points)), key=lambda i: tuple(points[i]))
-    points = np.vstack([np.roll(points, -start, 0), points[start]])
-    return b"\x01" + np.array([3, 1, len(points)], "<u4").tobytes() + points.astype("<f8").tobytes()
+    least = np.flatnonzero((points == points[np.lexsort((points[:, 1], points[:, 0]))[0]]).all(1))
+    points = min((np.roll(points, -int(k), 0) for k in least), key=lambda p: p.tolist() if len(least) > 1 else [])
+    return np.vstack([points, points[:1]])
+
+
+def polygons_of(shape) -> list[list]:
+    """The polygons of a shape, each a shell and its holes: of a ring, a polygon or several."""
+    depth, inner = 0, shape
+    while hasattr(inner, "__len__") and len(inner):
+        depth, inner = depth + 1, inner[0]
+    return [] if not depth else [[shape]] if depth <= 2 else [list(shape)] if depth == 3 else [list(p) for p in shape]
+
+
+def normal_form(shape) -> bytes:
+    """Well-known binary of a shape's polygons: shells clockwise, holes the other way, from their least points, in ascending order. Equal for equal shapes."""
+    polygons = sorted([normal_ring(p[0]).tolist(), *sorted(normal_ring(h, False).tolist() for h in p[1:])] for p in polygons_of(shape))
+    made = [b"\x01" + np.array([3, len(rings)], "<u4").tobytes() + b"".join(np.array([len(r)], "<u4").tobytes() + np.array(r, "<f8").tobytes() for r in rings) for rings in polygons]
+    return made[0] if len(made) == 1 else b"\x01" + np.array([6, len(made)], "<u4").tobytes() + b"".join(made)
+
+
+@F.pandas_udf(T.BinaryType())
+def shape_form(shape: pd.Series) -> pd.Series:
+    """:func:`normal_form` of shapes, null for null."""
+    return pd.Series([normal_form(s) if s is not None else None for s in shape], dtype=object)
 
 
 def circle(x: float, y: float, r: float, quarter: int = 64) -> np.ndarray:
@@ -362,3 +391,98 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     square = dx * dx + dy * dy
     t = F.when(square > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((px - ax) * dx + (py - ay) * dy) / square))).otherwise(0.0)
     return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+
+
+#: Nodes and weights of Gauss and Legendre for what is integrated along a geodesic.
+NODES, WEIGHTS = np.polynomial.legendre.leggauss(24)
+#: Square of the authalic radius; the ellipsoid's area is 4 pi times this.
+AUTHALIC2 = SEMI_MAJOR**2 / 2 + SEMI_MAJOR**2 * (1 - FLATTENING) ** 2 / 2 * math.atanh(E1) / E1
+
+
+def _auxiliary(lat1: np.ndarray, lat2: np.ndarray, dlon: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Of geodesics between latitudes (radians) over a difference of longitude: reduced latitudes, difference of longitude on the auxiliary sphere, sine and cosine of the azimuth at the equator, and arcs from the equator.
+
+    The longitude is found by going round: the sphere's difference gives the azimuth, along which the ellipsoid's correction is integrated.
+    """
+    b1, b2 = (np.arctan((1 - FLATTENING) * np.tan(v)) for v in (lat1, lat2))
+    omega = dlon.copy()
+    ep2 = E2 / (1 - E2)
+    for _ in range(60):
+        y, x = np.cos(b2) * np.sin(omega), np.cos(b1) * np.sin(b2) - np.sin(b1) * np.cos(b2) * np.cos(omega)
+        far = np.hypot(x, y)
+        with np.errstate(all="ignore"):
+            s1 = np.where(far > 0, y / far, 0.0)
+            c1 = np.where(far > 0, x / far, 1.0)
+        sin0 = s1 * np.cos(b1)
+        cos0 = np.hypot(c1, s1 * np.sin(b1))
+        arc1 = np.where((b1 == 0) & (c1 == 0), 0.0, np.arctan2(np.sin(b1), c1 * np.cos(b1)))
+        arc2 = arc1 + np.arctan2(far, np.sin(b1) * np.sin(b2) + np.cos(b1) * np.cos(b2) * np.cos(omega))
+        k2 = (ep2 * cos0**2)[:, None]
+        t = (arc1 + arc2)[:, None] / 2 + (arc2 - arc1)[:, None] / 2 * NODES
+        slow = (2 - FLATTENING) / (1 + (1 - FLATTENING) * np.sqrt(1 + k2 * np.sin(t) ** 2))
+        new = dlon + FLATTENING * sin0 * (slow @ WEIGHTS) * (arc2 - arc1) / 2
+        done = np.max(np.abs(new - omega), initial=0.0) <= 1e-16
+        omega = new
+        if done:
+            break
+    return b1, b2, omega, sin0, cos0, arc1, arc2
+
+
+def _excess(x: np.ndarray) -> np.ndarray:
+    """t(x) = x + sqrt(1 / x + 1) asinh(sqrt(x)), with its limit 1 + ... at 0."""
+    root = np.sqrt(np.maximum(x, 1e-300))
+    return x + np.where(x > 1e-14, np.sqrt(1 + np.maximum(x, 1e-300)) * np.arcsinh(root) / root, 1.0)
+
+
+def under_geodesics(lon1: np.ndarray, lat1: np.ndarray, lon2: np.ndarray, lat2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Square metres between geodesics and the equator, positive for those to the east in the north, and their differences of longitude, at most half a turn.
+
+    Each edge's area is the excess on the auxiliary sphere, and what the ellipsoid adds to it, integrated along the edge.
+    """
+    dlon = np.radians(np.remainder(np.asarray(lon2, float) - np.asarray(lon1, float) + 180, 360) - 180)
+    p1, p2 = (np.radians(np.asarray(v, float)) for v in (lat1, lat2))
+    b1, b2, omega, sin0, cos0, arc1, arc2 = _auxiliary(p1, p2, dlon)
+    h1, h2 = np.tan(b1 / 2), np.tan(b2 / 2)
+    excess = 2 * np.arctan2(np.sin(omega / 2) * (h1 + h2), np.cos(omega / 2) * (1 + h1 * h2))
+    ep2 = E2 / (1 - E2)
+    t = (arc1 + arc2)[:, None] / 2 + (arc2 - arc1)[:, None] / 2 * NODES
+    k2 = (ep2 * cos0**2)[:, None] * np.sin(t) ** 2
+    gap = ep2 - k2
+    near = gap < 1e-9
+    slope = (_excess(np.full_like(k2, ep2)) - _excess(k2)) / np.where(near, 1.0, gap)
+    slope = np.where(near, 4 / 3, slope)  # only where an edge runs along a meridian, over the pole, and the term counts nothing
+    more = -((slope * np.sin(t) / 2) @ WEIGHTS) * (arc2 - arc1) / 2
+    return AUTHALIC2 * excess + E2 * SEMI_MAJOR**2 * cos0 * sin0 * more, dlon
+
+
+def geodesic_areas(shapes: list) -> np.ndarray:
+    """Square metres inside of shapes of longitudes and latitudes whose edges are geodesics; any number of rings, those within others being holes.
+
+    A ring may cross the antimeridian. One that goes round a pole encloses it. Rings are taken as the smaller side of what they part the ellipsoid into.
+    """
+    out = np.zeros(len(shapes))
+    for i, shape in enumerate(shapes):
+        rings = [np.array([np.asarray(p, float) for p in r], float).reshape(-1, 2) for r in shape_rings(shape)]
+        found = []
+        for ring in rings:
+            after = np.roll(ring, -1, 0)
+            own, turns = under_geodesics(ring[:, 0], ring[:, 1], after[:, 0], after[:, 1])
+            total = abs(float(own.sum()))
+            if abs(float(turns.sum())) > math.pi:  # round a pole
+                total = 2 * math.pi * AUTHALIC2 - total
+            found.append(min(total, 4 * math.pi * AUTHALIC2 - total))
+        plane = [np.stack([np.rad2deg(np.unwrap(np.radians(r[:, 0]))), r[:, 1]], 1) for r in rings]
+        for k, ring in enumerate(plane):
+            depth = 0
+            larger = [other for j, other in enumerate(plane) if found[j] > found[k]]
+            if larger and len(ring) > 2 and area(ring) != 0:
+                x, y = (np.array([v]) for v in inner_point(ring))
+                depth = sum(bool(contains([other], x, y)[0]) for other in larger)
+            out[i] += found[k] * (1 if depth % 2 == 0 else -1)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def geodesic_area(shape: pd.Series) -> pd.Series:
+    """Square metres of shapes of longitudes and latitudes on the ellipsoid; null and empty ones have none."""
+    return pd.Series(geodesic_areas([s if s is not None else [] for s in shape]), dtype="float64")

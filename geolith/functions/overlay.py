@@ -170,3 +170,75 @@ def chains(edges: np.ndarray, size: int = STEPS) -> tuple[list[np.ndarray], np.n
                 k = follow[k]
             out.append(np.vstack([inner[line, :2], inner[line[-1], 2:]]))
     return out, rest
+
+
+def faults(polygons: list[list[np.ndarray]]) -> list[str]:
+    """What is wrong with polygons, each a shell and its holes, on a lattice of ``STEPS`` over their extent: nothing, if they are valid.
+
+    ``not_finite``, ``too_few_points``, ``self_intersection`` of a ring (it meets itself), ``overlapping_rings`` (rings cross or have an
+    edge in common, a hole isn't in its shell, holes or polygons overlap). Rings may touch in points.
+    """
+    rings = [ring for p in polygons for ring in p]
+    if not rings or any(len(r) < 3 for r in rings):
+        return ["too_few_points"]
+    points = np.vstack(rings)
+    if not np.isfinite(points).all():
+        return ["not_finite"]
+    low, extent = points.min(0), max(float(np.ptp(points, 0).max()), 1e-300)
+    out, edges, counts = set(), [], []
+    for p in polygons:
+        for k, ring in enumerate(p):
+            own = np.rint((ring - low) / extent * (STEPS - 1)).astype(np.int64)
+            around = np.hstack([own, np.roll(own, -1, 0)])
+            around = around[(around[:, :2] != around[:, 2:]).any(1)]
+            size = doubled_area(around)
+            found, n = noded(around, np.ones((len(around), 1), np.int64))
+            ends = np.unique(np.vstack([found[:, :2], found[:, 2:]]), axis=0, return_counts=True)[1] if len(found) else np.zeros(0)
+            if size == 0 or len(found) != len(around) or (abs(n) != 1).any() or (ends != 2).any():
+                out.add("self_intersection")
+            edges.append(around)
+            counts.append(np.full(len(around), 1 if (size > 0) == (k == 0) else -1))
+    every, n = noded(np.vstack(edges), np.concatenate(counts)[:, None])
+    upper = windings(every, n)
+    lower = upper + np.where((every[:, 0] == every[:, 2])[:, None], n, -n)
+    total = sum(float(np.hypot(*(e[:, 2:] - e[:, :2]).T).sum()) for e in edges)
+    left = float(np.hypot(*(every[:, 2:] - every[:, :2]).T).sum())
+    if "self_intersection" not in out and (((upper < 0) | (upper > 1) | (lower < 0) | (lower > 1)).any() or total - left > 1e-6 * total):
+        out.add("overlapping_rings")
+    return sorted(out)
+
+
+def inside_stretches(lines: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of straight lines (x0, y0, x1, y1) the number and the ends, from 0 to 1, of the stretches inside of or on a closed set of edges."""
+    which, low, high = [], [], []
+    step = max(1, PAIRS // max(1, len(edges)))
+    ex, ey = edges[:, 2] - edges[:, 0], edges[:, 3] - edges[:, 1]
+    for a in range(0, len(lines), step):
+        own = lines[a : a + step]
+        dx, dy = own[:, 2] - own[:, 0], own[:, 3] - own[:, 1]
+        gx, gy = edges[:, 0] - own[:, :1], edges[:, 1] - own[:, 1:2]
+        cross = dx[:, None] * ey - dy[:, None] * ex
+        with np.errstate(all="ignore"):
+            t, u = (gx * ey - gy * ex) / cross, (gx * dy[:, None] - gy * dx[:, None]) / cross
+        square = (dx * dx + dy * dy)[:, None]
+        along = (cross == 0) & (gx * dy[:, None] - gy * dx[:, None] == 0)  # on one straight line: its ends count
+        ends = [np.where((t > 0) & (t < 1) & (u >= 0) & (u <= 1), t, 0.0)]
+        with np.errstate(all="ignore"):
+            ends += [np.where(along, np.clip((x * dx[:, None] + y * dy[:, None]) / square, 0, 1), 0.0) for x, y in ((gx, gy), (gx + ex, gy + ey))]
+        cuts = np.sort(np.hstack([np.zeros((len(own), 1)), np.nan_to_num(np.hstack(ends)), np.ones((len(own), 1))]), 1)
+        i, j = np.nonzero(cuts[:, 1:] - cuts[:, :-1] > 1e-12)
+        s, e = cuts[i, j], cuts[i, j + 1]
+        x, y = own[i, 0] + dx[i] * (s + e) / 2, own[i, 1] + dy[i] * (s + e) / 2
+        for c in range(0, len(i), step):
+            px, py = x[c : c + step, None], y[c : c + step, None]
+            turned = ex * (py - edges[:, 1]) - ey * (px - edges[:, 0])
+            box = (np.minimum(edges[:, 0], edges[:, 2]) - 1 <= px) & (px <= np.maximum(edges[:, 0], edges[:, 2]) + 1) & (np.minimum(edges[:, 1], edges[:, 3]) - 1 <= py) & (py <= np.maximum(edges[:, 1], edges[:, 3]) + 1)
+            on = (box & (abs(turned) <= np.hypot(ex, ey))).any(1)  # within a step, by which an edge may be rounded
+            up, down = (edges[:, 1] <= py) & (py < edges[:, 3]), (edges[:, 3] <= py) & (py < edges[:, 1])
+            use = on | (((up & (turned > 0)).sum(1) - (down & (turned < 0)).sum(1)) != 0)
+            which.append(i[c : c + step][use] + a)
+            low.append(s[c : c + step][use])
+            high.append(e[c : c + step][use])
+    if not which:
+        return (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
+    return np.concatenate(which), np.concatenate(low), np.concatenate(high)

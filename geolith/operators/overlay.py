@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from geolith.functions import overlay as kernel
-from geolith.functions.geo import circle, flat_shapes, shape_rings
+from geolith.functions.geo import circle, flat_shapes, open_ring, polygons_of, shape_rings
 from geolith.functions.overlay import STEPS
 from geolith.operators.spatial import cut_to_cells, levels
 from geolith.operators.tables import Stored, small
@@ -158,6 +158,75 @@ def capsules(shapes: DataFrame, keys: Sequence[str], radius: str | float, quarte
     return _filled(source, "ring").where(F.col("_far") > 0).mapInPandas(work, schema)
 
 
+def stretches(lines: DataFrame, line_id: str, size: float = SIZE) -> DataFrame:
+    """The stretches of lines (``line``: an array of points), cut at the borders of cells: line, _k, its number, from _s to _e of it, _cx, _cy, and ``at``, its ends on the cell's lattice."""
+    schema = T.StructType([lines.schema[line_id], *(T.StructField(c, k) for c, k in (("_k", T.LongType()), ("_s", T.DoubleType()), ("_e", T.DoubleType()), ("_cx", T.LongType()), ("_cy", T.LongType()), ("at", T.ArrayType(T.DoubleType()))))])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, line in zip(frame[line_id], frame["line"], strict=True):
+                p = np.array([np.asarray(x, float) for x in line], float).reshape(-1, 2)
+                rows = []
+                for k, (a, b) in enumerate(zip(p[:-1], p[1:], strict=True)):
+                    if (a == b).all():
+                        continue
+                    cuts = [np.array([0.0, 1.0])]
+                    for c in (0, 1):
+                        lo, hi = sorted((a[c], b[c]))
+                        at = np.arange(np.floor(lo / size) + 1, np.ceil(hi / size)) * size
+                        cuts.append((at - a[c]) / (b[c] - a[c]) if len(at) else at)
+                    t = np.unique(np.concatenate(cuts))
+                    rows.append(np.column_stack([np.full(len(t) - 1, k), t[:-1], t[1:], a + np.outer(t[:-1], b - a), a + np.outer(t[1:], b - a)]))
+                if rows:
+                    r = np.vstack(rows)
+                    cell = np.floor((r[:, 3:5] + r[:, 5:7]) / 2 / size)
+                    local = np.clip((r[:, 3:] - np.tile(cell, 2) * size) / (size / STEPS), 0, STEPS)
+                    yield pd.DataFrame({line_id: [name] * len(r), "_k": r[:, 0].astype(np.int64), "_s": r[:, 1], "_e": r[:, 2], "_cx": cell[:, 0].astype(np.int64), "_cy": cell[:, 1].astype(np.int64), "at": pd.Series(list(local), dtype=object)})
+
+    return lines.where(F.size("line") > 1).select(line_id, "line").mapInPandas(work, schema)
+
+
+def lines_within(lines: DataFrame, pieces: DataFrame, line_id: str, keys: Sequence[str], size: float = SIZE, most: int = 2000) -> DataFrame:
+    """The parts of lines inside of or on areas, given as pieces or overlaid cells: line, keys, ``part``, ``length`` and ``line`` (its points).
+
+    Lines are cut at the borders of cells and at the areas' edges there; what is inside is joined again along the line. Points and
+    parts without length go. A cell takes ``most`` stretches of lines at a time.
+    """
+    cut_ = Stored(lines.sparkSession)(stretches(lines, line_id, size))
+    parts = cut_.groupBy(*CELL).agg(F.ceil(F.count("*") / most).alias("_parts"))
+    row = F.struct(F.col(line_id).alias("line"), *(F.col(c).alias(c[1:]) for c in ("_k", "_s", "_e")), "at")
+    groups = cut_.join(parts, list(CELL)).groupBy(*CELL, F.pmod(F.xxhash64(line_id, "_k", "_s"), F.col("_parts")).alias("_part")).agg(F.collect_list(row).alias("own"))
+    schema = T.StructType([lines.schema[line_id], *_kept(pieces, keys), T.StructField("_k", T.LongType()), T.StructField("_s", T.DoubleType()), T.StructField("_e", T.DoubleType())])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n, (own, flat) in enumerate(zip(frame["own"], frame["edges"], strict=True)):
+                which, s, e = kernel.inside_stretches(np.array([np.asarray(r["at"], float) for r in own]).reshape(-1, 4), np.asarray(flat, np.int64).reshape(-1, 5)[:, :4].astype(float))
+                of = [own[w] for w in which.tolist()]
+                low, high = (np.array([r[c] for r in of], float) for c in "se")
+                yield pd.DataFrame({line_id: [r["line"] for r in of], **{k: [frame[k].iloc[n]] * len(of) for k in keys}, "_k": np.array([r["k"] for r in of], np.int64), "_s": low + (high - low) * s, "_e": low + (high - low) * e}, columns=[f.name for f in schema])
+
+    found = groups.join(pieces.select(*keys, *CELL, "edges"), list(CELL)).select("own", "edges", *keys).mapInPandas(work, schema)
+    along = Window.partitionBy(line_id, *keys).orderBy("_k", "_s")
+    gap = F.col("_k") + F.col("_s") - F.lag(F.col("_k") + F.col("_e")).over(along) > 1e-9
+    found = found.withColumn("part", F.sum(F.coalesce(gap, F.lit(True)).cast("long")).over(along) - 1)
+    # Consecutive stretches of one straight piece are one; each piece has its ends.
+    found = found.groupBy(line_id, *keys, "part", "_k").agg(F.min("_s").alias("_s"), F.max("_e").alias("_e"))
+    found = found.join(lines.select(F.col(line_id), F.col("line").alias("_line")), line_id)
+    at = lambda t, c: F.col("_line")[F.col("_k").cast("int")][c] + (F.col("_line")[F.col("_k").cast("int") + 1][c] - F.col("_line")[F.col("_k").cast("int")][c]) * F.col(t)
+    ends = found.select(line_id, *keys, "part", "_k", F.array(at("_s", 0), at("_s", 1)).alias("_a"), F.array(at("_e", 0), at("_e", 1)).alias("_b"))
+    length = F.hypot(F.col("_b")[0] - F.col("_a")[0], F.col("_b")[1] - F.col("_a")[1])
+    whole = ends.groupBy(line_id, *keys, "part").agg(F.sum(length).alias("length"), F.array_sort(F.collect_list(F.struct("_k", "_a", "_b"))).alias("_p"))
+    points = F.concat(F.array(F.get("_p", F.lit(0))["_a"]), F.transform("_p", lambda p: p["_b"]))
+    return whole.where("length > 0").select(line_id, *keys, "part", "length", points.alias("line"))
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def shape_faults(shape: pd.Series) -> pd.Series:
+    """What is wrong with shapes (a ring, a polygon or several): an empty array for valid ones, null for null; see :func:`geolith.functions.overlay.faults`."""
+    return pd.Series([kernel.faults([[open_ring(r) for r in p] for p in polygons_of(s)]) if s is not None else None for s in shape], dtype=object)
+
+
 def _lines(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys, xs, ys on the lattice of the plane, ``seam``: the lines of a cell's edges from border to border, and its edges on the border."""
     schema = T.StructType([*_kept(cells, keys), T.StructField("xs", LONGS), T.StructField("ys", LONGS), T.StructField("seam", T.BooleanType())])
@@ -199,7 +268,8 @@ def outline(cells: DataFrame, keys: Sequence[str], size: float = SIZE) -> DataFr
     Areas lie on the left. Rings that touch in a point stay apart. Edges may be cut where they cross the grid.
     """
     stored = Stored(cells.sparkSession)
-    lines = stored(_lines(cells, keys))
+    names, keys = list(keys), [f"_key{i}" for i in range(len(keys))]  # a key may be called as a column here is
+    lines = stored(_lines(cells.select(*(F.col(n).alias(k) for n, k in zip(names, keys, strict=True)), *CELL, "edges"), keys))
     closed = (F.element_at("xs", 1) == F.element_at("xs", -1)) & (F.element_at("ys", 1) == F.element_at("ys", -1))
     whole = lines.where(~F.col("seam") & closed).withColumn("ring", -1 - F.monotonically_increasing_id()).select(*keys, "ring", F.lit(0).cast("long").alias("seq"), "xs", "ys")
     open_ = lines.where(~F.col("seam") & ~closed).select(*keys, "xs", "ys").union(_borders(lines, keys))
@@ -221,7 +291,7 @@ def outline(cells: DataFrame, keys: Sequence[str], size: float = SIZE) -> DataFr
             break
     found = arcs.join(state.select("id", "ring", (-F.col("d")).alias("seq")), "id").select(*keys, "ring", "seq", "xs", "ys")
     unit = size / STEPS
-    return found.union(whole).select(*keys, "ring", "seq", *(F.transform(c, lambda v: v * F.lit(unit)).alias(c) for c in ("xs", "ys")))
+    return found.union(whole).select(*(F.col(k).alias(n) for n, k in zip(names, keys, strict=True)), "ring", "seq", *(F.transform(c, lambda v: v * F.lit(unit)).alias(c) for c in ("xs", "ys")))
 
 
 def shapes_of(rings: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from geolith.functions.geo import geodesic_area, shape_form
 from geolith.operators import domains, overlay
 from geolith.plans.catalog import PLACES, STORES, places, query, stores, t
 
@@ -122,3 +123,42 @@ def squares_outside(spark, sf_dir):
     x, y = (F.floor(F.col(c) / 100) * 100 for c in "xy")
     squares = places(spark, sf_dir).select("c_custkey", x.alias("x0"), y.alias("y0"), (x + 100).alias("x1"), (y + 100).alias("y1"))
     return domains.outside(squares, diamonds(spark, sf_dir, 3), ["c_custkey"]).select("c_custkey")
+
+
+@query(f"""with {STORES}, b as (select *, 200 + store_id % 5 * 40 as b from s where store_id % 3 = 0), r as (select n_nationkey as road, n_nationkey * 401 % 10009 as y from nation)
+    select road, store_id, 1 as parts, round(least(10008.0::double, b.x + b - abs(b.y - r.y)) - greatest(0.0::double, b.x - b + abs(b.y - r.y)), 4) as length from r, b
+    where abs(b.y - r.y) < b and least(10008, b.x + b - abs(b.y - r.y)) > greatest(0, b.x - b + abs(b.y - r.y))""")
+def road_lengths(spark, sf_dir):
+    """The parts of roads inside of slanted boundaries; each road has a bend without an angle."""
+    y = (F.col("n_nationkey") * 401 % 10009).cast("double")
+    roads = t(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("road"), F.array(F.array(F.lit(0.0), y), F.array(F.lit(5000.5), y), F.array(F.lit(10008.0), y)).alias("line"))
+    found = overlay.lines_within(roads, overlay.cut(diamonds(spark, sf_dir, 3), ["store_id"]), "road", ["store_id"])
+    return found.groupBy("road", "store_id").agg(F.count("*").cast("int").alias("parts"), F.round(F.sum("length"), 4).alias("length"))
+
+
+@query("""select c_custkey, round((1 + c_custkey % 20) / 360.0::double * 510065621724088.44::double / 2 / 1000000, 2) as km2 from customer""")
+def geodesic_wedges(spark, sf_dir):
+    """Areas between two meridians, the equator and the pole on the ellipsoid; some cross the antimeridian."""
+    k = F.col("c_custkey")
+    lon, wide = k * 7 % 360 - 180, 1 + k % 20
+    at = lambda x, y: F.array(x.cast("double"), F.lit(float(y)))
+    ring = F.array(at(lon, 0), at(F.pmod(lon + wide + 180, F.lit(360)) - 180, 0), at(lon, 90))
+    return t(spark, sf_dir, "customer").select("c_custkey", F.round(geodesic_area(ring) / 1e6, 2).alias("km2"))
+
+
+@query("""with f as (select c_custkey, c_custkey * 37 % 40 as u0, c_custkey * 91 % 40 as v0, 6 + c_custkey % 3 as w, 6 + c_custkey % 2 as h, c_custkey % 11 as bad from customer)
+    select case bad when 3 then 'overlapping_rings' when 5 then 'self_intersection' when 7 then 'too_few_points' else 'valid' end as state, count(*) as shapes, case when any_value(bad) not in (3, 5, 7) then count(distinct (u0, v0, w, h)) end as different from f group by 1""")
+def shape_states(spark, sf_dir):
+    """Shapes by what is wrong with them; the valid ones by their normal forms, each written from another point on and half of them turned."""
+    k = F.col("c_custkey")
+    df = t(spark, sf_dir, "customer").select("c_custkey", (k * 37 % 40).alias("u"), (k * 91 % 40).alias("v"), (6 + k % 3).alias("w"), (6 + k % 2).alias("h"))
+    u, v, w, h = (F.col(c) for c in ("u", "v", "w", "h"))
+    c = [corner(u, v), corner(u + w, v), corner(u + w, v + h), corner(u, v + h)]
+    hole = lambda far: turned(u + 2 + far, v + 2, u + w - 2 + far, v + h - 2)
+    ring = F.when(k % 4 == 0, F.array(*c, c[0])).when(k % 4 == 1, F.array(*c[1:], *c[:2])).when(k % 4 == 2, F.array(*c[::-1])).otherwise(F.array(c[2], c[3], c[3], c[0], c[1]))
+    ring = F.when(k % 11 == 5, F.array(c[0], c[2], c[1], c[3])).when(k % 11 == 7, F.array(c[0], c[1], c[1])).otherwise(ring)
+    shape = F.array(ring, F.when(k % 11 == 3, hole(w - 3)).otherwise(hole(F.lit(0))))
+    shape = F.when((k % 11).isin(5, 7), F.array(ring)).otherwise(shape)
+    rows = df.select(overlay.shape_faults(shape).alias("faults"), F.sha2(shape_form(shape), 256).alias("form"))
+    state = F.when(F.size("faults") == 0, "valid").otherwise(F.array_join("faults", ","))
+    return rows.groupBy(state.alias("state")).agg(F.count("*").alias("shapes"), F.countDistinct("form").alias("n")).select("state", "shapes", F.when(F.col("state") == "valid", F.col("n")).alias("different"))

@@ -195,3 +195,69 @@ def test_nearest_of_nothing(spark):
     b = spark.createDataFrame([("z", 0.0, 0.0), ("a", 0.0, 0.0), (None, 4.0, 3.0), ("n", None, 3.0)], "other STRING, x DOUBLE, y DOUBLE")
     assert [tuple(r) for r in nearest.nearest(a, b, "id", "other").collect()] == [(3, "a", 5.0)]
     assert nearest.nearest(a, b.limit(0), "id", "other").count() == 0 and nearest.nearest(a.limit(0), b, "id", "other").count() == 0
+
+
+def test_lines_within_areas(spark):
+    """Lengths and parts against points along the lines; lines over several cells, along borders, through holes and back again."""
+    g = np.random.default_rng(12)
+    shapes = [(k, holed(*(g.random(2) * 3000), 900, k)) for k in range(6)]
+    lines = [(k, (g.random((int(g.integers(2, 6)), 2)) * 5000 - 1000).tolist()) for k in range(25)] + [(100, [[0.0, 0.0]]), (101, [[1.0, 1.0], [1.0, 1.0]]), (102, None)]
+    frame = spark.createDataFrame(lines, "l INT, line ARRAY<ARRAY<DOUBLE>>")
+    found = overlay.lines_within(frame, overlay.cut(spark.createDataFrame(shapes, f"a INT, ring {RINGS}"), ["a"]), "l", ["a"], most=7).collect()
+    assert {r["l"] for r in found} < set(range(25))
+    for k, line in lines[:25]:
+        line = np.array(line)
+        p = np.vstack([a + np.outer((np.arange(4000) + 0.5) / 4000, b - a) for a, b in zip(line[:-1], line[1:], strict=True)])
+        step = np.repeat(np.hypot(*(line[1:] - line[:-1]).T) / 4000, 4000)
+        for a, shape in shapes:
+            on = inside(shape, p)
+            own = [r for r in found if (r["l"], r["a"]) == (k, a)]
+            assert sum(r["length"] for r in own) == pytest.approx(float(step[on].sum()), abs=4 * step.max() * (1 + 2 * len(own)))
+            assert sum(r["length"] for r in own) == pytest.approx(sum(float(np.hypot(*np.diff(np.array(r["line"]), axis=0).T).sum()) for r in own))
+            runs = int((on & ~np.concatenate([[False], on[:-1]])).sum())
+            assert len(own) >= runs and all(r["length"] < 3 * step.max() for r in sorted(own, key=lambda r: -r["length"])[runs:])
+    square = spark.createDataFrame([(1, [[0.0, 0.0], [3000.0, 0.0], [3000.0, 3000.0], [0.0, 3000.0]])], "a INT, ring ARRAY<ARRAY<DOUBLE>>")
+    lines = spark.createDataFrame([(1, [[-10.0, 0.0], [3010.0, 0.0]]), (2, [[-10.0, 3000.0], [0.0, 3000.0], [10.0, 3010.0]]), (3, [[10.0, 10.0], [20.0, 10.0], [10.0, 10.0], [10.0, 20.0]])], "l INT, line ARRAY<ARRAY<DOUBLE>>")
+    found = overlay.lines_within(lines, overlay.cut(square, ["a"]), "l", ["a"]).collect()
+    assert sorted((r["l"], r["part"], round(r["length"], 4)) for r in found) == [(1, 0, 3000.0), (3, 0, 30.0)]
+    assert [r["line"] for r in found if r["l"] == 3] == [[[10.0, 10.0], [20.0, 10.0], [10.0, 10.0], [10.0, 20.0]]]
+
+
+def test_faults_of_shapes(spark):
+    box = lambda a, b, c, d: [[a, b], [c, b], [c, d], [a, d]]
+    cases = [
+        ([box(0.0, 0, 10, 10)], []), ([[*box(0.0, 0, 10, 10), [0.0, 0.0], [0.0, 0.0]], box(2.0, 2, 4, 4)[::-1]], []), ([box(0.0, 0, 10, 10), box(2.0, 2, 4, 4), box(4.0, 4, 6, 6)], []),
+        ([[[0.0, 0], [10, 10], [10, 0], [0, 10]]], ["self_intersection"]), ([[[0.0, 0], [10, 0], [5, 5], [10, 10], [0, 10], [5, 5]]], ["self_intersection"]), ([[[0.0, 0], [10, 0], [10, 10], [10, 0]]], ["self_intersection"]),
+        ([box(0.0, 0, 10, 10), box(8.0, 8, 12, 12)], ["overlapping_rings"]), ([box(0.0, 0, 10, 10), box(20.0, 8, 22, 12)], ["overlapping_rings"]), ([box(0.0, 0, 10, 10), box(0.0, 2, 4, 4)], ["overlapping_rings"]),
+        ([box(0.0, 0, 10, 10), box(2.0, 2, 6, 6), box(4.0, 4, 8, 8)], ["overlapping_rings"]), ([[[0.0, 0], [1, 1]]], ["too_few_points"]), ([[[0.0, float("nan")], [1, 1], [0, 1]]], ["not_finite"]), ([], ["too_few_points"]), (None, None),
+    ]
+    given = [(k, s and [[[float(x) for x in p] for p in r] for r in s]) for k, (s, _) in enumerate(cases)]
+    df = spark.createDataFrame(given, f"k INT, ring {RINGS}").repartition(1)
+    assert {r["k"]: r["f"] for r in df.select("k", overlay.shape_faults("ring").alias("f")).collect()} == {k: f for k, (_, f) in enumerate(cases)}
+    apart, over = ([[[np.array(box(a, 0, a + 4, 4), float)] for a in at]] for at in ((0, 4), (0, 3)))
+    assert kernel.faults([[np.array(box(0, 0, 4, 4), float)], [np.array(box(4, 4, 8, 8), float)]]) == [] and kernel.faults(over[0]) == kernel.faults(apart[0]) == ["overlapping_rings"]
+
+
+def test_normal_forms():
+    shell, hole, other = star(0, 0, 10, 9, 1), star(0, 0, 2, 5, 2), star(1, 0, 1, 4, 3)
+    turned = lambda r, k: [*np.roll(r, k, 0).tolist(), np.roll(r, k, 0)[0].tolist()]
+    forms = {geo.normal_form([turned(shell, a), turned(hole[::-1], b), turned(other, a)]) for a in (0, 3) for b in (0, 2)} | {geo.normal_form([shell[::-1].tolist(), other[::-1].tolist(), hole.tolist()])}
+    assert len(forms) == 1 and geo.normal_form([shell.tolist()]) == geo.normal_form(shell.tolist()) != geo.normal_form([shell.tolist(), hole.tolist()])
+    assert geo.normal_form([[shell.tolist()], [hole.tolist()]]) == geo.normal_form([[hole.tolist()], [shell[::-1].tolist()]]) and geo.normal_form([]) == geo.normal_form([])
+    assert np.frombuffer(geo.normal_form([shell.tolist()])[1:13], "<u4").tolist() == [3, 1, 10]
+
+
+def test_geodesic_areas():
+    """Parts of the ellipsoid between meridians and the equator, known values, and triangles as the sum of their parts."""
+    whole = 4 * math.pi * geo.AUTHALIC2
+    of = lambda *rings: float(geo.geodesic_areas([list(map(list, rings))])[0])
+    assert whole == pytest.approx(510065621724088.4, rel=1e-14)
+    for west, east in ((0, 90), (170, -170), (5, 5.001)):
+        assert of([(west, 0), (east, 0), (west, 90)]) == pytest.approx(whole / 2 * ((east - west) % 360) / 360, rel=1e-9)
+    assert of([(0, 89), (90, 89), (180, 89), (270, 89)]) == pytest.approx(24952305678.0, abs=1)
+    assert of([(-1, 0), (0, -1), (1, 0), (0, 1)]) == pytest.approx(24619419146.0, abs=1)
+    for a, b, c, p in (((130, 45), (138, 47), (133, 52), (134, 48)), ((10, -5), (40, 3), (20, 30), (22, 10)), ((178, 50), (-170, 52), (-175, 60), (-178, 54))):
+        assert of([a, b, p]) + of([b, c, p]) + of([c, a, p]) == pytest.approx(of([a, b, c]), rel=1e-12)
+        hole = [tuple(np.array(p) + d) for d in ((0, 0), (0.5, 0), (0, 0.5))]
+        assert of([c, b, a], hole) == pytest.approx(of([a, b, c]) - of(hole), rel=1e-12)
+    assert geo.geodesic_areas([[], [[(1, 1)]]]).tolist() == [0.0, 0.0]
