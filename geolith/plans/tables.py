@@ -1,11 +1,12 @@
-"""Queries of scans with carried context over the shared tables: orders are the rows of ten sheets."""
+"""Queries of scans over the shared tables: orders are the rows of ten sheets, customers tagged objects."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from geolith.operators.spatial import ring_area
 from geolith.plans.catalog import query, t
-from geolith.sources import sheets
+from geolith.sources import osm, sheets
 
 SHEET = """r as (select o_custkey % 10 as file, o_orderkey as "row",
       case when o_orderkey % 211 = 1 then 'R' when o_orderkey % 31 = 0 then 'N' || o_orderkey || ' Муниципальный округ' when o_orderkey % 7 = 0 then 'г  T' || o_orderkey else 'others' end as name,
@@ -25,3 +26,27 @@ def municipal_rows(spark, sf_dir):
     code = F.when((k % 31 == 0) & (k % 211 != 1), F.concat(F.lit("05 70"), F.lpad((k % 1000000).cast("string"), 6, "0"))).when((F.col("o_custkey") % 10 > 2) & (k % 4001 == 0), "1100000000").otherwise("05700000000")
     rows = t(spark, sf_dir, "orders").select((F.col("o_custkey") % 10).alias("file"), k.alias("row"), name.alias("name"), code.alias("code"), F.when(k % 11 == 0, "n/a").otherwise((k % 5000).cast("string")).alias("population"))
     return sheets.municipal_table(rows, "R", "05").drop("name")
+
+
+@query("""with c as (select c_custkey, 0.25::double + c_custkey % 3 * 0.125::double as w from customer)
+    select case c_custkey % 3 when 0 then 'way' when 1 then 'relation' else 'open' end as kind, count(*) as areas, case when any_value(c_custkey % 3) < 2 then round(sum(w * w), 6) end as area from c group by 1""")
+def osm_areas(spark, sf_dir):
+    """Customers as squares of tagged nodes and ways: closed ways, relations of two ways that meet, and relations that stay open."""
+    k = F.col("c_custkey")
+    c = t(spark, sf_dir, "customer").select("c_custkey", (0.25 + k % 3 * 0.125).alias("w"))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, name, lon, lat, tags, refs, members: [F.lit(kind).alias("osm_type"), name.cast("bigint").alias("osm_id"), lon.cast("double").alias("lon"), lat.cast("double").alias("lat"), tags.alias("tags"), refs.alias("refs"), members.alias("members")]
+    no_tags, no_refs, no_members = F.create_map().cast("map<string, string>"), none("array<bigint>"), none("array<struct<type: string, ref: bigint, role: string>>")
+    at = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(x).alias("x"), F.lit(y).alias("y")) for i, (x, y) in enumerate([(0, 0), (1, 0), (1, 1), (0, 1)]))))
+    nodes = c.withColumn("p", at).select(*row("node", 4 * k + F.col("p.i"), k % 300 / 2.0 + F.col("p.x") * F.col("w"), F.floor(k / 300) / 2.0 + F.col("p.y") * F.col("w"), no_tags, no_refs, no_members))
+    corner = lambda *n: F.array(*((4 * k + i).cast("bigint") for i in n))
+    building = F.create_map(F.lit("building"), F.lit("yes"))
+    closed = c.where("c_custkey % 3 = 0").select(*row("way", 2 * k, none("double"), none("double"), building, corner(0, 1, 2, 3, 0), no_members))
+    halves = [c.where("c_custkey % 3 <> 0").select(*row("way", 2 * k + i, none("double"), none("double"), no_tags, corner(*n), no_members)) for i, n in ((0, (0, 1, 2)), (1, (0, 3, 2)))]
+    member = lambda i: F.struct(F.lit("way").alias("type"), (2 * k + i).cast("bigint").alias("ref"), F.lit("outer").alias("role"))
+    kind = F.create_map(F.lit("type"), F.lit("multipolygon"), F.lit("building"), F.lit("yes"))
+    whole = c.where("c_custkey % 3 = 1").select(*row("relation", k, none("double"), none("double"), kind, no_refs, F.array(member(0), member(1))))
+    broken = c.where("c_custkey % 3 = 2").select(*row("relation", k, none("double"), none("double"), kind, no_refs, F.array(member(0))))
+    objects = nodes.union(closed).union(halves[0]).union(halves[1]).union(whole).union(broken)
+    found = osm.areas(objects, "building").withColumn("kind", F.when(F.col("ring").isNull(), "open").otherwise(F.col("osm_type")))
+    return found.groupBy("kind").agg(F.count("*").alias("areas"), F.round(F.sum(F.when(F.col("ring").isNotNull(), ring_area("ring"))), 6).alias("area"))
