@@ -4,7 +4,8 @@ Host labels and path segments are split into names at punctuation and digits, an
 together is split by the most probable sequence of dictionary words. The dictionary is counted over the names
 of all URLs. Each distinct name is segmented once, with those dictionary words that it contains, which a join
 brings to it; so neither names nor words have to fit one process. Naive Bayes learns from all URLs that a rule
-decides, whose verdict is their label, or from a table of labelled URLs, and every word of them counts.
+decides, whose verdict is their label, or from a table of labelled URLs, and every word of them counts. What a rule
+itself looks at, its host and the start of the path, says nothing about other URLs and is no evidence.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from geolith.llm.shared import Stored, small
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: What each letter of an unknown run costs beside the run itself, in log probability.
 LETTER = 4.0
+#: Letters of names up to which a table of them may be broadcast.
+LIGHT_LETTERS = 8 << 20
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -46,6 +49,17 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, C
     return name, verdict
 
 
+def beyond_rule(host: Column, path: Column, rules: tuple = RULES) -> tuple[Column, Column]:
+    """Host and path without the host and the start of the path that the longest fitting rule looks at; whole where none fits."""
+    left, rest = host, path
+    for _, own, start in sorted(rules, key=lambda r: len(r[1] + r[2])):
+        fits = ((host == own) | host.endswith(f".{own}")) & path.startswith(start)
+        left = F.when(fits, F.substring(host, F.lit(1), F.length(host) - len(own))).otherwise(left)
+        after = F.substring(path, F.lit(len(start) + 1), F.length(path))
+        rest = F.when(fits, F.regexp_replace(after, "(?i)^[a-z]+", "") if start[-1:].isalpha() else after).otherwise(rest)
+    return left, rest
+
+
 def names_of(host: Column, path: Column) -> Column:
     """The names of a URL in order: runs of the letters a to z, in lower case, of its host and path."""
     return F.filter(F.split(F.lower(F.concat_ws("/", host, path)), "[^a-z]+"), lambda x: x != "")
@@ -86,20 +100,30 @@ def compound(word: str, counts: dict[str, int], least: int = 3) -> bool:
 
 
 def name_counts(*urls: DataFrame) -> DataFrame:
-    """How often each name occurs, over tables with a column ``names``."""
+    """How often each name occurs, over tables with a column ``names``, and its number."""
     rows = [df.select(F.explode("names").alias("name")) for df in urls]
     out = rows[0]
     for df in rows[1:]:
         out = out.union(df)
-    return out.groupBy("name").agg(F.count("*").alias("n"))
+    return out.groupBy("name").agg(F.count("*").alias("n")).withColumn("number", F.monotonically_increasing_id())
+
+
+def with_words(names: DataFrame, words: DataFrame, longest: int, piece: int = 256) -> DataFrame:
+    """Each name and, as ``known``, the words (``name``, ``n``) of up to ``longest`` letters that it contains.
+
+    Names go in overlapping pieces, so that a long one costs by its length; ``names`` is a stored table.
+    """
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length("name") - 1) / piece)), lambda k: F.substring("name", k.cast("int") * piece + 1, F.lit(piece + longest - 1)))
+    cut = names.where(F.length("name") > 1).select("number", F.explode(pieces).alias("piece")).where(F.length("piece") > 1)
+    inside = F.expr(f"array_distinct(flatten(transform(sequence(1, least({piece}, length(piece) - 1)), i -> transform(sequence(2, least({longest}, length(piece) - i + 1)), k -> substring(piece, i, k)))))")
+    parts = cut.select("number", F.explode(inside).alias("part"))
+    found = parts.join(words.select(F.col("name").alias("part"), "n"), "part").groupBy("number").agg(F.collect_set(F.struct("part", "n")).alias("known"))
+    return names.select("number", "name").join(found, "number", "left").select("name", "known")
 
 
-def with_words(names: DataFrame, words: DataFrame, longest: int) -> DataFrame:
-    """Each name and, as ``known``, the words (``name``, ``n``) of up to ``longest`` letters that it contains."""
-    inside = F.expr(f"array_distinct(flatten(transform(sequence(1, length(name) - 1), i -> transform(sequence(2, least({longest}, length(name) - i + 1)), k -> substring(name, i, k)))))")
-    parts = names.where(F.length("name") > 1).select("name", F.explode(inside).alias("part"))
-    found = parts.join(words.select(F.col("name").alias("part"), "n"), "part").groupBy("name").agg(F.collect_list(F.struct("part", "n")).alias("known"))
-    return names.select("name").join(found, "name", "left")
+def light(df: DataFrame) -> DataFrame:
+    """A stored table of names, marked for broadcast if it has few of them and few letters."""
+    return small(df) if (df.agg(F.sum(F.length("name"))).first()[0] or 0) <= LIGHT_LETTERS else df
 
 
 def per_name(rows: DataFrame, function, kind: T.DataType, arrow: pa.DataType) -> DataFrame:
@@ -154,7 +178,7 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     columns are ignored, an empty table gives an empty one. ``score`` is the method's chance that the URL is to be
     blocked, whatever rule fits, and 0.5 or more blocks; words of no labelled URL count for neither side.
     ``labelled`` has a ``url`` and whether it is ``blocked``; rows without either don't count. Without it the URLs
-    that a rule decides are the labels. A dictionary word has ``longest`` letters at most; names of any length
+    that a rule decides are the labels, by what the rule doesn't look at. A dictionary word has ``longest`` letters at most; names of any length
     are split.
     """
     stored = Stored(df.sparkSession)
@@ -163,18 +187,18 @@ def filter_urls(df: DataFrame, id_col: str = "page_id", url_col: str = "url", ru
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     rows = rows.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"), names_of(F.col("host"), F.col("path")).alias("names"))
     if labelled is None:
-        known = rows.where("verdict is not null").select("names", (F.col("verdict") == "block").cast("bigint").alias("y"))
+        known = rows.where("verdict is not null").select(names_of(*beyond_rule(F.col("host"), F.col("path"), rules)).alias("names"), (F.col("verdict") == "block").cast("bigint").alias("y"))
     else:
         own, rest = url_parts(F.col("url"))
         known = labelled.where("url is not null and blocked is not null").select(names_of(own, rest).alias("names"), F.col("blocked").cast("int").cast("bigint").alias("y")).where("y in (0, 1)")
     names = stored(name_counts(rows, *([known] if labelled is not None else [])))
-    segments = stored(segmented(names, stored, longest))
-    odds, base = word_odds(known, small(segments), stored, prior)
-    scored = segments.select("name", "words", F.explode_outer("words").alias("word")).join(small(odds), "word", "left").groupBy("name").agg(F.first("words").alias("words"), F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds"))
-    scored = stored(scored)
+    segments = stored(segmented(names, stored, longest).withColumn("number", F.monotonically_increasing_id()))
+    odds, base = word_odds(known, light(segments), stored, prior)
+    sums = segments.select("number", F.explode("words").alias("word")).join(small(odds), "word", "left").groupBy("number").agg(F.sum(F.coalesce("odds", F.lit(0.0))).alias("odds"))
+    scored = stored(segments.join(small(stored(sums)), "number", "left").select("name", "words", F.coalesce("odds", F.lit(0.0)).alias("odds")))
     stored.drop(names, segments)
     tokens = rows.withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode_outer("names").alias("at", "name")).drop("names")
-    tokens = tokens.join(small(scored), "name", "left")
+    tokens = tokens.join(light(scored), "name", "left")
     found = tokens.groupBy("row").agg(*(F.first(c).alias(c) for c in ("id", "host", "path", "rule", "verdict")), F.sort_array(F.collect_list(F.when(F.col("words").isNotNull(), F.struct("at", "words", "odds")))).alias("all"))
     total = F.aggregate("all", F.lit(float(base)), lambda a, x: a + x["odds"])  # in the order of the names, so that equal URLs have equal scores
     score = 1 / (1 + F.exp(-F.least(F.lit(50.0), F.greatest(F.lit(-50.0), total))))

@@ -4,6 +4,7 @@ import hashlib
 import json
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -463,13 +464,15 @@ def test_url_contract(spark):
 
 def brute_urls(rows, labelled=None, longest=24):
     """Every score from the definition, with one dictionary for all."""
-    parts = {}
+    parts, beyond = {}, []
     for i, u in rows:
         host, path = (re.match(r"([^/?#]*)([^?#]*)", u.split("://", 1)[1], re.S).groups()) if u and "://" in u else ("", "")
         host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
         best = max((r for r in urls.RULES if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])), key=lambda r: len(r[1] + r[2]), default=None)
         parts[i] = re.findall("[a-z]+", f"{host}/{path}".lower()), best[0] if best else None
-    known = [(n, int(v == "block")) for n, v in parts.values() if v] if labelled is None else [(re.findall("[a-z]+", u.split("://", 1)[1].lower()), y) for u, y in labelled]
+        if best:
+            beyond.append((re.findall("[a-z]+", f"{host[: len(host) - len(best[1])]}/{path[len(best[2]) :]}".lower()), int(best[0] == "block")))
+    known = beyond if labelled is None else [(re.findall("[a-z]+", u.split("://", 1)[1].lower()), y) for u, y in labelled]
     counts = Counter(x for n, _ in parts.values() for x in n)
     if labelled is not None:
         counts += Counter(x for n, _ in known for x in n)
@@ -533,11 +536,30 @@ def test_url_dictionary_is_whole(spark):
     path = "/".join(name(i) for i in range(50_100))
     df = spark.createDataFrame([(1, f"http://a.net/{path}"), (2, f"http://b.net/{path}"), (3, "http://winery.net/")], "page_id INT, url STRING")
     host, path = urls.url_parts(F.col("url"))
-    names = urls.name_counts(df.select(urls.names_of(host, path).alias("names")))
+    names = shared.Stored(spark)(urls.name_counts(df.select(urls.names_of(host, path).alias("names"))))
     words = {r["name"]: r["words"] for r in urls.segmented(names, shared.Stored(spark), 24).collect()}
     assert words["winery"] == ["winery"] and len(words) > 50_100 and all(words[name(i)] == [name(i)] for i in range(0, 50_100, 977))
 
 
+def test_url_rules_are_no_evidence(spark):
+    """What all URLs of a rule have in common says nothing about others."""
+    rows = [(i, f"http://h{i}.example.org/es/x{i}") for i in range(40)] + [(100 + i, f"http://h{i}.com/fr/x{i}") for i in range(60)] + [(200, "http://quiet.net/es/1"), (201, "http://de.net/de/"), (202, "http://example.net/")]
+    found = {r["page_id"]: r for r in urls.filter_urls(spark.createDataFrame(rows, "page_id INT, url STRING")).collect()}
+    assert {found[i]["verdict"] for i in (200, 201, 202)} == {"allow"} and len({found[i]["score"] for i in (200, 201, 202)}) == 1
+    rules = (("block", "example.org", "/e"), ("allow", "com", "/"))
+    host, path = urls.url_parts(F.col("url"))
+    left = spark.createDataFrame([("http://a.example.org/es/b",), ("http://example.org/e",), ("http://b.com/x",), ("http://z.net/e",)], "url STRING").select(*urls.beyond_rule(host, path, rules))
+    assert [tuple(r) for r in left.collect()] == [("a.", "/b"), ("", ""), ("b.", "x"), ("z.net", "/e")]
+
+
+def test_url_very_long_names(spark):
+    long = "sunset" * 20_000
+    df = spark.createDataFrame([(1, f"http://{long}.net/"), *((k, "http://sun.net/set") for k in range(2, 9))], "page_id INT, url STRING")
+    began = time.time()
+    words = urls.filter_urls(df).where("page_id = 1").first()["words"]
+    assert words == ["sun", "set"] * 20_000 + ["net"] and time.time() - began < 60
+
+
 def test_url_digits_separate_words(spark):
     df = spark.createDataFrame([(1, "http://b.net/spa5m/3a9d/"), (2, "http://spam.net/ad")], "page_id INT, url STRING")
     assert not {"spam", "ad"} & {*urls.filter_urls(df).where("page_id = 1").first()["words"]}
