@@ -92,8 +92,16 @@ def review_flags(tags: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*flags)))
 
 
-def building_issues(tags: Column, area: Column, valid: Column, candidates: Column, places: Column, settlement: Column) -> Column:
-    """Sorted flags of a contour: ``candidates`` register rows by address, ``places`` its named localities, the model's ``settlement``."""
+def building_issues(tags: Column, area: Column, valid: Column, candidates: Column, places: Column, settlement: Column, **evidence: Column) -> Column:
+    """Sorted flags of a contour: ``candidates`` register rows by address, ``places`` its named localities, the model's ``settlement``.
+
+    ``evidence`` may hold booleans: ``alias``, the candidates were found by a locality's other name; ``flagged``, one of them has flags of its
+    own; ``storeys_conflict`` and ``area_conflict``, sources differ; ``residential_exceeds``, a residential area above its building's.
+    """
+    unknown = evidence.keys() - {"alias", "flagged", "storeys_conflict", "area_conflict", "residential_exceeds"}
+    if unknown:
+        raise ValueError(f"unknown evidence: {sorted(unknown)}")
+    told = lambda k: F.coalesce(evidence.get(k, F.lit(False)), F.lit(False))
     kind = tag(tags, "building")
     facility = kind.isin(*NON_RESIDENTIAL) | tag(tags, "amenity").isin(*NON_RESIDENTIAL_AMENITIES)
     storeys, flats = positive(tag(tags, "building:levels"), True, 80), positive(tag(tags, "building:flats"), True, 10_000)
@@ -111,6 +119,11 @@ def building_issues(tags: Column, area: Column, valid: Column, candidates: Colum
         "address_incomplete": (tag(tags, "addr:housenumber") == "") | (tag(tags, "addr:street") == ""),
         "osm_locality_differs_from_model_domain": settlement.isNotNull() & (F.size(places) > 0) & ~F.array_contains(places, settlement),
         "multiple_official_address_rows": candidates > 1,
+        "dos_locality_alias_requires_review": told("alias") & (candidates > 0),
+        "official_source_has_quality_flags": told("flagged") & (candidates > 0),
+        "storeys_source_conflict": told("storeys_conflict"),
+        "gross_area_source_conflict": told("area_conflict"),
+        "gis_residential_area_exceeds_gross": told("residential_exceeds"),
     }
     return F.array_sort(F.array_compact(F.array(*(F.when(v, k) for k, v in rules.items()))))
 
@@ -194,6 +207,16 @@ def coverage_reason(modelled: Column, population: Column, threshold: int = 2500)
     return F.when(modelled, "covered_by_own_model").when(population.isNull(), "population_unknown").when(population < threshold, "below_2500_threshold").otherwise("above_threshold_without_model")
 
 
+def other_domains(settlements: DataFrame, domains: DataFrame, key: str, name: str) -> DataFrame:
+    """Settlements (key, x, y) and ``point_in_other_domain``: the names, joined by ``;``, of the domains (key, name, ``ring``) of others that cover their point."""
+    from geolith.operators.spatial import points_in_polygons
+
+    shapes = domains.select(F.col(key).alias("_domain"), F.col(name).alias("_called"), "ring")
+    hits = points_in_polygons(settlements.select(key, "x", "y"), shapes, key, "_domain").where(F.col(key) != F.col("_domain"))
+    names = hits.join(shapes.select("_domain", "_called").distinct(), "_domain").groupBy(key).agg(F.array_join(F.array_sort(F.collect_list("_called")), ";").alias("point_in_other_domain"))
+    return settlements.join(names, key, "left").withColumn("point_in_other_domain", F.coalesce("point_in_other_domain", F.lit("")))
+
+
 def cell_confidence(explicit: Column, proxy: Column, buildings: Column, grid: Column) -> Column:
     """medium for a cell of enough buildings, by its size, whose proxy is mostly explicit; else low."""
     enough = F.greatest(F.lit(3), F.bround(8 * (grid / 500) * (grid / 500), 0).cast("int"))

@@ -51,6 +51,18 @@ def change_log(before: DataFrame, after: DataFrame, name: str, columns: Sequence
     return b.join(a, name).where(differs)
 
 
+def traced(places: DataFrame, found: DataFrame, name: str, quality: str = "population_quality", official: str = "official") -> DataFrame:
+    """Places with the control (``name``, value, quality) found for each, and ``state``: matched, unverified or unavailable.
+
+    A place whose control was official before and is found nowhere now is an error: an official figure must not be lost silently.
+    """
+    new = found.select(F.col(name).alias("_name"), F.col("value").alias("_value"), F.col("quality").alias("_quality"))
+    rows = places.join(new, F.col(name) == F.col("_name"), "left")
+    lost = F.col("_name").isNull() & F.coalesce(F.col(quality).startswith(official), F.lit(False))
+    state = F.when(F.col("_name").isNotNull(), "matched").when(lost, F.raise_error(F.concat(F.lit("official control can't be traced: "), F.col(name).cast("string")))).when(F.col(quality) == "osm_unverified", "unverified").otherwise("unavailable")
+    return rows.select(*places.columns, F.col("_value").alias("value"), F.col("_quality").alias("quality"), state.alias("state"))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
     """``status`` of each id in either snapshot: added, removed, changed or unchanged."""
     o = old.select(name, F.struct(*columns).alias("_old"), F.lit(True).alias("_in_old"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import zipfile
 from collections.abc import Sequence
+from datetime import datetime
 from itertools import chain
 from xml.sax.saxutils import escape
 
@@ -94,6 +96,76 @@ def manifest_differences(found: DataFrame, expected: DataFrame) -> DataFrame:
     return rows.where(~F.col("e").eqNullSafe(F.col("f"))).select("path", status.alias("status"))
 
 
+def bundle(spark: SparkSession, files: dict[str, str], data: dict[str, dict], target: str, created_at: str, name: str = "deployment-manifest.json") -> None:
+    """A folder with copies of contract files (path inside: source) and a manifest of them and of the datasets, which aren't copied.
+
+    ``data``: for each region its outputs as {path: {bytes, sha256}}. An existing target is refused; it appears by one rename, verified.
+    """
+    fs, to = _filesystem(spark, target)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    if fs.exists(to):
+        raise ValueError(f"{target} exists")
+    staging = f"{target}.staging"
+    fs.delete(path(staging), True)
+    util = spark._jvm.org.apache.hadoop.fs.FileUtil
+    for inside, source in files.items():
+        where = path(f"{staging}/content/{_inside(inside)}")
+        fs.mkdirs(where.getParent())
+        from_fs, source_path = _filesystem(spark, source)
+        util.copy(from_fs, source_path, fs, where, False, spark._jsc.hadoopConfiguration())
+    found = {_below(r["path"], staging): {"bytes": r["bytes"], "sha256": r["sha256"]} for r in manifest(spark, f"{staging}/content").collect()}
+    content = {"schema_version": 1, "created_at": created_at, "files": found, "data": data}
+    stream = fs.create(path(f"{staging}/{name}"), True)
+    stream.write(bytearray(json.dumps(content, ensure_ascii=False, sort_keys=True).encode()))
+    stream.close()
+    verify_bundle(spark, staging, name=name)
+    if not fs.rename(path(staging), to):
+        raise OSError(f"{target} can't be published")
+
+
+def _inside(relative: str) -> str:
+    if relative.startswith("/") or ".." in relative.split("/") or not relative:
+        raise ValueError(f"not a path inside a folder: {relative}")
+    return relative
+
+
+def _below(found: str, folder: str) -> str:
+    """A file's path below a folder; schemes may differ."""
+    plain = lambda p: p.split(":", 1)[-1].lstrip("/") if ":" in p else p.lstrip("/")
+    return plain(found).split(f"{plain(folder).rstrip('/')}/", 1)[1]
+
+
+def verify_bundle(spark: SparkSession, target: str, data_root: str | None = None, name: str = "deployment-manifest.json") -> dict:
+    """The manifest of a bundle whose files are exactly those it lists, byte for byte; with ``data_root``, the regions' datasets too. Else an error."""
+    content = json.loads(spark.read.text(f"{target}/{name}", wholetext=True).first()[0])
+    if set(content) != {"schema_version", "created_at", "files", "data"} or content["schema_version"] != 1:
+        raise ValueError("the manifest has unknown fields")
+    if datetime.fromisoformat(content["created_at"]).tzinfo is None:
+        raise ValueError("created_at needs a time zone")
+
+    def compare(folder: str, listed: dict, prefix: str) -> None:
+        for inside, record in listed.items():
+            if set(record) != {"bytes", "sha256"} or not isinstance(record["bytes"], int) or isinstance(record["bytes"], bool) or record["bytes"] < 0 or not re.fullmatch("[0-9a-f]{64}", str(record["sha256"])):
+                raise ValueError(f"not a record of a file: {_inside(inside)}")
+        found = manifest(spark, folder).collect() if _exists(spark, folder) else []
+        rows = {_below(r["path"], folder): {"bytes": r["bytes"], "sha256": r["sha256"]} for r in found}
+        own = {i[len(prefix) :]: r for i, r in listed.items()}
+        for what, names in (("missing", own.keys() - rows.keys()), ("unexpected", rows.keys() - own.keys()), ("changed", {i for i in own.keys() & rows.keys() if own[i] != rows[i]})):
+            if names:
+                raise ValueError(f"{what} in {folder}: {sorted(names)[:5]}")
+
+    compare(f"{target}/content", content["files"], "content/")
+    if data_root is not None:
+        for region, outputs in content["data"].items():
+            compare(f"{data_root}/{_inside(region)}", outputs, "")
+    return content
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _filesystem(spark, path)
+    return fs.exists(where)
+
+
 def config_hash(config: dict, ignored: Sequence[str] = ("lifecycle",)) -> str:
     """SHA-256 of a configuration in canonical form."""
     kept = {k: v for k, v in config.items() if k not in ignored}
