@@ -166,9 +166,23 @@ def building_assignment(spark, sf_dir):
     return spatial.assigned(places(spark, sf_dir), p, "c_custkey", "store_id").withColumn("distance", F.round("distance", 6))
 
 
+ROAD = "(select n_nationkey as k, [[n_nationkey * 401 % 10007, 0], [n_nationkey * 733 % 10007, 2500], [n_nationkey * 97 % 10007, 2500], [n_nationkey * 59 % 10007, 9000]] as line from nation where n_nationkey % 3 = 0)"
+NEAR_ROAD = f"""with {PLACES}, s as (select unnest([1, 2, 3]) as i, line from {ROAD}), e as (select cast(line[i][1] as double) as ax, cast(line[i][2] as double) as ay, cast(line[i + 1][1] as double) as bx, cast(line[i + 1][2] as double) as v from s),
+    d as (select c_custkey, x, y, ax, ay, bx, v, case when ax = bx and ay = v then 0 else greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (v - ay)) / ((bx - ax) * (bx - ax) + (v - ay) * (v - ay)))) end as t from p, e)
+    select c_custkey, min(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (v - ay)) ** 2)) as distance from d group by 1"""
+
+
+def roads(spark, sf_dir):
+    """A bent road for every third nation."""
+    k = F.col("n_nationkey")
+    point = lambda f, y: F.array((k * f % 10007).cast("double"), F.lit(float(y)))
+    return t(spark, sf_dir, "nation").where(k % 3 == 0).select(k.alias("road"), F.array(point(401, 0), point(733, 2500), point(97, 2500), point(59, 9000)).alias("line"))
+
+
 @query(f"""with {PAIRS}, n as (select c_custkey, min(d) as nearest_km, count_if(d <= 700) as within from d group by 1), l as (select s_nationkey as k, count(*) as direct from supplier where s_suppkey % 2 = 0 group by 1),
+    w as ({NEAR_ROAD}),
     b as (select c.c_custkey, c_name as name, 2500 + (c.c_custkey * 7919) % 97500 as population, case c.c_custkey % 3 when 0 then 'high' when 1 then 'medium' else 'low' end as confidence,
-      case when c.c_custkey % 2 = 0 and l.direct > 0 then l.direct else n.within end as existing, case when c.c_custkey % 4 = 0 then 1 else 0 end as conflicts, c.c_custkey % 12 as road, nearest_km from customer c join n using (c_custkey) left join l on l.k = c.c_nationkey),
+      case when c.c_custkey % 2 = 0 and l.direct > 0 then l.direct else n.within end as existing, case when c.c_custkey % 4 = 0 then 1 else 0 end as conflicts, distance / 200 as road, nearest_km from customer c join n using (c_custkey) join w using (c_custkey) left join l on l.k = c.c_nationkey),
     e as (select *, greatest(1, population // 5000) as cap, existing + 0.5::double * conflicts as effective from b),
     r as (select *, round_even(least(100.0::double, least(30.0::double, 30.0::double * population / 20000) + 30.0::double * greatest(0.0::double, cap - effective) / cap
       + case when existing = 0 and conflicts = 0 then 15 when existing = 0 then 8 else 5 end + case when road <= 1 then 15 when road <= 3 then 10 when road <= 10 then 5 else 0 end + case confidence when 'high' then 10 when 'medium' then 7 else 0 end), 0) as s0 from e),
@@ -185,7 +199,9 @@ def priority_score(spark, sf_dir):
     p = score.store_distances(p, s, "c_custkey", rules)
     own = F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string"))
     p = p.join(labels, own == F.col("label"), "left")
-    p = p.withColumn("conflicts", (F.col("c_custkey") % 4 == 0).cast("int")).withColumn("road_km", F.col("c_custkey") % 12)
+    p = p.withColumn("conflicts", (F.col("c_custkey") % 4 == 0).cast("int"))
+    far = spatial.nearest_line(p.select("c_custkey", "x", "y"), roads(spark, sf_dir), "c_custkey", start=200.0)
+    p = p.join(far.select("c_custkey", (F.col("distance") / 200).alias("road_km")), "c_custkey")
     found = score.priority(p, rules)
     return found.select("c_custkey", "existing", "additional", "confidence", "score", "priority", F.round("nearest_km", 6).alias("nearest_km"))
 
@@ -520,17 +536,9 @@ def published_cell_weights(spark, sf_dir):
     return found.select("cell", *(F.round(c, 2).alias(c) for c in ("footprint_only", "explicit_only", "lifecycle_excluded", "assumed_half", "assumed_double", "baseline")))
 
 
-ROAD = "(select n_nationkey as k, [[n_nationkey * 401 % 10007, 0], [n_nationkey * 733 % 10007, 2500], [n_nationkey * 97 % 10007, 2500], [n_nationkey * 59 % 10007, 9000]] as line from nation where n_nationkey % 3 = 0)"
-
-
-@query(f"""with {PLACES}, s as (select unnest([1, 2, 3]) as i, line from {ROAD}), e as (select cast(line[i][1] as double) as ax, cast(line[i][2] as double) as ay, cast(line[i + 1][1] as double) as bx, cast(line[i + 1][2] as double) as v from s),
-    d as (select c_custkey, x, y, ax, ay, bx, v, case when ax = bx and ay = v then 0 else greatest(0, least(1, ((x - ax) * (bx - ax) + (y - ay) * (v - ay)) / ((bx - ax) * (bx - ax) + (v - ay) * (v - ay)))) end as t from p, e)
-    select c_custkey, round(min(sqrt((x - ax - t * (bx - ax)) ** 2 + (y - ay - t * (v - ay)) ** 2)), 5) + 0 as distance from d group by 1""")
+@query(f"select c_custkey, round(distance, 5) + 0 as distance from ({NEAR_ROAD})")
 def nearest_road(spark, sf_dir):
-    k = F.col("n_nationkey")
-    point = lambda f, y: F.array((k * f % 10007).cast("double"), F.lit(float(y)))
-    roads = t(spark, sf_dir, "nation").where(k % 3 == 0).select(k.alias("road"), F.array(point(401, 0), point(733, 2500), point(97, 2500), point(59, 9000)).alias("line"))
-    return spatial.nearest_line(places(spark, sf_dir), roads, "c_custkey", start=200.0).select("c_custkey", (F.round("distance", 5) + 0).alias("distance"))
+    return spatial.nearest_line(places(spark, sf_dir), roads(spark, sf_dir), "c_custkey", start=200.0).select("c_custkey", (F.round("distance", 5) + 0).alias("distance"))
 
 
 @query("select s_nationkey as page, 'Город ' || s_nationkey as title, cast(s_suppkey as varchar) as card_id, 'Ленина ул., дом ' || s_suppkey as address, '8:00 до ' || (20 + s_suppkey % 4) || ':00' as hours, case when s_suppkey % 5 <> 0 then 130 + s_suppkey % 100 / 10.0::double end as lon, case when s_suppkey % 5 <> 0 then 42 + s_suppkey % 70 / 10.0::double end as lat from supplier")
