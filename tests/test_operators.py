@@ -5,7 +5,6 @@ import math
 import random
 import zipfile
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
