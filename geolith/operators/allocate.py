@@ -13,6 +13,13 @@ from geolith.operators.tables import Stored, small
 GATHERED, SPLITS = 4096, 128
 
 
+def _placed(rows: DataFrame) -> DataFrame:
+    """control, last, need, equal, as in :func:`_last_keys`, from a control's sorted ``keys``."""
+    rows = rows.withColumn("last", F.get("keys", F.col("k").cast("int") - 1))
+    equal = F.size(F.filter("keys", lambda x: x == F.col("last"))).cast("bigint")
+    return rows.select("_c", "last", (F.col("k") - F.array_position("keys", F.col("last")) + 1).alias("need"), equal.alias("equal"))
+
+
 def _last_keys(rows: DataFrame, wanted: DataFrame, stored: Stored) -> DataFrame:
     """control, last, need, equal: of the first ``k`` keys of each control the last, how many of its equals are among them, and how many there are.
 
@@ -25,9 +32,7 @@ def _last_keys(rows: DataFrame, wanted: DataFrame, stored: Stored) -> DataFrame:
     while True:
         near = state.where(F.col("n") <= GATHERED)
         left = lambda own: rows.join(small(own), same("_c", "_w")).where((F.col("low").isNull() | (F.col("_key") > F.col("low"))) & (F.col("high").isNull() | (F.col("_key") <= F.col("high"))))
-        found = left(near).groupBy("_c", "k").agg(F.array_sort(F.collect_list("_key")).alias("keys")).withColumn("last", F.get("keys", F.col("k").cast("int") - 1))
-        count = lambda f: F.size(F.filter("keys", f)).cast("bigint")
-        found = found.select("_c", "last", (F.col("k") - count(lambda x: x < F.col("last"))).alias("need"), count(lambda x: x == F.col("last")).alias("equal"))
+        found = _placed(left(near).groupBy("_c", "k").agg(F.array_sort(F.collect_list("_key")).alias("keys")))
         out = found if out is None else out.union(found)
         state = stored(state.where(F.col("n") > GATHERED))
         if state.isEmpty():
@@ -61,7 +66,7 @@ def largest_remainder(df: DataFrame, control: str, total: str, weight: str, orde
     stored = Stored(df.sparkSession)
     rows = stored(df)
     sums = stored(rows.groupBy(F.col(control).alias("_c")).agg(F.sum(F.col(weight).cast("decimal(38,0)")).alias("_all"), F.count("*").alias("_n"), F.max(F.abs(F.col(total).cast("decimal(38,0)"))).alias("_t"), F.max(F.abs(F.col(weight).cast("decimal(38,0)"))).alias("_w")))
-    top = sums.agg(F.max("_t"), F.max("_w"), F.max("_all")).first()
+    top = sums.agg(F.max("_t"), F.max("_w"), F.max("_all"), F.max("_n")).first()
     wide = "bigint" if int(top[0] or 0) * units * int(top[1] or 0) < 1 << 62 and int(top[2] or 0) < 1 << 62 else "decimal(38,0)"
     at = lambda other: F.col(control).eqNullSafe(F.col(other))
     number = F.col(total).cast(wide) * F.lit(units).cast("bigint" if wide == "bigint" else "decimal(8,0)") * F.col(weight).cast("bigint" if wide == "bigint" else "decimal(18,0)")
@@ -75,8 +80,13 @@ def largest_remainder(df: DataFrame, control: str, total: str, weight: str, orde
         return found.withColumn("_floor", F.when(F.col("_all") > 0, whole))
 
     own = shared(sums.select("_c", "_all"))
-    missing = stored(own.groupBy("_c").agg((F.max(F.col(total).cast("bigint")) * units - F.sum("_floor")).alias("k"), F.count(F.when(F.col("_rest") > 0, 1)).alias("n")))
-    last = stored(_last_keys(own.where("_rest > 0").select("_c", "_key"), missing.where("k > 0"), stored))
+    left = (F.max(F.col(total).cast("bigint")) * units - F.sum("_floor")).alias("k")
+    if (top[3] or 0) <= GATHERED:  # no control is large: one pass gathers the keys with the sums
+        keys = own.groupBy("_c").agg(left, F.array_sort(F.collect_list(F.when(F.col("_rest") > 0, F.col("_key")))).alias("keys")).where("k > 0")
+        last = stored(_placed(keys))
+    else:
+        missing = stored(own.groupBy("_c").agg(left, F.count(F.when(F.col("_rest") > 0, 1)).alias("n")))
+        last = stored(_last_keys(own.where("_rest > 0").select("_c", "_key"), missing.where("k > 0"), stored))
     found = sums.select("_c", "_all").join(last.withColumnRenamed("_c", "_l"), F.col("_c").eqNullSafe(F.col("_l")), "left").drop("_l")
     rows_of = shared(stored(found))
     more = F.col("_key") < F.col("last")
