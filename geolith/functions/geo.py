@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -208,6 +209,8 @@ def signed(shape) -> list[np.ndarray]:
     """The rings of a shape: those around areas counterclockwise, those around holes clockwise."""
     rings = [np.array([np.asarray(p, float) for p in r], float).reshape(-1, 2) for r in shape_rings(shape)]
     rings = [r for r in rings if len(r) > 2 and area(r) != 0]
+    if len(rings) == 1:
+        return rings if area(rings[0]) > 0 else [rings[0][::-1]]
     out, sizes = [], [abs(area(r)) for r in rings]
     for k, ring in enumerate(rings):
         larger = [other for other, size in zip(rings, sizes, strict=True) if size > sizes[k]]
@@ -278,6 +281,95 @@ def intersection_areas(left: list, right: list) -> np.ndarray:
     return np.maximum(0.0, np.bincount(own[j], common * sign[j], len(left)))
 
 
+def area_edges(shape) -> np.ndarray:
+    """The edges (x0, y0, x1, y1) of a shape's :func:`signed` rings, one after the other, without the upright ones, which no area lies under."""
+    rings = signed(shape)
+    edges = np.vstack([np.hstack([r, np.roll(r, -1, 0)]) for r in rings]) if rings else np.zeros((0, 4))
+    return edges[edges[:, 0] != edges[:, 2]].ravel()
+
+
+def border_edges(shape) -> np.ndarray:
+    """The edges (x0, y0, x1, y1) of a shape's rings, one after the other."""
+    rings = [np.array([np.asarray(p, float) for p in r], float).reshape(-1, 2) for r in shape_rings(shape)]
+    return np.vstack([np.hstack([r, np.roll(r, -1, 0)]) for r in rings]).ravel() if rings else np.zeros(0)
+
+
+def edges_area(edges: np.ndarray) -> float:
+    """The area of a shape by its :func:`area_edges`."""
+    x0, y0, x1, y1 = edges.reshape(-1, 4).T
+    return float(((x0 - x1) * (y0 + y1 - 2 * y0[:1])).sum() / 2)
+
+
+def stretches(sizes: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to ``most``, or of one row."""
+    total, a = np.cumsum(sizes), 0
+    while a < len(sizes):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
+def common_areas(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """Common area of each pair of shapes, pair k's being the :func:`area_edges` ``at[k]`` to ``at[k + 1]`` of ``a`` and ``bt[k]`` to ``bt[k + 1]`` of ``b``.
+
+    A shape is what lies under its upper edges less what lies under its lower ones, so that the areas under both of two edges add up, with
+    their signs, to the common area. ``base`` is a height near the pair.
+    """
+    out = np.zeros(len(base))
+    pair = np.repeat(np.arange(len(base)), np.diff(at))
+    counts = np.diff(bt)[pair]
+    (ax, ay, ar, am, asign), (bx, by, br, bm, bsign) = _lines(a), _lines(b)
+    ay, by = ay - base[pair], by - np.repeat(base, np.diff(bt))
+    for low, high in stretches(counts, 1 << 15):
+        n = counts[low:high]
+        i = np.repeat(np.arange(low, high), n)
+        j = np.arange(len(i)) + np.repeat(bt[pair[low:high]] - (np.cumsum(n) - n), n)
+        left, right = np.maximum(ax[i], bx[j]), np.minimum(ar[i], br[j])
+        use = np.flatnonzero(left < right)
+        if not len(use):
+            continue
+        i, j, left, right = i[use], j[use], left[use], right[use]
+        y, z, u, v, x, w = ay[i], by[j], am[i], bm[j], ax[i], bx[j]
+        e0, e1, f0, f1 = y + (left - x) * u, y + (right - x) * u, z + (left - w) * v, z + (right - w) * v
+        first, last = np.minimum(e0, f0), np.minimum(e1, f1)
+        double = first + last
+        p, q = e0 - f0, e1 - f1
+        k = np.flatnonzero(p * q < 0)  # the edges cross: what is under both has a corner there
+        if len(k):
+            t = p[k] / (p[k] - q[k])
+            middle = e0[k] + t * (e1[k] - e0[k])
+            double[k] = t * (first[k] + middle) + (1 - t) * (middle + last[k])
+        own = pair[i]
+        out[own[0] : own[-1] + 1] += np.bincount(own - own[0], asign[i] * bsign[j] * double * (right - left))
+    return np.maximum(out / 2, 0.0)
+
+
+def _lines(edges: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The left end, right end's x, slope and direction of edges."""
+    ahead = edges[:, 0] < edges[:, 2]
+    x, y = np.where(ahead, edges[:, 0], edges[:, 2]), np.where(ahead, edges[:, 1], edges[:, 3])
+    return x, y, np.where(ahead, edges[:, 2], edges[:, 0]), (edges[:, 3] - edges[:, 1]) / (edges[:, 2] - edges[:, 0]), np.where(ahead, 1.0, -1.0)
+
+
+def covered_points(edges: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the shape of :func:`border_edges` ``at[k]`` to ``at[k + 1]`` covers point k, as :func:`contains` tells."""
+    out, sizes = np.zeros(len(x), bool), np.diff(at)
+    for low, high in stretches(sizes):
+        some = np.flatnonzero(sizes[low:high]) + low
+        if not len(some):
+            continue
+        n = sizes[low:high]
+        x0, y0, x1, y1 = edges[at[low] : at[high]].T
+        px, py = np.repeat(x[low:high], n), np.repeat(y[low:high], n)
+        cross = (x1 - x0) * (py - y0) - (y1 - y0) * (px - x0)
+        border = (cross == 0) & (np.minimum(x0, x1) <= px) & (px <= np.maximum(x0, x1)) & (np.minimum(y0, y1) <= py) & (py <= np.maximum(y0, y1))
+        with np.errstate(all="ignore"):
+            odd = ((y0 > py) != (y1 > py)) & (px < (x1 - x0) * (py - y0) / (y1 - y0) + x0)
+        starts = at[some] - at[low]
+        out[some] = np.bitwise_xor.reduceat(odd, starts) | np.bitwise_or.reduceat(border, starts)
+    return out
+
+
 def shape_areas(shapes: list) -> np.ndarray:
     rings, own = flat_shapes(shapes)
     return np.bincount(own, rings.areas(), len(shapes)) if len(rings) else np.zeros(len(shapes))

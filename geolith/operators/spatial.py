@@ -7,15 +7,17 @@ equi-join that Spark shuffles, broadcasts or splits as it sees fit; an exact tes
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from geolith.functions.geo import Rings, contains, fan, flat_shapes, intersection_areas, products, shape_areas, shape_rings, within_triangles
+from geolith.functions.geo import Rings, area_edges, border_edges, common_areas, covered_points, edges_area, fan, flat_shapes, intersection_areas, products, shape_areas, within_triangles
 from geolith.operators.nearest import nearest, nearest_line, segments
 
 
@@ -69,6 +71,21 @@ def box_cells(df: DataFrame, size: float) -> DataFrame:
     return df
 
 
+def cell_size(boxes: DataFrame, cells: int = 8) -> float | None:
+    """The size of cells of which boxes touch about ``cells`` on average, so that large boxes among small ones don't make very many."""
+    w, h = (F.col(f"{k}1") - F.col(f"{k}0") for k in "xy")
+    n, area, sides = boxes.where("x0 is not null and y0 is not null").agg(F.count("*"), F.sum(w * h), F.sum(w + h)).first()
+    more = (cells - 1) * n
+    return (sides + math.sqrt(sides * sides + 4 * more * area)) / (2 * more) or None if n else None
+
+
+def by_cell(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Both sides joined by cells (_cx, _cy), which are spread over all tasks however few bytes they are: many rows meet in a cell."""
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a, b = (df.repartition(n, "_cx", "_cy") for df in (left, right))
+    return a.hint("merge").join(b, ["_cx", "_cy"])
+
+
 def levels(df: DataFrame, column: str) -> int:
     """How deep a shape's arrays are: 2 for a ring, 3 for a polygon, 4 for a multipolygon."""
     n, kind = 0, df.schema[column].dataType
@@ -88,30 +105,52 @@ def with_box(df: DataFrame, ring: str = "ring") -> DataFrame:
     return df
 
 
-def _distinct(shapes: pd.Series) -> tuple[list, np.ndarray]:
-    """The different shapes of a column and the number of each row's."""
-    seen: dict[bytes, int] = {}
-    out, rows = [], np.empty(len(shapes), np.int64)
-    for i, shape in enumerate(shapes):
-        rings = [np.array([np.asarray(p, float) for p in r], float) for r in shape_rings(shape)]
-        key = b"|".join(r.tobytes() for r in rings)
-        if key not in seen:
-            seen[key] = len(out)
-            out.append(rings)
-        rows[i] = seen[key]
-    return out, rows
-
-
-@F.pandas_udf(T.BooleanType())
-def covers(ring: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-    out = np.zeros(len(x), bool)
-    shapes, own = _distinct(ring)
-    order = np.argsort(own, kind="stable")
-    edges = np.searchsorted(own[order], np.arange(len(shapes) + 1))
-    for rings, a, b in zip(shapes, edges[:-1], edges[1:], strict=True):
-        k = order[a:b]
-        out[k] = contains(rings, x.to_numpy()[k], y.to_numpy()[k])
-    return pd.Series(out)
+def _is_box(shapes: DataFrame, ring: str = "ring") -> Column:
+    """Whether a ring is its box (x0, y0, x1, y1): four corners, one after the other. A test by the box is exact for it."""
+    if levels(shapes, ring) != 2:
+        return F.lit(False)
+    p = F.col(ring)
+    at = lambda i, k: F.get(F.get(p, F.lit(i)), F.lit(k))
+    same = lambda i, j, k: at(i, k) == at(j, k)
+    turns = [same(0, 1, k) & same(1, 2, 1 - k) & same(2, 3, k) & same(3, 0, 1 - k) for k in (0, 1)]
+    whole = (F.size(p) == 4) & ~same(0, 2, 0) & ~same(0, 2, 1) & (turns[0] | turns[1])
+    return F.coalesce(whole, F.lit(False))
+
+
+def _edged(shapes: DataFrame, name: str, edges: Callable[..., np.ndarray], column: str = "ring") -> DataFrame:
+    """Name, box, ``edges`` (four numbers each) and ``size``, the area, of each shape with a box; made once for a shape, in tasks of about equal rows."""
+    numbers = [T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")]
+    schema = T.StructType([shapes.schema[name], *numbers, T.StructField("edges", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())])
+
+    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [edges(shape) for shape in frame[column]]
+            size = [edges_area(e) for e in found] if edges is area_edges else np.nan
+            yield frame.drop(columns=column).assign(edges=pd.Series(found, dtype=object, index=frame.index), size=size)
+
+    boxes = with_box(shapes.select(name, column), column).where("x0 is not null and y0 is not null")
+    return boxes.select(name, *(F.col(f.name).cast("double") for f in numbers), column).repartition(F.col(name)).mapInPandas(work, schema)
+
+
+def _lists(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a column of arrays, and where those of each row start and the last one's end."""
+    column = batch.column(name)
+    at = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[at[0] : at[-1]].reshape(-1, 4), (at - at[0]) // 4
+
+
+def _arrow(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch], tuple[np.ndarray | None, list]]) -> DataFrame:
+    """The first columns of the rows that ``work`` names, and the new columns that it gives."""
+    made = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, new = work(batch)
+            columns = [batch.column(i) for i in range(len(schema) - len(new))]
+            columns = columns if kept is None else [c.filter(pa.array(kept)) for c in columns]
+            yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip([*columns, *map(pa.array, new)], made, strict=True)], schema=made)
+
+    return df.mapInArrow(run, schema)
 
 
 @F.pandas_udf(T.DoubleType())
@@ -121,10 +160,18 @@ def common_area(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str, size: float = 1000.0) -> DataFrame:
     """(point id, polygon id) of each polygon (``ring``, of any number of rings) that covers a point; borders belong to polygons."""
+    shapes = with_box(polygons.select(polygon_id, "ring"))
+    size = min(size, cell_size(shapes) or size)
     p = _cells(points.select(point_id, "x", "y"), F.col("x"), F.col("y"), size, 0)
-    g = box_cells(with_box(polygons.select(polygon_id, "ring")), size)
-    near = p.join(g, ["_cx", "_cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
-    return near.where(covers("ring", "x", "y")).select(point_id, polygon_id)
+    is_box = _is_box(shapes)
+    on = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
+    near = by_cell(p, box_cells(_edged(shapes.where(~is_box).select(polygon_id, "ring"), polygon_id, border_edges), size)).where(on)
+    boxes = by_cell(p, box_cells(shapes.where(is_box).select(polygon_id, "x0", "y0", "x1", "y1"), size)).where(on).select(point_id, polygon_id)
+    at = [F.col(c).cast("double").alias(f"_{c}") for c in "xy"]
+    rows = near.select(F.col(point_id).alias("_point"), F.col(polygon_id).alias("_polygon"), *at, "edges")
+    work = lambda batch: (covered_points(*_lists(batch, "edges"), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("_x", "_y"))), [])
+    schema = T.StructType([T.StructField("_point", points.schema[point_id].dataType), T.StructField("_polygon", polygons.schema[polygon_id].dataType)])
+    return boxes.union(_arrow(rows, schema, work).select(F.col("_point").alias(point_id), F.col("_polygon").alias(polygon_id)))
 
 
 def containing(points: DataFrame, polygons: DataFrame, point_id: str, polygon_id: str) -> DataFrame:
@@ -154,15 +201,30 @@ def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, si
 
 def overlaps(polygons: DataFrame, name: str, least_area: float = 1.0, least_ratio: float = 0.05, nested_ratio: float = 0.95, size: float = 1000.0) -> DataFrame:
     """Pairs a < b of polygons with a common area over the limits, relative to the smaller; nested ones are flagged."""
-    boxes = with_box(polygons.select(name, "ring"))
-    pairs = overlapping_boxes(boxes, name, size).select("a", "b")
-    rings = polygons.select(F.col(name), "ring")
-    rows = pairs.join(rings.toDF("a", "ra"), "a").join(rings.toDF("b", "rb"), "b")
-    rows = rows.withColumn("area", common_area("ra", "rb")).withColumn("smaller", F.least(ring_area("ra"), ring_area("rb")))
+    shapes = _edged(polygons, name, area_edges)
+    rows = area_pairs(shapes, shapes, name, name, size, F.col("a") < F.col("b")).withColumn("smaller", F.least("size_a", "size_b"))
     rows = rows.withColumn("ratio", F.col("area") / F.col("smaller")).where((F.col("area") > least_area) & (F.col("ratio") >= least_ratio))
     return rows.select("a", "b", "area", "ratio", (F.col("ratio") >= nested_ratio).alias("nested"))
 
 
+def area_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float, which: Column | None = None) -> DataFrame:
+    """a, b, size_a, size_b and ``area``, the common one, of the shapes (id, box, ``edges``, ``size``) of two tables whose boxes have a common area.
+
+    A pair meets in the cell of its common corner, with its edges, so that pairs aren't exchanged.
+    """
+    box = ("x0", "y0", "x1", "y1")
+    side = lambda df, n, p: box_cells(df, size).select(F.col(n).alias(p), F.col("size").alias(f"size_{p}"), F.col("edges").alias(f"edges_{p}"), *(F.col(c).alias(f"{p}{c}") for c in box), "_cx", "_cy")
+    lo, hi = ({k: f(f"a{k}{i}", f"b{k}{i}") for k in "xy"} for f, i in ((F.greatest, 0), (F.least, 1)))
+    once = (F.floor(lo["x"] / size) == F.col("_cx")) & (F.floor(lo["y"] / size) == F.col("_cy"))
+    met = by_cell(side(left, left_id, "a"), side(right, right_id, "b")).where(once & (lo["x"] < hi["x"]) & (lo["y"] < hi["y"]))
+    met = met if which is None else met.where(which)
+    rows = met.select("a", "b", "size_a", "size_b", "edges_a", "edges_b", lo["y"].alias("base"))
+    number = T.DoubleType()
+    schema = T.StructType([T.StructField("a", left.schema[left_id].dataType), T.StructField("b", right.schema[right_id].dataType), *(T.StructField(c, number) for c in ("size_a", "size_b", "area"))])
+    work = lambda batch: (None, [common_areas(*_lists(batch, "edges_a"), *_lists(batch, "edges_b"), batch.column("base").to_numpy(zero_copy_only=False))])
+    return _arrow(rows, schema, work)
+
+
 @F.pandas_udf(T.DoubleType())
 def ring_area(ring: pd.Series) -> pd.Series:
     return pd.Series(shape_areas(ring.tolist()), dtype="float64")
