@@ -19,6 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from geolith.functions.geo import Rings, area_edges, border_edges, common_areas, covered_points, edges_area, fan, flat_shapes, intersection_areas, products, shape_areas, within_triangles
 from geolith.operators.nearest import nearest, nearest_line, segments
+from geolith.operators.tables import Stored
 
 
 __all__ = ["nearest", "nearest_line", "segments"]
@@ -60,8 +61,42 @@ def reached(buildings: DataFrame, places: DataFrame, building_id: str, place: st
 
 def assigned(buildings: DataFrame, places: DataFrame, building_id: str, place: str) -> DataFrame:
     """The place of each building: least of (distance / radius, distance, name) among places whose radius reaches it."""
+    return best_places(buildings, places, building_id, place).select(building_id, F.col(f"best.{place}").alias(place), F.col("best.distance").alias("distance"))
+
+
+def best_places(buildings: DataFrame, places: DataFrame, building_id: str, place: str, size: float = 1000.0) -> DataFrame:
+    """building and ``best``: the least of (relative, distance, place) among places whose radius reaches it, relative being distance / radius.
+
+    Where radii overlap much, a part of every radius is searched first, and a part twice as large for the buildings in which it
+    found nothing: all places below the part were met then, so that the best of them is the best of all.
+    """
     best = F.min(F.struct((F.col("distance") / F.col("radius")).alias("relative"), "distance", place)).alias("best")
-    return reached(buildings, places, building_id, place).groupBy(building_id).agg(best).select(building_id, F.col(f"best.{place}").alias(place), F.col("best.distance").alias("distance"))
+    part, out, stored = first_part(buildings, places, size), None, None
+    pending = buildings.select(building_id, "x", "y")
+    while True:
+        near = places.select(place, "x", "y", (F.col("radius") * part).alias("radius"))
+        found = reached(pending, near, building_id, place, size * part).withColumn("radius", F.col("radius") / part).groupBy(building_id).agg(best)
+        if part < 1:
+            stored = stored or Stored(buildings.sparkSession)
+            found = stored(found.where(F.col("best.relative") < part))  # a place that wasn't met has a relative distance of at least this
+        out = found if out is None else out.union(found)
+        if part >= 1:
+            return out
+        done = found.select(F.col(building_id).alias("_done"))
+        pending = stored(pending.join(done, F.col(building_id).eqNullSafe(F.col("_done")), "left_anti"))
+        if pending.isEmpty():
+            return out
+        part *= 2
+
+
+def first_part(buildings: DataFrame, places: DataFrame, size: float, most: int = 256, few: int = 32) -> float:
+    """The part of their radii, a power of two, in which places meet about ``few`` candidates for a building; 1 where whole radii give no more than ``most``."""
+    at = _cells(buildings.select("x", "y"), F.col("x"), F.col("y"), size, 0).groupBy("_cx", "_cy").agg(F.count("*").alias("n"))
+    boxes = places.where("radius >= 0").select(*((F.col(k) + F.col("radius") * i).alias(f"{k}{e}") for k in "xy" for e, i in ((0, -1), (1, 1))))
+    covers = box_cells(boxes, size).groupBy("_cx", "_cy").agg(F.count("*").alias("m"))
+    met, n = at.join(covers, ["_cx", "_cy"], "left").agg(F.sum(F.col("n").cast("double") * F.coalesce("m", F.lit(0))), F.sum("n")).first()
+    candidates = (met or 0.0) / (n or 1)
+    return 1.0 if candidates <= most else 2.0 ** max(-20, math.floor(math.log2(few / candidates) / 2))
 
 
 def box_cells(df: DataFrame, size: float) -> DataFrame:
