@@ -19,7 +19,7 @@ from geolith.functions.geo import Rings, circle
 from geolith.functions.overlay import STEPS
 from geolith.functions.scalars import finite
 from geolith.operators import overlay
-from geolith.operators.spatial import points_in_polygons, reached
+from geolith.operators.spatial import best_places, points_in_polygons
 from geolith.operators.tables import Stored
 
 #: Sites in a cell of the first, finest search.
@@ -138,16 +138,18 @@ def claimed(buildings: DataFrame, places: DataFrame, boundaries: DataFrame, buil
     ``protect`` another one takes nothing that any boundary covers. The rest compete: the least distance / radius wins, then
     the least distance, then the name.
     """
-    inside = points_in_polygons(buildings, boundaries, building_id, place).distinct()
-    bounded = boundaries.select(place).distinct().withColumn("_bounded", F.lit(True))
-    pairs = reached(buildings, places, building_id, place).join(bounded, place, "left")
-    pairs = pairs.join(inside.withColumn("_in", F.lit(True)), [building_id, place], "left")
-    pairs = pairs.where(F.col("_bounded").isNull() | F.col("_in"))
+    stored = Stored(buildings.sparkSession)
+    inside = stored(points_in_polygons(buildings, boundaries, building_id, place).distinct())
+    bounded = boundaries.select(place).distinct()
+    own = inside.join(buildings.select(building_id, "x", "y"), building_id).join(places.select(place, F.col("x").alias("px"), F.col("y").alias("py"), "radius"), place)
+    own = own.withColumn("distance", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py"))).where(F.col("distance") <= F.col("radius"))
+    free = buildings
     if protect:
-        covered = inside.select(F.col(building_id).alias("_b")).distinct()
-        pairs = pairs.where("_bounded").union(pairs.where(F.col("_bounded").isNull()).join(covered, F.col(building_id) == F.col("_b"), "left_anti"))
+        free = stored(buildings.select(building_id, "x", "y").join(inside.select(F.col(building_id).alias("_b")).distinct(), F.col(building_id) == F.col("_b"), "left_anti"))
+    others = places.join(bounded, place, "left_anti")
     best = F.min(F.struct((F.col("distance") / F.col("radius")).alias("relative"), "distance", place)).alias("best")
-    return pairs.groupBy(building_id).agg(best).select(building_id, F.col(f"best.{place}").alias(place), F.col("best.distance").alias("distance"))
+    found = own.groupBy(building_id).agg(best).union(best_places(free, others, building_id, place)).groupBy(building_id).agg(F.min("best").alias("best"))
+    return found.select(building_id, F.col(f"best.{place}").alias(place), F.col("best.distance").alias("distance"))
 
 
 def outside(squares: DataFrame, protected: DataFrame, keys: Sequence[str], least: float = 1e-6, touching: bool = False, size: float = overlay.SIZE) -> DataFrame:
