@@ -15,15 +15,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from geolith.functions.geo import Rings, circle
+from geolith.functions.geo import Rings, area_edges, circle
 from geolith.functions.overlay import STEPS
 from geolith.functions.scalars import finite
 from geolith.operators import overlay
-from geolith.operators.spatial import best_places, points_in_polygons
+from geolith.operators.spatial import area_pairs, best_places, cell_size, edged, points_in_polygons
 from geolith.operators.tables import Stored
 
 #: Sites in a cell of the first, finest search.
 CROWD = 64
+#: A common area that rounding can't have made.
+SURE = 1e-3
 RING = T.ArrayType(T.ArrayType(T.DoubleType()))
 
 
@@ -153,11 +155,28 @@ def claimed(buildings: DataFrame, places: DataFrame, boundaries: DataFrame, buil
 
 
 def outside(squares: DataFrame, protected: DataFrame, keys: Sequence[str], least: float = 1e-6, touching: bool = False, size: float = overlay.SIZE) -> DataFrame:
-    """The squares (keys, x0, y0, x1, y1) that share no more than ``least`` with any protected area (``ring``); with ``touching``, that don't touch one either."""
+    """The squares (keys, x0, y0, x1, y1) that share no more than ``least`` with any protected area (``ring``); with ``touching``, that don't touch one either.
+
+    Equal squares are judged once. A common area of a pair that is larger by ``SURE`` decides; only what is left, and the protected areas
+    whose boxes it meets, is overlaid.
+    """
     more = 2 * size / STEPS if touching else 0.0
-    corner = lambda x, y: F.array(F.col(x).cast("double") + (more if x == "x1" else -more), F.col(y).cast("double") + (more if y == "y1" else -more))
-    rings = squares.select(*keys, F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("ring"))
-    own = Stored(squares.sparkSession)(overlay.cut(rings, keys, 0, size))
-    pieces = own.union(overlay.on_cells_of(overlay.cut(protected, [], 1, size), own, keys))
-    hit = overlay.areas(overlay.overlaid(pieces, keys, 2, lambda a, b: a & b, size), keys).where(F.col("area") > (0.0 if touching else least))
-    return squares.join(hit.select(*keys), list(keys), "left_anti")
+    c = {f"{k}{i}": f(F.col(f"{k}0"), F.col(f"{k}1")).cast("double") + m for k in "xy" for i, f, m in ((0, F.least, -more), (1, F.greatest, more))}
+    stored = Stored(squares.sparkSession)
+    boxes = squares.select(*(v.alias(k) for k, v in c.items())).dropna().distinct().withColumn("_box", F.array(*c))
+    boxes = stored(boxes.withColumn("size", (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))).withColumn("edges", F.array("x0", "y0", "x1", "y0", "x1", "y1", "x0", "y1")))
+    rings = stored(protected.select("ring").withColumn("_p", F.monotonically_increasing_id()))
+    areas = stored(edged(rings, "_p", area_edges))
+    cell = min(size, cell_size(boxes.select(*c).union(areas.select(*c))) or size)
+    hits = stored(area_pairs(boxes, areas, "_box", "_p", cell).where(F.col("area") > least + SURE).select(F.col("a").alias("_box")).distinct())
+    rest = stored(boxes.join(hits, "_box", "left_anti").withColumn("_n", F.monotonically_increasing_id()))
+    near = stored(area_pairs(rest, areas, "_n", "_p", cell).select(F.col("a").alias("_n"), F.col("b").alias("_p")))
+    met = near.select("_n").distinct()
+    corner = lambda x, y: F.array(F.col(x), F.col(y))
+    own = stored(overlay.cut(rest.join(met, "_n").select("_n", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")).alias("ring")), ["_n"], 0, size))
+    parts = overlay.cut(rings.join(near.select("_p").distinct(), "_p"), ["_p"], 1, size)
+    pieces = own.union(own.select("_n", "_cx", "_cy").join(near, "_n").join(parts, ["_p", "_cx", "_cy"]).select("_n", "_cx", "_cy", "edges"))
+    some = overlay.areas(overlay.overlaid(pieces, ["_n"], 2, lambda a, b: a & b, size), ["_n"]).where(F.col("area") > (0.0 if touching else least))
+    hits = hits.union(rest.join(some.select("_n"), "_n").select("_box"))
+    hit = squares.withColumn("_box", F.array(*c.values())).join(hits, "_box").select(*keys).distinct()
+    return squares.join(hit, list(keys), "left_anti")

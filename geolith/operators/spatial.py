@@ -152,7 +152,7 @@ def _is_box(shapes: DataFrame, ring: str = "ring") -> Column:
     return F.coalesce(whole, F.lit(False))
 
 
-def _edged(shapes: DataFrame, name: str, edges: Callable[..., np.ndarray], column: str = "ring") -> DataFrame:
+def edged(shapes: DataFrame, name: str, edges: Callable[..., np.ndarray], column: str = "ring") -> DataFrame:
     """Name, box, ``edges`` (four numbers each) and ``size``, the area, of each shape with a box; made once for a shape, in tasks of about equal rows."""
     numbers = [T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")]
     schema = T.StructType([shapes.schema[name], *numbers, T.StructField("edges", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())])
@@ -200,7 +200,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, point_id: str, po
     p = _cells(points.select(point_id, "x", "y"), F.col("x"), F.col("y"), size, 0)
     is_box = _is_box(shapes)
     on = F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1"))
-    near = by_cell(p, box_cells(_edged(shapes.where(~is_box).select(polygon_id, "ring"), polygon_id, border_edges), size)).where(on)
+    near = by_cell(p, box_cells(edged(shapes.where(~is_box).select(polygon_id, "ring"), polygon_id, border_edges), size)).where(on)
     boxes = by_cell(p, box_cells(shapes.where(is_box).select(polygon_id, "x0", "y0", "x1", "y1"), size)).where(on).select(point_id, polygon_id)
     at = [F.col(c).cast("double").alias(f"_{c}") for c in "xy"]
     rows = near.select(F.col(point_id).alias("_point"), F.col(polygon_id).alias("_polygon"), *at, "edges")
@@ -236,7 +236,7 @@ def box_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, si
 
 def overlaps(polygons: DataFrame, name: str, least_area: float = 1.0, least_ratio: float = 0.05, nested_ratio: float = 0.95, size: float = 1000.0) -> DataFrame:
     """Pairs a < b of polygons with a common area over the limits, relative to the smaller; nested ones are flagged."""
-    shapes = _edged(polygons, name, area_edges)
+    shapes = edged(polygons, name, area_edges)
     rows = area_pairs(shapes, shapes, name, name, size, F.col("a") < F.col("b")).withColumn("smaller", F.least("size_a", "size_b"))
     rows = rows.withColumn("ratio", F.col("area") / F.col("smaller")).where((F.col("area") > least_area) & (F.col("ratio") >= least_ratio))
     return rows.select("a", "b", "area", "ratio", (F.col("ratio") >= nested_ratio).alias("nested"))
