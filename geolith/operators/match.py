@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolith.functions.text import candidate_class, district_key
+from geolith.operators.tables import Stored
 
 
 def official_match(places: DataFrame, tables: Sequence[DataFrame], name: str = "name_key", aliases: str = "aliases") -> DataFrame:
@@ -83,6 +84,51 @@ def typed_address_candidates(addresses: DataFrame, register: DataFrame, address_
     return rows.where(F.col("class").isNotNull()).select(address_id, house_id, "class")
 
 
+def key_sets(rows: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """Each id once, with the ``set`` of its different keys (structs, ascending)."""
+    return rows.groupBy(name).agg(F.array_sort(F.collect_set(F.struct(*keys))).alias("set"))
+
+
+def set_links(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+    """_a, _b and what else ``join`` gives, for the different sets of two tables of :func:`key_sets` that are linked by any of their keys, each once.
+
+    ``_a`` and ``_b`` are the sets; ``rights`` and ``lefts`` count the ids of the other side that are linked with them. As an id has one set,
+    pairs of ids need neither be made distinct nor counted. ``join`` takes the keys of both sides, with ``_a`` and ``_b``.
+    Also whether ids of the left side would be copied less often, once for each linked set, than those of the right.
+    """
+    sets = lambda df, n, p: df.groupBy(F.col("set").alias(p)).agg(F.count(n).alias(f"_n{p}"))
+    l, r = sets(left, left.columns[0], "_a"), sets(right, right.columns[0], "_b")
+    keys = lambda df, p: df.select(p, F.explode(p).alias("_key")).select(p, "_key.*")
+    found = Stored(left.sparkSession)(join(keys(l, "_a"), keys(r, "_b")).distinct())
+    pairs = found.select("_a", "_b").distinct().join(l, "_a").join(r, "_b")
+    rights = pairs.groupBy("_a").agg(F.sum("_n_b").alias("rights"), F.count("*").alias("_to"), F.max("_n_a").alias("_n"))
+    lefts = pairs.groupBy("_b").agg(F.sum("_n_a").alias("lefts"), F.count("*").alias("_to"), F.max("_n_b").alias("_n"))
+    copies = lambda df: df.agg(F.sum(F.col("_to") * F.col("_n"))).first()[0] or 0
+    found = found.join(rights.select("_a", "rights"), "_a").join(lefts.select("_b", "lefts"), "_b")
+    return found, copies(rights) <= copies(lefts)
+
+
+def linked(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """The pairs of ids of two tables of :func:`key_sets` whose sets are linked, with ``rights``, ``lefts`` and what else ``join`` gives; see :func:`set_links`.
+
+    The side that has to be copied less often meets the linked sets first, so that pairs are made in the last join and not exchanged.
+    """
+    found, from_left = set_links(left, right, join)
+    l, r = left.withColumnRenamed("set", "_a"), right.withColumnRenamed("set", "_b")
+    return found.join(l, "_a").join(r, "_b").drop("_a", "_b") if from_left else found.join(r, "_b").join(l, "_a").drop("_a", "_b")
+
+
+def typed_address_ambiguity(addresses: DataFrame, register: DataFrame, address_id: str, house_id: str) -> DataFrame:
+    """:func:`ambiguity` of :func:`typed_address_candidates`, counted by different addresses instead of pairs. Rows without an id have no links."""
+    stored = Stored(addresses.sparkSession)
+    addresses, register = stored(addresses), stored(register)  # their parts are often parsed from texts, which is done once
+    l, r = (key_sets(df.where(F.col(n).isNotNull()), n, columns) for df, n, columns in ((addresses, address_id, ["municipality", "identity", "context"]), (register, house_id, ["municipality", "official"])))
+    found, _ = set_links(l, r, lambda a, b: typed_address_candidates(a, b, "_a", "_b"))
+    counted = lambda df, sets, n, s, c: df.join(sets.join(found.select(F.col(s).alias("set"), c).distinct(), "set").select(n, c), n).withColumn(s, F.struct(n, c))
+    links = typed_address_candidates(counted(addresses, l, address_id, "_a", "rights"), counted(register, r, house_id, "_b", "lefts"), "_a", "_b")
+    return links.select(f"_a.{address_id}", f"_b.{house_id}", "class", "_a.rights", "_b.lefts", ((F.col("_a.rights") > 1) | (F.col("_b.lefts") > 1)).alias("ambiguous"))
+
+
 def ambiguity(links: DataFrame, left: str, right: str) -> DataFrame:
     """Links with the number of partners on either side, and whether either has several."""
     l = links.groupBy(left).agg(F.count_distinct(right).alias("rights"))
@@ -97,11 +143,16 @@ def strongest(df: DataFrame, name: str, kind: str, order: Sequence[str]) -> Data
 
 
 def by_address_key(cards: DataFrame, others: DataFrame, card_id: str, other_id: str, key: str = "key", how: str = "left") -> DataFrame:
-    """Partners of each card with an equal address key. A null key meets none; null parts of keys are equal."""
-    parts = ("locality", "street_type", "street_name", "house_number")
+    """Partners of each card with an equal address key, gathered once for all cards that have the same keys. A null key meets none; null parts of keys are equal."""
+    parts = ["locality", "street_type", "street_name", "house_number"]
     spread = lambda df, n: df.where(F.col(key).isNotNull()).select(n, *(F.coalesce(F.col(f"{key}.{p}"), F.lit("")).alias(p) for p in parts))
-    pairs = spread(cards, card_id).join(spread(others, other_id), list(parts)).groupBy(card_id).agg(F.array_sort(F.collect_set(other_id)).alias("partners"))
-    return cards.join(pairs, card_id, how)
+    own = key_sets(spread(cards, card_id), card_id, parts)
+    lists = spread(others, other_id).groupBy(*parts).agg(F.collect_set(other_id).alias("_some"))
+    keys = own.select("set").distinct().select("set", F.explode("set").alias("_key")).select("set", "_key.*")
+    found = keys.join(lists, parts).groupBy("set").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_some")))).alias("partners"))
+    sets, found = own.select(F.col(card_id).alias("_card"), F.col("set").alias("_set")), found.withColumnRenamed("set", "_set")
+    known = cards.join(sets, F.col(card_id) == F.col("_card"), "left").drop("_card")
+    return known.join(found, "_set", how).select(card_id, *(c for c in cards.columns if c != card_id), "partners")
 
 
 def duplicate_groups(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:

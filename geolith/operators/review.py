@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geolith.functions.geo import geodesic_m
+from geolith.operators import match
 from geolith.operators.spatial import nearest, overlapping_boxes, pairs_within
 from geolith.operators.tables import Stored
 
@@ -43,9 +44,14 @@ def compiled_register(rows: DataFrame) -> DataFrame:
 
 def locality_candidates(addresses: DataFrame, register: DataFrame, address_id: str, house_id: str) -> DataFrame:
     """(address id, house id) by any of an address's localities, its street and number, in its municipality where that is known."""
-    a = addresses.select(address_id, F.explode("localities").alias("locality"), "street", "number", F.col("municipality").alias("_own"))
-    rows = a.join(register.select(house_id, "locality", "street", "number", F.col("municipality").alias("_theirs")), ["locality", "street", "number"])
-    return rows.where(F.col("_own").isNull() | (F.col("_own") == F.col("_theirs"))).select(address_id, house_id).distinct()
+    a = addresses.select(address_id, F.explode("localities").alias("locality"), "street", "number", "municipality")
+
+    def join(left: DataFrame, right: DataFrame) -> DataFrame:
+        rows = left.withColumnRenamed("municipality", "_own").join(right.withColumnRenamed("municipality", "_theirs"), ["locality", "street", "number"])
+        return rows.where(F.col("_own").isNull() | (F.col("_own") == F.col("_theirs"))).select("_a", "_b")
+
+    keys = ["locality", "street", "number", "municipality"]
+    return match.linked(match.key_sets(a, address_id, keys), match.key_sets(register, house_id, keys), join).select(address_id, house_id)
 
 
 def programme_matches(houses: DataFrame, programme: DataFrame, house_id: str) -> DataFrame:

@@ -317,7 +317,7 @@ def snapshot_diff(spark, sf_dir):
     return match.snapshot_diff(o.where("id % 10 <> 0").distinct(), new, "id", ["s", "c"])
 
 
-def _links(spark, sf_dir):
+def _addresses(spark, sf_dir):
     c, s = t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier")
     k = F.col("c_custkey")
     street = text.street_identity(F.concat(F.lit("ул. Ленина "), (k % 3).cast("string")), normal_form=False)
@@ -329,7 +329,11 @@ def _links(spark, sf_dir):
     m = F.col("s_suppkey")
     official = text.official_address(F.concat(F.lit("край, г. "), town(m % 5), F.lit(", Ленина "), (m % 3).cast("string"), F.lit(" улица, д. "), (m % 5).cast("string"), F.lit("К"), (m % 2).cast("string")), normal_form=False)
     register = s.select(m.alias("house_id"), F.col("s_nationkey").alias("municipality"), official.alias("official"))
-    return match.typed_address_candidates(addresses, register, "address_id", "house_id")
+    return addresses, register
+
+
+def _links(spark, sf_dir):
+    return match.typed_address_candidates(*_addresses(spark, sf_dir), "address_id", "house_id")
 
 
 LINKS = """l as (select c_custkey as address_id, s_suppkey as house_id, case when c_custkey % 4 <> 0 then case when c_custkey % 5 = s_suppkey % 5 then 'explicit_address_candidate' end
@@ -344,7 +348,7 @@ def typed_address_match(spark, sf_dir):
 
 @query(f"with {LINKS}, k as (select * from l where class is not null), r as (select address_id, count(distinct house_id) as rights from k group by 1), f as (select house_id, count(distinct address_id) as lefts from k group by 1) select address_id, house_id, class, rights, lefts, rights > 1 or lefts > 1 as ambiguous from k join r using (address_id) join f using (house_id)")
 def match_ambiguity(spark, sf_dir):
-    return match.ambiguity(_links(spark, sf_dir), "address_id", "house_id")
+    return match.typed_address_ambiguity(*_addresses(spark, sf_dir), "address_id", "house_id")
 
 
 @query(f"with {LINKS}, r as (select address_id, min(case class when 'explicit_address_candidate' then 1 when 'osm_boundary_context_candidate' then 2 else 3 end) as r from l where class is not null group by 1) select address_id, case r when 1 then 'explicit_address_candidate' when 2 then 'osm_boundary_context_candidate' else 'municipal_registry_candidate' end as class from r")

@@ -124,3 +124,11 @@ def test_f10_references_without_semicolon_stay_text(spark):
     pages = spark.createDataFrame([(1, '<p>a &amp; b&amp c &copy;&ltd</p><a href="/?x=1&copy=2&amp;y=3">k</a>')], "page_id INT, html STRING")
     found = read.parsed_pages(pages, "page_id", "html").first()
     assert found["text"] == "a & b&amp c ©&ltd k" and found["links"][0]["href"] == "/?x=1&copy=2&y=3"
+
+
+def test_f11_candidates_without_distinct_pairs(spark):
+    a = spark.createDataFrame([(1, ["x", "y", "x"], "s", "1", None), (2, ["x"], "s", "1", 7), (2, ["y"], "s", "1", None), (3, [], "s", "1", None), (4, ["z"], "s", None, None)], "a INT, localities ARRAY<STRING>, street STRING, number STRING, municipality INT")
+    r = spark.createDataFrame([(1, "x", "s", "1", 7), (1, "y", "s", "1", 8), (2, "x", "s", "1", 8), (3, "y", "s", "1", 8), (3, "y", "s", "1", 8), (4, "z", "s", None, 1)], "h INT, locality STRING, street STRING, number STRING, municipality INT")
+    found = review.locality_candidates(a, r, "a", "h")
+    assert rows(found, "a", "h") == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)]
+    assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")  # pairs come from the last join
