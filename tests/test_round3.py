@@ -132,3 +132,14 @@ def test_f11_candidates_without_distinct_pairs(spark):
     found = review.locality_candidates(a, r, "a", "h")
     assert rows(found, "a", "h") == [(1, 1), (1, 2), (1, 3), (2, 1), (2, 3)]
     assert not found._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")  # pairs come from the last join
+
+
+def test_f13_partners_gathered_once_for_a_key(spark):
+    kind = "k STRUCT<locality: STRING, street_type: STRING, street_name: STRING, house_number: STRING>"
+    cards = spark.createDataFrame([(1, ("t", None, "s", "1")), (2, ("t", "", "s", "1")), (3, None), (4, ("t", None, "s", "9")), (5, ("t", None, "s", "1")), (5, ("t", None, "s", "2")), (None, ("t", None, "s", "1"))], f"id INT, {kind}")
+    others = spark.createDataFrame([(8, ("t", None, "s", "1")), (9, ("t", None, "s", "1")), (9, ("t", None, "s", "2")), (7, ("t", None, "s", "2"))], f"o INT, {kind}")
+    found = match.by_address_key(cards, others, "id", "o", "k")
+    assert rows(found, "id", "partners") == [(1, [8, 9]), (2, [8, 9]), (3, None), (4, None), (5, [7, 8, 9]), (5, [7, 8, 9]), (None, None)]
+    assert rows(match.by_address_key(cards, others, "id", "o", "k", "inner"), "id") == [(1,), (2,), (5,), (5,)]
+    grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_set(o#" in line]
+    assert grouped and not any("Aggregate [id#" in line for line in grouped)  # not by card
