@@ -143,3 +143,14 @@ def test_f13_partners_gathered_once_for_a_key(spark):
     assert rows(match.by_address_key(cards, others, "id", "o", "k", "inner"), "id") == [(1,), (2,), (5,), (5,)]
     grouped = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_set(o#" in line]
     assert grouped and not any("Aggregate [id#" in line for line in grouped)  # not by card
+
+
+def test_f12_ambiguity_counted_by_addresses(spark):
+    identity = "identity STRUCT<localities: ARRAY<STRING>, street_type: STRING, street_name: STRING, house_number: STRING>"
+    make = lambda i, town, house, context=(), m=1: (i, m, ([town] if town else [], "street", "lenina", house), list(context))
+    a = spark.createDataFrame([make(1, "t", "1"), make(2, "t", "1"), make(2, "t", "2"), make(3, None, "1", ["t"]), make(4, "other", "1"), make(5, "t", "1", m=2), make(1, "t", "1"), make(None, "t", "1")], f"a INT, municipality INT, {identity}, context ARRAY<STRING>")
+    r = spark.createDataFrame([(h, 1, ("t", "street", "lenina", n)) for h, n in ((1, "1"), (2, "1"), (3, "2"), (2, "2"))], "h INT, municipality INT, official STRUCT<locality: STRING, street_type: STRING, street_name: STRING, house_number: STRING>")
+    found = match.typed_address_ambiguity(a, r, "a", "h")
+    expected = match.ambiguity(match.typed_address_candidates(a, r, "a", "h"), "a", "h")
+    columns = ("a", "h", "class", "rights", "lefts", "ambiguous")
+    assert rows(found, *columns) == rows(expected, *columns) and found.count() > 8
