@@ -318,7 +318,8 @@ def snapshot_diff(spark, sf_dir):
 
 
 def _addresses(spark, sf_dir):
-    c, s = t(spark, sf_dir, "customer"), t(spark, sf_dir, "supplier")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))  # texts are parsed in all tasks, however few files there are
+    c, s = t(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition(n, "c_custkey"), t(spark, sf_dir, "supplier")
     k = F.col("c_custkey")
     street = text.street_identity(F.concat(F.lit("ул. Ленина "), (k % 3).cast("string")), normal_form=False)
     house = text.house_number(F.concat(F.lit("Дом "), (k % 5).cast("string"), F.lit(" корпус "), (k % 2).cast("string")), normal_form=False)
