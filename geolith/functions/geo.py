@@ -281,23 +281,33 @@ def intersection_areas(left: list, right: list) -> np.ndarray:
     return np.maximum(0.0, np.bincount(own[j], common * sign[j], len(left)))
 
 
-def area_edges(shape) -> np.ndarray:
-    """The edges (x0, y0, x1, y1) of a shape's :func:`signed` rings, one after the other, without the upright ones, which no area lies under."""
+def area_edges(shape) -> tuple[np.ndarray, float]:
+    """The edges (x0, y0, x1, y1) of a shape's :func:`signed` rings, one after the other, without the upright ones, which no area lies under; and its area.
+
+    The area is that of each ring from its own corner, added up: a hole's place rounds nothing, and a box's area is the product of its sides.
+    """
     rings = signed(shape)
     edges = np.vstack([np.hstack([r, np.roll(r, -1, 0)]) for r in rings]) if rings else np.zeros((0, 4))
-    return edges[edges[:, 0] != edges[:, 2]].ravel()
+    return edges[edges[:, 0] != edges[:, 2]].ravel(), math.fsum(map(area, rings))
 
 
-def border_edges(shape) -> np.ndarray:
-    """The edges (x0, y0, x1, y1) of a shape's rings, one after the other."""
+def border_edges(shape) -> tuple[np.ndarray, float]:
+    """The edges (x0, y0, x1, y1) of a shape's rings, one after the other; their area isn't needed."""
     rings = [np.array([np.asarray(p, float) for p in r], float).reshape(-1, 2) for r in shape_rings(shape)]
-    return np.vstack([np.hstack([r, np.roll(r, -1, 0)]) for r in rings]).ravel() if rings else np.zeros(0)
+    return np.vstack([np.hstack([r, np.roll(r, -1, 0)]) for r in rings]).ravel() if rings else np.zeros(0), math.nan
 
 
-def edges_area(edges: np.ndarray) -> float:
-    """The area of a shape by its :func:`area_edges`."""
-    x0, y0, x1, y1 = edges.reshape(-1, 4).T
-    return float(((x0 - x1) * (y0 + y1 - 2 * y0[:1])).sum() / 2)
+def split_sums(values: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums by group, which ascend from 0, in two numbers that are to be added: terms that cancel leave no rounding behind.
+
+    Each value is cut into a multiple of a step, a 2^27th of its group's largest, and a rest. Multiples of one step add up exactly.
+    """
+    starts = np.flatnonzero(np.diff(group, prepend=-1))
+    step = np.zeros(group[-1] + 1)
+    step[group[starts]] = np.ldexp(1.5, np.frexp(np.maximum.reduceat(np.abs(values), starts))[1] + 26)  # the unit in its last place is the step
+    step = step[group]
+    high = (values + step) - step
+    return np.bincount(group, high), np.bincount(group, values - high)
 
 
 def stretches(sizes: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
@@ -313,9 +323,10 @@ def common_areas(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, b
     """Common area of each pair of shapes, pair k's being the :func:`area_edges` ``at[k]`` to ``at[k + 1]`` of ``a`` and ``bt[k]`` to ``bt[k + 1]`` of ``b``.
 
     A shape is what lies under its upper edges less what lies under its lower ones, so that the areas under both of two edges add up, with
-    their signs, to the common area. ``base`` is a height near the pair.
+    their signs, to the common area. ``base`` is a height near the pair. Edges that lie off the other shape cancel to nothing, as areas are
+    held against limits that some meet exactly.
     """
-    out = np.zeros(len(base))
+    out, rest = np.zeros((2, len(base)))
     pair = np.repeat(np.arange(len(base)), np.diff(at))
     counts = np.diff(bt)[pair]
     (ax, ay, ar, am, asign), (bx, by, br, bm, bsign) = _lines(a), _lines(b)
@@ -340,8 +351,13 @@ def common_areas(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, b
             middle = e0[k] + t * (e1[k] - e0[k])
             double[k] = t * (first[k] + middle) + (1 - t) * (middle + last[k])
         own = pair[i]
-        out[own[0] : own[-1] + 1] += np.bincount(own - own[0], asign[i] * bsign[j] * double * (right - left))
-    return np.maximum(out / 2, 0.0)
+        high, low = split_sums(asign[i] * bsign[j] * double * (right - left), own - own[0])
+        some = slice(own[0], own[-1] + 1)
+        before, total = out[some], out[some] + high
+        more = total - before
+        rest[some] += (before - (total - more)) + (high - more) + low  # what rounding left out of the total
+        out[some] = total
+    return np.maximum((out + rest) / 2, 0.0)
 
 
 def _lines(edges: np.ndarray) -> tuple[np.ndarray, ...]:

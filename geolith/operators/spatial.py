@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from geolith.functions.geo import Rings, area_edges, border_edges, common_areas, covered_points, edges_area, fan, flat_shapes, intersection_areas, products, shape_areas, within_triangles
+from geolith.functions.geo import Rings, area_edges, border_edges, common_areas, covered_points, fan, flat_shapes, intersection_areas, products, shape_areas, within_triangles
 from geolith.operators.nearest import nearest, nearest_line, segments
 from geolith.operators.tables import Stored
 
@@ -152,7 +152,7 @@ def _is_box(shapes: DataFrame, ring: str = "ring") -> Column:
     return F.coalesce(whole, F.lit(False))
 
 
-def edged(shapes: DataFrame, name: str, edges: Callable[..., np.ndarray], column: str = "ring") -> DataFrame:
+def edged(shapes: DataFrame, name: str, edges: Callable[..., tuple[np.ndarray, float]], column: str = "ring") -> DataFrame:
     """Name, box, ``edges`` (four numbers each) and ``size``, the area, of each shape with a box; made once for a shape, in tasks of about equal rows."""
     numbers = [T.StructField(c, T.DoubleType()) for c in ("x0", "y0", "x1", "y1")]
     schema = T.StructType([shapes.schema[name], *numbers, T.StructField("edges", T.ArrayType(T.DoubleType())), T.StructField("size", T.DoubleType())])
@@ -160,8 +160,7 @@ def edged(shapes: DataFrame, name: str, edges: Callable[..., np.ndarray], column
     def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             found = [edges(shape) for shape in frame[column]]
-            size = [edges_area(e) for e in found] if edges is area_edges else np.nan
-            yield frame.drop(columns=column).assign(edges=pd.Series(found, dtype=object, index=frame.index), size=size)
+            yield frame.drop(columns=column).assign(edges=pd.Series([e for e, _ in found], dtype=object, index=frame.index), size=[size for _, size in found])
 
     boxes = with_box(shapes.select(name, column), column).where("x0 is not null and y0 is not null")
     return boxes.select(name, *(F.col(f.name).cast("double") for f in numbers), column).repartition(F.col(name)).mapInPandas(work, schema)
