@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from geolith.functions.text import candidate_class, district_key
-from geolith.operators.tables import Stored
+from geolith.operators.tables import Stored, small
 
 
 def official_match(places: DataFrame, tables: Sequence[DataFrame], name: str = "name_key", aliases: str = "aliases") -> DataFrame:
@@ -89,33 +89,53 @@ def key_sets(rows: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
     return rows.groupBy(name).agg(F.array_sort(F.collect_set(F.struct(*keys))).alias("set"))
 
 
-def set_links(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame]) -> tuple[DataFrame, bool]:
+def set_links(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
     """_a, _b and what else ``join`` gives, for the different sets of two tables of :func:`key_sets` that are linked by any of their keys, each once.
 
     ``_a`` and ``_b`` are the sets; ``rights`` and ``lefts`` count the ids of the other side that are linked with them. As an id has one set,
     pairs of ids need neither be made distinct nor counted. ``join`` takes the keys of both sides, with ``_a`` and ``_b``.
-    Also whether ids of the left side would be copied less often, once for each linked set, than those of the right.
     """
     sets = lambda df, n, p: df.groupBy(F.col("set").alias(p)).agg(F.count(n).alias(f"_n{p}"))
     l, r = sets(left, left.columns[0], "_a"), sets(right, right.columns[0], "_b")
     keys = lambda df, p: df.select(p, F.explode(p).alias("_key")).select(p, "_key.*")
     found = Stored(left.sparkSession)(join(keys(l, "_a"), keys(r, "_b")).distinct())
     pairs = found.select("_a", "_b").distinct().join(l, "_a").join(r, "_b")
-    rights = pairs.groupBy("_a").agg(F.sum("_n_b").alias("rights"), F.count("*").alias("_to"), F.max("_n_a").alias("_n"))
-    lefts = pairs.groupBy("_b").agg(F.sum("_n_a").alias("lefts"), F.count("*").alias("_to"), F.max("_n_b").alias("_n"))
-    copies = lambda df: df.agg(F.sum(F.col("_to") * F.col("_n"))).first()[0] or 0
-    found = found.join(rights.select("_a", "rights"), "_a").join(lefts.select("_b", "lefts"), "_b")
-    return found, copies(rights) <= copies(lefts)
+    rights, lefts = pairs.groupBy("_a").agg(F.sum("_n_b").alias("rights")), pairs.groupBy("_b").agg(F.sum("_n_a").alias("lefts"))
+    return found.join(rights, "_a").join(lefts, "_b")
 
 
-def linked(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """The pairs of ids of two tables of :func:`key_sets` whose sets are linked, with ``rights``, ``lefts`` and what else ``join`` gives; see :func:`set_links`.
+def linked(left: DataFrame, right: DataFrame, join: Callable[[DataFrame, DataFrame], DataFrame], block: int = 2048) -> DataFrame:
+    """The pairs of ids of two tables of :func:`key_sets` whose sets are linked by any of their keys, with what else ``join`` gives.
 
-    The side that has to be copied less often meets the linked sets first, so that pairs are made in the last join and not exchanged.
+    The ids of a set lie in blocks of about ``block``. Each block of a set meets those of a linked set in the last join, from which the pairs
+    come, so that a task holds two blocks at a time, a set of very many ids is dealt to many tasks and no pairs are exchanged: only the ids
+    of one side, once for each block of the other, those of the side for which these are fewer.
     """
-    found, from_left = set_links(left, right, join)
-    l, r = left.withColumnRenamed("set", "_a"), right.withColumnRenamed("set", "_b")
-    return found.join(l, "_a").join(r, "_b").drop("_a", "_b") if from_left else found.join(r, "_b").join(l, "_a").drop("_a", "_b")
+    stored = Stored(left.sparkSession)
+    tables = {"_a": stored(left), "_b": stored(right)}
+    stored.release()
+    sets = {p: df.groupBy(F.col("set").alias(p)).agg(F.count("*").alias(f"_n{p}")) for p, df in tables.items()}
+    keys = lambda p: sets[p].select(p, F.explode(p).alias("_key")).select(p, "_key.*")
+    parts = lambda p: F.ceil(F.col(f"_n{p}") / block)
+    found = stored(join(keys("_a"), keys("_b")).distinct().join(sets["_a"], "_a").join(sets["_b"], "_b"))
+    from_left, from_right = found.agg(F.sum(F.col("_n_a") * parts("_b")), F.sum(F.col("_n_b") * parts("_a"))).first()
+    near, far = ("_a", "_b") if (from_left or 0) <= (from_right or 0) else ("_b", "_a")
+
+    def blocks(p: str) -> DataFrame:
+        df = tables[p]
+        name = df.columns[0]
+        large = small(stored(sets[p].where(F.col(f"_n{p}") > block).withColumnRenamed(p, "set")))
+        part = F.pmod(F.xxhash64(name), F.coalesce(parts(p), F.lit(1))).alias(f"_i{p}")
+        null = F.array_repeat(F.lit(None).cast(df.schema[name].dataType), F.count_if(F.col(name).isNull()).cast("int"))
+        return df.join(large, "set", "left").groupBy(F.col("set").alias(p), part).agg(F.concat(F.collect_list(name), null).alias(f"_ids{p}"))
+
+    n, at = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), [far, f"_i{far}"]
+    met = found.withColumn(f"_i{far}", F.explode(F.sequence(F.lit(0), parts(far) - 1))).join(blocks(near), near)
+    met = met.repartition(n, *at).hint("merge").join(blocks(far).repartition(n, *at), at)  # in all tasks, however few bytes the blocks are
+    more = [c for c in found.columns if c not in ("_a", "_b", "_n_a", "_n_b")]
+    met = met.select(F.explode(f"_ids{near}").alias(tables[near].columns[0]), f"_ids{far}", *more)
+    met = met.select(tables[near].columns[0], F.explode(f"_ids{far}").alias(tables[far].columns[0]), *more)
+    return met.select(left.columns[0], right.columns[0], *more)
 
 
 def typed_address_ambiguity(addresses: DataFrame, register: DataFrame, address_id: str, house_id: str) -> DataFrame:
@@ -123,7 +143,7 @@ def typed_address_ambiguity(addresses: DataFrame, register: DataFrame, address_i
     stored = Stored(addresses.sparkSession)
     addresses, register = stored(addresses), stored(register)  # their parts are often parsed from texts, which is done once
     l, r = (key_sets(df.where(F.col(n).isNotNull()), n, columns) for df, n, columns in ((addresses, address_id, ["municipality", "identity", "context"]), (register, house_id, ["municipality", "official"])))
-    found, _ = set_links(l, r, lambda a, b: typed_address_candidates(a, b, "_a", "_b"))
+    found = set_links(l, r, lambda a, b: typed_address_candidates(a, b, "_a", "_b"))
     counted = lambda df, sets, n, s, c: df.join(sets.join(found.select(F.col(s).alias("set"), c).distinct(), "set").select(n, c), n).withColumn(s, F.struct(n, c))
     links = typed_address_candidates(counted(addresses, l, address_id, "_a", "rights"), counted(register, r, house_id, "_b", "lefts"), "_a", "_b")
     return links.select(f"_a.{address_id}", f"_b.{house_id}", "class", "_a.rights", "_b.lefts", ((F.col("_a.rights") > 1) | (F.col("_b.lefts") > 1)).alias("ambiguous"))
